@@ -89,13 +89,16 @@ def weighted_score(df: DataFrame, variables: Sequence[str], weights: Mapping[str
 
 
 def score_offers(df: DataFrame, variables: Sequence[str], weights: Mapping[str, float],
-                 by: Sequence[str] | None = None, minimize: Sequence[str] = ("price",)) -> DataFrame:
-    """N1 + N5.  An input ``score`` variable is scored as ``score_norm`` so that
-    the final ``score`` does not overwrite it (quirk Q3)."""
-    out = minmax(df, variables, minimize=minimize, by=by)
-    vars_ = list(variables)
-    w = dict(weights)
-    if "score" in vars_:
+                 by: Sequence[str] | None = None, minimize: Sequence[str] = ("price",),
+                 suffix: str = "") -> DataFrame:
+    """N1 + N5.  ``suffix=""`` replaces the variables by their normalised values
+    (the reference's ranked table); an input ``score`` variable is then scored
+    as ``score_norm`` so the final ``score`` does not overwrite it (quirk Q3).
+    A non-empty suffix keeps the raw columns next to ``<v><suffix>``."""
+    out = minmax(df, variables, minimize=minimize, by=by, suffix=suffix)
+    vars_ = [v + suffix for v in variables]
+    w = {v + suffix: weights.get(v, 0.0) for v in variables}
+    if not suffix and "score" in vars_:
         out = out.withColumnRenamed("score", "score_norm")
         vars_ = ["score_norm" if v == "score" else v for v in vars_]
         w["score_norm"] = w.pop("score")

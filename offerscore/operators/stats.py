@@ -114,10 +114,13 @@ def distinct_value_ranks(df: DataFrame, by: Sequence[str] | None, col: str,
     return attach(v, n, by)
 
 
-def pct_rank(df: DataFrame, by: Sequence[str] | None, col: str, name: str) -> DataFrame:
-    """Average-tie rank / number of non-missing values; missing stays missing."""
+def pct_rank(df: DataFrame, by: Sequence[str] | None, col: str, name: str,
+             ranks: DataFrame | None = None) -> DataFrame:
+    """Average-tie rank / number of non-missing values; missing stays missing.
+
+    ``ranks`` may pass an ascending ``distinct_value_ranks`` table to share it."""
     by = _cols(by)
-    v = distinct_value_ranks(df, by, col, ascending=True)
+    v = ranks if ranks is not None else distinct_value_ranks(df, by, col, ascending=True)
     v = v.select(*by, col, (((F.col("_cum") - F.col("_cnt") + 1 + F.col("_cum")) / 2.0)
                             / F.col("_n")).alias(name))
     return attach(df, v, [*by, col])
@@ -133,7 +136,7 @@ def min_rank(df: DataFrame, by: Sequence[str] | None, col: str, name: str,
 
 
 def percentiles(df: DataFrame, by: Sequence[str] | None, col: str,
-                qs: Mapping[str, float]) -> DataFrame:
+                qs: Mapping[str, float], ranks: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolated percentiles per group, as a stats table.
 
     Equivalent to ``percentile(col, q)`` but the values of a hot group are
@@ -141,7 +144,7 @@ def percentiles(df: DataFrame, by: Sequence[str] | None, col: str,
     that bracket each position survive the filter before the final aggregate.
     """
     by = _cols(by)
-    v = distinct_value_ranks(df, by, col, ascending=True)
+    v = ranks if ranks is not None else distinct_value_ranks(df, by, col, ascending=True)
     c = F.col(f"`{col}`")
     lo_start = F.col("_cum") - F.col("_cnt")
 

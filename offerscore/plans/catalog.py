@@ -75,3 +75,288 @@ def rank_quality_focused_documented(spark, sf):
 @query("rank_custom")
 def rank_custom(spark, sf):
     return _rank_out(_ranked(spark, sf, weights=CUSTOM_WEIGHTS)[0])
+
+
+# ---------------------------------------------------------------- scoring views
+@query("best_offer")
+def best_offer(spark, sf):
+    ranked, _, _ = _ranked(spark, sf, "equal")
+    best = S.best_offer(ranked.drop("rank"), by=BY)
+    return best.select("tender_id", "offer_id", "supplier", r6(F.col("score")).alias("score"), "highlight")
+
+
+@query("cheapest_first")
+def cheapest_first(spark, sf):
+    out = S.cheapest_first(compliant(spark, sf), by=BY)
+    return out.select(*KEYS, "price", "price_order")
+
+
+@query("by_lead_time")
+def by_lead_time(spark, sf):
+    out = S.cheapest_first(compliant(spark, sf), by=BY, name="lead_time_order", col="lead_time_days")
+    return out.select(*KEYS, "lead_time_days", "lead_time_order")
+
+
+@query("score_composition")
+def score_composition(spark, sf):
+    c = compliant(spark, sf)
+    variables = P.variable_list(c)
+    w = S.scenario_weights(variables, "equal")
+    scored = S.score_offers(c, variables, w, by=BY)
+    comp = S.score_composition(scored, variables, w, ids=KEYS)
+    return comp.select(*KEYS, "variable", r6(F.col("normalized")).alias("normalized"),
+                       r6(F.col("contribution")).alias("contribution"))
+
+
+@query("supplier_profile")
+def supplier_profile(spark, sf):
+    prof = S.supplier_profile(compliant(spark, sf), by=BY, ids=KEYS)
+    return prof.select(*KEYS, "variable", r6(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------- preparation
+SUBSET = ["Supplier#000000001", "Supplier#000000002", "Supplier#000000003"]
+RANGE_BOUNDS = {"price": (5000.0, 60000.0), "quality": (60.0, 95.0), "delivery_time_days": (5.0, 40.0)}
+
+
+@query("compliant_only")
+def compliant_only(spark, sf):
+    return compliant(spark, sf).select(*KEYS, "compliance")
+
+
+@query("coerce_numeric")
+def coerce_numeric(spark, sf):
+    dirty = offers_view(spark, sf, dirty=True)
+    return P.coerce_numeric(dirty).select("offer_id", "price", "quality", "remarks", "country")
+
+
+@query("missing_report")
+def missing_report(spark, sf):
+    c = compliant(spark, sf)
+    return P.missing_report(c, P.variable_list(c))
+
+
+@query("variable_ranges")
+def variable_ranges(spark, sf):
+    from offerscore.operators.summary import variable_ranges as vr
+    c = compliant(spark, sf)
+    return vr(c, P.variable_list(c), by=BY)
+
+
+@query("range_filter")
+def range_filter(spark, sf):
+    from offerscore.operators.filters import range_filter as rf
+    out = rf(compliant(spark, sf), RANGE_BOUNDS)
+    return out.select(*KEYS, "price", "quality", "delivery_time_days")
+
+
+@query("supplier_subset")
+def supplier_subset(spark, sf):
+    from offerscore.operators.filters import supplier_subset as ss
+    return ss(compliant(spark, sf), SUBSET).select(*KEYS, "price")
+
+
+@query("total_cost")
+def total_cost(spark, sf):
+    from offerscore.operators.summary import total_cost as tc
+    return tc(compliant(spark, sf)).select(*KEYS, r6(F.col("total_cost")).alias("total_cost"))
+
+
+@query("missing_certifications")
+def missing_certifications(spark, sf):
+    return P.missing_certifications(compliant(spark, sf)).select("offer_id", "supplier", "certifications")
+
+
+@query("numeric_table")
+def numeric_table(spark, sf):
+    return P.numeric_table(compliant(spark, sf), keys=("offer_id", "tender_id"))
+
+
+@query("compliance_overview")
+def compliance_overview(spark, sf):
+    return P.compliance_overview(compliant(spark, sf))
+
+
+@query("terms_overview")
+def terms_overview(spark, sf):
+    return P.terms_overview(compliant(spark, sf))
+
+
+@query("view_columns")
+def view_columns(spark, sf):
+    return P.view_columns(compliant(spark, sf), "lead_delivery")
+
+
+@query("supplier_row")
+def supplier_row(spark, sf):
+    row = P.supplier_row(compliant(spark, sf), SUBSET[0], by=BY)
+    return row.select("tender_id", "offer_id", "supplier", "price", "quality", "delivery_time_days")
+
+
+# ---------------------------------------------------------------- summaries
+def _summary():
+    from offerscore.operators import summary as A
+    return A
+
+
+@query("price_summary")
+def price_summary(spark, sf):
+    out = _summary().price_summary(compliant(spark, sf), by=BY)
+    return out.select("tender_id", "price_min", "price_max", r6(F.col("price_mean")).alias("price_mean"),
+                      r6(F.col("price_median")).alias("price_median"),
+                      r6(F.col("price_std")).alias("price_std"))
+
+
+@query("delivery_kpis")
+def delivery_kpis(spark, sf):
+    out = _summary().delivery_kpis(compliant(spark, sf), by=BY)
+    return out.select("tender_id", r6(F.col("avg_lead_time_days")).alias("avg_lead_time_days"),
+                      "min_delivery_time_days")
+
+
+@query("compliance_counts")
+def compliance_counts(spark, sf):
+    """Counted on the unfiltered offers (quirk Q9)."""
+    out = _summary().compliance_counts(offers_view(spark, sf))
+    return out.select("compliance", "count", r6(F.col("share_pct")).alias("share_pct"))
+
+
+@query("supplier_type_counts")
+def supplier_type_counts(spark, sf):
+    out = _summary().supplier_type_counts(compliant(spark, sf))
+    return out.select("supplier_type", "count", r6(F.col("share_pct")).alias("share_pct"))
+
+
+@query("payment_terms_kpis")
+def payment_terms_kpis(spark, sf):
+    return _summary().payment_terms_kpis(compliant(spark, sf), by=BY)
+
+
+@query("distinct_supplier_types")
+def distinct_supplier_types(spark, sf):
+    return _summary().distinct_supplier_types(compliant(spark, sf), by=BY)
+
+
+@query("compliance_by_supplier")
+def compliance_by_supplier(spark, sf):
+    return _summary().compliance_by_supplier(offers_view(spark, sf))
+
+
+@query("correlation")
+def correlation(spark, sf):
+    c = compliant(spark, sf)
+    out = _summary().correlation(c, P.variable_list(c))
+    return out.select("var_a", "var_b", r6(F.col("corr")).alias("corr"))
+
+
+@query("pareto")
+def pareto(spark, sf):
+    out = _summary().pareto(compliant(spark, sf), by=BY)
+    return out.select("tender_id", "supplier", r6(F.col("price")).alias("price"), "position",
+                      r6(F.col("cum_pct")).alias("cum_pct"))
+
+
+@query("box_stats")
+def box_stats(spark, sf):
+    out = _summary().box_stats(compliant(spark, sf), by=BY)
+    cols = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
+    return out.select("tender_id", *[r6(F.col(c)).alias(c) for c in cols], "n_outliers")
+
+
+@query("price_histogram")
+def price_histogram(spark, sf):
+    out = _summary().histogram(compliant(spark, sf), "price", bins=10, by=BY)
+    return out.select("tender_id", "bin", "count", r6(F.col("mean")).alias("mean"),
+                      r6(F.col("bin_low")).alias("bin_low"), r6(F.col("bin_high")).alias("bin_high"))
+
+
+@query("supplier_totals")
+def supplier_totals(spark, sf):
+    out = _summary().supplier_totals(compliant(spark, sf), "price", ascending=True, by=BY)
+    return out.select("tender_id", "supplier", r6(F.col("total_price")).alias("total_price"), "position")
+
+
+@query("distinct_suppliers")
+def distinct_suppliers(spark, sf):
+    return _summary().distinct_suppliers(compliant(spark, sf), by=BY)
+
+
+# ---------------------------------------------------------------- windows
+@query("pct_rank")
+def pct_rank(spark, sf):
+    from offerscore.operators.stats import pct_rank as pr
+    out = pr(compliant(spark, sf), BY, "price", "price_pct_rank")
+    return out.select("offer_id", "tender_id", r6(F.col("price_pct_rank")).alias("price_pct_rank"))
+
+
+@query("min_rank")
+def min_rank(spark, sf):
+    from offerscore.operators.stats import min_rank as mr
+    out = mr(compliant(spark, sf), BY, "quality", "quality_rank")
+    return out.select("offer_id", "tender_id", "quality", "quality_rank")
+
+
+@query("zscore")
+def zscore(spark, sf):
+    from offerscore.operators.stats import zscore as z
+    out = z(compliant(spark, sf), BY, "price", "price_z")
+    return out.select("offer_id", "tender_id", r6(F.col("price_z")).alias("price_z"))
+
+
+@query("duplicated")
+def duplicated(spark, sf):
+    from offerscore.operators.stats import is_duplicated
+    out = is_duplicated(compliant(spark, sf), BY, F.bround(F.col("price"), -2), "price_dup")
+    return out.select("offer_id", "tender_id", "price_dup")
+
+
+# ---------------------------------------------------------------- risk
+def _risk(spark, sf, mode="raw"):
+    from offerscore.operators import risk as R
+    c = compliant(spark, sf)
+    variables = P.variable_list(c)
+    w = S.scenario_weights(variables, "equal")
+    if mode == "raw":
+        src = S.score_offers(c, variables, w, by=BY, suffix="_n")
+    else:  # the reference's call on the ranked (normalised, inverted) table, quirk Q5
+        src = S.score_offers(c, variables, w, by=BY)
+    return R, R.risk_scores(src, by=BY)
+
+
+def _risk_out(risk: DataFrame) -> DataFrame:
+    from offerscore.operators.risk import RISK_COLUMNS
+    return risk.select(*KEYS, *[r6(F.col(c)).alias(c) for c in ["total_risk", *RISK_COLUMNS]])
+
+
+@query("risk_raw")
+def risk_raw(spark, sf):
+    return _risk_out(_risk(spark, sf, "raw")[1])
+
+
+@query("risk_ranked")
+def risk_ranked(spark, sf):
+    return _risk_out(_risk(spark, sf, "ranked")[1])
+
+
+@query("risk_explained")
+def risk_explained(spark, sf):
+    R, risk = _risk(spark, sf, "raw")
+    out = R.explain_risks(risk, keys=("offer_id", "supplier"))
+    return out.select("offer_id", "supplier", "risk", r6(F.col("value")).alias("value"), "risk_name", "meaning")
+
+
+@query("red_flags")
+def red_flags(spark, sf):
+    R, risk = _risk(spark, sf, "raw")
+    out = R.red_flags(risk, by=BY)
+    return out.select(*KEYS, r6(F.col("score")).alias("score"), r6(F.col("total_risk")).alias("total_risk"),
+                      "status")
+
+
+@query("comparison_summary")
+def comparison_summary(spark, sf):
+    R, risk = _risk(spark, sf, "raw")
+    ranked = risk.select("offer_id", "tender_id", "supplier", "score")
+    out = R.comparison_summary(ranked, risk, compliant(spark, sf), by=BY)
+    return out.select("offer_id", "tender_id", "supplier", r6(F.col("score")).alias("score"),
+                      r6(F.col("risk")).alias("risk"), "price", "delivery", "quality", "status")

@@ -94,3 +94,276 @@ SQL["rank_price_focused"] = _rank_sql(scenario_weights(VARIABLES, "price-focused
 SQL["rank_quality_focused"] = _rank_sql(scenario_weights(VARIABLES, "quality-focused"))
 SQL["rank_quality_focused_documented"] = _rank_sql(scenario_weights(VARIABLES, "quality-focused", 0.4))
 SQL["rank_custom"] = _rank_sql(custom_weights(CUSTOM_WEIGHTS))
+
+
+# ---------------------------------------------------------------- scoring views
+EQUAL = scenario_weights(VARIABLES, "equal")
+KEYS = "offer_id, tender_id, supplier"
+
+SQL["best_offer"] = with_offers(
+    """SELECT tender_id, offer_id, supplier, round(score, 6) AS score, 'Best' AS highlight FROM (
+  SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY score DESC NULLS LAST, offer_id) AS rn
+  FROM scored) WHERE rn = 1""",
+    norm_ctes("compliant", VARIABLES),
+    f"scored AS (SELECT *, {score_expr(VARIABLES, EQUAL)} AS score FROM normed)")
+
+SQL["cheapest_first"] = with_offers(
+    f"""SELECT {KEYS}, price,
+  row_number() OVER (PARTITION BY tender_id ORDER BY price ASC NULLS LAST, offer_id) AS price_order
+FROM compliant""")
+
+SQL["by_lead_time"] = with_offers(
+    f"""SELECT {KEYS}, lead_time_days,
+  row_number() OVER (PARTITION BY tender_id ORDER BY lead_time_days ASC NULLS LAST, offer_id) AS lead_time_order
+FROM compliant""")
+
+SQL["score_composition"] = with_offers(
+    " UNION ALL ".join(
+        f"SELECT {KEYS}, '{v}' AS variable, round({v}, 6) AS normalized, "
+        f"round({v} * {d(EQUAL[v])}, 6) AS contribution FROM normed" for v in VARIABLES),
+    norm_ctes("compliant", VARIABLES))
+
+_PROFILE = ["price", "delivery_time_days", "warranty_months", "quality"]
+SQL["supplier_profile"] = with_offers(
+    " UNION ALL ".join(f"SELECT {KEYS}, '{v}' AS variable, round({v}, 6) AS value FROM prof" for v in _PROFILE),
+    norm_ctes("compliant", _PROFILE, minimize=("price", "delivery_time_days"), name="prof"))
+
+# ---------------------------------------------------------------- preparation
+SUBSET = ["Supplier#000000001", "Supplier#000000002", "Supplier#000000003"]
+
+SQL["compliant_only"] = with_offers(f"SELECT {KEYS}, compliance FROM compliant")
+
+SQL["coerce_numeric"] = with_offers(
+    """SELECT offer_id, TRY_CAST(price AS DOUBLE) AS price, TRY_CAST(quality AS DOUBLE) AS quality, remarks, country
+FROM dirty""",
+    """dirty AS (SELECT offer_id,
+  CASE WHEN CAST(split_part(offer_id, '-', 1) AS BIGINT) % 53 = 0 THEN 'n/a' ELSE CAST(price AS VARCHAR) END AS price,
+  CASE WHEN CAST(split_part(offer_id, '-', 1) AS BIGINT) % 53 = 0 THEN 'n/a' ELSE CAST(quality AS VARCHAR) END AS quality,
+  'see note ' || CAST(tender_id AS VARCHAR) AS remarks, country FROM offers)""")
+
+SQL["missing_report"] = with_offers(" UNION ALL ".join(
+    f"SELECT '{v}' AS variable, count(*) - count({v}) AS n_missing, count(*) - count({v}) > 0 AS has_missing "
+    f"FROM compliant" for v in VARIABLES))
+
+
+def _ranges_sql():
+    parts = []
+    for i, v in enumerate(VARIABLES):
+        prior = " AND ".join(f"{p} IS NOT NULL" for p in VARIABLES[:i])
+        x = f"CASE WHEN {prior} THEN {v} END" if prior else v
+        parts.append(f"SELECT tender_id, '{v}' AS variable, coalesce(min({x}), {d(0)}) AS lo, "
+                     f"coalesce(max({x}), {d(1)}) AS hi FROM compliant GROUP BY tender_id")
+    body = ("SELECT tender_id, variable, lo, hi, CASE WHEN hi - lo > 10 THEN " + d(1.0) + " ELSE " + d(0.01)
+            + " END AS step FROM (" + " UNION ALL ".join(parts) + ")")
+    return with_offers(body)
+
+
+SQL["variable_ranges"] = _ranges_sql()
+
+SQL["range_filter"] = with_offers(
+    f"""SELECT {KEYS}, price, quality, delivery_time_days FROM compliant
+WHERE price BETWEEN 5000 AND 60000 AND quality BETWEEN 60 AND 95 AND delivery_time_days BETWEEN 5 AND 40""")
+
+SQL["supplier_subset"] = with_offers(
+    f"SELECT {KEYS}, price FROM compliant WHERE supplier IN ({', '.join(repr(s) for s in SUBSET)})")
+
+SQL["total_cost"] = with_offers(f"SELECT {KEYS}, round(price - discount + shipping_cost, 6) AS total_cost FROM compliant")
+
+SQL["missing_certifications"] = with_offers(
+    r"""SELECT offer_id, supplier, certifications FROM compliant
+WHERE certifications IS NULL OR regexp_full_match(certifications, '\s*')""")
+
+SQL["numeric_table"] = with_offers(f"SELECT offer_id, tender_id, supplier, {', '.join(VARIABLES)} FROM compliant")
+
+SQL["compliance_overview"] = with_offers(
+    "SELECT offer_id, supplier, compliance, compliance_notes, certifications FROM compliant")
+
+SQL["terms_overview"] = with_offers("SELECT offer_id, supplier, payment_terms, supplier_type FROM compliant")
+
+SQL["view_columns"] = with_offers(
+    "SELECT offer_id, supplier, lead_time_days, delivery_time_days, quantity FROM compliant")
+
+SQL["supplier_row"] = with_offers(
+    f"""SELECT tender_id, offer_id, supplier, price, quality, delivery_time_days FROM (
+  SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY offer_id) AS rn
+  FROM compliant WHERE supplier = '{SUBSET[0]}') WHERE rn = 1""")
+
+# ---------------------------------------------------------------- summaries
+SQL["price_summary"] = with_offers(
+    """SELECT tender_id, min(price) AS price_min, max(price) AS price_max, round(avg(price), 6) AS price_mean,
+  round(quantile_cont(price, 0.5), 6) AS price_median, round(stddev_samp(price), 6) AS price_std
+FROM compliant GROUP BY tender_id""")
+
+SQL["delivery_kpis"] = with_offers(
+    """SELECT tender_id, round(avg(lead_time_days), 6) AS avg_lead_time_days,
+  min(delivery_time_days) AS min_delivery_time_days FROM compliant GROUP BY tender_id""")
+
+SQL["compliance_counts"] = with_offers(
+    """SELECT compliance, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share_pct
+FROM offers GROUP BY compliance""")
+
+SQL["supplier_type_counts"] = with_offers(
+    """SELECT supplier_type, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share_pct
+FROM compliant WHERE supplier_type IS NOT NULL GROUP BY supplier_type""")
+
+SQL["payment_terms_kpis"] = with_offers(
+    """SELECT tender_id, payment_terms AS top_payment_term, c AS top_payment_term_count, n AS n_payment_terms FROM (
+  SELECT tender_id, payment_terms, c,
+    row_number() OVER (PARTITION BY tender_id ORDER BY c DESC, payment_terms) AS rn,
+    count(*) OVER (PARTITION BY tender_id) AS n
+  FROM (SELECT tender_id, payment_terms, count(*) AS c FROM compliant
+        WHERE payment_terms IS NOT NULL GROUP BY tender_id, payment_terms)) WHERE rn = 1""")
+
+SQL["distinct_supplier_types"] = with_offers(
+    "SELECT tender_id, count(DISTINCT supplier_type) AS n_supplier_types FROM compliant GROUP BY tender_id")
+
+SQL["compliance_by_supplier"] = with_offers(
+    """SELECT supplier, compliance, count(*) AS count FROM offers
+WHERE supplier IS NOT NULL AND compliance IS NOT NULL GROUP BY supplier, compliance""")
+
+
+def _corr_sql():
+    parts = []
+    for a in VARIABLES:
+        for b in VARIABLES:
+            both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+            parts.append(
+                f"SELECT '{a}' AS var_a, '{b}' AS var_b, round(covar_pop({a}, {b}) / nullif("
+                f"stddev_pop({a}) FILTER (WHERE {both}) * stddev_pop({b}) FILTER (WHERE {both}), 0), 6) AS corr "
+                f"FROM compliant")
+    return with_offers(" UNION ALL ".join(parts))
+
+
+SQL["correlation"] = _corr_sql()
+
+SQL["pareto"] = with_offers(
+    """SELECT tender_id, supplier, round(price, 6) AS price,
+  row_number() OVER w AS position,
+  round(sum(price) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        / sum(price) OVER (PARTITION BY tender_id) * 100.0, 6) AS cum_pct
+FROM (SELECT tender_id, supplier, sum(price) AS price FROM compliant GROUP BY tender_id, supplier)
+WINDOW w AS (PARTITION BY tender_id ORDER BY price DESC, supplier)""")
+
+SQL["box_stats"] = with_offers(
+    """SELECT q.tender_id, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
+  round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence,
+  round(min(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END), 6) AS whisker_low,
+  round(max(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN price END), 6) AS whisker_high,
+  sum(CASE WHEN price BETWEEN lower_fence AND upper_fence THEN 0 ELSE 1 END) AS n_outliers
+FROM q JOIN compliant c ON c.tender_id = q.tender_id AND c.price IS NOT NULL
+GROUP BY q.tender_id, q1, median, q3, iqr, lower_fence, upper_fence""",
+    """q0 AS (SELECT tender_id, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median,
+  quantile_cont(price, 0.75) AS q3 FROM compliant GROUP BY tender_id),
+q AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q0)""")
+
+SQL["price_histogram"] = with_offers(
+    """SELECT tender_id, bin, count(*) AS count, round(any_value(mean), 6) AS mean,
+  round(any_value(lo) + (bin - 1) * (any_value(hi) - any_value(lo)) / 10, 6) AS bin_low,
+  round(any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 10, 6) AS bin_high
+FROM (SELECT c.tender_id, lo, hi, mean,
+        CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((price - lo) / (hi - lo) * 10) + 1, 10) END AS BIGINT) AS bin
+      FROM compliant c JOIN s ON c.tender_id = s.tender_id WHERE price IS NOT NULL)
+GROUP BY tender_id, bin""",
+    "s AS (SELECT tender_id, min(price) AS lo, max(price) AS hi, avg(price) AS mean FROM compliant GROUP BY tender_id)")
+
+SQL["supplier_totals"] = with_offers(
+    """SELECT tender_id, supplier, round(total_price, 6) AS total_price,
+  row_number() OVER (PARTITION BY tender_id ORDER BY total_price ASC NULLS LAST, supplier) AS position
+FROM (SELECT tender_id, supplier, sum(price) AS total_price FROM compliant GROUP BY tender_id, supplier)""")
+
+SQL["distinct_suppliers"] = with_offers("SELECT DISTINCT tender_id, supplier FROM compliant")
+
+# ---------------------------------------------------------------- windows
+SQL["pct_rank"] = with_offers(
+    """SELECT offer_id, tender_id,
+  round(CASE WHEN price IS NULL THEN NULL ELSE
+    CAST(2 * (rank() OVER (PARTITION BY tender_id ORDER BY price)) + count(*) OVER (PARTITION BY tender_id, price) - 1 AS DOUBLE)
+      / 2.0 / count(price) OVER (PARTITION BY tender_id) END, 6) AS price_pct_rank
+FROM compliant""")
+
+SQL["min_rank"] = with_offers(
+    """SELECT offer_id, tender_id, quality,
+  CASE WHEN quality IS NULL THEN NULL ELSE rank() OVER (PARTITION BY tender_id ORDER BY quality DESC NULLS LAST) END
+    AS quality_rank
+FROM compliant""")
+
+SQL["zscore"] = with_offers(
+    """SELECT offer_id, tender_id,
+  round((price - avg(price) OVER t) / nullif(stddev_pop(price) OVER t, 0), 6) AS price_z
+FROM compliant WINDOW t AS (PARTITION BY tender_id)""")
+
+SQL["duplicated"] = with_offers(
+    """SELECT offer_id, tender_id,
+  count(*) OVER (PARTITION BY tender_id, round_even(price, -2)) > 1 AS price_dup FROM compliant""")
+
+
+# ---------------------------------------------------------------- risk
+RISKS = ["lowball_risk", "drip_pricing_risk", "drip_pricing_flag", "signaling_risk",
+         "cover_bid_risk", "decoy_bid_risk", "bid_similarity_risk"]
+
+
+def _risk_ctes(mode: str) -> list[str]:
+    if mode == "raw":
+        src = [norm_ctes("compliant", VARIABLES),
+               f"sc AS (SELECT offer_id, {score_expr(VARIABLES, EQUAL)} AS score FROM normed)",
+               "rin AS (SELECT c.offer_id, c.tender_id, c.supplier, c.price, c.quality, sc.score "
+               "FROM compliant c JOIN sc ON c.offer_id = sc.offer_id)"]
+    else:
+        src = [norm_ctes("compliant", VARIABLES),
+               f"rin AS (SELECT offer_id, tender_id, supplier, price, quality, "
+               f"{score_expr(VARIABLES, EQUAL)} AS score FROM normed)"]
+    flag = lambda c: f"CASE WHEN {c} THEN {d(1.0)} ELSE {d(0.0)} END"
+    pr = ("CASE WHEN {x} IS NULL THEN NULL ELSE CAST(2 * (rank() OVER (PARTITION BY tender_id ORDER BY {x})) "
+          "+ count(*) OVER (PARTITION BY tender_id, {x}) - 1 AS DOUBLE) / 2.0 "
+          "/ count({x}) OVER (PARTITION BY tender_id) END")
+    src += [
+        """st AS (SELECT tender_id, avg(price) AS pmean, min(price) AS pmin, max(price) AS pmax,
+  avg(score) AS smean, stddev_pop(price) AS pstd, stddev_pop(score) AS sstd, min(quality) AS qmin,
+  max(quality) AS qmax, quantile_cont(price, 0.75) AS p75, quantile_cont(score, 0.5) AS smed,
+  quantile_cont(quality, 0.25) AS q25 FROM rin GROUP BY tender_id)""",
+        f"""rk AS (SELECT *, {pr.format(x='price')} AS prank, {pr.format(x='score')} AS srank,
+  count(*) OVER (PARTITION BY tender_id, round_even(price, -2)) > 1 AS pdup,
+  count(*) OVER (PARTITION BY tender_id, round_even(score, 0)) > 1 AS sdup FROM rin)""",
+        f"""rs AS (SELECT rk.offer_id, rk.tender_id, rk.supplier, rk.score, rk.price, rk.quality,
+  CASE WHEN price < {d(0.85)} * pmean THEN (pmean - price) / nullif(pmean, 0) ELSE {d(0.0)} END AS lowball_risk,
+  ((price - pmin) / nullif(pmax - pmin, 0)) * (1 - (quality - qmin) / nullif(qmax - qmin, 0)) AS drip_pricing_risk,
+  {flag('price > p75 AND quality < q25')} AS drip_pricing_flag,
+  {flag('srank > 0.8 AND prank > 0.8')} AS signaling_risk,
+  {flag('price > p75 AND score < smed')} AS cover_bid_risk,
+  {flag('abs((price - pmean) / nullif(pstd, 0)) > 2 OR abs((score - smean) / nullif(sstd, 0)) > 2')}
+    AS decoy_bid_risk,
+  {flag('pdup OR sdup')} AS bid_similarity_risk
+FROM rk JOIN st ON rk.tender_id = st.tender_id)""",
+        "risk AS (SELECT *, (" + " + ".join(f"coalesce({c}, 0)" for c in RISKS) + ") / CAST(("
+        + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in RISKS) + ") AS DOUBLE) AS total_risk FROM rs)",
+    ]
+    return src
+
+
+def _risk_sql(mode: str) -> str:
+    cols = ", ".join(f"round({c}, 6) AS {c}" for c in ["total_risk", *RISKS])
+    return with_offers(f"SELECT offer_id, tender_id, supplier, {cols} FROM risk", *_risk_ctes(mode))
+
+
+SQL["risk_raw"] = _risk_sql("raw")
+SQL["risk_ranked"] = _risk_sql("ranked")
+
+from offerscore.operators.risk import RISK_EXPLANATIONS, RISK_LABELS  # noqa: E402
+
+SQL["risk_explained"] = with_offers(
+    " UNION ALL ".join(
+        f"SELECT offer_id, supplier, '{c}' AS risk, round({c}, 6) AS value, '{RISK_LABELS[c]}' AS risk_name, "
+        f"'{RISK_EXPLANATIONS[RISK_LABELS[c]]}' AS meaning FROM risk" for c in RISKS),
+    *_risk_ctes("raw"))
+
+_STATUS = ("CASE WHEN score = max(score) OVER (PARTITION BY tender_id) THEN '[BEST]' "
+           "WHEN {r} > 0.7 THEN '[RISK]' ELSE '' END")
+SQL["red_flags"] = with_offers(
+    f"""SELECT offer_id, tender_id, supplier, round(score, 6) AS score, round(total_risk, 6) AS total_risk,
+  {_STATUS.format(r='total_risk')} AS status FROM risk""", *_risk_ctes("raw"))
+
+SQL["comparison_summary"] = with_offers(
+    f"""SELECT offer_id, tender_id, supplier, round(score, 6) AS score, round(total_risk, 6) AS risk, price,
+  delivery_time_days AS delivery, quality, {_STATUS.format(r='total_risk')} AS status
+FROM risk JOIN (SELECT offer_id AS oid, delivery_time_days FROM compliant) o ON o.oid = risk.offer_id""",
+    *_risk_ctes("raw"))
