@@ -42,5 +42,6 @@ def flag(cond: Column) -> Column:
 
 
 def r6(c: Column) -> Column:
-    """Round a computed double to 6 digits for stable cross-engine comparison."""
-    return F.round(c, 6)
+    """Round a computed double to 6 digits for stable cross-engine comparison
+    (adding 0.0 turns a rounded -0.0 into 0.0)."""
+    return F.round(c, 6) + F.lit(0.0)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ def risk_scores(df: DataFrame, by: Sequence[str] | None = None, price: str = "pr
     by = list(by or [])
     require(df, [price, score], "risk_scores")
     q = quality_column(df)
+    # read by a dozen branches (stats, three value-rank tables, duplicates)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     p, s = F.col(price), F.col(score)
     aggs = [F.avg(price).alias("_pmean"), F.min(price).alias("_pmin"), F.max(price).alias("_pmax"),
             F.avg(score).alias("_smean"), F.stddev_pop(price).alias("_pstd"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ def query(name: str):
 
 
 def compliant(spark: SparkSession, sf: str) -> DataFrame:
-    return P.compliant_only(offers_view(spark, sf))
+    """The cleaned offers, persisted once: every query reads them from several branches."""
+    return P.compliant_only(offers_view(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _ranked(spark, sf, scenario=None, weights=None, rest_share=0.2):
@@ -360,3 +362,155 @@ def comparison_summary(spark, sf):
     out = R.comparison_summary(ranked, risk, compliant(spark, sf), by=BY)
     return out.select("offer_id", "tender_id", "supplier", r6(F.col("score")).alias("score"),
                       r6(F.col("risk")).alias("risk"), "price", "delivery", "quality", "status")
+
+
+# ---------------------------------------------------------------- negotiation
+K_WINNERS = 3
+
+
+def _negotiation(spark, sf):
+    from offerscore.operators import negotiation as G
+    return G, G.negotiation_table(compliant(spark, sf), k=K_WINNERS, by=BY)
+
+
+@query("negotiation_table")
+def negotiation_table(spark, sf):
+    _, t = _negotiation(spark, sf)
+    return t.select(*KEYS, "price", "quality", "delivery_time_days", r6(F.col("score")).alias("score"),
+                    "position", "winner")
+
+
+@query("acceptance_threshold")
+def acceptance_threshold(spark, sf):
+    G, t = _negotiation(spark, sf)
+    out = G.acceptance_threshold(t, by=BY)
+    return out.select("tender_id", r6(F.col("threshold_score")).alias("threshold_score"),
+                      F.concat_ws(", ", "winners").alias("winners"), "n_winners")
+
+
+@query("negotiation_advice")
+def negotiation_advice(spark, sf):
+    G, t = _negotiation(spark, sf)
+    out = G.negotiation_advice(t, by=BY)
+    return out.select(*KEYS, *[r6(F.col(c)).alias(c) for c in ("price_gap", "quality_gap", "delivery_gap")],
+                      "advice")
+
+
+@query("tradeoff")
+def tradeoff(spark, sf):
+    G, t = _negotiation(spark, sf)
+    return G.tradeoff(t)
+
+
+@query("negotiation_importance")
+def negotiation_importance(spark, sf):
+    """MLlib random forest on the whole table (rows-only check)."""
+    from offerscore.operators.ml import negotiation_importance as ni
+    from offerscore.operators.negotiation import negotiation_score
+    return ni(negotiation_score(compliant(spark, sf)))
+
+
+# ---------------------------------------------------------------- what-if
+WHATIF_SUPPLIER = SUBSET[0]
+WHATIF_CHANGES = {"price": 1000.0, "quality": 100.0}
+TOP_VARS = ["price", "quality", "warranty_months", "experience_years", "lead_time_days"]
+NEG_VARS = ["price", "quality", "delivery_time_days"]
+
+
+def _whatif(spark, sf, top=TOP_VARS, changes=WHATIF_CHANGES):
+    from offerscore.operators import whatif as X
+    return X, X.whatif(compliant(spark, sf), WHATIF_SUPPLIER, changes, top, by=BY)
+
+
+@query("whatif")
+def whatif(spark, sf):
+    _, out = _whatif(spark, sf)
+    return out.select(*KEYS, r6(F.col("score")).alias("score"), "rank")
+
+
+@query("whatif_negotiation")
+def whatif_negotiation(spark, sf):
+    """Top variables within the negotiation inputs: the negotiation score path."""
+    _, out = _whatif(spark, sf, top=NEG_VARS)
+    return out.select(*KEYS, r6(F.col("score")).alias("score"), "rank")
+
+
+@query("whatif_impact")
+def whatif_impact(spark, sf):
+    X, after = _whatif(spark, sf)
+    before = X.whatif(compliant(spark, sf), WHATIF_SUPPLIER, {}, TOP_VARS, by=BY)
+    out = X.whatif_impact(before, after)
+    return out.select("offer_id", "supplier", r6(F.col("score_before")).alias("score_before"),
+                      r6(F.col("score_after")).alias("score_after"), "rank_before", "rank_after",
+                      r6(F.col("score_change")).alias("score_change"), "rank_change")
+
+
+@query("sensitivity")
+def sensitivity(spark, sf):
+    from offerscore.operators.whatif import sensitivity as sens
+    out = sens(compliant(spark, sf), WHATIF_SUPPLIER, TOP_VARS, points=3, by=BY)
+    return out.select("tender_id", "variable", r6(F.col("value")).alias("value"),
+                      r6(F.col("supplier_score")).alias("supplier_score"), "supplier_rank")
+
+
+def _scored_raw(spark, sf):
+    c = compliant(spark, sf)
+    variables = P.variable_list(c)
+    w = S.scenario_weights(variables, "equal")
+    return S.score_offers(c, variables, w, by=BY, suffix="_n"), variables
+
+
+@query("score_importance")
+def score_importance(spark, sf):
+    """Top-5 variables for the score (MLlib random forest, rows-only check)."""
+    from offerscore.operators.ml import score_importance as si
+    scored, variables = _scored_raw(spark, sf)
+    return si(scored, variables)
+
+
+# ---------------------------------------------------------------- ML
+@query("pca2_two_vars")
+def pca2_two_vars(spark, sf):
+    from offerscore.operators.ml import pca2
+    out, _ = pca2(compliant(spark, sf), ["price", "quality"])
+    return out.select("offer_id", "supplier", r6(F.col("pc1")).alias("pc1"), r6(F.col("pc2")).alias("pc2"))
+
+
+@query("pca2")
+def pca2_all(spark, sf):
+    """All variables on the whole table (rows-only check)."""
+    from offerscore.operators.ml import pca2
+    c = compliant(spark, sf)
+    out, _ = pca2(c, P.variable_list(c))
+    return out.select("offer_id", "supplier", r6(F.col("pc1")).alias("pc1"), r6(F.col("pc2")).alias("pc2"))
+
+
+@query("price_importance")
+def price_importance(spark, sf):
+    from offerscore.operators.ml import price_importance as pi
+    c = compliant(spark, sf)
+    return pi(c, P.variable_list(c))
+
+
+@query("anomalies")
+def anomalies(spark, sf):
+    """Isolation Forest over the whole table (rows-only check)."""
+    from offerscore.operators.iforest import anomalies as an
+    c = compliant(spark, sf)
+    out = an(c, P.variable_list(c))
+    return out.select("offer_id", "supplier", r6(F.col("anomaly_score")).alias("anomaly_score"),
+                      "anomaly", "anomaly_label")
+
+
+# ---------------------------------------------------------------- sources / sinks
+@query("offers_csv_roundtrip")
+def offers_csv_roundtrip(spark, sf):
+    """Write the ranked results as CSV under the shared checkpoint folder and read them back."""
+    from offerscore.session import scratch_dir
+    from offerscore.sources.offers import read_offers, write_results
+    ranked, variables, _ = _ranked(spark, sf, "equal")
+    path = write_results(ranked, variables, scratch_dir(spark, "csv"),
+                         keys=("offer_id", "tender_id", "supplier", "score"))
+    back = P.coerce_numeric(read_offers(spark, path), keep=("offer_id",))
+    return back.select("offer_id", F.col("tender_id").cast("long").alias("tender_id"), "supplier",
+                       r6(F.col("score")).alias("score"))

@@ -367,3 +367,129 @@ SQL["comparison_summary"] = with_offers(
   delivery_time_days AS delivery, quality, {_STATUS.format(r='total_risk')} AS status
 FROM risk JOIN (SELECT offer_id AS oid, delivery_time_days FROM compliant) o ON o.oid = risk.offer_id""",
     *_risk_ctes("raw"))
+
+
+# ---------------------------------------------------------------- negotiation
+NEG_CTE = """neg AS (SELECT *, quality / nullif(price * (1 + 0.01 * delivery_time_days), 0) AS score FROM compliant),
+negr AS (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY score DESC NULLS LAST, offer_id) AS position
+         FROM neg),
+negt AS (SELECT *, position <= 3 AS winner FROM negr)"""
+
+SQL["negotiation_table"] = with_offers(
+    f"SELECT {KEYS}, price, quality, delivery_time_days, round(score, 6) AS score, position, winner FROM negt",
+    NEG_CTE)
+
+SQL["acceptance_threshold"] = with_offers(
+    """SELECT tender_id, round(arg_max(score, position), 6) AS threshold_score,
+  string_agg(supplier, ', ' ORDER BY position) AS winners, count(*) AS n_winners
+FROM negt WHERE winner GROUP BY tender_id""", NEG_CTE)
+
+
+def _f2(x):
+    return f"printf('%.2f', round_even({x}, 2))"
+
+
+SQL["negotiation_advice"] = with_offers(
+    f"""SELECT {KEYS},
+  round(coalesce(CASE WHEN price > bp THEN price - bp END, 0), 6) AS price_gap,
+  round(coalesce(CASE WHEN quality < bq THEN bq - quality END, 0), 6) AS quality_gap,
+  round(coalesce(CASE WHEN delivery_time_days > bd THEN delivery_time_days - bd END, 0), 6) AS delivery_gap,
+  CASE WHEN tips = '' THEN supplier || ': Already matches the best terms among winners.'
+       ELSE supplier || ': ' || tips || '.' END AS advice
+FROM (SELECT *, concat_ws(', and ',
+    CASE WHEN price > bp THEN 'reduce price by €' || {_f2('price - bp')} || ' to match the lowest winner''s price' END,
+    CASE WHEN quality < bq THEN 'increase quality by ' || {_f2('bq - quality')}
+         || ' to match the highest winner''s quality' END,
+    CASE WHEN delivery_time_days > bd THEN 'reduce delivery time by ' || {_f2('delivery_time_days - bd')}
+         || ' days to match the fastest winner''s delivery' END) AS tips
+  FROM (SELECT w.*, bp, bq, bd FROM negt w JOIN
+        (SELECT tender_id AS tid, min(price) AS bp, max(quality) AS bq, min(delivery_time_days) AS bd
+         FROM negt WHERE winner GROUP BY tender_id) b ON w.tender_id = b.tid WHERE w.winner))""",
+    NEG_CTE)
+
+SQL["tradeoff"] = with_offers(
+    "SELECT offer_id, supplier, price, quality, delivery_time_days AS delivery, winner FROM negt", NEG_CTE)
+
+# ---------------------------------------------------------------- what-if
+WHATIF_SUPPLIER = SUBSET[0]
+TOP_VARS = ["price", "quality", "warranty_months", "experience_years", "lead_time_days"]
+
+
+def _sim_cte(changes, name="sim") -> str:
+    cols = []
+    for v in VARIABLES:
+        if v in changes:
+            cols.append(f"CASE WHEN supplier = '{WHATIF_SUPPLIER}' THEN {d(changes[v])} ELSE {v} END AS {v}")
+        else:
+            cols.append(v)
+    return f"{name} AS (SELECT offer_id, tender_id, supplier, {', '.join(cols)} FROM compliant)"
+
+
+def _eps_score_cte(src, top, keys="tender_id", name="wsc") -> str:
+    stats = ", ".join(f"min({v}) OVER (PARTITION BY {keys}) AS _mn_{i}, max({v}) OVER (PARTITION BY {keys}) AS _mx_{i}"
+                      for i, v in enumerate(top))
+    total = " + ".join(f"coalesce(({v} - _mn_{i}) / (_mx_{i} - _mn_{i} + {d(1e-9)}), 0)" for i, v in enumerate(top))
+    return (f"_st_{name} AS (SELECT *, {stats} FROM {src}),\n"
+            f"{name} AS (SELECT *, {total} AS score FROM _st_{name})")
+
+
+RANK_SQL = ("CASE WHEN score IS NULL THEN NULL ELSE rank() OVER (PARTITION BY tender_id ORDER BY score DESC NULLS LAST)"
+            " END")
+CHANGES = {"price": 1000.0, "quality": 100.0}
+
+SQL["whatif"] = with_offers(
+    f"SELECT {KEYS}, round(score, 6) AS score, {RANK_SQL} AS rank FROM wsc",
+    _sim_cte(CHANGES), _eps_score_cte("sim", TOP_VARS))
+
+SQL["whatif_negotiation"] = with_offers(
+    f"""SELECT {KEYS}, round(score, 6) AS score, {RANK_SQL} AS rank FROM (
+  SELECT *, quality / nullif(price * (1 + 0.01 * delivery_time_days), 0) AS score FROM sim)""",
+    _sim_cte(CHANGES))
+
+SQL["whatif_impact"] = with_offers(
+    """SELECT a.offer_id, a.supplier, round(b.score, 6) AS score_before, round(a.score, 6) AS score_after,
+  b.rank AS rank_before, a.rank AS rank_after, round(a.score - b.score, 6) + 0.0 AS score_change,
+  b.rank - a.rank AS rank_change
+FROM aft a JOIN bef b ON a.offer_id = b.offer_id""",
+    _sim_cte(CHANGES), _eps_score_cte("sim", TOP_VARS),
+    f"aft AS (SELECT offer_id, supplier, score, {RANK_SQL} AS rank FROM wsc)",
+    _sim_cte({}, name="sim0"), _eps_score_cte("sim0", TOP_VARS, name="wsc0"),
+    f"bef AS (SELECT offer_id, score, {RANK_SQL} AS rank FROM wsc0)")
+
+
+def _sensitivity_sql(points=3) -> str:
+    bounds = " UNION ALL ".join(f"SELECT '{v}' AS variable, min({v}) AS lo, max({v}) AS hi FROM compliant"
+                                for v in TOP_VARS)
+    grid = (f"grid AS (SELECT b.variable, b.lo + (b.hi - b.lo) * CAST(t.j AS DOUBLE) / {d(points - 1)} AS value "
+            f"FROM ({bounds}) b, range({points}) t(j) WHERE b.lo IS NOT NULL)")
+    hit = f"supplier = '{WHATIF_SUPPLIER}'"
+    cols = ", ".join(f"CASE WHEN {hit} AND g.variable = '{v}' THEN g.value ELSE c.{v} END AS {v}" for v in TOP_VARS)
+    ex = f"ex AS (SELECT c.offer_id, c.tender_id, c.supplier, g.variable, g.value, {cols} FROM compliant c, grid g)"
+    return with_offers(
+        f"""SELECT m.tender_id, m.variable, round(m.value, 6) AS value, round(m.supplier_score, 6) AS supplier_score,
+  1 + sum(CASE WHEN s.score > m.supplier_score THEN 1 ELSE 0 END) AS supplier_rank
+FROM mine m JOIN ssc s ON s.tender_id = m.tender_id AND s.variable = m.variable AND s.value = m.value
+GROUP BY m.tender_id, m.variable, m.value, m.supplier_score""",
+        grid, ex, _eps_score_cte("ex", TOP_VARS, keys="tender_id, variable, value", name="ssc"),
+        f"mine AS (SELECT tender_id, variable, value, max(score) AS supplier_score FROM ssc WHERE {hit} "
+        f"GROUP BY tender_id, variable, value)")
+
+
+SQL["sensitivity"] = _sensitivity_sql()
+
+# ---------------------------------------------------------------- ML (closed form)
+SQL["pca2_two_vars"] = with_offers(
+    """SELECT offer_id, supplier,
+  round(CASE WHEN r >= 0 THEN (z1 + z2) ELSE (z1 - z2) END / sqrt(2), 6) AS pc1,
+  round(CASE WHEN r >= 0 THEN (z1 - z2) ELSE (z1 + z2) END / sqrt(2), 6) AS pc2
+FROM (SELECT offer_id, supplier,
+        (price - avg(price) OVER ()) / coalesce(nullif(stddev_pop(price) OVER (), 0), 1) AS z1,
+        (quality - avg(quality) OVER ()) / coalesce(nullif(stddev_pop(quality) OVER (), 0), 1) AS z2,
+        corr(price, quality) OVER () AS r
+      FROM compliant WHERE price IS NOT NULL AND quality IS NOT NULL)""")
+
+# ---------------------------------------------------------------- sources / sinks
+SQL["offers_csv_roundtrip"] = with_offers(
+    "SELECT offer_id, tender_id, supplier, round(score, 6) AS score FROM scored",
+    norm_ctes("compliant", VARIABLES),
+    f"scored AS (SELECT *, {score_expr(VARIABLES, EQUAL)} AS score FROM normed)")

@@ -19,11 +19,21 @@ def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, Dat
     return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-spread a scan that yields fewer partitions than the cluster has cores
+    (e.g. one large Parquet row group).  A no-op for a normally split source."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, *keys)
+    return df
+
+
 def offers_view(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
     """The offers view (FIXTURES section 3); ``dirty=True`` gives the text variant
     used to exercise numeric coercion (price/quality as text, a ``remarks`` column)."""
     t = load_tables(spark, sf_dir)
-    l = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    l = spread(t["lineitem"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                              "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                              "l_returnflag", "l_linestatus", "l_shipdate")
     o = t["orders"].select("o_orderkey", "o_orderdate", "o_orderpriority")
