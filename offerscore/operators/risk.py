@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from offerscore.functions.exprs import flag
 from offerscore.operators.prepare import quality_column, require
 from offerscore.operators.stats import (attach, distinct_value_ranks, group_stats, is_duplicated,
-                                        pct_rank, percentiles)
+                                        materialize, pct_rank, percentiles)
 
 RISK_COLUMNS = ["lowball_risk", "drip_pricing_risk", "drip_pricing_flag", "signaling_risk",
                 "cover_bid_risk", "decoy_bid_risk", "bid_similarity_risk"]
@@ -49,20 +49,20 @@ def risk_scores(df: DataFrame, by: Sequence[str] | None = None, price: str = "pr
             F.stddev_pop(score).alias("_sstd")]
     if q:
         aggs += [F.min(q).alias("_qmin"), F.max(q).alias("_qmax")]
-    out = attach(df, group_stats(df, by, *aggs), by)
+    stats = group_stats(df, by, *aggs)
 
     price_ranks = distinct_value_ranks(df, by, price)
     score_ranks = distinct_value_ranks(df, by, score)
-    pq = percentiles(df, by, price, {"_p75": 0.75}, ranks=price_ranks)
-    sq = percentiles(df, by, score, {"_smed": 0.5}, ranks=score_ranks)
-    out = attach(out, pq, by)
-    out = attach(out, sq, by)
+    # every per-group scalar in one small table, computed once
+    stats = attach(stats, percentiles(df, by, price, {"_p75": 0.75}, ranks=price_ranks), by)
+    stats = attach(stats, percentiles(df, by, score, {"_smed": 0.5}, ranks=score_ranks), by)
     if q:
-        out = attach(out, percentiles(df, by, q, {"_q25": 0.25}), by)
+        stats = attach(stats, percentiles(df, by, q, {"_q25": 0.25}), by)
+    out = attach(df, materialize(stats), by)
     out = pct_rank(out, by, price, "_prank", ranks=price_ranks)
     out = pct_rank(out, by, score, "_srank", ranks=score_ranks)
-    out = is_duplicated(out, by, F.bround(p, -2), "_pdup")
-    out = is_duplicated(out, by, F.bround(s, 0), "_sdup")
+    out = is_duplicated(out, by, F.bround(p, -2), "_pdup", source=df)
+    out = is_duplicated(out, by, F.bround(s, 0), "_sdup", source=df)
 
     mean = F.col("_pmean")
     out = out.withColumn("lowball_risk", F.when(p < F.lit(lowball_share) * mean,

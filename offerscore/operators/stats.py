@@ -39,6 +39,16 @@ def num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist and compute now.  Later plans then read a cached leaf instead of
+    re-planning (and, under AQE, re-optimising after every stage) one very
+    large tree.  Cached blocks lost with an executor are recomputed from the
+    (deterministic) lineage."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
 def group_stats(df: DataFrame, by: Sequence[str] | None, *aggs: Column) -> DataFrame:
     by = _cols(by)
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
@@ -111,7 +121,7 @@ def distinct_value_ranks(df: DataFrame, by: Sequence[str] | None, col: str,
     v = df.where(c.isNotNull()).groupBy(*by, c.alias(col)).agg(F.count(F.lit(1)).alias("_cnt"))
     v = running(v, by, [c.asc() if ascending else c.desc()], sums={"_cum": F.col("_cnt")}, rn=None)
     n = group_stats(v, by, F.sum("_cnt").alias("_n"))
-    return attach(v, n, by)
+    return materialize(attach(v, n, by))
 
 
 def pct_rank(df: DataFrame, by: Sequence[str] | None, col: str, name: str,
@@ -176,13 +186,18 @@ def zscore(df: DataFrame, by: Sequence[str] | None, col: str, name: str) -> Data
     return out.withColumn(name, F.try_divide(F.col(col) - F.col("_zm"), F.col("_zs"))).drop("_zm", "_zs")
 
 
-def is_duplicated(df: DataFrame, by: Sequence[str] | None, col: Column | str, name: str) -> DataFrame:
-    """True if another row of the group has the same value (missing equals missing)."""
+def is_duplicated(df: DataFrame, by: Sequence[str] | None, col: Column | str, name: str,
+                  source: DataFrame | None = None) -> DataFrame:
+    """True if another row of the group has the same value (missing equals missing).
+
+    Counts per (group, value) are an aggregate (pre-aggregated per map task),
+    taken from ``source`` when given (the rows before other columns were joined on).
+    """
     by = _cols(by)
     c = F.col(col) if isinstance(col, str) else col
-    keyed = df.withColumn("_dupkey", c)
-    cnt = keyed.groupBy(*by, "_dupkey").agg(F.count(F.lit(1)).alias("_dupn"))
-    out = attach(keyed, cnt, [*by, "_dupkey"])
+    src = (source if source is not None else df).withColumn("_dupkey", c)
+    cnt = materialize(src.groupBy(*by, "_dupkey").agg(F.count(F.lit(1)).alias("_dupn")))
+    out = attach(df.withColumn("_dupkey", c), cnt, [*by, "_dupkey"])
     return out.withColumn(name, F.col("_dupn") > 1).drop("_dupkey", "_dupn")
 
 

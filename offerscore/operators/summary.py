@@ -20,12 +20,22 @@ def _by(by):
     return list(by or [])
 
 
-def price_summary(df: DataFrame, by: Sequence[str] | None = None, col: str = "price") -> DataFrame:
+def mean_of(col: str, money_scale: int | None = None):
+    """``avg(col)``; with ``money_scale`` the mean of a money column is taken in
+    decimal (exact sum, HALF_UP at ``money_scale + 4`` places), so it does not
+    depend on the order in which partitions are summed."""
+    if money_scale is None:
+        return F.avg(col)
+    return F.avg(F.col(col).cast(f"decimal(38,{money_scale})")).cast("double")
+
+
+def price_summary(df: DataFrame, by: Sequence[str] | None = None, col: str = "price",
+                  money_scale: int | None = None) -> DataFrame:
     """A1: min, max, mean, exact median and sample standard deviation."""
     by = _by(by)
     require(df, [col], "price_summary")
     base = group_stats(df, by, F.min(col).alias(f"{col}_min"), F.max(col).alias(f"{col}_max"),
-                       F.avg(col).alias(f"{col}_mean"), F.stddev_samp(col).alias(f"{col}_std"))
+                       mean_of(col, money_scale).alias(f"{col}_mean"), F.stddev_samp(col).alias(f"{col}_std"))
     med = percentiles(df, by, col, {f"{col}_median": 0.5})
     return attach(base, med, by) if by else base.crossJoin(med)
 
@@ -95,32 +105,42 @@ def compliance_by_supplier(df: DataFrame, by: Sequence[str] | None = None) -> Da
               .groupBy(*_by(by), "supplier", "compliance").agg(F.count(F.lit(1)).alias("count")))
 
 
-def correlation(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
+def correlation(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None = None,
+                pairs_per_pass: int = 16) -> DataFrame:
     """Pairwise-complete Pearson correlation of every pair, long format.
 
-    ``cov_pop / (std_pop(x | y present) * std_pop(y | x present))`` in one
-    aggregate; a constant column gives NULL instead of a divide-by-zero.
+    ``cov_pop / (std_pop(x | y present) * std_pop(y | x present))``; a
+    constant column gives NULL instead of a divide-by-zero.  The d(d+1)/2
+    pair formulas are split into aggregates of at most ``pairs_per_pass``
+    pairs: one huge aggregate (hundreds of buffer fields) falls out of
+    whole-stage codegen and runs several times slower than a few compiled ones.
     """
-    by = _by(by)
+    by = list(by or [])
     cols = list(cols)
-    aggs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            x, y = F.col(a), F.col(b)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    chunks = [pairs[k:k + pairs_per_pass] for k in range(0, len(pairs), pairs_per_pass)]
+    parts = []
+    for chunk in chunks:
+        aggs = []
+        for i, j in chunk:
+            x, y = F.col(cols[i]), F.col(cols[j])
             both = x.isNotNull() & y.isNotNull()
             sx = F.stddev_pop(F.when(both, x))
             sy = F.stddev_pop(F.when(both, y))
             aggs.append(F.try_divide(F.covar_pop(x, y), sx * sy).alias(f"_c_{i}_{j}"))
-    s = group_stats(df, by, *aggs)
-    pairs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            key = f"_c_{min(i, j)}_{max(i, j)}"
-            pairs.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                                  F.col(key).alias("corr")))
-    return s.select(*by, F.explode(F.array(*pairs)).alias("_p")).select(*by, "_p.*")
+        s = group_stats(df, by, *aggs)
+        rows = []
+        for i, j in chunk:
+            rows.append(F.struct(F.lit(cols[i]).alias("var_a"), F.lit(cols[j]).alias("var_b"),
+                                 F.col(f"_c_{i}_{j}").alias("corr")))
+            if i != j:
+                rows.append(F.struct(F.lit(cols[j]).alias("var_a"), F.lit(cols[i]).alias("var_b"),
+                                     F.col(f"_c_{i}_{j}").alias("corr")))
+        parts.append(s.select(*by, F.explode(F.array(*rows)).alias("_p")).select(*by, "_p.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def pareto(df: DataFrame, by: Sequence[str] | None = None, col: str = "price") -> DataFrame:
@@ -152,10 +172,11 @@ def box_stats(df: DataFrame, by: Sequence[str] | None = None, col: str = "price"
 
 
 def histogram(df: DataFrame, col: str = "price", bins: int = 20,
-              by: Sequence[str] | None = None) -> DataFrame:
+              by: Sequence[str] | None = None, money_scale: int | None = None) -> DataFrame:
     """Equal-width bins between the group's min and max, plus the mean."""
     by = _by(by)
-    s = group_stats(df, by, F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.avg(col).alias("mean"))
+    s = group_stats(df, by, F.min(col).alias("_lo"), F.max(col).alias("_hi"),
+                    mean_of(col, money_scale).alias("mean"))
     x = attach(df.where(F.col(col).isNotNull()), s, by)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(

@@ -203,7 +203,7 @@ def _summary():
 
 @query("price_summary")
 def price_summary(spark, sf):
-    out = _summary().price_summary(compliant(spark, sf), by=BY)
+    out = _summary().price_summary(compliant(spark, sf), by=BY, money_scale=2)
     return out.select("tender_id", "price_min", "price_max", r6(F.col("price_mean")).alias("price_mean"),
                       r6(F.col("price_median")).alias("price_median"),
                       r6(F.col("price_std")).alias("price_std"))
@@ -267,7 +267,7 @@ def box_stats(spark, sf):
 
 @query("price_histogram")
 def price_histogram(spark, sf):
-    out = _summary().histogram(compliant(spark, sf), "price", bins=10, by=BY)
+    out = _summary().histogram(compliant(spark, sf), "price", bins=10, by=BY, money_scale=2)
     return out.select("tender_id", "bin", "count", r6(F.col("mean")).alias("mean"),
                       r6(F.col("bin_low")).alias("bin_low"), r6(F.col("bin_high")).alias("bin_high"))
 

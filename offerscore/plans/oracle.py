@@ -67,6 +67,13 @@ def norm_ctes(src: str, variables, minimize=("price",), by="tender_id", name="no
             f"{name} AS (SELECT {others}, {', '.join(exprs)} FROM _st_{name})")
 
 
+def money_mean(col: str) -> str:
+    """Exact mean of a cents column, HALF_UP at 6 decimals, as a double."""
+    cents = f"sum(CAST(round({col} * 100) AS HUGEINT))"
+    n = f"count({col})"
+    return f"CAST(({cents} * 20000 + {n}) // nullif(2 * {n}, 0) AS DOUBLE) / 1000000.0"
+
+
 def score_expr(variables, weights) -> str:
     return " + ".join(f"{v} * {d(weights[v])}" for v in variables)
 
@@ -190,7 +197,7 @@ SQL["supplier_row"] = with_offers(
 
 # ---------------------------------------------------------------- summaries
 SQL["price_summary"] = with_offers(
-    """SELECT tender_id, min(price) AS price_min, max(price) AS price_max, round(avg(price), 6) AS price_mean,
+    f"""SELECT tender_id, min(price) AS price_min, max(price) AS price_max, {money_mean('price')} AS price_mean,
   round(quantile_cont(price, 0.5), 6) AS price_median, round(stddev_samp(price), 6) AS price_std
 FROM compliant GROUP BY tender_id""")
 
@@ -264,7 +271,8 @@ FROM (SELECT c.tender_id, lo, hi, mean,
         CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((price - lo) / (hi - lo) * 10) + 1, 10) END AS BIGINT) AS bin
       FROM compliant c JOIN s ON c.tender_id = s.tender_id WHERE price IS NOT NULL)
 GROUP BY tender_id, bin""",
-    "s AS (SELECT tender_id, min(price) AS lo, max(price) AS hi, avg(price) AS mean FROM compliant GROUP BY tender_id)")
+    f"s AS (SELECT tender_id, min(price) AS lo, max(price) AS hi, {money_mean('price')} AS mean "
+    "FROM compliant GROUP BY tender_id)")
 
 SQL["supplier_totals"] = with_offers(
     """SELECT tender_id, supplier, round(total_price, 6) AS total_price,
