@@ -99,11 +99,19 @@ def running(df: DataFrame, by: Sequence[str] | None, order: Sequence[Column],
         "_pid", *by,
         F.coalesce(F.sum("_pn").over(prior), F.lit(0)).cast("long").alias("_on"),
         *[F.coalesce(F.sum(f"_ps_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    if by:
-        joined = attach(out, offs, ["_pid", *by], how="inner")
-    else:
-        # at most one row per range partition: bounded, safe to broadcast
-        joined = out.join(F.broadcast(offs), "_pid", "inner")
+    # Slices are contiguous in (by, order): only the first group of a range
+    # partition can have rows in earlier partitions, so at most one row per
+    # partition has a non-zero offset.  That table is bounded by the partition
+    # count and is broadcast; every other row's offset is 0.
+    offs = offs.where(F.col("_on") > 0)
+    ren = {c: f"__k_{c}" for c in ["_pid", *by]}
+    right = offs.select(*[F.col(f"`{c}`").alias(ren[c]) for c in ren],
+                        "_on", *[f"_o_{n}" for n in sums])
+    cond = [F.col(f"`{c}`").eqNullSafe(F.col(ren[c])) for c in ren]
+    joined = out.join(F.broadcast(right), cond, "left").drop(*ren.values())
+    joined = joined.withColumn("_on", F.coalesce(F.col("_on"), F.lit(0)))
+    for n in sums:
+        joined = joined.withColumn(f"_o_{n}", F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
     cols = [F.col(f"`{c}`") for c in df.columns]
     if rn:
         cols.append((F.col("_lrn") + F.col("_on")).alias(rn))
