@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from offerscore.session import track
 from offerscore.operators.stats import percentiles
 
 EULER_GAMMA = 0.5772156649015329
@@ -157,7 +158,7 @@ def anomalies(df: DataFrame, variables: Sequence[str], contamination: float = 0.
                                    for v in variables])
     nodes, psi = fit_forest(base, variables, key, trees, max_samples, seed)
     # read twice (the percentile and the labels): score the rows once
-    scored = score_forest(base, nodes, variables, psi).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = track(score_forest(base, nodes, variables, psi).persist(StorageLevel.MEMORY_AND_DISK))
     cut = percentiles(scored, [], "anomaly_score", {"_cut": 1.0 - contamination})
     out = scored.crossJoin(F.broadcast(cut))
     out = out.withColumn("anomaly", F.when(F.col("anomaly_score") > F.col("_cut"), -1).otherwise(1))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerscore.functions.exprs import flag
+from offerscore.session import track
 from offerscore.operators.prepare import quality_column, require
 from offerscore.operators.stats import (attach, distinct_value_ranks, group_stats, is_duplicated,
                                         materialize, pct_rank, percentiles)
@@ -42,7 +43,7 @@ def risk_scores(df: DataFrame, by: Sequence[str] | None = None, price: str = "pr
     require(df, [price, score], "risk_scores")
     q = quality_column(df)
     # read by a dozen branches (stats, three value-rank tables, duplicates)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = track(df.persist(StorageLevel.MEMORY_AND_DISK))
     p, s = F.col(price), F.col(score)
     aggs = [F.avg(price).alias("_pmean"), F.min(price).alias("_pmin"), F.max(price).alias("_pmax"),
             F.avg(score).alias("_smean"), F.stddev_pop(price).alias("_pstd"),

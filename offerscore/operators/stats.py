@@ -18,6 +18,9 @@ Design rules (apply to every operator in the package):
   numbers rows inside each (range partition, tender) slice, and adds the
   counts/sums of the earlier slices of the same tender, taken from a table
   with at most ``#tenders + #partitions`` rows.
+* Frames persisted here are registered with ``session.track`` so a caller
+  can release them (``session.release``) once results are consumed;
+  correctness never depends on a cache being present.
 * Ranks and percentiles work on the distinct values per tender (an
   aggregate), so ties collapse before anything is ordered.
 """
@@ -30,6 +33,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerscore.session import ensure_checkpoint_dir, track
+
 
 def _cols(by: Sequence[str] | None) -> list[str]:
     return list(by or [])
@@ -44,7 +49,7 @@ def materialize(df: DataFrame) -> DataFrame:
     re-planning (and, under AQE, re-optimising after every stage) one very
     large tree.  Cached blocks lost with an executor are recomputed from the
     (deterministic) lineage."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = track(df.persist(StorageLevel.MEMORY_AND_DISK))
     df.count()
     return df
 
@@ -78,12 +83,14 @@ def running(df: DataFrame, by: Sequence[str] | None, order: Sequence[Column],
     p = num_partitions(df)
     sort_keys = [F.col(f"`{c}`").asc_nulls_first() for c in by] + list(order)
     # The frame is read by two consumers (local numbering and the per-slice
-    # totals); persisting it makes both read the one range exchange, whose
-    # bounds are fixed once, so a row's partition id agrees between them even
-    # when a lost block is recomputed.  The explicit partition count keeps AQE
-    # from coalescing this exchange.
+    # totals), and both must see the same partition id for a row.  A range
+    # exchange re-run from scratch may sample different bounds, so the frame is
+    # checkpointed (written under spark.checkpoint.dir, lineage cut): both
+    # consumers read the same files, whatever happens to caches or executors.
+    # The explicit partition count keeps AQE from coalescing the exchange.
+    ensure_checkpoint_dir(df.sparkSession)
     keyed = (df.repartitionByRange(p, *sort_keys).withColumn("_pid", F.spark_partition_id())
-             .persist(StorageLevel.MEMORY_AND_DISK))
+             .checkpoint(eager=True))
 
     local = Window.partitionBy("_pid", *by).orderBy(*order)
     frame = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)

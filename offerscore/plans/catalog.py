@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from offerscore.functions.exprs import r6
 from offerscore.operators import prepare as P
 from offerscore.operators import scoring as S
+from offerscore.session import track
 from offerscore.sources.view import offers_view
 
 BY = ["tender_id"]
@@ -38,7 +39,7 @@ def query(name: str):
 
 def compliant(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned offers, persisted once: every query reads them from several branches."""
-    return P.compliant_only(offers_view(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    return track(P.compliant_only(offers_view(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _ranked(spark, sf, scenario=None, weights=None, rest_share=0.2):

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from offerscore.session import track
 from offerscore.operators import prepare as P
 from offerscore.operators import scoring as S
 from offerscore.sources.offers import read_offers, write_results
@@ -38,8 +39,8 @@ def rank_pipeline(spark: SparkSession, source: str | DataFrame, scenario: str =
     """Flow 1.  ``weights`` (custom scenario) are rescaled when they do not sum to 1."""
     by = list(by or [])
     original = read_offers(spark, source, fmt) if isinstance(source, str) else source
-    cleaned = P.coerce_numeric(P.compliant_only(original), keep=keys) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    cleaned = track(P.coerce_numeric(P.compliant_only(original), keep=keys)
+                    .persist(StorageLevel.MEMORY_AND_DISK))
     variables = P.variable_list(cleaned, exclude=[*keys, *by])
     if not variables:
         raise ValueError("no numeric variables to score")

@@ -64,3 +64,22 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/offerscore-{name}-{uuid.uuid4().hex[:12]}"
+
+
+_TRACKED: list = []
+
+
+def track(df):
+    """Remember a DataFrame this library persisted, for ``release``."""
+    _TRACKED.append(df)
+    return df
+
+
+def release() -> None:
+    """Unpersist every DataFrame the library persisted so far.  Safe at any
+    time: results never rely on a cache, they only recompute."""
+    while _TRACKED:
+        try:
+            _TRACKED.pop().unpersist()
+        except Exception:  # noqa: BLE001 - session may already be gone
+            pass
