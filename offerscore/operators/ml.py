@@ -87,12 +87,13 @@ def rf_importance(df: DataFrame, target: str, features: Sequence[str], trees: in
     feats = [f for f in dict.fromkeys(features) if f != target]
     kept, dropped = complete_rows(df, [*feats, target])
     vec = VectorAssembler(inputCols=feats, outputCol="_features").transform(kept)
-    # bigger node batches per pass over the data; node ids cached (and
-    # checkpointed every 10 levels to the shared checkpoint dir) instead of
-    # re-deriving each row's node from the root on every level
+    # node ids cached (and checkpointed every 10 levels to the shared
+    # checkpoint dir) instead of re-deriving each row's node from the root on
+    # every level; node batches keep MLlib's default memory budget (256 MB),
+    # which fits a default-sized heap
     rf = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees,
                                featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
-                               maxMemoryInMB=1024, cacheNodeIds=True)
+                               cacheNodeIds=True)
     model = rf.fit(vec)
     imp = model.featureImportances.toArray().tolist()
     order = sorted(range(len(feats)), key=lambda i: (-imp[i], i))
