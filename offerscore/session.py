@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files of frames that are garbage collected are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
