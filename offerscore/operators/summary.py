@@ -106,7 +106,7 @@ def compliance_by_supplier(df: DataFrame, by: Sequence[str] | None = None) -> Da
 
 
 def correlation(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None = None,
-                pairs_per_pass: int = 16) -> DataFrame:
+                pairs_per_pass: int = 8) -> DataFrame:
     """Pairwise-complete Pearson correlation of every pair, long format.
 
     ``cov_pop / (std_pop(x | y present) * std_pop(y | x present))``; a
