@@ -21,6 +21,7 @@ seed 42).  Bit-for-bit parity with any particular library is not a goal.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -151,8 +152,12 @@ def score_forest(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], ps
 
 def anomalies(df: DataFrame, variables: Sequence[str], contamination: float = 0.1,
               key: str = "offer_id", keep: Sequence[str] = ("supplier",), trees: int = 100,
-              max_samples: int = 256, seed: int = 42) -> DataFrame:
-    """M1: Isolation Forest on the variables (missing as 0); label -1 outlier, 1 normal."""
+              max_samples: int = 256, seed: int = 42, by: Sequence[str] | None = None) -> DataFrame:
+    """M1: Isolation Forest on the variables (missing as 0); label -1 outlier, 1 normal.
+
+    ``by``: one forest per group (``anomalies_by``)."""
+    if by:
+        return anomalies_by(df, variables, by, contamination, key, keep, trees, max_samples, seed)
     variables = list(variables)
     base = df.select(key, *keep, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v)
                                    for v in variables])
@@ -164,3 +169,105 @@ def anomalies(df: DataFrame, variables: Sequence[str], contamination: float = 0.
     out = out.withColumn("anomaly", F.when(F.col("anomaly_score") > F.col("_cut"), -1).otherwise(1))
     return out.withColumn("anomaly_label", F.when(F.col("anomaly") == -1, "Outlier").otherwise("Normal")) \
               .drop("_cut")
+
+
+# ---------------------------------------------------------------- per-tender forests
+def _small_forest_paths(x: np.ndarray, trees: int, rng: np.random.Generator) -> np.ndarray:
+    """Mean path length of every row over ``trees`` isolation trees grown on all
+    rows (a group of at most ``max_samples`` rows), vectorised over trees."""
+    n, nf = x.shape
+    max_depth = int(math.ceil(math.log2(max(n, 2))))
+    node = np.zeros((trees, n), dtype=np.int64)
+    tree_of = np.repeat(np.arange(trees), n).reshape(trees, n)
+    row_of = np.tile(np.arange(n), (trees, 1))
+    path = np.zeros((trees, n))
+    active = np.ones((trees, n), dtype=bool)
+    for depth in range(max_depth + 1):
+        if not active.any():
+            break
+        key = tree_of[active] * (1 << (max_depth + 1)) + node[active]
+        rows = row_of[active]
+        order = np.argsort(key, kind="stable")
+        key_s, rows_s = key[order], rows[order]
+        starts = np.flatnonzero(np.r_[True, key_s[1:] != key_s[:-1]])
+        counts = np.diff(np.r_[starts, len(key_s)])
+        xs = x[rows_s]
+        lo = np.minimum.reduceat(xs, starts, axis=0)
+        hi = np.maximum.reduceat(xs, starts, axis=0)
+        usable = hi > lo
+        leaf = (counts <= 1) | ~usable.any(axis=1) | (depth == max_depth)
+        group = np.repeat(np.arange(len(starts)), counts)
+        # rows whose node is a leaf: path = depth + c(size)
+        ends = np.zeros_like(key_s, dtype=bool)
+        ends[:] = leaf[group]
+        t_idx = key_s // (1 << (max_depth + 1))
+        done_t, done_r = t_idx[ends], rows_s[ends]
+        path[done_t, done_r] = depth + avg_path(counts[group][ends])
+        active[done_t, done_r] = False
+        # split the others: random usable feature, uniform threshold, x <= thr goes left
+        pick = rng.random((len(starts), nf))
+        pick[~usable] = -1.0
+        feat = pick.argmax(axis=1)
+        thr = lo[np.arange(len(starts)), feat] + rng.random(len(starts)) * (
+            hi[np.arange(len(starts)), feat] - lo[np.arange(len(starts)), feat])
+        go = ~ends
+        right = x[rows_s[go], feat[group[go]]] > thr[group[go]]
+        node[t_idx[go], rows_s[go]] = node[t_idx[go], rows_s[go]] * 2 + right.astype(np.int64)
+    return path.mean(axis=0)
+
+
+def anomalies_by(df: DataFrame, variables: Sequence[str], by: Sequence[str], contamination: float = 0.1,
+                 key: str = "offer_id", keep: Sequence[str] = ("supplier",), trees: int = 100,
+                 max_samples: int = 256, seed: int = 42) -> DataFrame:
+    """M1 per group: one forest per tender.
+
+    Tenders with at most ``max_samples`` offers (every tree then sees all of
+    them) are grown and scored in one vectorised pass per tender inside
+    ``groupBy(by).applyInPandas`` - groups bounded by ``max_samples`` rows.
+    Larger tenders go through the distributed path of ``anomalies`` one tender
+    at a time (hash sampling, per-tree growth, batch scoring), so no task ever
+    holds a large tender.  The contamination cut is the skew-safe percentile
+    per tender.
+    """
+    from offerscore.operators.stats import attach, group_stats
+
+    by = list(by)
+    variables = list(variables)
+    base = df.select(*by, key, *keep, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v)
+                                        for v in variables])
+    sizes = group_stats(base, by, F.count(F.lit(1)).alias("_n"))
+    sized = attach(base, sizes, by)
+    small = sized.where(F.col("_n") <= max_samples).drop("_n")
+    out_schema = StructType(small.schema.fields + [StructField("anomaly_score", DoubleType())])
+
+    def score_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key).reset_index(drop=True)
+        n = len(pdf)
+        if n <= 1:
+            pdf["anomaly_score"] = 0.5
+            return pdf
+        gkey = zlib.crc32("\x1f".join(str(pdf[c].iloc[0]) for c in by).encode())
+        rng = np.random.default_rng([seed, gkey])
+        paths = _small_forest_paths(pdf[variables].to_numpy(dtype=float), trees, rng)
+        pdf["anomaly_score"] = np.power(2.0, -paths / float(avg_path([n])[0]))
+        return pdf
+
+    scored = small.groupBy(*by).applyInPandas(score_group, out_schema)
+    big_keys = sizes.where(F.col("_n") > max_samples).select(*by).collect()
+    parts = [scored]
+    for row in big_keys:  # one distributed forest per large tender
+        cond = F.lit(True)
+        for c in by:
+            cond = cond & (F.col(c).eqNullSafe(F.lit(row[c])))
+        one = base.where(cond)
+        nodes, psi = fit_forest(one.drop(*by), variables, key, trees, max_samples, seed)
+        parts.append(score_forest(one, nodes, variables, psi))
+    allscored = parts[0]
+    for p in parts[1:]:
+        allscored = allscored.unionByName(p)
+    allscored = track(allscored.persist(StorageLevel.MEMORY_AND_DISK))
+    cut = percentiles(allscored, by, "anomaly_score", {"_cut": 1.0 - contamination})
+    out = attach(allscored, cut, by)
+    out = out.withColumn("anomaly", F.when(F.col("anomaly_score") > F.col("_cut"), -1).otherwise(1))
+    return out.withColumn("anomaly_label", F.when(F.col("anomaly") == -1, "Outlier").otherwise("Normal")) \
+              .drop("_cut")

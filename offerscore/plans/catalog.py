@@ -503,6 +503,16 @@ def anomalies(spark, sf):
                       "anomaly", "anomaly_label")
 
 
+@query("anomalies_by_tender")
+def anomalies_by_tender(spark, sf):
+    """One Isolation Forest per tender (rows-only check)."""
+    from offerscore.operators.iforest import anomalies as an
+    c = compliant(spark, sf)
+    out = an(c, P.variable_list(c), by=BY)
+    return out.select("offer_id", "tender_id", "supplier",
+                      r6(F.col("anomaly_score")).alias("anomaly_score"), "anomaly", "anomaly_label")
+
+
 # ---------------------------------------------------------------- sources / sinks
 @query("offers_csv_roundtrip")
 def offers_csv_roundtrip(spark, sf):

@@ -188,3 +188,26 @@ def test_pipeline_and_stream(spark, sample, tmp_path):
     assert out.count() == 10
     top = {row["tender_id"]: row["offer_id"] for row in out.where("rank = 1").collect()}
     assert top == {"t1": "G", "t2": "G"}
+
+
+def test_isolation_forest_per_tender(spark):
+    from offerscore.operators.iforest import anomalies
+    rng = np.random.default_rng(2)
+    frames = []
+    for t, n in [("t1", 60), ("t2", 300), ("t3", 1)]:
+        pdf = pd.DataFrame({"offer_id": [f"{t}-{i:04d}" for i in range(n)], "tender_id": t, "supplier": "s",
+                            "price": rng.normal(1000, 20, n), "quality": rng.normal(80, 2, n)})
+        if n > 1:
+            pdf.loc[0, ["price", "quality"]] = [3000.0, 20.0]
+        frames.append(pdf)
+    df = spark.createDataFrame(pd.concat(frames, ignore_index=True))
+    out = anomalies(df, ["price", "quality"], by=["tender_id"]).toPandas().set_index("offer_id")
+    assert len(out) == 361
+    assert out.loc["t1-0000", "anomaly"] == -1      # small tender: vectorised path
+    assert out.loc["t2-0000", "anomaly"] == -1      # large tender: distributed path
+    assert out.loc["t3-0000", "anomaly"] == 1
+    for t in ("t1", "t2"):
+        share = (out[out["tender_id"] == t]["anomaly"] == -1).mean()
+        assert 0.05 <= share <= 0.1
+    again = anomalies(df, ["price", "quality"], by=["tender_id"]).toPandas().set_index("offer_id")
+    assert (again.loc[out.index, "anomaly_score"] == out["anomaly_score"]).all()
