@@ -115,15 +115,37 @@ def fit_forest(df: DataFrame, features: Sequence[str], key: str = "offer_id", tr
     return nodes, psi
 
 
+def _forest_arrays(nodes: pd.DataFrame) -> list:
+    forest = []
+    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
+        forest.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
+                       g["right"].to_numpy(), g["leaf"].to_numpy(), avg_path(g["size"].to_numpy())))
+    return forest
+
+
+def _forest_paths(x: np.ndarray, forest: list) -> np.ndarray:
+    """Mean path length of each row of ``x`` over the trees (vectorised walk)."""
+    total = np.zeros(len(x))
+    rows = np.arange(len(x))
+    for feat, thr, left, right, leaf, adj in forest:
+        node = np.zeros(len(x), dtype=np.int64)
+        depth = np.zeros(len(x))
+        active = ~leaf[node]
+        while active.any():
+            nd = node[active]
+            goes_left = x[rows[active], feat[nd]] <= thr[nd]
+            node[active] = np.where(goes_left, left[nd], right[nd])
+            depth[active] += 1.0
+            active = ~leaf[node]
+        total += depth + adj[node]
+    return total / len(forest)
+
+
 def score_forest(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], psi: int,
                  name: str = "anomaly_score") -> DataFrame:
     """Score every row: ``2 ** (-mean path length / c(psi))`` (vectorised per batch)."""
     features = list(features)
-    forest = []
-    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        forest.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
-                       g["right"].to_numpy(), g["leaf"].to_numpy(),
-                       g["depth_adj"].to_numpy() if "depth_adj" in g else avg_path(g["size"].to_numpy())))
+    forest = _forest_arrays(nodes)
     norm = float(avg_path([psi])[0]) or 1.0
     fidx = {f: i for i, f in enumerate(features)}
     out_schema = StructType(df.schema.fields + [StructField(name, DoubleType())])
@@ -131,20 +153,7 @@ def score_forest(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], ps
     def run(batches):
         for pdf in batches:
             x = pdf[list(fidx)].to_numpy(dtype=float)
-            total = np.zeros(len(pdf))
-            rows = np.arange(len(pdf))
-            for feat, thr, left, right, leaf, adj in forest:
-                node = np.zeros(len(pdf), dtype=np.int64)
-                depth = np.zeros(len(pdf))
-                active = ~leaf[node]
-                while active.any():
-                    nd = node[active]
-                    goes_left = x[rows[active], feat[nd]] <= thr[nd]
-                    node[active] = np.where(goes_left, left[nd], right[nd])
-                    depth[active] += 1.0
-                    active = ~leaf[node]
-                total += depth + adj[node]
-            pdf[name] = np.power(2.0, -(total / len(forest)) / norm)
+            pdf[name] = np.power(2.0, -_forest_paths(x, forest) / norm)
             yield pdf
 
     return df.mapInPandas(run, out_schema)
@@ -224,10 +233,10 @@ def anomalies_by(df: DataFrame, variables: Sequence[str], by: Sequence[str], con
     Tenders with at most ``max_samples`` offers (every tree then sees all of
     them) are grown and scored in one vectorised pass per tender inside
     ``groupBy(by).applyInPandas`` - groups bounded by ``max_samples`` rows.
-    Larger tenders go through the distributed path of ``anomalies`` one tender
-    at a time (hash sampling, per-tree growth, batch scoring), so no task ever
-    holds a large tender.  The contamination cut is the skew-safe percentile
-    per tender.
+    Larger tenders are all grown in one job from hash samples of at most
+    ``max_samples`` rows per (tender, tree) and scored in broadcast-budgeted
+    batches (``_large_tenders``), so no task ever holds a large tender.  The
+    contamination cut is the skew-safe percentile per tender.
     """
     from offerscore.operators.stats import attach, group_stats
 
@@ -253,15 +262,8 @@ def anomalies_by(df: DataFrame, variables: Sequence[str], by: Sequence[str], con
         return pdf
 
     scored = small.groupBy(*by).applyInPandas(score_group, out_schema)
-    big_keys = sizes.where(F.col("_n") > max_samples).select(*by).collect()
-    parts = [scored]
-    for row in big_keys:  # one distributed forest per large tender
-        cond = F.lit(True)
-        for c in by:
-            cond = cond & (F.col(c).eqNullSafe(F.lit(row[c])))
-        one = base.where(cond)
-        nodes, psi = fit_forest(one.drop(*by), variables, key, trees, max_samples, seed)
-        parts.append(score_forest(one, nodes, variables, psi))
+    parts = [scored, _large_tenders(sized.where(F.col("_n") > max_samples), by, variables, key, trees,
+                                    max_samples, seed, out_schema)]
     allscored = parts[0]
     for p in parts[1:]:
         allscored = allscored.unionByName(p)
@@ -271,3 +273,91 @@ def anomalies_by(df: DataFrame, variables: Sequence[str], by: Sequence[str], con
     out = out.withColumn("anomaly", F.when(F.col("anomaly_score") > F.col("_cut"), -1).otherwise(1))
     return out.withColumn("anomaly_label", F.when(F.col("anomaly") == -1, "Outlier").otherwise("Normal")) \
               .drop("_cut")
+
+
+def _group_seed(values) -> int:
+    return zlib.crc32("\x1f".join(str(v) for v in values).encode())
+
+
+def _large_tenders(big: DataFrame, by: list[str], variables: list[str], key: str, trees: int,
+                   psi: int, seed: int, out_schema: StructType,
+                   batch_nodes: int = 2_000_000) -> DataFrame:
+    """Forests for tenders above ``psi`` offers, all grown in one job.
+
+    Sampling per (tender, tree) is content-hashed; trees grow in
+    ``groupBy(by + [tree]).applyInPandas`` from at most ``psi`` rows.  Scoring
+    runs in batches of tenders whose node tables together stay under
+    ``batch_nodes`` rows (the broadcast budget); each batch scores its
+    tenders' rows with ``mapInPandas``, so no task holds a whole tender.
+    """
+    from offerscore.operators.stats import materialize
+
+    max_depth = int(math.ceil(math.log2(max(psi, 2))))
+    frac = F.least(F.lit(1.0), F.lit(4.0 * psi) / F.col("_n"))
+    scale = float(2 ** 62)
+
+    def u(t):
+        return F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(2 ** 62)).cast("double") / scale
+
+    tree_ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < frac)
+    cand = big.select(*by, key, *variables, F.explode(tree_ids).alias("tree")) \
+        .withColumn("_u", u(F.col("tree")))
+    w = Window.partitionBy(*by, "tree").orderBy("_u", key)
+    sample = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
+
+    by_fields = [f for f in big.schema.fields if f.name in by]
+    node_schema = StructType(by_fields + list(StructType.fromDDL(NODE_SCHEMA).fields))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = int(pdf["tree"].iloc[0])
+        gvals = [pdf[c].iloc[0] for c in by]
+        x = pdf.sort_values(key)[variables].to_numpy(dtype=float)
+        nodes = _grow(x, np.random.default_rng([seed, _group_seed(gvals), t]), max_depth)
+        out = pd.DataFrame({
+            "tree": t, "node": np.arange(len(nodes)),
+            "feature": [nd[0] for nd in nodes], "threshold": [nd[1] for nd in nodes],
+            "left": [nd[2] for nd in nodes], "right": [nd[3] for nd in nodes],
+            "size": [nd[4] for nd in nodes], "leaf": [nd[5] for nd in nodes]})
+        for c, v in zip(by, gvals):
+            out.insert(0, c, v)
+        return out[[f.name for f in node_schema.fields]]
+
+    nodes = materialize(sample.groupBy(*by, "tree").applyInPandas(grow, node_schema))
+    sizes = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).collect()  # one row per large tender
+    batches, cur, used = [], [], 0
+    for row in sizes:
+        if cur and used + row["_k"] > batch_nodes:
+            batches.append(cur)
+            cur, used = [], 0
+        cur.append(tuple(row[c] for c in by))
+        used += row["_k"]
+    if cur:
+        batches.append(cur)
+
+    spark = big.sparkSession
+    key_schema = StructType(by_fields)
+    norm = float(avg_path([psi])[0])
+    rows = big.drop("_n")
+    parts = []
+    for batch in batches:
+        keys = spark.createDataFrame(batch, key_schema)
+        pdf_nodes = nodes.join(F.broadcast(keys), by, "left_semi").toPandas()
+        forests = {k: _forest_arrays(g.drop(columns=by))
+                   for k, g in pdf_nodes.groupby(by if len(by) > 1 else by[0])}
+
+        def run(batches_iter, forests=forests):
+            for pdf in batches_iter:
+                pdf = pdf.copy()
+                pdf["anomaly_score"] = np.nan
+                for k, idx in pdf.groupby(by if len(by) > 1 else by[0]).groups.items():
+                    x = pdf.loc[idx, variables].to_numpy(dtype=float)
+                    pdf.loc[idx, "anomaly_score"] = np.power(2.0, -_forest_paths(x, forests[k]) / norm)
+                yield pdf
+
+        parts.append(rows.join(F.broadcast(keys), by, "left_semi").mapInPandas(run, out_schema))
+    if not parts:
+        return spark.createDataFrame([], out_schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
