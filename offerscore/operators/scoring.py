@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerscore.operators.stats import attach, group_stats, running, top_k
+from offerscore.operators.stats import attach, group_stats, running
 
 SCENARIOS = ("equal", "price-focused", "quality-focused")
 
@@ -117,9 +117,16 @@ def rank_offers(df: DataFrame, by: Sequence[str] | None = None, score: str = "sc
 
 def best_offer(df: DataFrame, by: Sequence[str] | None = None, score: str = "score",
                tiebreak: str = "offer_id") -> DataFrame:
-    """The first offer per group after sorting by score (skew-safe top-1)."""
-    best = top_k(df, by, score_order(score, tiebreak), 1, rn="_best_rn")
-    return best.drop("_best_rn").withColumn("highlight", F.lit("Best"))
+    """The first offer per group after sorting by score (missing last, ties
+    on ``tiebreak``).  One ``min_by`` aggregate over the key
+    ``(score is null, -score, tiebreak)``: partial aggregation keeps one
+    candidate per group and map task, so a hot tender costs no sort."""
+    by = list(by or [])
+    other = [c for c in df.columns if c not in by]
+    pick = F.min_by(F.struct(*[F.col(f"`{c}`") for c in other]),
+                    F.struct(F.col(score).isNull(), -F.col(score), F.col(tiebreak)))
+    best = (df.groupBy(*by).agg(pick.alias("_best")) if by else df.agg(pick.alias("_best")))
+    return best.select(*by, "_best.*").withColumn("highlight", F.lit("Best"))
 
 
 def flag_best(ranked: DataFrame, rank_col: str = "rank") -> DataFrame:

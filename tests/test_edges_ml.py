@@ -211,3 +211,13 @@ def test_isolation_forest_per_tender(spark):
         assert 0.05 <= share <= 0.1
     again = anomalies(df, ["price", "quality"], by=["tender_id"]).toPandas().set_index("offer_id")
     assert (again.loc[out.index, "anomaly_score"] == out["anomaly_score"]).all()
+
+
+def test_best_offer_min_by(spark, cleaned):
+    variables = P.variable_list(cleaned)
+    scored = S.score_offers(cleaned, variables, S.scenario_weights(variables, "equal"))
+    assert S.best_offer(scored).first()["offer_id"] == "G"
+    df = spark.createDataFrame([("t", "a", None), ("t", "b", 0.5), ("t", "c", 0.5), ("u", "d", None)],
+                               "tender_id string, offer_id string, score double")
+    got = {r["tender_id"]: r["offer_id"] for r in S.best_offer(df, by=["tender_id"]).collect()}
+    assert got == {"t": "b", "u": "d"}
