@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from offerscore.functions.exprs import flag
 from offerscore.session import track
 from offerscore.operators.prepare import quality_column, require
-from offerscore.operators.stats import (attach, distinct_value_ranks, group_stats, is_duplicated,
-                                        materialize, pct_rank, percentiles)
+from offerscore.operators.stats import (attach, group_stats, is_duplicated, materialize,
+                                        multi_value_ranks, pct_rank, percentiles)
 
 RISK_COLUMNS = ["lowball_risk", "drip_pricing_risk", "drip_pricing_flag", "signaling_risk",
                 "cover_bid_risk", "decoy_bid_risk", "bid_similarity_risk"]
@@ -52,13 +52,14 @@ def risk_scores(df: DataFrame, by: Sequence[str] | None = None, price: str = "pr
         aggs += [F.min(q).alias("_qmin"), F.max(q).alias("_qmax")]
     stats = group_stats(df, by, *aggs)
 
-    price_ranks = distinct_value_ranks(df, by, price)
-    score_ranks = distinct_value_ranks(df, by, score)
+    # value-rank tables of price, score (and quality) from one ordering job
+    ranks = multi_value_ranks(df, by, [price, score, *([q] if q else [])])
+    price_ranks, score_ranks = ranks[price], ranks[score]
     # every per-group scalar in one small table, computed once
     stats = attach(stats, percentiles(df, by, price, {"_p75": 0.75}, ranks=price_ranks), by)
     stats = attach(stats, percentiles(df, by, score, {"_smed": 0.5}, ranks=score_ranks), by)
     if q:
-        stats = attach(stats, percentiles(df, by, q, {"_q25": 0.25}), by)
+        stats = attach(stats, percentiles(df, by, q, {"_q25": 0.25}, ranks=ranks[q]), by)
     out = attach(df, materialize(stats), by)
     out = pct_rank(out, by, price, "_prank", ranks=price_ranks)
     out = pct_rank(out, by, score, "_srank", ranks=score_ranks)

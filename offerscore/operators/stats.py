@@ -139,6 +139,25 @@ def distinct_value_ranks(df: DataFrame, by: Sequence[str] | None, col: str,
     return materialize(attach(v, n, by))
 
 
+def multi_value_ranks(df: DataFrame, by: Sequence[str] | None, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """``distinct_value_ranks`` (ascending) for several numeric columns in one
+    ordering job: the distinct values of all columns are stacked as
+    ``(by, column, value)`` and numbered with ``by + [column]`` as the group."""
+    by = _cols(by)
+    stacked = None
+    for c in cols:
+        part = df.select(*by, F.lit(c).alias("_col"), F.col(f"`{c}`").cast("double").alias("_val"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    v = stacked.where(F.col("_val").isNotNull()).groupBy(*by, "_col", "_val") \
+        .agg(F.count(F.lit(1)).alias("_cnt"))
+    keys = [*by, "_col"]
+    v = running(v, keys, [F.col("_val").asc()], sums={"_cum": F.col("_cnt")}, rn=None)
+    n = group_stats(v, keys, F.sum("_cnt").alias("_n"))
+    table = materialize(attach(v, n, keys))
+    return {c: table.where(F.col("_col") == F.lit(c)).drop("_col").withColumnRenamed("_val", c)
+            for c in cols}
+
+
 def pct_rank(df: DataFrame, by: Sequence[str] | None, col: str, name: str,
              ranks: DataFrame | None = None) -> DataFrame:
     """Average-tie rank / number of non-missing values; missing stays missing.
