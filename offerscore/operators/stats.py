@@ -135,8 +135,10 @@ def distinct_value_ranks(df: DataFrame, by: Sequence[str] | None, col: str,
     c = F.col(f"`{col}`")
     v = df.where(c.isNotNull()).groupBy(*by, c.alias(col)).agg(F.count(F.lit(1)).alias("_cnt"))
     v = running(v, by, [c.asc() if ascending else c.desc()], sums={"_cum": F.col("_cnt")}, rn=None)
-    n = group_stats(v, by, F.sum("_cnt").alias("_n"))
-    return materialize(attach(v, n, by))
+    # group sizes from the source rows (a partial aggregate), so the ordered
+    # frame above is evaluated once
+    n = group_stats(df, by, F.count(c).alias("_n"))
+    return materialize(attach(v, n, by, how="inner"))
 
 
 def multi_value_ranks(df: DataFrame, by: Sequence[str] | None, cols: Sequence[str]) -> dict[str, DataFrame]:
@@ -152,8 +154,12 @@ def multi_value_ranks(df: DataFrame, by: Sequence[str] | None, cols: Sequence[st
         .agg(F.count(F.lit(1)).alias("_cnt"))
     keys = [*by, "_col"]
     v = running(v, keys, [F.col("_val").asc()], sums={"_cum": F.col("_cnt")}, rn=None)
-    n = group_stats(v, keys, F.sum("_cnt").alias("_n"))
-    table = materialize(attach(v, n, keys))
+    # group sizes from one partial aggregate of the source rows, so the
+    # ordered frame above is evaluated once
+    counts = group_stats(df, by, *[F.count(F.col(f"`{c}`")).alias(c) for c in cols])
+    n = counts.unpivot(by, list(cols), "_col", "_n") if by else \
+        counts.unpivot([], list(cols), "_col", "_n")
+    table = materialize(attach(v, n, keys, how="inner"))
     return {c: table.where(F.col("_col") == F.lit(c)).drop("_col").withColumnRenamed("_val", c)
             for c in cols}
 

@@ -1,7 +1,6 @@
 """Golden values on the reference's 7-row sample (FIXTURES.md section 1)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from offerscore.operators import negotiation as G
 from offerscore.operators import prepare as P
