@@ -90,3 +90,14 @@ def test_no_window_on_tender_alone(skewed):
     # per-slice totals table (at most #tenders + #partitions rows) is windowed by tender
     assert "row_number() windowspecdefinition(_pid" in plan
     assert "row_number() windowspecdefinition(tender_id" not in plan
+
+
+def test_multi_value_ranks_equal_single(spark, skewed):
+    df, _ = skewed
+    df2 = df.withColumn("other", (F.col("price") * 3) % 7)
+    multi = ST.multi_value_ranks(df2, ["tender_id"], ["price", "other"])
+    for c in ("price", "other"):
+        single = ST.distinct_value_ranks(df2, ["tender_id"], c)
+        a = sorted(tuple(r) for r in multi[c].select("tender_id", c, "_cnt", "_cum", "_n").collect())
+        b = sorted(tuple(r) for r in single.select("tender_id", c, "_cnt", "_cum", "_n").collect())
+        assert a == b
