@@ -61,6 +61,25 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def pack_texts(ids: pa.Array, texts: pa.Array) -> bytes:
+    """A chunk payload of documents as compressed Arrow data."""
+    batch = pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+
+
+#: Stands for a missing doc_id: larger than every other.
+NO_ID = np.iinfo(np.int64).max
+
+
+def unpack_texts(payload: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Document ids (``NO_ID`` for null) and texts of a chunk payload."""
+    batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_next_batch()
+    return batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(1)
+
+
 class Store:
     """Tables of one run in a fresh folder below ``spark.checkpoint.dir``.
 

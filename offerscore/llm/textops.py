@@ -154,12 +154,13 @@ def winnow(grams: np.ndarray, ends: np.ndarray, gram: int, window: int) -> tuple
     index_bits = np.uint64((1 << 40) - 1)
     # order by hash (24 bits), then by position: the leftmost of equal grams
     keyed = (grams & ~index_bits) | np.arange(n, dtype=np.uint64)
-    pad = (-n) % window
-    full = np.concatenate([keyed, np.full(pad, np.iinfo(np.uint64).max, dtype=np.uint64)]).reshape(-1, window)
-    left = np.minimum.accumulate(full, axis=1).ravel()
-    right = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
+    # smallest of ``window`` neighbours, by doubling
+    span = 1
+    while 2 * span <= window:
+        keyed = np.minimum(keyed[:-span], keyed[span:])
+        span *= 2
     runs = n - window + 1
-    best = (np.minimum(right[:runs], left[window - 1:window - 1 + runs]) & index_bits).astype(np.int64)
+    best = (np.minimum(keyed[:runs], keyed[window - span:window - span + runs]) & index_bits).astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]])
     inside = np.zeros(runs, dtype=bool)
     for_all = ends - starts >= gram + window - 1
