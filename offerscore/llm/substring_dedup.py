@@ -6,8 +6,8 @@ below the true one, so a window estimated to occur once does occur once and is s
 The second pass exactly groups only the windows estimated repeated.
 
 The merged sketch is all that is broadcast: ``rows * 2**bits`` bits, with ``bits`` chosen
-from the number of windows and bounded by ``max_bits`` (default 2**30 counters in a row,
-128 MB).  Beyond that bound the sketch lets more windows through; the second pass is exact,
+from the number of windows and bounded by ``max_bits`` (default 2**29 counters in a row,
+64 MB).  Beyond that bound the sketch lets more windows through; the second pass is exact,
 so results do not change, only its shuffle grows.
 """
 
@@ -24,16 +24,14 @@ from . import exchange as X, textops as T
 
 ROWS = 2
 _BLOCKS = 64
-_NONE = np.iinfo(np.int64).max
 
 
 def _windows(payload: bytes, size: int):
     """Pieces of a chunk: (document ids, data, word starts, word ends, words before each
     text's end, window starts, window hash, second hash)."""
-    batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_next_batch()
-    ids = batch.column(0).fill_null(_NONE).to_numpy()
-    for a, b in T.slices(batch.column(1), 2 << 20):
-        data, ends = T.buffers(batch.column(1).slice(a, b - a))
+    ids, texts = X.unpack_texts(payload)
+    for a, b in T.slices(texts, 2 << 20):
+        data, ends = T.buffers(texts.slice(a, b - a))
         starts, stops, upto = T.word_spans(data, ends)
         words = T.span_hash(data, starts, stops)
         first = np.concatenate([[0], upto[:-1]])
@@ -46,14 +44,6 @@ def _windows(payload: bytes, size: int):
         yield ids[a:b], data, starts, stops, upto, at, h1, h2, np.repeat(np.arange(b - a), n)
 
 
-def _store_chunk(ids: pa.Array, texts: pa.Array) -> bytes:
-    batch = pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
-
-
 def _coordinate(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     """Counter of each hash in a sketch row."""
     with np.errstate(over="ignore"):
@@ -128,20 +118,21 @@ def _keys(pieces: list, bitmap: np.ndarray, bits: int, n_shards: int):
     return number, a, b, least, X.shard_of(a, n_shards)   # keys are sorted, so shards are too
 
 
-def dedup(docs: DataFrame, size: int = 13, max_bits: int = 30, rows: int = ROWS, sketch_bits: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 13, max_bits: int = 29, rows: int = ROWS,
+          sketch_bits: int | None = None, with_text: bool = True) -> DataFrame:
     """Remove each word covered by a ``size``-word window whose word sequence also starts in
     a document with a smaller ``doc_id``; windows are judged on the input.
 
     ``docs`` needs doc_id and text; other columns are ignored.  Returns doc_id, n_words,
-    n_removed, kept_text (kept words joined by one space), kept_sha256, one row for each
-    input row.  A null text has no words.  A null id counts as larger than all others.
+    n_removed, kept_text (kept words joined by one space; null without ``with_text``),
+    kept_sha256, one row for each input row.  A null text has no words.  A null id counts as larger than all others.
     Rows with the same id do not remove from each other; texts shorter than a window lose
     nothing.  An empty table gives an empty result.
     """
     store = X.Store(docs.sparkSession, "substring")
-    table, n_bytes = X.chunks(store, docs, _store_chunk)
-    # about one window per six bytes; four counters per window keep false repeats rare
-    bits = sketch_bits or int(min(max_bits, max(12, int(n_bytes / 6 * 2).bit_length() + 1)))
+    table, n_bytes = X.chunks(store, docs, X.pack_texts)
+    # about one window per six or seven bytes; two counters for each in a row
+    bits = sketch_bits or int(min(max_bits, max(12, int(n_bytes / 3).bit_length() - 1)))
     spread = docs.sparkSession.sparkContext.broadcast(sketch(table, size, bits, rows))
     n_shards = X.shards_for(n_bytes)
 
@@ -170,7 +161,7 @@ def dedup(docs: DataFrame, size: int = 13, max_bits: int = 30, rows: int = ROWS,
         pieces = list(_windows(payload, size))
         number, a, _, _, shard = _keys(pieces, spread.value, bits, n_shards)
         lowest = np.empty(len(a) + 1, dtype=np.int64)
-        lowest[-1] = _NONE
+        lowest[-1] = X.NO_ID
         for s, at in X.split(shard, n_shards):
             lowest[at] = X.unpack(replies[s])["lowest_d"]
         out, done = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")}, 0
@@ -184,10 +175,10 @@ def dedup(docs: DataFrame, size: int = 13, max_bits: int = 30, rows: int = ROWS,
                 removed = int(mask.sum())
                 s, e = (starts[first:end], stops[first:end]) if not removed else (starts[first:end][~mask], stops[first:end][~mask])
                 kept = b" ".join([raw[i:j] for i, j in zip(s.tolist(), e.tolist())])
-                out["doc_id"].append(None if ids[k] == _NONE else int(ids[k]))
+                out["doc_id"].append(None if ids[k] == X.NO_ID else int(ids[k]))
                 out["n_words"].append(end - first)
                 out["n_removed"].append(removed)
-                out["kept_text"].append(kept)
+                out["kept_text"].append(kept if with_text else None)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 first = end
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.binary(), "kept_sha256": pa.string()}
