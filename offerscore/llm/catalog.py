@@ -6,29 +6,94 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import license_scan, mixing, substring_dedup, suffix_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document, by diagonal voting."""
+    return license_scan.scan(_docs(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows repeated from an earlier document, removed from every document."""
     return substring_dedup.dedup(_docs(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources mixed to weights 3, 1, 2 at 150% of all words, by weighted fair queueing."""
+    return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that also start earlier, removed from every document."""
     return suffix_dedup.dedup(_docs(spark, sf_dir), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_substring_dedup, op8_suffix_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op6_mixing, op8_suffix_dedup)
 }
 
 SQL: dict[str, str] = {}
 
+SQL["op1_license_scan"] = r"""
+WITH phrases(phrase, label, is_base) AS (VALUES
+  ('gnu general public license', 'gpl', true), ('apache license', 'apache', true),
+  ('cc by', 'cc-by', true), ('mit license', 'mit', true),
+  ('permission is hereby granted free of charge to any person obtaining a copy of this software', 'mit', false),
+  ('licensed under the apache license version 2 0', 'apache', false),
+  ('redistribution and use in source and binary forms with or without modification are permitted', 'bsd', false),
+  ('this source code form is subject to the terms of the mozilla public license', 'mpl', false),
+  ('this program is free software you can redistribute it and or modify it', 'gpl', false),
+  ('gnu lesser general public license', 'lgpl', false), ('gnu affero general public license', 'agpl', false),
+  ('licensed under cc by nc 4 0', 'cc-by-nc', false), ('licensed under cc by sa 4 0', 'cc-by-sa', false),
+  ('this is free and unencumbered software released into the public domain', 'unlicense', false),
+  ('permission to use copy modify and or distribute this software for any purpose', 'isc', false)),
+t AS (SELECT phrase, label, is_base, len(string_split(phrase, ' ')) AS n, unnest(generate_series(1, len(string_split(phrase, ' ')) - 1)) AS tp,
+             string_split(phrase, ' ') AS tw FROM phrases),
+tg AS (SELECT phrase, label, is_base, n, tp - 1 AS tp, tw[tp] || ' ' || tw[tp + 1] AS g FROM t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, p - 1 AS p, w[p] || ' ' || w[p + 1] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS p FROM d)),
+diag AS (SELECT doc_id, phrase, label, is_base, n, p - tp AS d, bit_or(3::BIGINT << tp) AS bits
+         FROM g JOIN tg USING (g) GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, phrase ORDER BY d) <= 3 THEN 0 ELSE 1 END AS new FROM diag),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, phrase ORDER BY d) AS run FROM steps),
+spans AS (SELECT doc_id, label, is_base, n, bit_count(bit_or(bits)) / n AS cover,
+                 count(*) FILTER (WHERE is_base AND bit_count(bits) = n) AS places,
+                 min(d) FILTER (WHERE is_base AND bit_count(bits) = n) AS lo, max(d) FILTER (WHERE is_base AND bit_count(bits) = n) AS hi
+          FROM runs GROUP BY doc_id, phrase, label, is_base, n, run),
+found AS (SELECT doc_id, sum(places) AS n_base, min(lo) AS first_word, max(hi) AS last_word,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE places > 0) AS base_labels,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE places > 0 OR (NOT is_base AND cover >= 0.9)) AS labels,
+                 max(cover) FILTER (WHERE places > 0 OR cover >= 0.9) AS score FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+SQL["op6_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || substr(md5(concat_ws(':', '17', doc_id)), 1, 15))::BIGINT AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
+w AS (SELECT *, CASE number % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
+total AS (SELECT sum(ss) AS n FROM s),
+levels AS (SELECT 2 * ss / weight AS ratio, (n * 1.5::DOUBLE - coalesce(sum(2 * ss) OVER (ORDER BY 2 * ss / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / sum(weight) OVER (ORDER BY 2 * ss / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w, total),
+level AS (SELECT min(level) AS level FROM levels WHERE ratio > level),
+q AS (SELECT d.*, ss, number, weight, least(2.0::DOUBLE * ss, level * weight) AS target,
+             sum(size) OVER (PARTITION BY number ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, level),
+passes AS (SELECT q.*, (upto + e * ss)::DOUBLE / weight AS time FROM q, (VALUES (0), (1)) AS t(e)),
+cut AS (SELECT doc_id, size, sum(size) OVER (ORDER BY time, number ROWS UNBOUNDED PRECEDING) <= floor(n * 1.5) AS taken FROM passes, total WHERE size > 0),
+n AS (SELECT doc_id, sum(size) FILTER (WHERE taken) AS taken FROM cut GROUP BY doc_id)
+SELECT q.doc_id, size, ss AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN n USING (doc_id)
+"""
+
 SQL["op2_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g
