@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, substring_dedup, suffix_dedup
+from . import decontaminate, license_scan, mixing, simhash, substring_dedup, suffix_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_docs(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of 4-word shingles and components of those at most 4 bits apart."""
+    return simhash.components(_docs(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources mixed to weights 3, 1, 2 at 150% of all words, by weighted fair queueing."""
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -33,8 +38,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_docs(spark, sf_dir), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, with those items."""
+    return decontaminate.scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op6_mixing, op8_suffix_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op4_simhash, op6_mixing,
+                              op8_suffix_dedup, op9_decontamination)
 }
 
 SQL: dict[str, str] = {}
@@ -84,7 +95,7 @@ w AS (SELECT *, CASE number % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE
 total AS (SELECT sum(ss) AS n FROM s),
 levels AS (SELECT 2 * ss / weight AS ratio, (n * 1.5::DOUBLE - coalesce(sum(2 * ss) OVER (ORDER BY 2 * ss / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                   / sum(weight) OVER (ORDER BY 2 * ss / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w, total),
-level AS (SELECT min(level) AS level FROM levels WHERE ratio > level),
+level AS (SELECT level FROM levels WHERE ratio > level ORDER BY ratio LIMIT 1),
 q AS (SELECT d.*, ss, number, weight, least(2.0::DOUBLE * ss, level * weight) AS target,
              sum(size) OVER (PARTITION BY number ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, level),
