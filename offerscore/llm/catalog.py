@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, mixing, simhash, substring_dedup, suffix_dedup
+from . import decontaminate, license_scan, mixing, quality_rules, simhash, substring_dedup, suffix_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +43,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and n-gram perplexity verdict of every document."""
+    return quality_rules.judge(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op4_simhash, op6_mixing,
-                              op8_suffix_dedup, op9_decontamination)
+                              op8_suffix_dedup, op9_decontamination, op10_quality_rules)
 }
 
 SQL: dict[str, str] = {}
