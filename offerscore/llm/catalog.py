@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, mixing, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import decontaminate, katz, license_scan, mixing, quality_rules, simhash, substring_dedup, suffix_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_docs(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff bigram scores of all texts, learned from those not held out."""
+    return katz.score(_docs(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 4-word shingles and components of those at most 4 bits apart."""
     return simhash.components(_docs(spark, sf_dir))
@@ -49,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op4_simhash, op6_mixing,
+    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_lm_scoring, op4_simhash, op6_mixing,
                               op8_suffix_dedup, op9_decontamination, op10_quality_rules)
 }
 
