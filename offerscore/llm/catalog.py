@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, katz, license_scan, mixing, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import (decontaminate, html_extract, katz, license_scan, mixing, quality_rules, simhash, substring_dedup,
+               suffix_dedup, warc)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +34,22 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_docs(spark, sf_dir))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the maximum-scoring region of words and tags."""
+    return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources mixed to weights 3, 1, 2 at 150% of all words, by weighted fair queueing."""
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response record."""
+    derived = warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), "page_id")
+    return derived.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that also start earlier, removed from every document."""
     return suffix_dedup.dedup(_docs(spark, sf_dir), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -54,8 +66,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_lm_scoring, op4_simhash, op6_mixing,
-                              op8_suffix_dedup, op9_decontamination, op10_quality_rules)
+    f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_lm_scoring, op4_simhash, op5_html_extraction,
+                              op6_mixing, op7_warc_derivatives, op8_suffix_dedup, op9_decontamination, op10_quality_rules)
 }
 
 SQL: dict[str, str] = {}
