@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerscore.session import scratch_dir
 
+from . import textops as T
+
 #: Text bytes in a chunk (a longer document is a chunk of its own) and in a shard's share.
 CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
@@ -61,22 +63,25 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def pack_texts(ids: pa.Array, texts: pa.Array) -> bytes:
+def pack_texts(batch: pa.RecordBatch) -> bytes:
     """A chunk payload of documents as compressed Arrow data."""
-    batch = pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
     return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
 
 
+def unpack_batch(payload: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_next_batch()
+
+
 #: Stands for a missing doc_id: larger than every other.
 NO_ID = np.iinfo(np.int64).max
 
 
 def unpack_texts(payload: bytes) -> tuple[np.ndarray, pa.Array]:
     """Document ids (``NO_ID`` for null) and texts of a chunk payload."""
-    batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_next_batch()
+    batch = unpack_batch(payload)
     return batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(1)
 
 
@@ -113,41 +118,40 @@ class Store:
                 self.drop(name)
 
 
-def chunks(store: Store, docs: DataFrame, build, name: str = "chunks", most: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """Write ``docs`` (doc_id, text) as a bucketed table (chunk_id, n_bytes, payload).
+def chunks(store: Store, docs: DataFrame, build, carry: tuple[str, ...] = (), most: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+    """Write ``docs`` (doc_id, text and the columns in ``carry``) as a bucketed table
+    (chunk_id, n_bytes, payload).
 
-    ``build(doc_ids, texts)`` makes the payload of one chunk from Arrow arrays.  Returns the
-    table and the number of text bytes.  Chunk numbers come from the writing task; they are
-    fixed once the write is committed."""
+    ``build(batch)`` makes the payload of one chunk's rows.  Returns the table and the number
+    of text bytes.  Chunk numbers come from the writing task; they are fixed once the write is
+    committed.  There are as many buckets as shuffle partitions."""
     def cut(batches):
-        task, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        task, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
+
         def flush():
-            nonlocal seq, ids, texts, held
-            row = pa.RecordBatch.from_pydict({
-                "chunk_id": pa.array([(task << 32) | seq], pa.int64()), "n_bytes": pa.array([held], pa.int64()),
-                "payload": pa.array([build(pa.concat_arrays(ids), pa.concat_arrays(texts))], pa.binary())})
-            seq, ids, texts, held = seq + 1, [], [], 0
-            return row
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_pydict({"chunk_id": pa.array([(task << 32) | seq], pa.int64()), "n_bytes": pa.array([n], pa.int64()),
+                                               "payload": pa.array([build(rows)], pa.binary())})
         for batch in batches:
-            text = batch.column(1)
-            size = np.diff(np.concatenate([[0], np.frombuffer(text.buffers()[1], np.int32)[text.offset + 1:text.offset + len(text) + 1]])) if len(text) else []
+            size = np.diff(np.concatenate([[0], T.buffers(batch.column(1))[1]]))
             row = 0
-            while row < len(text):
-                stop = row
-                while stop < len(text) and (stop == row or held + size[stop] <= most):
-                    held += int(size[stop])
-                    stop += 1
-                ids.append(batch.column(0).slice(row, stop - row))
-                texts.append(text.slice(row, stop - row))
+            while row < len(size):
+                fits = int(np.searchsorted(np.cumsum(size[row:]), most - n, side="right"))
+                stop = row + (fits if fits or held else 1)
+                if stop > row:
+                    held.append(batch.slice(row, stop - row))
+                    n += int(size[row:stop].sum())
                 row = stop
-                if held >= most or row < len(text):
+                if row < len(size):
                     yield flush()
-        if ids:
+                    seq, held, n = seq + 1, [], 0
+        if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                       *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
     n = max(8, int(store.spark.conf.get("spark.sql.shuffle.partitions")))
-    table = store.write(rows.mapInArrow(cut, "chunk_id long, n_bytes long, payload binary"), name, n, "chunk_id")
+    table = store.write(rows.mapInArrow(cut, "chunk_id long, n_bytes long, payload binary"), "chunks", n, "chunk_id")
     total = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     return table, int(total)
 

@@ -79,8 +79,9 @@ def context_weights(stats: dict[str, np.ndarray], d: np.ndarray) -> tuple[np.nda
 
 # -- chunks ---------------------------------------------------------------------------------
 
-def _tokens(ids: pa.Array, texts: pa.Array) -> bytes:
+def _tokens(batch: pa.RecordBatch) -> bytes:
     """A chunk's documents as numbers into its own sorted vocabulary; the end of a text is a token."""
+    ids, texts = batch.column(0), batch.column(1)
     hashes, lengths = [], []
     for a, b in T.slices(texts, 1 << 20):
         data, ends = T.buffers(texts.slice(a, b - a))

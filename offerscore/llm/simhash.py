@@ -131,13 +131,25 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(search, "u long, v long").distinct()
 
 
-def _fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
+def _keys() -> list:
+    """Columns that tell documents apart, without nulls: id (last if missing) and text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("row_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")]
+
+
+def _labelled(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """doc_id, row_id, text_key, fp, root (a fingerprint that names the component), component_id."""
     def run(batches):
         for batch in batches:
-            fp = fingerprints(batch.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+            fp = pa.array(fingerprints(batch.column(3), shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), fp], names=["doc_id", "row_id", "text_key", "fp"])
+    store = Store(docs.sparkSession, "simhash")
+    rows = docs.select(F.col("doc_id").cast("long"), *_keys(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = store.write(rows.mapInArrow(run, "doc_id long, row_id long, text_key long, fp long"), "fingerprints")
+    distinct = store.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = connected(store, links(distinct.select("fp"), bits).select("u", "v"))
+    of = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+    smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(store.write(of.join(smallest, "root").select("fp", "root", "component_id"), "labels"), "fp")
 
 
 def components(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -150,11 +162,12 @@ def components(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     and is linked like any other.  A null id takes the smallest id of its component, or
     null if that has none.  An empty table gives an empty result.
     """
-    store = Store(docs.sparkSession, "simhash")
-    rows = store.write(_fingerprinted(docs, shingle), "fingerprints")
-    distinct = store.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected(store, links(distinct.select("fp"), bits).select("u", "v"))
-    of = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = store.write(of.join(smallest, "root").select("fp", "component_id"), "labels")
-    return rows.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _labelled(docs, shingle, bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """One row (all columns) of ``docs`` from each component: the one with the smallest doc_id
+    (a missing one last; equal ones by their text), repeated rows once."""
+    first = _labelled(docs, shingle, bits).groupBy("root").agg(F.min(F.struct("row_id", "text_key")).alias("first")).select("first.*")
+    keyed = docs.select(F.struct("*").alias("row"), *_keys())
+    return keyed.join(first, ["row_id", "text_key"], "left_semi").dropDuplicates(["row_id", "text_key"]).select("row.*")

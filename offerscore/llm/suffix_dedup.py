@@ -316,21 +316,22 @@ def _reply_windows(payloads, length: int):
     return out
 
 
-def dedup(docs: DataFrame, length: int = 100, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts earlier: in a
     document with a smaller ``doc_id``, or earlier in the same one.  Overlaps count, matches
     never cross documents, and strings are judged on the input.
 
-    ``docs`` needs doc_id and text; other columns are ignored.  Returns, one row for each
-    input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the
-    remaining bytes, and with ``with_text`` also kept (those bytes) and kept_text (the
-    characters of which some byte remains).  A null text is empty; a null id counts as larger
+    ``docs`` needs doc_id and text; of the other columns, those in ``carry`` are returned as
+    they are.  Returns, one row for each input row: doc_id, n_bytes, n_removed, n_spans
+    (maximal removed runs), kept_sha256 of the remaining bytes, kept (those bytes) and
+    kept_text (the characters of which some byte remains), both null without ``with_text``,
+    and the carried columns.  A null text is empty; a null id counts as larger
     than all others; rows with one id are compared by position, and equal positions do not
     remove each other.  Texts shorter than ``length`` lose nothing; an empty table gives an
     empty result.
     """
     store = X.Store(docs.sparkSession, "suffix")
-    table, n_bytes = X.chunks(store, docs, X.pack_texts)
+    table, n_bytes = X.chunks(store, docs, X.pack_texts, carry)
     n_shards = X.shards_for(n_bytes)
 
     def request(payload):
@@ -398,11 +399,14 @@ def dedup(docs: DataFrame, length: int = 100, with_text: bool = True) -> DataFra
                 start = end
         kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(),
                  "kept": pa.binary(), "kept_text": pa.binary()}
-        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+        rows = X.unpack_batch(payload) if carry else None
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()} | {f"carried_{k}": rows.column(k + 2) for k in range(len(carry))})
 
     first = store.write(X.answer(X.ask(table, request), _reply_classes), "classes")
     asked = X.finish(table, first, contexts, X.MESSAGE)
     second = store.write(X.answer(asked, lambda payloads: _reply_windows(payloads, length)), "windows")
     out = X.finish(table, first.unionByName(second), work,
-                   "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text binary")
-    return out.withColumn("kept_text", F.decode("kept_text", "UTF-8"))
+                   "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text binary"
+                   + "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)))
+    own = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", F.decode("kept_text", "UTF-8").alias("kept_text")]
+    return out.select(*own, *[F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)])
