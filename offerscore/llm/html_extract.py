@@ -103,13 +103,14 @@ def _kind(kind) -> str:
 
 
 def count_page(page: str) -> Counter:
-    """Words and tags inside (True) and outside of a labelled page's article."""
+    """Tags inside (True) and outside of a labelled page's article, and words of text that no
+    name or class has settled."""
     page = page if re.search(r"<article\b", page, re.I) else re.sub(r"(?i)<(/?)main\b", r"<\1article", page)
     out: Counter = Counter()
     for kind, value, article, dropped in tokens(page):
         if kind == "tag":
             out["tag", value if value in BLOCKS or value in INLINE or value in DROPPED else "other", article] += 1
-        elif not dropped or not article:
+        elif not dropped:
             out["word", _kind(kind), article] += len(value.split())
     return out
 
