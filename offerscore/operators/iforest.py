@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from offerscore.session import track
 from offerscore.operators.stats import percentiles
@@ -324,6 +324,7 @@ def _large_tenders(big: DataFrame, by: list[str], variables: list[str], key: str
 
     nodes = materialize(sample.groupBy(*by, "tree").applyInPandas(grow, node_schema))
     sizes = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).collect()  # one row per large tender
+    from offerscore.operators.stats import attach
     batches, cur, used = [], [], 0
     for row in sizes:
         if cur and used + row["_k"] > batch_nodes:
@@ -335,26 +336,26 @@ def _large_tenders(big: DataFrame, by: list[str], variables: list[str], key: str
         batches.append(cur)
 
     spark = big.sparkSession
-    key_schema = StructType(by_fields)
+    key_schema = StructType(by_fields + [StructField("_g", LongType())])
     norm = float(avg_path([psi])[0])
     rows = big.drop("_n")
     parts = []
     for batch in batches:
-        keys = spark.createDataFrame(batch, key_schema)
-        pdf_nodes = nodes.join(F.broadcast(keys), by, "left_semi").toPandas()
-        forests = {k: _forest_arrays(g.drop(columns=by))
-                   for k, g in pdf_nodes.groupby(by if len(by) > 1 else by[0])}
+        # tenders go by number from here, so that a missing key is a key like any other
+        keys = F.broadcast(spark.createDataFrame([(*k, g) for g, k in enumerate(batch)], key_schema))
+        pdf_nodes = attach(nodes, keys, by, how="inner").toPandas()
+        forests = {k: _forest_arrays(g.drop(columns=[*by, "_g"])) for k, g in pdf_nodes.groupby("_g")}
 
         def run(batches_iter, forests=forests):
             for pdf in batches_iter:
                 pdf = pdf.copy()
                 pdf["anomaly_score"] = np.nan
-                for k, idx in pdf.groupby(by if len(by) > 1 else by[0]).groups.items():
+                for k, idx in pdf.groupby("_g").groups.items():
                     x = pdf.loc[idx, variables].to_numpy(dtype=float)
                     pdf.loc[idx, "anomaly_score"] = np.power(2.0, -_forest_paths(x, forests[k]) / norm)
-                yield pdf
+                yield pdf.drop(columns="_g")
 
-        parts.append(rows.join(F.broadcast(keys), by, "left_semi").mapInPandas(run, out_schema))
+        parts.append(attach(rows, keys, by, how="inner").mapInPandas(run, out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema)
     out = parts[0]

@@ -109,24 +109,26 @@ def explain_risks(risk: DataFrame, keys: Sequence[str] = ("offer_id", "supplier"
 
 
 def red_flags(df: DataFrame, by: Sequence[str] | None = None, score: str = "score",
-              risk_col: str = "total_risk", risk_limit: float = 0.7) -> DataFrame:
-    """``[BEST]`` on the group's highest score, else ``[RISK]`` above the limit."""
+              risk_col: str = "total_risk", risk_limit: float = 0.7, tiebreak: str = "offer_id") -> DataFrame:
+    """``[BEST]`` on the group's one highest score (ties: smallest
+    ``tiebreak``), else ``[RISK]`` above the limit."""
     by = list(by or [])
-    top = group_stats(df, by, F.max(score).alias("_smax"))
+    top = group_stats(df.where(F.col(score).isNotNull()), by,
+                      F.min_by(tiebreak, F.struct(-F.col(score), F.col(tiebreak))).alias("_best"), F.max(score).alias("_smax"))
     out = attach(df, top, by)
-    status = (F.when(F.col(score) == F.col("_smax"), F.lit("[BEST]"))
+    status = (F.when((F.col(score) == F.col("_smax")) & (F.col(tiebreak) == F.col("_best")), F.lit("[BEST]"))
                .when(F.col(risk_col) > F.lit(risk_limit), F.lit("[RISK]"))
                .otherwise(F.lit("")))
-    return out.withColumn("status", status).drop("_smax")
+    return out.withColumn("status", status).drop("_smax", "_best")
 
 
-def comparison_summary(ranked: DataFrame, risk: DataFrame, offers: DataFrame,
-                       by: Sequence[str] | None = None, key: str = "offer_id",
+def comparison_summary(risk: DataFrame, by: Sequence[str] | None = None, key: str = "offer_id",
                        delivery: str = "delivery_time_days", quality: str = "quality") -> DataFrame:
-    """Supplier, Score, Risk, Price, Delivery, Quality, Status per offer (key joins)."""
+    """Supplier, Score, Risk, Price, Delivery, Quality, Status per offer.
+
+    The scored frame already holds every column, so this is a projection: a
+    repeated key keeps its rows as they are."""
     by = list(by or [])
-    r = ranked.select(key, *by, "supplier", "score")
-    k = risk.select(key, F.col("total_risk").alias("risk"))
-    o = offers.select(key, "price", F.col(delivery).alias("delivery"), F.col(quality).alias("quality"))
-    out = r.join(k, key, "inner").join(o, key, "inner")
-    return red_flags(out, by, score="score", risk_col="risk")
+    out = risk.select(key, *by, "supplier", "score", F.col("total_risk").alias("risk"), "price",
+                      F.col(delivery).alias("delivery"), F.col(quality).alias("quality"))
+    return red_flags(out, by, score="score", risk_col="risk", tiebreak=key)

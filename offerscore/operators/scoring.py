@@ -50,30 +50,30 @@ def minmax_eps(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None = No
     return out.drop(*[f"_mn_{i}" for i in range(len(cols))], *[f"_mx_{i}" for i in range(len(cols))])
 
 
+#: Variable that a focused scenario favours.
+FOCUS = {"price-focused": "price", "quality-focused": "quality"}
+
+
 def scenario_weights(variables: Sequence[str], scenario: str = "equal",
-                     rest_share: float = 0.2) -> dict[str, float]:
-    """Equal 1/n; a focused scenario puts 0.6 on its column and
-    ``rest_share/(n-1)`` on each other one (falls back to equal if absent)."""
-    n = len(variables)
-    if n == 0:
-        raise ValueError("no variables to weight")
-    weights = dict.fromkeys(variables, 1 / n)
-    focus = {"price-focused": "price", "quality-focused": "quality"}.get(scenario)
+                     rest_share: float = 0.2, focus_weight: float = 0.6) -> dict[str, float]:
+    """Equal weights, or ``focus_weight`` on the scenario's variable and ``rest_share``
+    spread evenly over the others.  A table without that variable is weighted equally."""
     if scenario not in SCENARIOS:
         raise ValueError(f"unknown scenario {scenario!r}")
-    if focus and focus in variables:
-        weights = dict.fromkeys(variables, rest_share / (n - 1) if n > 1 else 1)
-        weights[focus] = 0.6
-    return weights
+    if not variables:
+        raise ValueError("no variables to weight")
+    others = [v for v in variables if v != FOCUS.get(scenario)]
+    if len(others) == len(variables):
+        return {v: 1 / len(variables) for v in variables}
+    return {v: rest_share / len(others) if v in others else focus_weight for v in variables}
 
 
 def custom_weights(weights: Mapping[str, float], tolerance: float = 0.01) -> dict[str, float]:
-    """Rescale to sum 1 when the sum is off by more than ``tolerance``."""
+    """As given if they sum to 1 within ``tolerance``, else shares of their sum (all 0
+    if that is not positive)."""
     total = float(sum(weights.values()))
-    if abs(total - 1.0) > tolerance:
-        factor = 1.0 / total if total > 0 else 0
-        return {k: v * factor for k, v in weights.items()}
-    return dict(weights)
+    scale = 1.0 if abs(total - 1.0) <= tolerance else (1.0 / total if total > 0 else 0.0)
+    return {v: w * scale for v, w in weights.items()}
 
 
 def weighted_score(df: DataFrame, variables: Sequence[str], weights: Mapping[str, float],

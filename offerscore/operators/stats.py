@@ -76,7 +76,8 @@ def running(df: DataFrame, by: Sequence[str] | None, order: Sequence[Column],
     """Row number (1-based) and running sums within each ``by`` group in ``order``.
 
     ``order`` must be a total order inside a group (add a unique tie-break).
-    Skew-safe: no task ever holds more than one range partition of rows.
+    Skew-safe: no task ever holds more than one range partition of rows.  A
+    missing value adds 0 to a running sum, whatever the partitions.
     """
     by = _cols(by)
     sums = dict(sums or {})
@@ -96,10 +97,10 @@ def running(df: DataFrame, by: Sequence[str] | None, order: Sequence[Column],
     frame = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = keyed.withColumn("_lrn", F.row_number().over(local).cast("long"))
     for name, c in sums.items():
-        out = out.withColumn(f"_l_{name}", F.sum(c).over(frame))
+        out = out.withColumn(f"_l_{name}", F.sum(F.coalesce(c, F.lit(0))).over(frame))
 
     part = keyed.groupBy("_pid", *by).agg(
-        F.count(F.lit(1)).alias("_pn"), *[F.sum(c).alias(f"_ps_{n}") for n, c in sums.items()])
+        F.count(F.lit(1)).alias("_pn"), *[F.sum(F.coalesce(c, F.lit(0))).alias(f"_ps_{n}") for n, c in sums.items()])
     prior = (Window.partitionBy(*by) if by else Window).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offs = part.select(

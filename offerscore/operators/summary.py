@@ -20,22 +20,22 @@ def _by(by):
     return list(by or [])
 
 
-def mean_of(col: str, money_scale: int | None = None):
-    """``avg(col)``; with ``money_scale`` the mean of a money column is taken in
-    decimal (exact sum, HALF_UP at ``money_scale + 4`` places), so it does not
-    depend on the order in which partitions are summed."""
-    if money_scale is None:
+def mean_of(col: str, decimals: int | None = None):
+    """``avg(col)``; with ``decimals`` the mean is taken in decimal with that many
+    places (an exact sum), so it does not depend on the order in which
+    partitions are summed.  Choose more places than the column has."""
+    if decimals is None:
         return F.avg(col)
-    return F.avg(F.col(col).cast(f"decimal(38,{money_scale})")).cast("double")
+    return F.avg(F.col(col).cast(f"decimal(38,{decimals})")).cast("double")
 
 
 def price_summary(df: DataFrame, by: Sequence[str] | None = None, col: str = "price",
-                  money_scale: int | None = None) -> DataFrame:
+                  decimals: int | None = None) -> DataFrame:
     """A1: min, max, mean, exact median and sample standard deviation."""
     by = _by(by)
     require(df, [col], "price_summary")
     base = group_stats(df, by, F.min(col).alias(f"{col}_min"), F.max(col).alias(f"{col}_max"),
-                       mean_of(col, money_scale).alias(f"{col}_mean"), F.stddev_samp(col).alias(f"{col}_std"))
+                       mean_of(col, decimals).alias(f"{col}_mean"), F.stddev_samp(col).alias(f"{col}_std"))
     med = percentiles(df, by, col, {f"{col}_median": 0.5})
     return attach(base, med, by) if by else base.crossJoin(med)
 
@@ -79,17 +79,18 @@ def supplier_type_counts(df: DataFrame, by: Sequence[str] | None = None) -> Data
 def payment_terms_kpis(df: DataFrame, by: Sequence[str] | None = None,
                        col: str = "payment_terms") -> DataFrame:
     """Most common term (ties: smallest), its count, number of distinct terms.
+    A group without any term keeps its row: NULL, 0 and 0.
 
     Counts per (group, term) are a partial aggregate; the mode is then a
     ``min`` over ``(-count, term)`` structs, so no group's values are gathered.
     """
     by = _by(by)
     require(df, [col], "payment_terms_kpis")
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
-    best = F.min(F.struct((-F.col("_c")).alias("neg"), F.col(col).alias("term")))
-    s = group_stats(counts, by, best.alias("_b"), F.count(F.lit(1)).alias("n_payment_terms"))
+    counts = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
+    best = F.min(F.when(F.col(col).isNotNull(), F.struct((-F.col("_c")).alias("neg"), F.col(col).alias("term"))))
+    s = group_stats(counts, by, best.alias("_b"), F.count(F.col(col)).alias("n_payment_terms"))
     return s.select(*by, F.col("_b.term").alias("top_payment_term"),
-                    (-F.col("_b.neg")).alias("top_payment_term_count"), "n_payment_terms")
+                    F.coalesce(-F.col("_b.neg"), F.lit(0)).alias("top_payment_term_count"), "n_payment_terms")
 
 
 def distinct_supplier_types(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
@@ -144,15 +145,16 @@ def correlation(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None = N
 
 
 def pareto(df: DataFrame, by: Sequence[str] | None = None, col: str = "price") -> DataFrame:
-    """A10 + W3: total per supplier, largest first, running percent of the total."""
+    """A10 + W3: total per supplier (0 without a price), largest first, running
+    percent of the total (NULL where the total is 0)."""
     by = _by(by)
     require(df, ["supplier", col], "pareto")
-    tot = df.groupBy(*by, "supplier").agg(F.sum(col).alias(col))
+    tot = df.groupBy(*by, "supplier").agg(F.coalesce(F.sum(col), F.lit(0.0)).alias(col))
     ordered = running(tot, by, [F.col(col).desc(), F.col("supplier").asc()],
                       sums={"_cum": F.col(col)}, rn="position")
     grand = group_stats(tot, by, F.sum(col).alias("_grand"))
     out = attach(ordered, grand, by)
-    return out.withColumn("cum_pct", F.col("_cum") / F.col("_grand") * 100.0).drop("_cum", "_grand")
+    return out.withColumn("cum_pct", F.try_divide(F.col("_cum"), F.col("_grand")) * 100.0).drop("_cum", "_grand")
 
 
 def box_stats(df: DataFrame, by: Sequence[str] | None = None, col: str = "price") -> DataFrame:
@@ -172,11 +174,11 @@ def box_stats(df: DataFrame, by: Sequence[str] | None = None, col: str = "price"
 
 
 def histogram(df: DataFrame, col: str = "price", bins: int = 20,
-              by: Sequence[str] | None = None, money_scale: int | None = None) -> DataFrame:
+              by: Sequence[str] | None = None, decimals: int | None = None) -> DataFrame:
     """Equal-width bins between the group's min and max, plus the mean."""
     by = _by(by)
     s = group_stats(df, by, F.min(col).alias("_lo"), F.max(col).alias("_hi"),
-                    mean_of(col, money_scale).alias("mean"))
+                    mean_of(col, decimals).alias("mean"))
     x = attach(df.where(F.col(col).isNotNull()), s, by)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(

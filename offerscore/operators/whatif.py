@@ -61,11 +61,14 @@ def supplier_result(result: DataFrame, supplier: str, by: Sequence[str] | None =
     return group_stats(rows, by, pick.alias("_r")).select(*by, "_r.*")
 
 
-def whatif_impact(before: DataFrame, after: DataFrame, key: str = "offer_id") -> DataFrame:
-    """Score and rank change per offer (inner key join)."""
-    b = before.select(key, F.col("score").alias("score_before"), F.col("rank").alias("rank_before"))
-    a = after.select(key, "supplier", F.col("score").alias("score_after"), F.col("rank").alias("rank_after"))
-    out = a.join(b, key, "inner")
+def whatif_impact(before: DataFrame, after: DataFrame, key: str = "offer_id",
+                  by: Sequence[str] | None = None) -> DataFrame:
+    """Score and rank change per offer (inner join on the group and key, which
+    together must be unique)."""
+    by = list(by or [])
+    b = before.select(*by, key, F.col("score").alias("score_before"), F.col("rank").alias("rank_before"))
+    a = after.select(*by, key, "supplier", F.col("score").alias("score_after"), F.col("rank").alias("rank_after"))
+    out = attach(a, b, [*by, key], how="inner")
     return out.withColumn("score_change", F.col("score_after") - F.col("score_before")) \
               .withColumn("rank_change", F.col("rank_before") - F.col("rank_after"))
 
@@ -90,8 +93,10 @@ def sensitivity(df: DataFrame, supplier: str, top_vars: Sequence[str], points: i
         lo, hi = bounds[f"lo_{i}"], bounds[f"hi_{i}"]
         if lo is None:
             continue
-        for j in range(points):
-            grid.append((v, float(lo + (hi - lo) * j / (points - 1))))
+        # a constant variable has one grid point
+        grid += [(v, x) for x in dict.fromkeys(float(lo + (hi - lo) * j / (points - 1)) for j in range(points))]
+    if not grid:
+        raise ValueError("every top variable is missing")
     scen = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(x).alias("value")) for v, x in grid])
     exploded = df.withColumn("_s", F.explode(scen)).select("*", "_s.variable", "_s.value").drop("_s")
     hit = F.col("supplier") == F.lit(supplier)

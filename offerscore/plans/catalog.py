@@ -37,17 +37,27 @@ def query(name: str):
     return deco
 
 
+def offers(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned offers for queries that read them once: column pruning reaches the scan."""
+    return P.compliant_only(offers_view(spark, sf))
+
+
 def compliant(spark: SparkSession, sf: str) -> DataFrame:
-    """The cleaned offers, persisted once: every query reads them from several branches."""
+    """The cleaned offers, persisted for queries that read them from several branches."""
     return track(P.compliant_only(offers_view(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK))
 
 
-def _ranked(spark, sf, scenario=None, weights=None, rest_share=0.2):
+def _scored(spark, sf, scenario=None, weights=None, rest_share=0.2):
     c = compliant(spark, sf)
     variables = P.variable_list(c)
     w = S.custom_weights(weights) if weights else S.scenario_weights(variables, scenario, rest_share)
-    scored = S.score_offers(c, variables, w, by=BY)
-    return S.rank_offers(scored, by=BY), variables, w
+    return S.score_offers(c, variables, w, by=BY), variables, w
+
+
+def _ranked(spark, sf, scenario=None, weights=None, rest_share=0.2):
+    """Ranked keys and scores: only what a query returns is ordered and written."""
+    scored, variables, w = _scored(spark, sf, scenario, weights, rest_share)
+    return S.rank_offers(scored.select(*KEYS, "score"), by=BY), variables, w
 
 
 def _rank_out(ranked: DataFrame) -> DataFrame:
@@ -83,20 +93,20 @@ def rank_custom(spark, sf):
 # ---------------------------------------------------------------- scoring views
 @query("best_offer")
 def best_offer(spark, sf):
-    ranked, _, _ = _ranked(spark, sf, "equal")
-    best = S.best_offer(ranked.drop("rank"), by=BY)
+    scored, _, _ = _scored(spark, sf, "equal")
+    best = S.best_offer(scored.select(*KEYS, "score"), by=BY)
     return best.select("tender_id", "offer_id", "supplier", r6(F.col("score")).alias("score"), "highlight")
 
 
 @query("cheapest_first")
 def cheapest_first(spark, sf):
-    out = S.cheapest_first(compliant(spark, sf), by=BY)
+    out = S.cheapest_first(offers(spark, sf).select(*KEYS, "price"), by=BY)
     return out.select(*KEYS, "price", "price_order")
 
 
 @query("by_lead_time")
 def by_lead_time(spark, sf):
-    out = S.cheapest_first(compliant(spark, sf), by=BY, name="lead_time_order", col="lead_time_days")
+    out = S.cheapest_first(offers(spark, sf).select(*KEYS, "lead_time_days"), by=BY, name="lead_time_order", col="lead_time_days")
     return out.select(*KEYS, "lead_time_days", "lead_time_order")
 
 
@@ -124,7 +134,7 @@ RANGE_BOUNDS = {"price": (5000.0, 60000.0), "quality": (60.0, 95.0), "delivery_t
 
 @query("compliant_only")
 def compliant_only(spark, sf):
-    return compliant(spark, sf).select(*KEYS, "compliance")
+    return offers(spark, sf).select(*KEYS, "compliance")
 
 
 @query("coerce_numeric")
@@ -162,12 +172,12 @@ def supplier_subset(spark, sf):
 @query("total_cost")
 def total_cost(spark, sf):
     from offerscore.operators.summary import total_cost as tc
-    return tc(compliant(spark, sf)).select(*KEYS, r6(F.col("total_cost")).alias("total_cost"))
+    return tc(offers(spark, sf)).select(*KEYS, r6(F.col("total_cost")).alias("total_cost"))
 
 
 @query("missing_certifications")
 def missing_certifications(spark, sf):
-    return P.missing_certifications(compliant(spark, sf)).select("offer_id", "supplier", "certifications")
+    return P.missing_certifications(offers(spark, sf)).select("offer_id", "supplier", "certifications")
 
 
 @query("numeric_table")
@@ -177,22 +187,22 @@ def numeric_table(spark, sf):
 
 @query("compliance_overview")
 def compliance_overview(spark, sf):
-    return P.compliance_overview(compliant(spark, sf))
+    return P.compliance_overview(offers(spark, sf))
 
 
 @query("terms_overview")
 def terms_overview(spark, sf):
-    return P.terms_overview(compliant(spark, sf))
+    return P.terms_overview(offers(spark, sf))
 
 
 @query("view_columns")
 def view_columns(spark, sf):
-    return P.view_columns(compliant(spark, sf), "lead_delivery")
+    return P.view_columns(offers(spark, sf), "lead_delivery")
 
 
 @query("supplier_row")
 def supplier_row(spark, sf):
-    row = P.supplier_row(compliant(spark, sf), SUBSET[0], by=BY)
+    row = P.supplier_row(offers(spark, sf), SUBSET[0], by=BY)
     return row.select("tender_id", "offer_id", "supplier", "price", "quality", "delivery_time_days")
 
 
@@ -204,7 +214,7 @@ def _summary():
 
 @query("price_summary")
 def price_summary(spark, sf):
-    out = _summary().price_summary(compliant(spark, sf), by=BY, money_scale=2)
+    out = _summary().price_summary(compliant(spark, sf), by=BY, decimals=10)
     return out.select("tender_id", "price_min", "price_max", r6(F.col("price_mean")).alias("price_mean"),
                       r6(F.col("price_median")).alias("price_median"),
                       r6(F.col("price_std")).alias("price_std"))
@@ -212,7 +222,7 @@ def price_summary(spark, sf):
 
 @query("delivery_kpis")
 def delivery_kpis(spark, sf):
-    out = _summary().delivery_kpis(compliant(spark, sf), by=BY)
+    out = _summary().delivery_kpis(offers(spark, sf), by=BY)
     return out.select("tender_id", r6(F.col("avg_lead_time_days")).alias("avg_lead_time_days"),
                       "min_delivery_time_days")
 
@@ -232,12 +242,12 @@ def supplier_type_counts(spark, sf):
 
 @query("payment_terms_kpis")
 def payment_terms_kpis(spark, sf):
-    return _summary().payment_terms_kpis(compliant(spark, sf), by=BY)
+    return _summary().payment_terms_kpis(offers(spark, sf), by=BY)
 
 
 @query("distinct_supplier_types")
 def distinct_supplier_types(spark, sf):
-    return _summary().distinct_supplier_types(compliant(spark, sf), by=BY)
+    return _summary().distinct_supplier_types(offers(spark, sf), by=BY)
 
 
 @query("compliance_by_supplier")
@@ -254,7 +264,7 @@ def correlation(spark, sf):
 
 @query("pareto")
 def pareto(spark, sf):
-    out = _summary().pareto(compliant(spark, sf), by=BY)
+    out = _summary().pareto(offers(spark, sf).select(*KEYS, "price"), by=BY)
     return out.select("tender_id", "supplier", r6(F.col("price")).alias("price"), "position",
                       r6(F.col("cum_pct")).alias("cum_pct"))
 
@@ -268,20 +278,20 @@ def box_stats(spark, sf):
 
 @query("price_histogram")
 def price_histogram(spark, sf):
-    out = _summary().histogram(compliant(spark, sf), "price", bins=10, by=BY, money_scale=2)
+    out = _summary().histogram(compliant(spark, sf), "price", bins=10, by=BY, decimals=10)
     return out.select("tender_id", "bin", "count", r6(F.col("mean")).alias("mean"),
                       r6(F.col("bin_low")).alias("bin_low"), r6(F.col("bin_high")).alias("bin_high"))
 
 
 @query("supplier_totals")
 def supplier_totals(spark, sf):
-    out = _summary().supplier_totals(compliant(spark, sf), "price", ascending=True, by=BY)
+    out = _summary().supplier_totals(offers(spark, sf), "price", ascending=True, by=BY)
     return out.select("tender_id", "supplier", r6(F.col("total_price")).alias("total_price"), "position")
 
 
 @query("distinct_suppliers")
 def distinct_suppliers(spark, sf):
-    return _summary().distinct_suppliers(compliant(spark, sf), by=BY)
+    return _summary().distinct_suppliers(offers(spark, sf), by=BY)
 
 
 # ---------------------------------------------------------------- windows
@@ -359,8 +369,7 @@ def red_flags(spark, sf):
 @query("comparison_summary")
 def comparison_summary(spark, sf):
     R, risk = _risk(spark, sf, "raw")
-    ranked = risk.select("offer_id", "tender_id", "supplier", "score")
-    out = R.comparison_summary(ranked, risk, compliant(spark, sf), by=BY)
+    out = R.comparison_summary(risk, by=BY)
     return out.select("offer_id", "tender_id", "supplier", r6(F.col("score")).alias("score"),
                       r6(F.col("risk")).alias("risk"), "price", "delivery", "quality", "status")
 
@@ -371,7 +380,8 @@ K_WINNERS = 3
 
 def _negotiation(spark, sf):
     from offerscore.operators import negotiation as G
-    return G, G.negotiation_table(compliant(spark, sf), k=K_WINNERS, by=BY)
+    return G, G.negotiation_table(
+        offers(spark, sf).select(*KEYS, "price", "quality", "delivery_time_days"), k=K_WINNERS, by=BY)
 
 
 @query("negotiation_table")
@@ -440,7 +450,7 @@ def whatif_negotiation(spark, sf):
 def whatif_impact(spark, sf):
     X, after = _whatif(spark, sf)
     before = X.whatif(compliant(spark, sf), WHATIF_SUPPLIER, {}, TOP_VARS, by=BY)
-    out = X.whatif_impact(before, after)
+    out = X.whatif_impact(before, after, by=BY)
     return out.select("offer_id", "supplier", r6(F.col("score_before")).alias("score_before"),
                       r6(F.col("score_after")).alias("score_after"), "rank_before", "rank_after",
                       r6(F.col("score_change")).alias("score_change"), "rank_change")
@@ -519,9 +529,9 @@ def offers_csv_roundtrip(spark, sf):
     """Write the ranked results as CSV under the shared checkpoint folder and read them back."""
     from offerscore.session import scratch_dir
     from offerscore.sources.offers import read_offers, write_results
-    ranked, variables, _ = _ranked(spark, sf, "equal")
-    path = write_results(ranked, variables, scratch_dir(spark, "csv"),
+    scored, variables, _ = _scored(spark, sf, "equal")
+    path = write_results(scored, variables, scratch_dir(spark, "csv"),
                          keys=("offer_id", "tender_id", "supplier", "score"))
-    back = P.coerce_numeric(read_offers(spark, path), keep=("offer_id",))
+    back = P.coerce_numeric(read_offers(spark, path), keep=("offer_id", "tender_id"))
     return back.select("offer_id", F.col("tender_id").cast("long").alias("tender_id"), "supplier",
                        r6(F.col("score")).alias("score"))

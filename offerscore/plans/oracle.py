@@ -79,7 +79,6 @@ def score_expr(variables, weights) -> str:
 
 
 # ---------------------------------------------------------------- scoring
-from offerscore.operators.scoring import custom_weights, scenario_weights  # noqa: E402
 
 CUSTOM_WEIGHTS = {"price": 0.3, "discount": 0.05, "quantity": 0.0, "shipping_cost": 0.05,
                   "lead_time_days": 0.05, "delivery_time_days": 0.2, "quality": 0.25,
@@ -96,15 +95,22 @@ FROM scored"""
                        f"scored AS (SELECT *, {score_expr(VARIABLES, weights)} AS score FROM normed)")
 
 
-SQL["rank_equal"] = _rank_sql(scenario_weights(VARIABLES, "equal"))
-SQL["rank_price_focused"] = _rank_sql(scenario_weights(VARIABLES, "price-focused"))
-SQL["rank_quality_focused"] = _rank_sql(scenario_weights(VARIABLES, "quality-focused"))
-SQL["rank_quality_focused_documented"] = _rank_sql(scenario_weights(VARIABLES, "quality-focused", 0.4))
-SQL["rank_custom"] = _rank_sql(custom_weights(CUSTOM_WEIGHTS))
+# literal weights: ten variables, equal or 0.6 on one and the rest on nine; the custom ones sum to 1.2
+EQUAL = dict.fromkeys(VARIABLES, 0.1)
+
+
+def _focused(name: str, rest: float) -> dict[str, float]:
+    return {v: 0.6 if v == name else rest / 9 for v in VARIABLES}
+
+
+SQL["rank_equal"] = _rank_sql(EQUAL)
+SQL["rank_price_focused"] = _rank_sql(_focused("price", 0.2))
+SQL["rank_quality_focused"] = _rank_sql(_focused("quality", 0.2))
+SQL["rank_quality_focused_documented"] = _rank_sql(_focused("quality", 0.4))
+SQL["rank_custom"] = _rank_sql({v: w / 1.2 for v, w in CUSTOM_WEIGHTS.items()})
 
 
 # ---------------------------------------------------------------- scoring views
-EQUAL = scenario_weights(VARIABLES, "equal")
 KEYS = "offer_id, tender_id, supplier"
 
 SQL["best_offer"] = with_offers(
@@ -214,12 +220,13 @@ SQL["supplier_type_counts"] = with_offers(
 FROM compliant WHERE supplier_type IS NOT NULL GROUP BY supplier_type""")
 
 SQL["payment_terms_kpis"] = with_offers(
-    """SELECT tender_id, payment_terms AS top_payment_term, c AS top_payment_term_count, n AS n_payment_terms FROM (
+    """SELECT tender_id, top_payment_term, coalesce(c, 0) AS top_payment_term_count, coalesce(n, 0) AS n_payment_terms
+FROM (SELECT DISTINCT tender_id FROM compliant) LEFT JOIN (SELECT tender_id, payment_terms AS top_payment_term, c, n FROM (
   SELECT tender_id, payment_terms, c,
     row_number() OVER (PARTITION BY tender_id ORDER BY c DESC, payment_terms) AS rn,
     count(*) OVER (PARTITION BY tender_id) AS n
   FROM (SELECT tender_id, payment_terms, count(*) AS c FROM compliant
-        WHERE payment_terms IS NOT NULL GROUP BY tender_id, payment_terms)) WHERE rn = 1""")
+        WHERE payment_terms IS NOT NULL GROUP BY tender_id, payment_terms)) WHERE rn = 1) USING (tender_id)""")
 
 SQL["distinct_supplier_types"] = with_offers(
     "SELECT tender_id, count(DISTINCT supplier_type) AS n_supplier_types FROM compliant GROUP BY tender_id")
@@ -247,8 +254,8 @@ SQL["pareto"] = with_offers(
     """SELECT tender_id, supplier, round(price, 6) AS price,
   row_number() OVER w AS position,
   round(sum(price) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-        / sum(price) OVER (PARTITION BY tender_id) * 100.0, 6) AS cum_pct
-FROM (SELECT tender_id, supplier, sum(price) AS price FROM compliant GROUP BY tender_id, supplier)
+        / nullif(sum(price) OVER (PARTITION BY tender_id), 0) * 100.0, 6) AS cum_pct
+FROM (SELECT tender_id, supplier, coalesce(sum(price), 0) AS price FROM compliant GROUP BY tender_id, supplier)
 WINDOW w AS (PARTITION BY tender_id ORDER BY price DESC, supplier)""")
 
 SQL["box_stats"] = with_offers(
@@ -356,7 +363,25 @@ def _risk_sql(mode: str) -> str:
 SQL["risk_raw"] = _risk_sql("raw")
 SQL["risk_ranked"] = _risk_sql("ranked")
 
-from offerscore.operators.risk import RISK_EXPLANATIONS, RISK_LABELS  # noqa: E402
+# literal copies of the fixed labels and texts that must come out
+RISK_LABELS = {
+    'lowball_risk': 'Lowballing',
+    'drip_pricing_risk': 'Drip Pricing',
+    'drip_pricing_flag': 'Drip Pricing Flag',
+    'signaling_risk': 'Market Signaling',
+    'cover_bid_risk': 'Cover Bidding',
+    'decoy_bid_risk': 'Decoy Bidding',
+    'bid_similarity_risk': 'Bid Similarity',
+}
+RISK_EXPLANATIONS = {
+    'Lowballing': 'A bid much lower than the average, possibly unsustainable.',
+    'Drip Pricing': 'Price appears low but may increase with hidden costs.',
+    'Drip Pricing Flag': 'Supplier has high price and low quality/technical score.',
+    'Market Signaling': 'High price and high score, possibly signaling to competitors.',
+    'Cover Bidding': 'High price and low score, possibly not a serious bid.',
+    'Decoy Bidding': 'Bid is an outlier in price or score, possibly to distract.',
+    'Bid Similarity': 'Multiple bids with very similar price or score, may indicate collusion.',
+}
 
 SQL["risk_explained"] = with_offers(
     " UNION ALL ".join(
@@ -364,7 +389,7 @@ SQL["risk_explained"] = with_offers(
         f"'{RISK_EXPLANATIONS[RISK_LABELS[c]]}' AS meaning FROM risk" for c in RISKS),
     *_risk_ctes("raw"))
 
-_STATUS = ("CASE WHEN score = max(score) OVER (PARTITION BY tender_id) THEN '[BEST]' "
+_STATUS = ("CASE WHEN score IS NOT NULL AND row_number() OVER (PARTITION BY tender_id ORDER BY score DESC NULLS LAST, offer_id) = 1 THEN '[BEST]' "
            "WHEN {r} > 0.7 THEN '[RISK]' ELSE '' END")
 SQL["red_flags"] = with_offers(
     f"""SELECT offer_id, tender_id, supplier, round(score, 6) AS score, round(total_risk, 6) AS total_risk,
@@ -458,17 +483,17 @@ SQL["whatif_impact"] = with_offers(
     """SELECT a.offer_id, a.supplier, round(b.score, 6) AS score_before, round(a.score, 6) AS score_after,
   b.rank AS rank_before, a.rank AS rank_after, round(a.score - b.score, 6) + 0.0 AS score_change,
   b.rank - a.rank AS rank_change
-FROM aft a JOIN bef b ON a.offer_id = b.offer_id""",
+FROM aft a JOIN bef b ON a.offer_id = b.offer_id AND a.tender_id = b.tender_id""",
     _sim_cte(CHANGES), _eps_score_cte("sim", TOP_VARS),
-    f"aft AS (SELECT offer_id, supplier, score, {RANK_SQL} AS rank FROM wsc)",
+    f"aft AS (SELECT offer_id, tender_id, supplier, score, {RANK_SQL} AS rank FROM wsc)",
     _sim_cte({}, name="sim0"), _eps_score_cte("sim0", TOP_VARS, name="wsc0"),
-    f"bef AS (SELECT offer_id, score, {RANK_SQL} AS rank FROM wsc0)")
+    f"bef AS (SELECT offer_id, tender_id, score, {RANK_SQL} AS rank FROM wsc0)")
 
 
 def _sensitivity_sql(points=3) -> str:
     bounds = " UNION ALL ".join(f"SELECT '{v}' AS variable, min({v}) AS lo, max({v}) AS hi FROM compliant"
                                 for v in TOP_VARS)
-    grid = (f"grid AS (SELECT b.variable, b.lo + (b.hi - b.lo) * CAST(t.j AS DOUBLE) / {d(points - 1)} AS value "
+    grid = (f"grid AS (SELECT DISTINCT b.variable, b.lo + (b.hi - b.lo) * CAST(t.j AS DOUBLE) / {d(points - 1)} AS value "
             f"FROM ({bounds}) b, range({points}) t(j) WHERE b.lo IS NOT NULL)")
     hit = f"supplier = '{WHATIF_SUPPLIER}'"
     cols = ", ".join(f"CASE WHEN {hit} AND g.variable = '{v}' THEN g.value ELSE c.{v} END AS {v}" for v in TOP_VARS)

@@ -39,7 +39,7 @@ def rank_pipeline(spark: SparkSession, source: str | DataFrame, scenario: str =
     """Flow 1.  ``weights`` (custom scenario) are rescaled when they do not sum to 1."""
     by = list(by or [])
     original = read_offers(spark, source, fmt) if isinstance(source, str) else source
-    cleaned = track(P.coerce_numeric(P.compliant_only(original), keep=keys)
+    cleaned = track(P.coerce_numeric(P.compliant_only(original), keep=[*keys, *by])
                     .persist(StorageLevel.MEMORY_AND_DISK))
     variables = P.variable_list(cleaned, exclude=[*keys, *by])
     if not variables:

@@ -9,18 +9,21 @@ from offerscore.functions.exprs import NULL_TOKENS
 from offerscore.operators.prepare import unique_columns
 
 
-def read_offers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_offers(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """Read an offer table.
 
     CSV is read with a header and every column as text (no inference pass over
     the data); the reader's missing-value tokens become NULL.  Numbers are made
     later by ``coerce_numeric`` so that one path serves every source.
-    Parquet/ORC/JSON keep their own types.
+    Parquet/ORC/JSON keep their own types.  A quote inside a quoted field is
+    doubled; ``multi_line`` allows line breaks inside quotes (a file is then one
+    task: turn it off for large files without them).
     """
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("nullValue", None).option("emptyValue", "").csv(path))
+           .option("nullValue", None).option("emptyValue", "")
+           .option("escape", '"').option("multiLine", multi_line).csv(path))
     return raw.select(*[
         F.when(F.col(f"`{c}`").isin(*NULL_TOKENS), F.lit(None).cast("string"))
          .otherwise(F.col(f"`{c}`")).alias(c)
@@ -33,7 +36,7 @@ def write_results(ranked: DataFrame, variables: list[str], path: str,
                   partition_by: list[str] | None = None) -> str:
     """Write ``supplier, score, variables`` as CSV with a header (duplicates dropped)."""
     cols = unique_columns(list(keys) + list(variables))
-    w = ranked.select(*cols).write.mode(mode).option("header", True)
+    w = ranked.select(*cols).write.mode(mode).option("header", True).option("escape", '"')
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
