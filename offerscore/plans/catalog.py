@@ -43,8 +43,10 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compliant(spark: SparkSession, sf: str) -> DataFrame:
-    """The cleaned offers, persisted for queries that read them from several branches."""
-    return track(P.compliant_only(offers_view(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK))
+    """The cleaned offers, persisted for queries that read them from several branches, in
+    even partitions (a source may come in few or uneven files)."""
+    even = P.compliant_only(offers_view(spark, sf)).hint("rebalance", F.col("offer_id"))
+    return track(even.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _scored(spark, sf, scenario=None, weights=None, rest_share=0.2):
