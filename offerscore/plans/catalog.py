@@ -100,6 +100,12 @@ def best_offer(spark, sf):
     return best.select("tender_id", "offer_id", "supplier", r6(F.col("score")).alias("score"), "highlight")
 
 
+@query("best_flags")
+def best_flags(spark, sf):
+    """Every ranked offer, flagged Best or Other."""
+    return S.flag_best(_ranked(spark, sf, "equal")[0]).select(*KEYS, "rank", "highlight")
+
+
 @query("cheapest_first")
 def cheapest_first(spark, sf):
     out = S.cheapest_first(offers(spark, sf).select(*KEYS, "price"), by=BY)
@@ -202,6 +208,31 @@ def view_columns(spark, sf):
     return P.view_columns(offers(spark, sf), "lead_delivery")
 
 
+def _view_query(view: str):
+    @query(f"view_{view}")
+    def run(spark, sf):
+        return P.view_columns(offers(spark, sf), view)
+    run.__doc__ = f"The projection behind the {view} view."
+
+
+for _view in ("price_quality", "price_quality_delivery", "price_delivery", "experience", "warranty", "price_points"):
+    _view_query(_view)
+
+
+@query("view_experience_score")
+def view_experience_score(spark, sf):
+    scored, _, _ = _scored(spark, sf, "equal")
+    raw = offers(spark, sf).select("offer_id", "supplier", "experience_years")
+    return P.view_columns(raw.join(scored.select("offer_id", "score"), "offer_id").withColumn("score", r6(F.col("score"))),
+                          "experience_score")
+
+
+@query("view_price_technical")
+def view_price_technical(spark, sf):
+    """A table without quality: the technical mark takes its place."""
+    return P.view_columns(offers(spark, sf).drop("quality"), "price_quality")
+
+
 @query("supplier_row")
 def supplier_row(spark, sf):
     row = P.supplier_row(offers(spark, sf), SUBSET[0], by=BY)
@@ -291,6 +322,18 @@ def supplier_totals(spark, sf):
     return out.select("tender_id", "supplier", r6(F.col("total_price")).alias("total_price"), "position")
 
 
+def _totals_query(col: str, ascending: bool):
+    @query(f"supplier_totals_{col}")
+    def run(spark, sf):
+        out = _summary().supplier_totals(offers(spark, sf), col, ascending=ascending, by=BY)
+        return out.select("tender_id", "supplier", r6(F.col(f"total_{col}")).alias(f"total_{col}"), "position")
+    run.__doc__ = f"Sum of {col} per supplier, {'smallest' if ascending else 'largest'} first."
+
+
+for _col, _ascending in (("quality", False), ("lead_time_days", True), ("delivery_time_days", True), ("experience_years", False)):
+    _totals_query(_col, _ascending)
+
+
 @query("distinct_suppliers")
 def distinct_suppliers(spark, sf):
     return _summary().distinct_suppliers(offers(spark, sf), by=BY)
@@ -360,6 +403,13 @@ def risk_explained(spark, sf):
     return out.select("offer_id", "supplier", "risk", r6(F.col("value")).alias("value"), "risk_name", "meaning")
 
 
+@query("risk_table")
+def risk_table(spark, sf):
+    R, risk = _risk(spark, sf, "raw")
+    out = R.risk_table(risk, keys=KEYS)
+    return out.select(*KEYS, *[r6(F.col(c)).alias(c) for c in ["total_risk", *R.RISK_COLUMNS]])
+
+
 @query("red_flags")
 def red_flags(spark, sf):
     R, risk = _risk(spark, sf, "raw")
@@ -448,6 +498,13 @@ def whatif_negotiation(spark, sf):
     return out.select(*KEYS, r6(F.col("score")).alias("score"), "rank")
 
 
+@query("supplier_result")
+def supplier_result(spark, sf):
+    """The changed supplier's new score and best rank in each of its tenders."""
+    X, out = _whatif(spark, sf)
+    return X.supplier_result(out, WHATIF_SUPPLIER, by=BY).select("tender_id", r6(F.col("score")).alias("score"), "rank", "offer_id")
+
+
 @query("whatif_impact")
 def whatif_impact(spark, sf):
     X, after = _whatif(spark, sf)

@@ -286,6 +286,24 @@ SQL["supplier_totals"] = with_offers(
   row_number() OVER (PARTITION BY tender_id ORDER BY total_price ASC NULLS LAST, supplier) AS position
 FROM (SELECT tender_id, supplier, sum(price) AS total_price FROM compliant GROUP BY tender_id, supplier)""")
 
+for _col, _order in (("quality", "DESC"), ("lead_time_days", "ASC"), ("delivery_time_days", "ASC"), ("experience_years", "DESC")):
+    SQL[f"supplier_totals_{_col}"] = with_offers(
+        f"""SELECT tender_id, supplier, round(total, 6) AS total_{_col},
+  row_number() OVER (PARTITION BY tender_id ORDER BY total {_order} NULLS LAST, supplier) AS position
+FROM (SELECT tender_id, supplier, sum({_col}) AS total FROM compliant GROUP BY tender_id, supplier)""")
+
+for _view, _cols in (("price_quality", "price, quality"), ("price_quality_delivery", "price, quality, delivery_time_days"),
+                     ("price_delivery", "price, delivery_time_days"), ("experience", "experience_years"),
+                     ("warranty", "warranty_months"), ("price_points", "price"), ("price_technical", "price, technical")):
+    SQL[f"view_{_view}"] = with_offers(f"SELECT offer_id, supplier, {_cols} FROM compliant")
+
+SQL["view_experience_score"] = with_offers(
+    "SELECT c.offer_id, c.supplier, c.experience_years, round(s.score, 6) AS score FROM compliant c JOIN scored s ON s.offer_id = c.offer_id",
+    norm_ctes("compliant", VARIABLES), f"scored AS (SELECT *, {score_expr(VARIABLES, EQUAL)} AS score FROM normed)")
+
+SQL["best_flags"] = SQL["rank_equal"].replace("round(score, 6) AS score,\n  row_number()", "row_number()")
+SQL["best_flags"] = f"SELECT *, CASE WHEN rank = 1 THEN 'Best' ELSE 'Other' END AS highlight FROM ({SQL['best_flags']})"
+
 SQL["distinct_suppliers"] = with_offers("SELECT DISTINCT tender_id, supplier FROM compliant")
 
 # ---------------------------------------------------------------- windows
@@ -474,6 +492,12 @@ SQL["whatif"] = with_offers(
     f"SELECT {KEYS}, round(score, 6) AS score, {RANK_SQL} AS rank FROM wsc",
     _sim_cte(CHANGES), _eps_score_cte("sim", TOP_VARS))
 
+SQL["supplier_result"] = with_offers(
+    f"""SELECT tender_id, score, rank, offer_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY rank, offer_id) AS n FROM (
+    SELECT {KEYS}, round(score, 6) AS score, {RANK_SQL} AS rank FROM wsc) WHERE supplier = '{WHATIF_SUPPLIER}') WHERE n = 1""",
+    _sim_cte(CHANGES), _eps_score_cte("sim", TOP_VARS))
+
 SQL["whatif_negotiation"] = with_offers(
     f"""SELECT {KEYS}, round(score, 6) AS score, {RANK_SQL} AS rank FROM (
   SELECT *, quality / nullif(price * (1 + 0.01 * delivery_time_days), 0) AS score FROM sim)""",
@@ -526,3 +550,5 @@ SQL["offers_csv_roundtrip"] = with_offers(
     "SELECT offer_id, tender_id, supplier, round(score, 6) AS score FROM scored",
     norm_ctes("compliant", VARIABLES),
     f"scored AS (SELECT *, {score_expr(VARIABLES, EQUAL)} AS score FROM normed)")
+
+SQL["risk_table"] = SQL["risk_raw"]
