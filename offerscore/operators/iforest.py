@@ -4,18 +4,18 @@ Algorithm: Liu, Ting and Zhou, "Isolation Forest" (ICDM 2008), with the
 reference's settings (100 trees, 256 samples per tree, contamination 0.1,
 seed 42).  Bit-for-bit parity with any particular library is not a goal.
 
-1. *Sampling* is content-based: each row draws ``u = hash(key, tree, seed)``
-   per tree; a row is a candidate for a tree when ``u`` falls under a
-   threshold sized for ~4x the sample, and each tree keeps its 256 smallest
-   ``u``.  Only candidate rows are multiplied (``filter`` over the tree ids,
-   then ``explode``) and the result does not depend on partitioning.
-2. *Growing*: ``groupBy("tree").applyInPandas`` builds one tree per group from
-   at most 256 rows (a bounded group) into a node table.
-3. *Scoring*: the node table (at most trees x 511 rows, fixed by the
-   parameters) is shipped to the tasks, and ``mapInPandas`` walks every tree
-   for a whole Arrow batch at once with numpy.
+The same steps serve one forest for the whole table and one per tender, of any size:
+
+1. *Pool*: the ``trees * max_samples`` offers of a tender with the smallest content
+   hash (all, if there are no more).  Spark filters by a threshold on the hash, so only
+   a little more than the pool is shuffled, and the result does not depend on partitions.
+2. *Parts*: a tender's offers are spread by hash over parts of about ``PART`` rows; its
+   pool goes to each of them.  A hot tender is many parts, never one task.
+3. *Growing and scoring*: in a cogroup of a part with its pool, the trees (each a sample
+   of the pool) are grown level by level, all at once, and the part's offers walk them.
+   The random stream depends on the tender alone, so all its parts grow the same forest.
 4. *Labelling*: an offer is an outlier when its score is above the exact
-   ``1 - contamination`` percentile of the scores (skew-safe percentile).
+   ``1 - contamination`` percentile of its tender's scores (skew-safe percentile).
 """
 
 from __future__ import annotations
@@ -25,18 +25,20 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from offerscore.session import track
-from offerscore.operators.stats import percentiles
+from offerscore.operators.stats import attach, group_stats, percentiles
 
 EULER_GAMMA = 0.5772156649015329
-NODE_SCHEMA = ("tree long, node long, feature long, threshold double, left long, right long, "
-               "size long, leaf boolean")
+#: Offers scored by one call, on average.
+PART = 1 << 16
+#: Steps of one vectorised walk (rows times trees).
+WALK = 1 << 17
 
 
 def avg_path(n) -> np.ndarray:
@@ -49,114 +51,99 @@ def avg_path(n) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
-    nodes = []  # (feature, threshold, left, right, size, leaf)
-
-    def build(rows: np.ndarray, depth: int) -> int:
-        idx = len(nodes)
-        nodes.append(None)
-        m = len(rows)
-        if depth >= max_depth or m <= 1:
-            nodes[idx] = (-1, 0.0, -1, -1, m, True)
-            return idx
-        lo, hi = rows.min(axis=0), rows.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            nodes[idx] = (-1, 0.0, -1, -1, m, True)
-            return idx
-        f = int(rng.choice(usable))
-        thr = float(rng.uniform(lo[f], hi[f]))
-        go_left = rows[:, f] <= thr
-        left = build(rows[go_left], depth + 1)
-        right = build(rows[~go_left], depth + 1)
-        nodes[idx] = (f, thr, left, right, m, False)
-        return idx
-
-    build(x, 0)
-    return nodes
-
-
-def _sample(df: DataFrame, key: str, features: list[str], trees: int, psi: int, n: int,
-            seed: int) -> DataFrame:
-    frac = min(1.0, 4.0 * psi / max(n, 1))
-    scale = float(2 ** 62)
-
-    def u(t):
-        return F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(2 ** 62)).cast("double") / scale
-
-    tree_ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(frac))
-    cand = df.select(key, *features, F.explode(tree_ids).alias("tree"))
-    cand = cand.withColumn("_u", u(F.col("tree")))
-    w = Window.partitionBy("tree").orderBy("_u", key)
-    return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
-
-
-def fit_forest(df: DataFrame, features: Sequence[str], key: str = "offer_id", trees: int = 100,
-               max_samples: int = 256, seed: int = 42) -> tuple[pd.DataFrame, int]:
-    """Grow the forest; returns the node table (bounded by the parameters) and psi."""
-    features = list(features)
-    n = df.count()
-    psi = max(1, min(max_samples, n))
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    sample = _sample(df, key, features, trees, psi, n, seed)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values(key)[features].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, t])
-        nodes = _grow(x, rng, max_depth)
-        return pd.DataFrame({
-            "tree": t, "node": np.arange(len(nodes)),
-            "feature": [nd[0] for nd in nodes], "threshold": [nd[1] for nd in nodes],
-            "left": [nd[2] for nd in nodes], "right": [nd[3] for nd in nodes],
-            "size": [nd[4] for nd in nodes], "leaf": [nd[5] for nd in nodes]})
-
-    nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
-    return nodes, psi
-
-
-def _forest_arrays(nodes: pd.DataFrame) -> list:
-    forest = []
-    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        forest.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
-                       g["right"].to_numpy(), g["leaf"].to_numpy(), avg_path(g["size"].to_numpy())))
-    return forest
+def grow(x: np.ndarray, trees: int, psi: int, rng: np.random.Generator):
+    """Feature (-1 in a leaf), threshold and path length of every node, a row for each tree.
 
+    Nodes are numbered as in a heap: the root is 1, the children of ``k`` are ``2k`` and
+    ``2k + 1``.  Every tree grows on ``psi`` rows of ``x`` drawn without replacement.
+    """
+    deepest = int(math.ceil(math.log2(max(psi, 2))))
+    width = 2 << deepest
+    feature = np.full(trees * width, -1, dtype=np.int64)
+    threshold = np.zeros(trees * width)
+    path = np.tile(np.floor(np.log2(np.maximum(np.arange(width), 1))), trees)
+    rows = np.concatenate([rng.choice(len(x), psi, replace=False) for _ in range(trees)])
+    node = np.repeat(np.arange(trees) * width + 1, psi)
+    for depth in range(deepest + 1):
+        if not len(node):
+            break
+        order = np.argsort(node, kind="stable")
+        node, rows = node[order], rows[order]
+        head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        count = np.diff(np.concatenate([head, [len(node)]]))
+        xs = x[rows]
+        lo, hi = np.minimum.reduceat(xs, head, axis=0), np.maximum.reduceat(xs, head, axis=0)
+        usable = hi > lo
+        at, each = node[head], np.arange(len(head))
+        path[at] = depth + avg_path(count)
+        # a random usable feature and a uniform threshold; x <= threshold goes left
+        pick = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
+        cut = lo[each, pick] + rng.random(len(head)) * (hi[each, pick] - lo[each, pick])
+        split = usable.any(axis=1) & (depth < deepest)
+        feature[at[split]], threshold[at[split]] = pick[split], cut[split]
+        group = np.repeat(each, count)
+        inner = split[group]
+        group = group[inner]
+        right = xs[inner, pick[group]] > cut[group]
+        node, rows = node[inner] + node[inner] % width + right, rows[inner]
+    return feature.reshape(trees, width), threshold.reshape(trees, width), path.reshape(trees, width)
+
+
+def mean_paths(x: np.ndarray, forest) -> np.ndarray:
+    """Mean path length of each row of ``x`` over the trees."""
+    feature, threshold, path = forest
+    trees, width = feature.shape
+    nodes, inner = np.arange(trees * width), feature.ravel() >= 0
+    # a leaf leads to itself: nothing is greater than its threshold
+    child = np.where(inner, nodes + nodes % width, nodes).astype(np.int32)
+    cut = np.where(inner, threshold.ravel(), np.inf)
+    column = np.maximum(feature, 0).ravel().astype(np.int32)
+    root = (np.arange(trees, dtype=np.int32) * width + 1)[:, None]
+    out = np.empty(len(x))
+    step = max(1, WALK // trees)
+    for a in range(0, len(x), step):
+        part = x[a:a + step]
+        values, first = part.ravel(), np.arange(len(part), dtype=np.int32) * x.shape[1]
+        node = np.repeat(root, len(part), axis=1)
+        for _ in range(width.bit_length() - 2):
+            right = values.take(column.take(node) + first) > cut.take(node)
+            node = child.take(node) + right
+        out[a:a + step] = path.ravel().take(node).mean(axis=0)
+    return out
 
-def _forest_paths(x: np.ndarray, forest: list) -> np.ndarray:
-    """Mean path length of each row of ``x`` over the trees (vectorised walk)."""
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for feat, thr, left, right, leaf, adj in forest:
-        node = np.zeros(len(x), dtype=np.int64)
-        depth = np.zeros(len(x))
-        active = ~leaf[node]
-        while active.any():
-            nd = node[active]
-            goes_left = x[rows[active], feat[nd]] <= thr[nd]
-            node[active] = np.where(goes_left, left[nd], right[nd])
-            depth[active] += 1.0
-            active = ~leaf[node]
-        total += depth + adj[node]
-    return total / len(forest)
 
+def _matrix(table: pa.Table, variables: list[str]) -> np.ndarray:
+    return np.column_stack([table.column(v).to_numpy() for v in variables]).astype(float)
+
+
+def score(df: DataFrame, variables: Sequence[str], by: Sequence[str], key: str, trees: int, max_samples: int, seed: int,
+          name: str = "anomaly_score") -> DataFrame:
+    """Add ``2 ** (-mean path length / c(samples))`` of each row in its group's forest; a group
+    of one row scores 0.5.  Rows with equal keys and variables share their hash."""
+    by, variables, columns = list(by), list(variables), df.columns
+    space, most = 1 << 62, trees * max_samples
+    sized = attach(df, group_stats(df, by, F.count(F.lit(1)).alias("_n")), by) \
+        .withColumn("_h", F.pmod(F.xxhash64(key, *variables, F.lit(seed)), F.lit(space))) \
+        .withColumn("_parts", F.ceil(F.col("_n") / PART))
+    rows = sized.withColumn("_part", F.pmod(F.xxhash64("_h"), F.col("_parts"))).drop("_n", "_h", "_parts")
+    pool = sized.where(F.col("_h") <= F.lit(float(space)) * (1.25 * most) / F.col("_n")) \
+        .select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[F.col(v).alias(f"_x{i}") for i, v in enumerate(variables)],
+                F.col("_h").alias("_hash"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_pool"))
+
+    def run(part: pa.Table, pool: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return part.select(columns).append_column(name, pa.array([], pa.float64()))
+        drawn = np.argsort(pool.column("_hash").to_numpy(), kind="stable")[:most]
+        values = np.full(part.num_rows, 0.5)
+        psi = min(max_samples, len(drawn))
+        if psi > 1:
+            group = zlib.crc32("\x1f".join(str(part.column(c)[0].as_py()) for c in by).encode())
+            forest = grow(_matrix(pool, [f"_x{i}" for i in range(len(variables))])[drawn], trees, psi, np.random.default_rng([seed, group]))
+            values = np.power(2.0, -mean_paths(_matrix(part, variables), forest) / float(avg_path([psi])[0]))
+        return part.select(columns).append_column(name, pa.array(values))
 
-def score_forest(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], psi: int,
-                 name: str = "anomaly_score") -> DataFrame:
-    """Score every row: ``2 ** (-mean path length / c(psi))`` (vectorised per batch)."""
-    features = list(features)
-    forest = _forest_arrays(nodes)
-    norm = float(avg_path([psi])[0]) or 1.0
-    fidx = {f: i for i, f in enumerate(features)}
     out_schema = StructType(df.schema.fields + [StructField(name, DoubleType())])
-
-    def run(batches):
-        for pdf in batches:
-            x = pdf[list(fidx)].to_numpy(dtype=float)
-            pdf[name] = np.power(2.0, -_forest_paths(x, forest) / norm)
-            yield pdf
-
-    return df.mapInPandas(run, out_schema)
+    return rows.groupBy(*by, "_part").cogroup(pool.groupBy(*[f"_by{i}" for i in range(len(by))], "_pool")).applyInArrow(run, out_schema)
 
 
 def anomalies(df: DataFrame, variables: Sequence[str], contamination: float = 0.1,
@@ -164,201 +151,18 @@ def anomalies(df: DataFrame, variables: Sequence[str], contamination: float = 0.
               max_samples: int = 256, seed: int = 42, by: Sequence[str] | None = None) -> DataFrame:
     """M1: Isolation Forest on the variables (missing as 0); label -1 outlier, 1 normal.
 
-    ``by``: one forest per group (``anomalies_by``)."""
-    if by:
-        return anomalies_by(df, variables, by, contamination, key, keep, trees, max_samples, seed)
-    variables = list(variables)
-    base = df.select(key, *keep, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v)
-                                   for v in variables])
-    nodes, psi = fit_forest(base, variables, key, trees, max_samples, seed)
-    # read twice (the percentile and the labels): score the rows once
-    scored = track(score_forest(base, nodes, variables, psi).persist(StorageLevel.MEMORY_AND_DISK))
-    cut = percentiles(scored, [], "anomaly_score", {"_cut": 1.0 - contamination})
-    out = scored.crossJoin(F.broadcast(cut))
-    out = out.withColumn("anomaly", F.when(F.col("anomaly_score") > F.col("_cut"), -1).otherwise(1))
-    return out.withColumn("anomaly_label", F.when(F.col("anomaly") == -1, "Outlier").otherwise("Normal")) \
-              .drop("_cut")
-
-
-# ---------------------------------------------------------------- per-tender forests
-def _small_forest_paths(x: np.ndarray, trees: int, rng: np.random.Generator) -> np.ndarray:
-    """Mean path length of every row over ``trees`` isolation trees grown on all
-    rows (a group of at most ``max_samples`` rows), vectorised over trees."""
-    n, nf = x.shape
-    max_depth = int(math.ceil(math.log2(max(n, 2))))
-    node = np.zeros((trees, n), dtype=np.int64)
-    tree_of = np.repeat(np.arange(trees), n).reshape(trees, n)
-    row_of = np.tile(np.arange(n), (trees, 1))
-    path = np.zeros((trees, n))
-    active = np.ones((trees, n), dtype=bool)
-    for depth in range(max_depth + 1):
-        if not active.any():
-            break
-        key = tree_of[active] * (1 << (max_depth + 1)) + node[active]
-        rows = row_of[active]
-        order = np.argsort(key, kind="stable")
-        key_s, rows_s = key[order], rows[order]
-        starts = np.flatnonzero(np.r_[True, key_s[1:] != key_s[:-1]])
-        counts = np.diff(np.r_[starts, len(key_s)])
-        xs = x[rows_s]
-        lo = np.minimum.reduceat(xs, starts, axis=0)
-        hi = np.maximum.reduceat(xs, starts, axis=0)
-        usable = hi > lo
-        leaf = (counts <= 1) | ~usable.any(axis=1) | (depth == max_depth)
-        group = np.repeat(np.arange(len(starts)), counts)
-        # rows whose node is a leaf: path = depth + c(size)
-        ends = np.zeros_like(key_s, dtype=bool)
-        ends[:] = leaf[group]
-        t_idx = key_s // (1 << (max_depth + 1))
-        done_t, done_r = t_idx[ends], rows_s[ends]
-        path[done_t, done_r] = depth + avg_path(counts[group][ends])
-        active[done_t, done_r] = False
-        # split the others: random usable feature, uniform threshold, x <= thr goes left
-        pick = rng.random((len(starts), nf))
-        pick[~usable] = -1.0
-        feat = pick.argmax(axis=1)
-        thr = lo[np.arange(len(starts)), feat] + rng.random(len(starts)) * (
-            hi[np.arange(len(starts)), feat] - lo[np.arange(len(starts)), feat])
-        go = ~ends
-        right = x[rows_s[go], feat[group[go]]] > thr[group[go]]
-        node[t_idx[go], rows_s[go]] = node[t_idx[go], rows_s[go]] * 2 + right.astype(np.int64)
-    return path.mean(axis=0)
-
-
-def anomalies_by(df: DataFrame, variables: Sequence[str], by: Sequence[str], contamination: float = 0.1,
-                 key: str = "offer_id", keep: Sequence[str] = ("supplier",), trees: int = 100,
-                 max_samples: int = 256, seed: int = 42) -> DataFrame:
-    """M1 per group: one forest per tender.
-
-    Tenders with at most ``max_samples`` offers (every tree then sees all of
-    them) are grown and scored in one vectorised pass per tender inside
-    ``groupBy(by).applyInPandas`` - groups bounded by ``max_samples`` rows.
-    Larger tenders are all grown in one job from hash samples of at most
-    ``max_samples`` rows per (tender, tree) and scored in broadcast-budgeted
-    batches (``_large_tenders``), so no task ever holds a large tender.  The
-    contamination cut is the skew-safe percentile per tender.
-    """
-    from offerscore.operators.stats import attach, group_stats
-
-    by = list(by)
-    variables = list(variables)
+    ``by``: one forest per group (a missing key is a group of its own), else one for the table."""
+    by, variables = list(by or []), list(variables)
     base = df.select(*by, key, *keep, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v)
                                         for v in variables])
-    sizes = group_stats(base, by, F.count(F.lit(1)).alias("_n"))
-    sized = attach(base, sizes, by)
-    small = sized.where(F.col("_n") <= max_samples).drop("_n")
-    out_schema = StructType(small.schema.fields + [StructField("anomaly_score", DoubleType())])
-
-    def score_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        n = len(pdf)
-        if n <= 1:
-            pdf["anomaly_score"] = 0.5
-            return pdf
-        gkey = zlib.crc32("\x1f".join(str(pdf[c].iloc[0]) for c in by).encode())
-        rng = np.random.default_rng([seed, gkey])
-        paths = _small_forest_paths(pdf[variables].to_numpy(dtype=float), trees, rng)
-        pdf["anomaly_score"] = np.power(2.0, -paths / float(avg_path([n])[0]))
-        return pdf
-
-    scored = small.groupBy(*by).applyInPandas(score_group, out_schema)
-    parts = [scored, _large_tenders(sized.where(F.col("_n") > max_samples), by, variables, key, trees,
-                                    max_samples, seed, out_schema)]
-    allscored = parts[0]
-    for p in parts[1:]:
-        allscored = allscored.unionByName(p)
-    allscored = track(allscored.persist(StorageLevel.MEMORY_AND_DISK))
-    cut = percentiles(allscored, by, "anomaly_score", {"_cut": 1.0 - contamination})
-    out = attach(allscored, cut, by)
+    # read twice (the percentile and the labels): score the rows once
+    scored = track(score(base, variables, by, key, trees, max_samples, seed).persist(StorageLevel.MEMORY_AND_DISK))
+    out = attach(scored, percentiles(scored, by, "anomaly_score", {"_cut": 1.0 - contamination}), by)
     out = out.withColumn("anomaly", F.when(F.col("anomaly_score") > F.col("_cut"), -1).otherwise(1))
     return out.withColumn("anomaly_label", F.when(F.col("anomaly") == -1, "Outlier").otherwise("Normal")) \
               .drop("_cut")
 
 
-def _group_seed(values) -> int:
-    return zlib.crc32("\x1f".join(str(v) for v in values).encode())
-
-
-def _large_tenders(big: DataFrame, by: list[str], variables: list[str], key: str, trees: int,
-                   psi: int, seed: int, out_schema: StructType,
-                   batch_nodes: int = 2_000_000) -> DataFrame:
-    """Forests for tenders above ``psi`` offers, all grown in one job.
-
-    Sampling per (tender, tree) is content-hashed; trees grow in
-    ``groupBy(by + [tree]).applyInPandas`` from at most ``psi`` rows.  Scoring
-    runs in batches of tenders whose node tables together stay under
-    ``batch_nodes`` rows (the broadcast budget); each batch scores its
-    tenders' rows with ``mapInPandas``, so no task holds a whole tender.
-    """
-    from offerscore.operators.stats import materialize
-
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    frac = F.least(F.lit(1.0), F.lit(4.0 * psi) / F.col("_n"))
-    scale = float(2 ** 62)
-
-    def u(t):
-        return F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(2 ** 62)).cast("double") / scale
-
-    tree_ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < frac)
-    cand = big.select(*by, key, *variables, F.explode(tree_ids).alias("tree")) \
-        .withColumn("_u", u(F.col("tree")))
-    w = Window.partitionBy(*by, "tree").orderBy("_u", key)
-    sample = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
-
-    by_fields = [f for f in big.schema.fields if f.name in by]
-    node_schema = StructType(by_fields + list(StructType.fromDDL(NODE_SCHEMA).fields))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["tree"].iloc[0])
-        gvals = [pdf[c].iloc[0] for c in by]
-        x = pdf.sort_values(key)[variables].to_numpy(dtype=float)
-        nodes = _grow(x, np.random.default_rng([seed, _group_seed(gvals), t]), max_depth)
-        out = pd.DataFrame({
-            "tree": t, "node": np.arange(len(nodes)),
-            "feature": [nd[0] for nd in nodes], "threshold": [nd[1] for nd in nodes],
-            "left": [nd[2] for nd in nodes], "right": [nd[3] for nd in nodes],
-            "size": [nd[4] for nd in nodes], "leaf": [nd[5] for nd in nodes]})
-        for c, v in zip(by, gvals):
-            out.insert(0, c, v)
-        return out[[f.name for f in node_schema.fields]]
-
-    nodes = materialize(sample.groupBy(*by, "tree").applyInPandas(grow, node_schema))
-    sizes = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).collect()  # one row per large tender
-    from offerscore.operators.stats import attach
-    batches, cur, used = [], [], 0
-    for row in sizes:
-        if cur and used + row["_k"] > batch_nodes:
-            batches.append(cur)
-            cur, used = [], 0
-        cur.append(tuple(row[c] for c in by))
-        used += row["_k"]
-    if cur:
-        batches.append(cur)
-
-    spark = big.sparkSession
-    key_schema = StructType(by_fields + [StructField("_g", LongType())])
-    norm = float(avg_path([psi])[0])
-    rows = big.drop("_n")
-    parts = []
-    for batch in batches:
-        # tenders go by number from here, so that a missing key is a key like any other
-        keys = F.broadcast(spark.createDataFrame([(*k, g) for g, k in enumerate(batch)], key_schema))
-        pdf_nodes = attach(nodes, keys, by, how="inner").toPandas()
-        forests = {k: _forest_arrays(g.drop(columns=[*by, "_g"])) for k, g in pdf_nodes.groupby("_g")}
-
-        def run(batches_iter, forests=forests):
-            for pdf in batches_iter:
-                pdf = pdf.copy()
-                pdf["anomaly_score"] = np.nan
-                for k, idx in pdf.groupby("_g").groups.items():
-                    x = pdf.loc[idx, variables].to_numpy(dtype=float)
-                    pdf.loc[idx, "anomaly_score"] = np.power(2.0, -_forest_paths(x, forests[k]) / norm)
-                yield pdf.drop(columns="_g")
-
-        parts.append(attach(rows, keys, by, how="inner").mapInPandas(run, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def outliers(labelled: DataFrame) -> DataFrame:
+    """The offers labelled as outliers, with their variables."""
+    return labelled.where(F.col("anomaly") == -1)

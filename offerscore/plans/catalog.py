@@ -582,6 +582,15 @@ def anomalies_by_tender(spark, sf):
                       r6(F.col("anomaly_score")).alias("anomaly_score"), "anomaly", "anomaly_label")
 
 
+@query("outliers")
+def outliers(spark, sf):
+    """The offers that the whole-table forest labels as outliers, with their variables (rows-only check)."""
+    from offerscore.operators.iforest import anomalies as an, outliers as listed
+    c = compliant(spark, sf)
+    variables = P.variable_list(c)
+    return listed(an(c, variables)).select("offer_id", "supplier", r6(F.col("anomaly_score")).alias("anomaly_score"), *variables)
+
+
 # ---------------------------------------------------------------- sources / sinks
 @query("offers_csv_roundtrip")
 def offers_csv_roundtrip(spark, sf):

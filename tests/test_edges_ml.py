@@ -203,8 +203,8 @@ def test_isolation_forest_per_tender(spark):
     df = spark.createDataFrame(pd.concat(frames, ignore_index=True))
     out = anomalies(df, ["price", "quality"], by=["tender_id"]).toPandas().set_index("offer_id")
     assert len(out) == 361
-    assert out.loc["t1-0000", "anomaly"] == -1      # small tender: vectorised path
-    assert out.loc["t2-0000", "anomaly"] == -1      # large tender: distributed path
+    assert out.loc["t1-0000", "anomaly"] == -1
+    assert out.loc["t2-0000", "anomaly"] == -1
     assert out.loc["t3-0000", "anomaly"] == 1
     for t in ("t1", "t2"):
         share = (out[out["tender_id"] == t]["anomaly"] == -1).mean()
@@ -221,3 +221,37 @@ def test_best_offer_min_by(spark, cleaned):
                                "tender_id string, offer_id string, score double")
     got = {r["tender_id"]: r["offer_id"] for r in S.best_offer(df, by=["tender_id"]).collect()}
     assert got == {"t": "b", "u": "d"}
+
+
+def test_isolation_forest_parts_agree(spark, monkeypatch):
+    """A tender cut into many parts is scored as one, and the number of rows decides nothing else."""
+    from offerscore.operators import iforest
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"offer_id": [f"o{i:04d}" for i in range(900)], "tender_id": ["a"] * 257 + ["b"] * 256 + [None] * 387,
+                        "price": rng.normal(100, 9, 900), "quality": rng.normal(8, 2, 900)})
+    df = spark.createDataFrame(pdf, "offer_id string, tender_id string, price double, quality double")
+
+    def scores(by):
+        out = iforest.anomalies(df, ["price", "quality"], keep=[], by=by).toPandas()
+        return out.set_index("offer_id")["anomaly_score"].sort_index()
+    whole, table = scores(["tender_id"]), scores([])
+    monkeypatch.setattr(iforest, "PART", 50)
+    pd.testing.assert_series_equal(scores(["tender_id"]), whole)
+    pd.testing.assert_series_equal(scores([]), table)
+    assert len(whole) == len(table) == 900
+
+
+def test_isolation_forest_path_lengths():
+    """The heap walk against a plain descent of each tree."""
+    from offerscore.operators.iforest import grow, mean_paths
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3)).round(1)
+    feature, threshold, path = grow(x, 7, 64, np.random.default_rng(1))
+
+    def walk(tree, row):
+        k = 1
+        while feature[tree, k] >= 0:
+            k = 2 * k + int(row[feature[tree, k]] > threshold[tree, k])
+        return path[tree, k]
+    want = [np.mean([walk(t, row) for t in range(7)]) for row in x]
+    np.testing.assert_allclose(mean_paths(x, (feature, threshold, path)), want)
