@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import textops as T
 
 Q = 10
+#: Shared q-grams counted, and candidates verified, at a time.
+POSTS, VERIFY = 1 << 20, 1 << 13
 _TABLE_BITS = 22
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -94,6 +96,7 @@ class Patterns:
         self.which, self.place = which[order], place[order]
         self.gram, self.first = np.unique(grams[order], return_index=True)
         self.count = np.diff(np.concatenate([self.first, [len(grams)]]))
+        self.rank = np.repeat(np.arange(len(self.gram)), self.count) * len(self.text) + self.which
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[(self.gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
         self.budget, self.need = np.array(self.budget, dtype=np.int64), np.array(self.need, dtype=np.int64)
@@ -120,9 +123,24 @@ class Patterns:
         doc = np.searchsorted(ends, at, side="right")
         inside = at + Q <= ends[np.minimum(doc, len(ends) - 1)]
         at, slot, doc = at[inside], slot[inside], doc[inside]
-        n = self.count[slot]
+        # stretches of text with a bounded number of shared q-grams, each with the reach of a match behind it
+        reach, upto, a = int((self.length + 2 * self.budget).max()), np.cumsum(self.count[slot]), 0
+        while a < len(at):
+            core = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + POSTS, side="right")))
+            b = int(np.searchsorted(at, at[core - 1] + reach, side="right"))
+            out.update(self._candidates(data, ends, at[a:b], slot[a:b], doc[a:b], 0, len(self.text)))
+            a = core
+        return sorted(out)
+
+    def _candidates(self, data, ends, at, slot, doc, low, high) -> set[tuple[int, int]]:
+        """(text, item) found by patterns low..high-1 among the q-grams at ``at``."""
+        first = np.searchsorted(self.rank, slot * len(self.text) + low)
+        n = np.searchsorted(self.rank, slot * len(self.text) + high) - first
+        if n.sum() > 2 * POSTS and high - low > 1:        # q-grams that many patterns hold
+            middle = (low + high) // 2
+            return self._candidates(data, ends, at, slot, doc, low, middle) | self._candidates(data, ends, at, slot, doc, middle, high)
         row = np.repeat(np.arange(len(at)), n)
-        post = self.first[slot][row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        post = first[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         pattern, place = self.which[post].astype(np.int64), self.place[post].astype(np.int64)
         diagonal = at[row] - place + int(self.length.max())            # from 0 up
         width = self.budget[pattern] + 1
@@ -132,18 +150,19 @@ class Patterns:
         order = np.lexsort(key[::-1])
         key = key[:, order]
         if not key.shape[1]:
-            return sorted(out)
+            return set()
         new_place = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
         new_band = np.concatenate([[True], (key[:3, 1:] != key[:3, :-1]).any(axis=0)])
         head = np.flatnonzero(new_band)
         shared = np.add.reduceat(new_place.astype(np.int64), head)
         good = head[shared >= self.need[key[0, head]]]
-        if len(good):
-            pattern, doc, band = key[0, good], key[1, good], key[2, good]
-            low = band * (self.budget[pattern] + 1) - int(self.length.max())
-            found = self._verify(data, ends, pattern, doc, low)
+        out = set()
+        for part in (good[i:i + VERIFY] for i in range(0, len(good), VERIFY)):
+            pattern, doc, band = key[0, part], key[1, part], key[2, part]
+            base = band * (self.budget[pattern] + 1) - int(self.length.max())
+            found = self._verify(data, ends, pattern, doc, base)
             out.update(zip(doc[found].tolist(), self.item[pattern[found]].tolist()))
-        return sorted(out)
+        return out
 
     def _verify(self, data, ends, pattern, doc, low) -> np.ndarray:
         """Banded alignment of each candidate: whether its pattern, whole, is within its

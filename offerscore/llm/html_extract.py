@@ -52,7 +52,7 @@ def _marked(attributes: str) -> bool:
 def tokens(page: str):
     """(kind, value, in article, dropped) for each piece: kind "tag" with the name, or a text's
     kind (block element, linked) with its decoded text."""
-    stack: list[tuple[str, bool]] = []       # element, whether it began a dropped part
+    stack: list[tuple[str, bool, str]] = []  # element, whether it began a dropped part, block around it
     dropped = article = 0
     block, linked, at = "body", 0, 0
 
@@ -70,23 +70,21 @@ def tokens(page: str):
         if close:
             if any(x[0] == name for x in stack[-64:]):
                 while stack:
-                    top, began = stack.pop()
+                    top, began, block = stack.pop()
                     dropped -= began
                     article -= top == "article"
                     linked -= top == "a"
                     if top == name:
                         break
-                block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "body")
         elif name not in VOID and not m.group(4).rstrip().endswith("/"):
-            if name in ("article", "main"):          # an unclosed menu or form before it does not reach into it
-                stack = [(x, False) for x, _ in stack]
+            if dropped and name in ("article", "main"):      # an unclosed menu or form before it does not reach into it
+                stack = [(x, False, around) for x, _, around in stack]
                 dropped = 0
             elif name in ("p", "li", "td", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
-                top, began = stack.pop()             # closed by the next of its kind
+                _, began, block = stack.pop()        # closed by the next of its kind
                 dropped -= began
-            inside = any(x[0] == "article" for x in stack)
-            bad = name in DROPPED or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and _marked(m.group(4)))
-            stack.append((name, bad))
+            bad = name in DROPPED or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and _marked(m.group(4)))
+            stack.append((name, bad, block))
             dropped += bad
             article += name == "article"
             linked += name == "a"

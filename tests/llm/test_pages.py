@@ -1,5 +1,6 @@
 import gzip
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,29 @@ def test_scan_against_edit_distance():
         assert got == want
 
 
+def test_scan_in_stretches(monkeypatch):
+    """Repetitive items and texts, cut into many stretches and pattern ranges, give the same."""
+    rng = random.Random(15)
+    items = [(k, prose(rng, 6) + " zero" * 20 + " " + prose(rng, 6)) for k in range(9)] + [(9, "na " * 90)]
+    text = " ".join([prose(rng, 9), items[3][1], "zero " * 60, items[7][1][:-2], "na " * 150, prose(rng, 9)])
+    patterns = decontaminate.Patterns(items, 0.05, 128)
+    data, ends = decontaminate.normalise(*textops.buffers(pa.array([text, text[:40], "na " * 120])))
+    whole = patterns.search(data, ends)
+    assert {(0, 3), (0, 7), (0, 9), (2, 9)} <= set(whole)
+    for posts in (20_000, 60_000):
+        monkeypatch.setattr(decontaminate, "POSTS", posts)
+        monkeypatch.setattr(decontaminate, "VERIFY", 50)
+        assert patterns.search(data, ends) == whole
+
+
+def test_html_unclosed_elements():
+    """Many elements without an end cost no more than their number."""
+    start = time.time()
+    page = "<article><p>" + "<b>one more word <i>here</i> <span>" * 20_000 + "</article><div class=menu>" + "<div>x" * 20_000
+    assert html_extract.extract(page, {}) == " ".join(["one more word here"] * 20_000)
+    assert time.time() - start < 20
+
+
 def test_decontaminate(spark, docs, none):
     rng = random.Random(14)
     long = prose(rng, 120)
