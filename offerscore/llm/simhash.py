@@ -3,8 +3,9 @@
 Method: pigeonhole blocks.  A 64-bit fingerprint is split into ``bits + 3`` blocks; two
 fingerprints that differ in at most ``bits`` bits agree on at least three whole blocks.
 Fingerprints are grouped on every choice of three blocks and verified by Hamming distance.
-Only distinct fingerprints are compared, so exact copies cost nothing; and a group of
-many near copies only gives the edges of a spanning forest, not its pairs.
+Only distinct fingerprints are compared, so exact copies cost nothing; a group of many near
+copies only gives the edges of a spanning forest, not its pairs; and a block that very many
+fingerprints share is split by finer blocks of the bits it leaves open.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .graph import components as connected
 
 #: Groups up to this size are compared by neighbours in sorted order, larger ones by search.
 SMALL = 24
+#: Fingerprints of one block that a task compares; a more crowded block is split by finer ones.
+MOST = 1 << 14
 
 
 def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -60,13 +63,25 @@ def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarra
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def _masks(bits: int, agree: int = 3) -> list[int]:
-    """Signed 64-bit masks of every choice of ``agree`` blocks out of ``bits + agree``."""
+    """64-bit masks of every choice of ``agree`` blocks out of ``bits + agree``."""
     n = bits + agree
     cuts = [64 * k // n for k in range(n + 1)]
     blocks = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(n)]
-    masks = [sum(blocks[k] for k in chosen) for chosen in combinations(range(n), agree)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [sum(blocks[k] for k in chosen) for chosen in combinations(range(n), agree)]
+
+
+def _finer(mask: int, bits: int) -> list[int]:
+    """``mask`` with each of ``bits + 1`` blocks of its other positions: fingerprints that agree
+    on ``mask`` and differ in at most ``bits`` bits agree on one of these as well."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    n = bits + 1
+    cuts = [len(free) * k // n for k in range(n + 1)]
+    return [mask | sum(1 << k for k in free[cuts[i]:cuts[i + 1]]) for i in range(n)]
 
 
 def _group_links(values: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -105,30 +120,72 @@ def _links(keys: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*pairs))
 
 
-def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
+def links(store: Store, distinct: DataFrame, bits: int = 4, most: int = MOST) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column ``fp``) at most ``bits`` apart, enough
-    to connect all that are linked."""
+    to connect all that are linked.
+
+    A block that more than ``most`` fingerprints share is not compared by one task: they are
+    keyed again on finer blocks (``_finer``), until each group is small.  A group whose mask
+    leaves ``r`` bits has at most ``2**r`` members, so this ends."""
     def search(batches):
-        held_k, held_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held_k, held_v, crowded = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
 
         def edges(k, v):
             u, w = _links(k, v, bits)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64))], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.nulls(len(u), pa.int32())], names=["u", "v", "mask"])
+
+        def passed_on(k, v):
+            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.nulls(len(v), pa.int64()), pa.array((k & 0xFFFFF).astype(np.int32))],
+                                              names=["u", "v", "mask"])
         for batch in batches:           # sorted by key; a group may go on in the next batch
             if not batch.num_rows:
                 continue
             k = np.concatenate([held_k, batch.column(0).to_numpy()])
             v = np.concatenate([held_v, batch.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(k, k[-1]))
+            cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+            large = (np.diff(cuts) > most) | (k[cuts[:-1]] == crowded if crowded is not None else False)
+            if large.any():
+                out = np.repeat(large, np.diff(cuts))
+                crowded = k[-1] if large[-1] else None
+                yield passed_on(k[out], v[out])
+                k, v = k[~out], v[~out]
+            if not len(k):
+                held_k, held_v = k, v
+                continue
+            cut = len(k) if large[-1] else int(np.searchsorted(k, k[-1]))
             if cut:
                 yield edges(k[:cut], v[:cut])
             held_k, held_v = k[cut:], v[cut:]
         if len(held_k):
             yield edges(held_k, held_v)
 
-    blocks = F.array(*[F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m))) for n, m in enumerate(_masks(bits))])
-    keyed = distinct.select(F.explode(blocks).alias("k"), "fp")
-    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(search, "u long, v long").distinct()
+    masks, todo, found, level = _masks(bits), distinct.select("fp", F.lit(None).cast("int").alias("mask")), None, 0
+    blocks = F.array(*[_block(n, m) for n, m in enumerate(masks)])
+    while True:
+        keyed = todo.select(F.explode(blocks).alias("k"), "fp")
+        if level:
+            keyed = keyed.distinct()            # finer masks of two masks can be the same
+        out = store.write(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(search, "u long, v long, mask int"), f"links{level}")
+        part = out.filter("v is not null").select("u", "v")
+        found = part if found is None else found.unionByName(part)
+        todo = out.filter("v is null").select(F.col("u").alias("fp"), "mask")
+        used = sorted(r["mask"] for r in todo.select("mask").distinct().collect())      # masks, not keys: a short list
+        if not used:
+            return found.distinct()
+        finer = {n: _finer(masks[n], bits) for n in used}
+        masks = sorted({m for ms in finer.values() for m in ms})
+        number = {m: n for n, m in enumerate(masks)}
+        of = F.create_map(*[x for n in used for x in (F.lit(n), F.array(*[F.struct(F.lit(number[m]).alias("n"), F.lit(_signed(m)).alias("m"))
+                                                                         for m in finer[n]]))])
+        blocks = F.transform(F.element_at(of, F.col("mask")), lambda x: _block(x["n"], x["m"]))
+        level += 1
+
+
+def _block(number, mask):
+    """Key of a fingerprint's bits under a mask: a hash, with the mask's number in the low 20 bits."""
+    if isinstance(number, int):
+        number, mask = F.lit(number), F.lit(_signed(mask))
+    return F.shiftleft(F.xxhash64(number, F.col("fp").bitwiseAND(mask)), 20).bitwiseOR(number.cast("long"))
 
 
 def _keys() -> list:
@@ -146,7 +203,7 @@ def _labelled(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), *_keys(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = store.write(rows.mapInArrow(run, "doc_id long, row_id long, text_key long, fp long"), "fingerprints")
     distinct = store.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected(store, links(distinct.select("fp"), bits).select("u", "v"))
+    roots = connected(store, links(store, distinct.select("fp"), bits))
     of = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(store.write(of.join(smallest, "root").select("fp", "root", "component_id"), "labels"), "fp")
