@@ -194,11 +194,11 @@ def ask(table: DataFrame, request) -> DataFrame:
 
 
 def answer(requests: DataFrame, reply) -> DataFrame:
-    """Each shard's requests together: ``reply([bytes, ...])`` returns bytes or None for each."""
+    """Each shard's requests together: ``reply([bytes, ...], shard)`` returns bytes or None for each."""
     def run(group: pa.Table) -> pa.Table:
         shards, ids, payloads = (group[c].to_pylist() for c in ("shard", "chunk_id", "payload"))
         order = np.argsort(ids, kind="stable")     # the same result whatever order the shuffle has
-        out = reply([payloads[i] for i in order])
+        out = reply([payloads[i] for i in order], shards[0])
         return messages([(shards[i], ids[i], data) for i, data in zip(order, out) if data is not None])
     return requests.groupBy("shard").applyInArrow(run, MESSAGE)
 

@@ -144,7 +144,7 @@ def dedup(docs: DataFrame, size: int = 13, max_bits: int = 29, rows: int = ROWS,
         for s, at in X.split(shard, n_shards):
             yield s, X.pack(h1_d=a[at], h2=(b[at] >> np.uint64(32)).astype(np.uint32), least_d=least[at])
 
-    def reply(payloads):
+    def reply(payloads, _):
         got = [X.unpack(p) for p in payloads]
         h1 = np.concatenate([g["h1_d"] for g in got])
         h2 = np.concatenate([g["h2"] for g in got])

@@ -16,7 +16,10 @@ therefore compared among the occurrences of one anchor alone:
 2. the earliest occurrences of anchors with several classes (where copies differ, or a
    passage ends) send the context's bytes.  Each shard builds one suffix array over its
    contexts, read right and left from the anchor.  Suffix order and common prefixes say
-   which windows are equal, byte by byte; all but the earliest are removed.
+   which windows are equal, byte by byte; all but the earliest are removed;
+3. an anchor with more than ``crowded`` classes (a line or passage edge that very many
+   documents share) would be too much for one shard.  Its contexts' windows are spread by
+   their own hash instead, each chunk sending one entry for each distinct window.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ GRAM = 16
 #: Bytes in a symbol of the suffix array.
 SYMBOL = 32
 _ANCHOR_BYTES = 1 << 20
+#: Classes of one anchor that a shard orders in a suffix array.
+CROWDED = 1 << 14
 
 
 # -- suffix array ---------------------------------------------------------------------------
@@ -219,9 +224,9 @@ def _classes(columns, n_shards: int):
     return number, a[new], c[new], X.shard_of(a[new], n_shards), order[new]
 
 
-def _reply_classes(payloads):
+def _reply_classes(payloads, crowded: int):
     """For every class a chunk asked for: 1 if its earliest occurrence is in that chunk
-    (by value), plus 2 if the anchor has several classes."""
+    (by value), plus 2 if the anchor has several classes, plus 4 if it has over ``crowded``."""
     got = [X.unpack(p) for p in payloads]
     anchor, context, ids, pos = (np.concatenate([g[k] for g in got]) for k in ("anchor_d", "context", "id", "pos"))
     order = np.lexsort((pos, ids, context, anchor))
@@ -231,7 +236,8 @@ def _reply_classes(payloads):
     head = order[new][np.cumsum(new) - 1]
     classes = np.bincount(np.cumsum(new_a) - 1, weights=new)[np.cumsum(new_a) - 1]
     code = np.empty(len(order), dtype=np.uint8)
-    code[order] = ((ids[order] == ids[head]) & (pos[order] == pos[head])) + 2 * (classes > 1).astype(np.uint8)
+    code[order] = ((ids[order] == ids[head]) & (pos[order] == pos[head])) + 2 * (classes > 1).astype(np.uint8) \
+        + 4 * (classes > crowded).astype(np.uint8)
     cut = np.cumsum([0] + [len(g["id"]) for g in got])
     return [X.pack(code=code[i:j]) for i, j in zip(cut, cut[1:])]
 
@@ -243,6 +249,44 @@ def _codes(replies: dict, shard: np.ndarray, n_shards: int) -> np.ndarray:
     return code
 
 
+def _spread(pieces, columns, rows: np.ndarray, length: int, n_shards: int):
+    """The windows of the contexts in ``rows``, distinct by content: for each window its row,
+    start in its piece and key number; for each key two hashes, the earliest (id, position)
+    in the chunk and the shard."""
+    ids, pos, offset, size, anchor, _, low, piece = (c[rows] for c in columns)
+    n = size - length + 1
+    of = np.repeat(np.arange(len(rows)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start, h, second = low[of] + step, np.empty(len(of), dtype=np.uint64), np.empty(len(of), dtype=np.uint64)
+    for k in np.unique(piece):
+        mine = np.flatnonzero(piece[of] == k)
+        h[mine], second[mine] = (T.span_hash(pieces[k][1], start[mine], start[mine] + length, seed) for seed in (0, 1))
+    with np.errstate(over="ignore"):
+        second ^= T.mix(anchor[of] + (offset[of] - step).astype(np.uint64))      # the anchor and its place in the window
+    ids, at = ids[of], pos[of] + step
+    order = np.lexsort((at, ids, second, h))
+    a, b = h[order], second[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
+    return rows[of], start, ids, at, number, h[first], second[first], ids[first], at[first], X.shard_of(h[first], n_shards)
+
+
+def _reply_spread(payloads):
+    """For every window a chunk asked for: whether it starts earlier elsewhere."""
+    got = [X.unpack(p) for p in payloads]
+    h, second, ids, pos = (np.concatenate([g[k] for g in got]) for k in ("h_d", "second", "id", "pos"))
+    order = np.lexsort((pos, ids, second, h))
+    a, b = h[order], second[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    head = order[new][np.cumsum(new) - 1]
+    later = np.empty(len(order), dtype=bool)
+    later[order] = (ids[order] != ids[head]) | (pos[order] != pos[head])
+    cut = np.cumsum([0] + [len(g["id"]) for g in got])
+    return [X.pack(later=np.packbits(later[i:j])) for i, j in zip(cut, cut[1:])]
+
+
 def repeated_windows(data, starts, offset, size, group, ids, pos, length: int) -> np.ndarray:
     """For contexts that share anchors: which windows also start earlier.
 
@@ -316,7 +360,7 @@ def _reply_windows(payloads, length: int):
     return out
 
 
-def dedup(docs: DataFrame, length: int = 100, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, with_text: bool = True, carry: tuple[str, ...] = (), crowded: int = CROWDED) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts earlier: in a
     document with a smaller ``doc_id``, or earlier in the same one.  Overlaps count, matches
     never cross documents, and strings are judged on the input.
@@ -348,26 +392,42 @@ def dedup(docs: DataFrame, length: int = 100, with_text: bool = True, carry: tup
         if columns is not None and len(columns[0]):
             ids, pos, offset, size, anchor, _, low, piece = columns
             _, _, _, shard, head = _classes(columns, n_shards)
-            open_ = np.sort(head[_codes(replies, shard, n_shards) == 3])
+            code = _codes(replies, shard, n_shards)
+            open_ = np.sort(head[code == 3])
             for s, at in X.split(X.shard_of(anchor[open_], n_shards), n_shards):
                 row = open_[at]
                 data = np.concatenate([pieces[p][1][i:i + n] for p, i, n in zip(piece[row].tolist(), low[row].tolist(), size[row].tolist())])
                 rows.append((n_shards + s, chunk, X.pack(anchor=anchor[row], id=ids[row], pos=pos[row], offset=offset[row].astype(np.int16),
                                                          size=size[row].astype(np.int16), row=row.astype(np.int32), data=data)))
+            *_, h, second, first_id, first_at, target = _spread(pieces, columns, np.sort(head[code == 7]), length, n_shards)
+            for s, at in X.split(target, n_shards):
+                rows.append((2 * n_shards + s, chunk, X.pack(h_d=h[at], second=second[at], id=first_id[at], pos=first_at[at].astype(np.int64))))
         return X.messages(rows)
 
+    def settle(payloads, shard):
+        return _reply_spread(payloads) if shard >= 2 * n_shards else _reply_windows(payloads, length)
+
     def work(payload, replies, chunk):
         pieces, columns = _anchors(payload, length)
         steps = [np.zeros(len(data) + 1, dtype=np.int32) for _, data, _ in pieces]
         if columns is not None and len(columns[0]):
             ids, pos, _, size, _, _, low, piece = columns
             number, _, _, shard, head = _classes(columns, n_shards)
-            mine = (_codes(replies, shard, n_shards) & 1).astype(bool)
+            code = _codes(replies, shard, n_shards)
+            mine = (code & 1).astype(bool)
             first = head[number]
             gone = ~mine[number] | (ids != ids[first]) | (pos != pos[first])
             begin, stop, where = [low[gone]], [(low + size)[gone]], [piece[gone]]
+            row, start, id_, at_, key, _, _, first_id, first_at, target = _spread(pieces, columns, np.sort(head[code == 7]), length, n_shards)
+            later = np.zeros(len(target), dtype=bool)
+            for s, at in X.split(target, n_shards):
+                later[at] = np.unpackbits(X.unpack(replies[2 * n_shards + s])["later"], count=len(at)).astype(bool)
+            hit = later[key] | (id_ != first_id[key]) | (at_ != first_at[key])
+            begin.append(start[hit])
+            stop.append(start[hit] + length)
+            where.append(piece[row[hit]])
             for s, data in replies.items():
-                if s >= n_shards:
+                if n_shards <= s < 2 * n_shards:
                     got = X.unpack(data)
                     begin.append(low[got["row"]] + got["first"])
                     stop.append(low[got["row"]] + got["last"] + length)
@@ -402,9 +462,9 @@ def dedup(docs: DataFrame, length: int = 100, with_text: bool = True, carry: tup
         rows = X.unpack_batch(payload) if carry else None
         return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()} | {f"carried_{k}": rows.column(k + 2) for k in range(len(carry))})
 
-    first = store.write(X.answer(X.ask(table, request), _reply_classes), "classes")
+    first = store.write(X.answer(X.ask(table, request), lambda payloads, _: _reply_classes(payloads, crowded)), "classes")
     asked = X.finish(table, first, contexts, X.MESSAGE)
-    second = store.write(X.answer(asked, lambda payloads: _reply_windows(payloads, length)), "windows")
+    second = store.write(X.answer(asked, settle), "windows")
     out = X.finish(table, first.unionByName(second), work,
                    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text binary"
                    + "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)))

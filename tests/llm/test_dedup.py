@@ -73,14 +73,28 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup.dedup(none).collect() == []
 
 
-def test_suffix_dedup_random(spark):
+@pytest.mark.parametrize("crowded", [suffix_dedup.CROWDED, 3, 1])       # windows of crowded anchors are spread, with the same result
+def test_suffix_dedup_random(spark, crowded):
     rng = random.Random(6)
     parts = ["".join(rng.choice("abcé ") for _ in range(rng.randint(20, 60))) for _ in range(14)]
     rows = [(k // 2 if k < 6 else k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for k in range(60)]
-    out = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 50)
+    out = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 50, crowded=crowded)
     same(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.byte_strings(rows, 50))
 
 
+def test_suffix_dedup_of_a_line_in_many_contexts(spark):
+    rng = random.Random(9)
+    line = "all rights reserved, see the terms of use and the privacy notice"
+    letters = "abcdefghij klmno"
+    rows = [(k, "".join(rng.choice(letters) for _ in range(rng.randint(0, 150))) + line[: rng.choice([30, 64])]
+             + rng.choice(["", "abc", "xyz"]) + "".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 90])))) for k in range(80)]
+    rows += [(200 + k, rows[k][1]) for k in range(5)] + [(3, rows[7][1])]
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for crowded in (2, suffix_dedup.CROWDED):
+        out = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 70, crowded=crowded)
+        same(out.select(*cols), brute.byte_strings(rows, 70))
+
+
 def test_simhash(docs, rows, none):
     same(simhash.components(docs), brute.components(rows))
     assert simhash.components(none).collect() == []
