@@ -3,22 +3,27 @@
 The fitted models are tiny (a d x 2 loading matrix, d importances), so they
 come back to the driver; the data itself only flows through MLlib's
 distributed fits and through JVM column expressions for the projection.
-Rows with a missing variable are dropped and counted (quirk Q12).
+Rows with a missing variable are dropped and counted (quirk Q12).  Per group, the
+components come from the group's moments (one aggregate), so no group's rows are gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerscore.operators.prepare import resolve_columns
+from offerscore.operators.stats import attach, group_stats
 
 RF_TREES = 100      # reference default
-RF_MAX_DEPTH = 10   # MLlib caps depth at 30; 10 bounds the cost (SURVEY H6)
+RF_MAX_DEPTH = 10   # the driver holds the model: at most 2**depth leaves a tree (SURVEY H6)
+RF_MAX_BINS = 32    # split points a variable is cut into, less one
 SEED = 42
 
 
@@ -81,9 +86,58 @@ def pca2(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = ("offer_
     return z.select(*keys, *comps), loadings
 
 
+def pca_by(df: DataFrame, variables: Sequence[str], by: Sequence[str],
+           keys: Sequence[str] = ("offer_id", "supplier"), k: int = 2) -> DataFrame:
+    """M2 per group: ``by``, ``keys`` and pc1..pck of every row without a missing variable.
+
+    Means, deviations and covariances of all groups are one aggregate; the components of a
+    group's correlation matrix (d x d, whatever its size) are found next to it and joined
+    back.  A constant variable scores 0; correlations below 1e-9 count as 0; components with
+    equal variance follow the order of ``variables``; each one's largest loading (the first
+    on ties) is positive.  A missing key is a group of its own.
+    """
+    variables, by = list(variables), list(by)
+    d = len(variables)
+    if not 1 <= k <= d:
+        raise ValueError("k must be between 1 and the number of variables")
+    kept, _ = complete_rows(df, variables)
+    pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
+    x = [F.col(v) for v in variables]
+    moments = group_stats(kept, by, F.array(*[F.avg(c) for c in x]).alias("_mean"), F.array(*[F.stddev_pop(c) for c in x]).alias("_std"),
+                          F.array(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).cast("array<double>").alias("_cov"))
+
+    def components(batches):
+        rows, cols = [p[0] for p in pairs], [p[1] for p in pairs]
+        for batch in batches:
+            n = batch.num_rows
+            std = np.array(batch.column("_std").to_pylist(), dtype=float).reshape(n, d)
+            corr = np.zeros((n, d, d))
+            corr[:, range(d), range(d)] = std > 0
+            if pairs:
+                cov = np.array(batch.column("_cov").to_pylist(), dtype=float).reshape(n, len(pairs))
+                scale = std[:, rows] * std[:, cols]
+                r = np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 0)
+                corr[:, rows, cols] = corr[:, cols, rows] = np.where(np.abs(r) < 1e-9, 0.0, r)
+            values, vectors = np.linalg.eigh(corr)
+            first = np.argsort(-values.round(12), axis=1, kind="stable")[:, :k]
+            loads = np.take_along_axis(vectors, first[:, None, :], axis=2)
+            lead = (np.abs(loads) >= np.abs(loads).max(axis=1, keepdims=True) - 1e-9).argmax(axis=1)
+            loads = loads * np.where(np.take_along_axis(loads, lead[:, None, :], axis=1) < 0, -1.0, 1.0)
+            out = pa.array(loads.reshape(n, d * k).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "_load"])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moments.schema.fields)
+    found = moments.mapInArrow(components, f"{kind}, _load array<double>")
+    out = attach(kept.select(*dict.fromkeys([*by, *keys, *variables])), found, by)
+    z = [F.when(F.col("_std")[i] > 0, (c - F.col("_mean")[i]) / F.col("_std")[i]).otherwise(F.lit(0.0)) for i, c in enumerate(x)]
+    comps = [sum((z[i] * F.col("_load")[i * k + j] for i in range(d)), F.lit(0.0)).alias(f"pc{j + 1}") for j in range(k)]
+    return out.select(*dict.fromkeys([*by, *keys]), *comps)
+
+
 def rf_importance(df: DataFrame, target: str, features: Sequence[str], trees: int = RF_TREES,
-                  max_depth: int = RF_MAX_DEPTH, seed: int = SEED) -> DataFrame:
-    """Random-forest importances of ``features`` for ``target``, sorted, ranked 1..d."""
+                  max_depth: int = RF_MAX_DEPTH, max_bins: int = RF_MAX_BINS, seed: int = SEED) -> DataFrame:
+    """Random-forest importances of ``features`` for ``target``, sorted, ranked 1..d (W6), with
+    the number of rows left out (a missing value) and the depth and bins that limit the trees."""
     feats = [f for f in dict.fromkeys(features) if f != target]
     kept, dropped = complete_rows(df, [*feats, target])
     vec = VectorAssembler(inputCols=feats, outputCol="_features").transform(kept)
@@ -92,7 +146,7 @@ def rf_importance(df: DataFrame, target: str, features: Sequence[str], trees: in
     # every level; node batches keep MLlib's default memory budget (256 MB),
     # which fits a default-sized heap
     rf = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees,
-                               featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
+                               featureSubsetStrategy="all", maxDepth=max_depth, maxBins=max_bins, seed=seed,
                                cacheNodeIds=True)
     model = rf.fit(vec)
     imp = model.featureImportances.toArray().tolist()
@@ -100,7 +154,7 @@ def rf_importance(df: DataFrame, target: str, features: Sequence[str], trees: in
     rows = [(feats[i], float(imp[i]), r + 1) for r, i in enumerate(order)]
     spark = df.sparkSession
     table = spark.createDataFrame(rows, "variable string, importance double, rank long")
-    return table.crossJoin(dropped)
+    return table.crossJoin(dropped).withColumn("max_depth", F.lit(max_depth)).withColumn("max_bins", F.lit(max_bins))
 
 
 def price_importance(df: DataFrame, variables: Sequence[str], **kw) -> DataFrame:

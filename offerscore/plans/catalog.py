@@ -515,6 +515,16 @@ def whatif_impact(spark, sf):
                       r6(F.col("score_change")).alias("score_change"), "rank_change")
 
 
+@query("whatif_flow")
+def whatif_flow(spark, sf):
+    """Importances, change and impact in one flow: the five variables that matter most for the
+    score re-score the change (MLlib random forest, rows-only check)."""
+    from offerscore.plans.pipeline import whatif_flow as flow
+    scored, variables = _scored_raw(spark, sf)
+    out = flow(scored, variables, WHATIF_SUPPLIER, WHATIF_CHANGES, by=BY)["impact"]
+    return out.select("offer_id", "supplier", "rank_before", "rank_after", r6(F.col("score_change")).alias("score_change"), "rank_change")
+
+
 @query("sensitivity")
 def sensitivity(spark, sf):
     from offerscore.operators.whatif import sensitivity as sens
@@ -555,6 +565,14 @@ def pca2_all(spark, sf):
     return out.select("offer_id", "supplier", r6(F.col("pc1")).alias("pc1"), r6(F.col("pc2")).alias("pc2"))
 
 
+@query("pca2_by_tender")
+def pca2_by_tender(spark, sf):
+    """Price and quality on the principal components of each tender."""
+    from offerscore.operators.ml import pca_by
+    out = pca_by(compliant(spark, sf), ["price", "quality"], BY, keys=KEYS)
+    return out.select(*KEYS, r6(F.col("pc1")).alias("pc1"), r6(F.col("pc2")).alias("pc2"))
+
+
 @query("price_importance")
 def price_importance(spark, sf):
     from offerscore.operators.ml import price_importance as pi

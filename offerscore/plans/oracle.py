@@ -545,6 +545,17 @@ FROM (SELECT offer_id, supplier,
         corr(price, quality) OVER () AS r
       FROM compliant WHERE price IS NOT NULL AND quality IS NOT NULL)""")
 
+SQL["pca2_by_tender"] = with_offers(
+    """SELECT offer_id, tender_id, supplier,
+  round(CASE WHEN abs(c) >= 1e-9 THEN (z1 + sign(c) * z2) / sqrt(2) WHEN s1 = 0 THEN z2 ELSE z1 END, 6) + 0.0 AS pc1,
+  round(CASE WHEN abs(c) >= 1e-9 THEN (z1 - sign(c) * z2) / sqrt(2) WHEN s1 = 0 THEN z1 ELSE z2 END, 6) + 0.0 AS pc2
+FROM (SELECT *, avg(z1 * z2) OVER (PARTITION BY tender_id) AS c
+      FROM (SELECT offer_id, tender_id, supplier, stddev_pop(price) OVER w AS s1,
+                   CASE WHEN stddev_pop(price) OVER w > 0 THEN (price - avg(price) OVER w) / stddev_pop(price) OVER w ELSE 0.0 END AS z1,
+                   CASE WHEN stddev_pop(quality) OVER w > 0 THEN (quality - avg(quality) OVER w) / stddev_pop(quality) OVER w ELSE 0.0 END AS z2
+            FROM compliant WHERE price IS NOT NULL AND quality IS NOT NULL
+            WINDOW w AS (PARTITION BY tender_id)))""")
+
 # ---------------------------------------------------------------- sources / sinks
 SQL["offers_csv_roundtrip"] = with_offers(
     "SELECT offer_id, tender_id, supplier, round(score, 6) AS score FROM scored",

@@ -3,6 +3,7 @@
 Flow 1 (upload -> ranked CSV): read, keep compliant offers, coerce numbers,
 pick variables, weight, normalise, score, rank, optionally write.
 Flow 2 (ranked -> analytics): anomalies, PCA, price importance, risk.
+Flow 3 (scored -> what-if): top variables, simulated change, impact, sensitivity.
 
 Every step is one library operator; the cleaned offers are persisted once
 because every later step reads them.
@@ -62,3 +63,23 @@ def analytics(ranking: Ranking, by: Sequence[str] | None = None, key: str = "off
         out["price_importance"] = price_importance(ranking.cleaned, ranking.variables)
     out["risk"] = risk_table(risk_scores(ranking.ranked, by=by), keys=(key, "supplier"))
     return out
+
+
+def whatif_flow(scored: DataFrame, variables: Sequence[str], supplier: str, changes: Mapping[str, float],
+                by: Sequence[str] | None = None, top: int = 5, points: int = 5, **forest) -> dict[str, DataFrame]:
+    """Flow 3: the ``top`` variables that matter most for the score (M5, K5) are those that
+    the change is re-scored by (X1-X3), compared with the table as it is (X4) and varied (X5).
+
+    Returns ``importance``, ``result`` (the re-ranked table), ``supplier_result``, ``impact``
+    and ``sensitivity``.  ``forest`` goes to the importances (trees, max_depth, ...).  A
+    variable of ``changes`` that is not among the top ones does not move the score.
+    """
+    from offerscore.operators import whatif as X
+    from offerscore.operators.ml import score_importance
+    scored = track(scored.persist(StorageLevel.MEMORY_AND_DISK))
+    importance = track(score_importance(scored, variables, top=top, **forest).persist(StorageLevel.MEMORY_AND_DISK))
+    names = [r["variable"] for r in importance.orderBy("rank").collect()]       # at most ``top``
+    after = X.whatif(scored, supplier, changes, names, by=by)
+    before = X.whatif(scored, supplier, {}, names, by=by)
+    return {"importance": importance, "result": after, "supplier_result": X.supplier_result(after, supplier, by=by),
+            "impact": X.whatif_impact(before, after, by=by), "sensitivity": X.sensitivity(scored, supplier, names, points=points, by=by)}

@@ -255,3 +255,42 @@ def test_isolation_forest_path_lengths():
         return path[tree, k]
     want = [np.mean([walk(t, row) for t in range(7)]) for row in x]
     np.testing.assert_allclose(mean_paths(x, (feature, threshold, path)), want)
+
+
+def test_pca_by_group_matches_numpy(spark):
+    from offerscore.operators.ml import pca_by
+    rng = np.random.default_rng(3)
+    rows = []
+    for t in ("x", "y", None):
+        base = rng.normal(size=(30, 3))
+        base[:, 1] += {"x": 2, "y": -3, None: 1}[t] * base[:, 0]
+        rows += [(f"{t}{i}", t, *map(float, r)) for i, r in enumerate(base)]
+    rows += [("one", "single", 1.0, 2.0, 3.0), ("gap", "x", None, 1.0, 1.0)]
+    rows += [(f"flat{i}", "flat", 5.0, float(i), 1.0) for i in range(4)]           # two constant variables
+    df = spark.createDataFrame(rows, "offer_id string, tender string, a double, b double, c double").repartition(4)
+    got = {r["offer_id"]: (r["pc1"], r["pc2"]) for r in pca_by(df, ["a", "b", "c"], ["tender"], keys=["offer_id"]).collect()}
+    assert len(got) == len(rows) - 1 and "gap" not in got
+    for t in ("x", "y", None):
+        mine = [r for r in rows if r[1] == t and r[2] is not None]
+        m = np.array([r[2:] for r in mine])
+        z = (m - m.mean(axis=0)) / m.std(axis=0)
+        w, v = np.linalg.eigh(z.T @ z / len(z))
+        v = v[:, np.argsort(-w)][:, :2]
+        v = v * np.sign(v[np.abs(v).argmax(axis=0), [0, 1]])
+        assert np.allclose([got[r[0]] for r in mine], z @ v)
+    assert got["one"] == (0.0, 0.0)
+    z = (np.arange(4) - 1.5) / np.arange(4).std()
+    assert np.allclose([got[f"flat{i}"] for i in range(4)], np.stack([z, np.zeros(4)], axis=1))
+
+
+def test_whatif_flow_rescores_by_the_variables_that_matter(spark):
+    from offerscore.plans.pipeline import whatif_flow
+    rng = np.random.default_rng(4)
+    rows = [(f"o{i}", f"s{i % 20}", float(a), float(b), float(5 * a + 0.1 * b)) for i, (a, b) in enumerate(rng.random((200, 2)))]
+    df = spark.createDataFrame(rows, "offer_id string, supplier string, a double, b double, score double")
+    out = whatif_flow(df, ["a", "b"], "s3", {"a": 2.0}, top=1, points=3, trees=5, max_depth=4)
+    assert [(r["variable"], r["max_depth"]) for r in out["importance"].collect()] == [("a", 4)]
+    assert out["supplier_result"].first()["rank"] == 1                  # the change puts the supplier above all others
+    moved = {r["offer_id"]: r["rank_change"] for r in out["impact"].collect()}
+    assert len(moved) == 200 and all(moved[f"o{i}"] >= 0 for i in range(3, 200, 20))
+    assert sorted({r["variable"] for r in out["sensitivity"].collect()}) == ["a"]
