@@ -53,6 +53,7 @@ def tokens(page: str):
     """(kind, value, in article, dropped) for each piece: kind "tag" with the name, or a text's
     kind (block element, linked) with its decoded text."""
     stack: list[tuple[str, bool, str]] = []  # element, whether it began a dropped part, block around it
+    opened: Counter = Counter()              # elements of the stack by name
     dropped = article = 0
     block, linked, at = "body", 0, 0
 
@@ -68,9 +69,10 @@ def tokens(page: str):
         name, close = name.lower(), bool(m.group(2))
         yield "tag", name, article > 0, dropped > 0
         if close:
-            if any(x[0] == name for x in stack[-64:]):
+            if opened[name]:
                 while stack:
                     top, began, block = stack.pop()
+                    opened[top] -= 1
                     dropped -= began
                     article -= top == "article"
                     linked -= top == "a"
@@ -82,9 +84,11 @@ def tokens(page: str):
                 dropped = 0
             elif name in ("p", "li", "td", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
                 _, began, block = stack.pop()        # closed by the next of its kind
+                opened[name] -= 1
                 dropped -= began
             bad = name in DROPPED or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and _marked(m.group(4)))
             stack.append((name, bad, block))
+            opened[name] += 1
             dropped += bad
             article += name == "article"
             linked += name == "a"

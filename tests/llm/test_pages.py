@@ -163,3 +163,8 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.scan(none, bench).collect() == []
     assert decontaminate.scan(table, bench.filter("false")).collect() == []
     assert decontaminate.clean(table, bench.filter("false")).count() == table.count()
+
+
+def test_an_element_is_closed_from_any_depth():
+    page = "<body><nav>" + "<div>" * 300 + "menu words " * 20 + "</nav><p>" + "article words " * 20 + "</p></body>"
+    assert html_extract.extract(page, {}) == ("article words " * 20).strip()
