@@ -7,6 +7,10 @@ document is looked up in the patterns; shared q-grams are counted in overlapping
 diagonals (each diagonal lies in two, so a match lies whole in one); bands that meet the
 bound are verified by banded alignment.  Documents are only scanned: nothing is shuffled.
 
+Quotes of a part of an item are found the same way: within a band, shared q-grams are also
+counted in every window of ``quote`` bytes of a pattern, at each byte.  Patterns overlap by
+half, so with ``quote`` at most half of ``piece`` every window of an item lies whole in one.
+
 The pattern index is broadcast in blocks of at most ``block_bytes`` of item text; a larger
 benchmark is searched block by block.
 """
@@ -68,7 +72,13 @@ def _grams(data: np.ndarray) -> np.ndarray:
 class Patterns:
     """Index of a block of items: patterns, edit budgets, and q-gram positions."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, piece: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float, piece: int, quote: int = 0):
+        #: Bytes of a window (0: patterns are only found whole), its edit budget and the q-grams it needs.
+        self.quote = min(quote, piece // 2)
+        self.quote_budget = max(0, min(int(rate * self.quote), (self.quote - Q) // Q))
+        self.quote_need = self.quote - Q + 1 - self.quote_budget * Q
+        if self.quote and self.quote < 2 * Q:
+            raise ValueError(f"quote and half of piece must be at least {2 * Q}")
         self.item, self.text, self.budget, self.need, self.short = [], [], [], [], []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -102,6 +112,7 @@ class Patterns:
         self.budget, self.need = np.array(self.budget, dtype=np.int64), np.array(self.need, dtype=np.int64)
         self.length = np.array([len(t) for t in self.text], dtype=np.int64)
         self.item = np.array(self.item, dtype=np.int64)
+        self.item_number = np.unique(self.item, return_inverse=True)[1]
 
     def search(self, data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
         """(text, item) found in normalised back-to-back texts."""
@@ -162,26 +173,72 @@ class Patterns:
             base = band * (self.budget[pattern] + 1) - int(self.length.max())
             found = self._verify(data, ends, pattern, doc, base)
             out.update(zip(doc[found].tolist(), self.item[pattern[found]].tolist()))
+        return out | self._quotes(data, ends, key[:, new_place], out) if self.quote else out
+
+    def _quotes(self, data, ends, key, known) -> set[tuple[int, int]]:
+        """(text, item) of which a window is found, besides ``known``; ``key`` has the distinct
+        (pattern, text, band, place) of shared q-grams in order."""
+        need, span = self.quote_need, self.quote - Q
+        if key.shape[1] < need:
+            return set()
+        size = int(self.length.max()) + self.quote
+        head = np.concatenate([[True], (key[:3, 1:] != key[:3, :-1]).any(axis=0)])
+        group = np.cumsum(head) - 1
+        code = group * size + key[3]
+        # windows that hold the need-th q-gram from i on begin in first..last; both grow with i
+        i = np.flatnonzero(code[need - 1:] - code[:len(code) - need + 1] <= span)
+        i = i[self.length[key[0, i]] >= self.quote]
+        if not len(i):
+            return set()
+        zero = group[i] * size
+        first = np.maximum(code[i + need - 1] - span, zero)
+        last = np.minimum(code[i], zero + self.length[key[0, i]] - self.quote)
+        first[1:] = np.maximum(first[1:], last[:-1] + 1)
+        n = np.maximum(last - first + 1, 0)
+        i, start = np.repeat(i, n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        shared = np.searchsorted(code, start + span, side="right") - np.searchsorted(code, start)
+        pattern, doc, band, start = key[0, i], key[1, i], key[2, i], start - group[i] * size
+        # the fullest windows of a text and item first, ever more of them until one is found
+        pair = doc * (int(self.item_number.max()) + 1) + self.item_number[pattern]
+        order = np.lexsort((-shared, pair))
+        out, ask = set(), 1
+        left = order[[(d, t) not in known for d, t in zip(doc[order].tolist(), self.item[pattern[order]].tolist())]]
+        while len(left):
+            mine = pair[left]
+            new = np.concatenate([[True], mine[1:] != mine[:-1]])
+            nth = np.arange(len(left)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            now, hit = left[nth < ask], np.zeros(0, dtype=np.int64)
+            for part in (now[j:j + VERIFY] for j in range(0, len(now), VERIFY)):
+                base = band[part] * (self.budget[pattern[part]] + 1) - int(self.length.max())
+                found = part[self._verify(data, ends, pattern[part], doc[part], base, start[part])]
+                hit = np.concatenate([hit, pair[found]])
+                out.update(zip(doc[found].tolist(), self.item[pattern[found]].tolist()))
+            left = left[(nth >= ask) & ~np.isin(mine, hit)]
+            ask *= 4
         return out
 
-    def _verify(self, data, ends, pattern, doc, low) -> np.ndarray:
+    def _verify(self, data, ends, pattern, doc, low, start=None) -> np.ndarray:
         """Banded alignment of each candidate: whether its pattern, whole, is within its
-        edit budget of some stretch of the text on the band's diagonals (and ``k`` beyond)."""
-        k = self.budget[pattern]
+        edit budget of some stretch of the text on the band's diagonals (and ``k`` beyond);
+        with ``start``, whether the pattern's window from there is."""
+        reach = self.budget[pattern]
+        if start is None:
+            start, length, k = np.zeros(len(pattern), dtype=np.int64), self.length[pattern], reach
+        else:
+            length, k = np.full(len(pattern), self.quote), np.full(len(pattern), self.quote_budget)
         begin = np.concatenate([[0], ends])[doc]
         end = ends[doc]
-        wide = int((4 * k + 3).max())
-        base = low - k                                   # first diagonal
+        wide = int((2 * reach + 2 * k + 3).max())
+        base = low - k + start                           # first diagonal
         offsets = np.arange(wide)
-        n, most = len(pattern), int(self.length[pattern].max())
+        n, most = len(pattern), int(length.max())
         letters = np.zeros((n, most), dtype=np.int16)
-        for i, p in enumerate(pattern.tolist()):
-            letters[i, :self.length[p]] = self.text[p]
+        for i, (p, a) in enumerate(zip(pattern.tolist(), start.tolist())):
+            letters[i, :length[i]] = self.text[p][a:a + length[i]]
         big = 1 << 20
         # cost[j]: pattern so far against text that ends before base + row + j
         cost = np.where((base[:, None] + offsets >= begin[:, None]) & (base[:, None] + offsets <= end[:, None]), 0, big)
         best = np.full(n, big)
-        length = self.length[pattern]
         for row in range(most):
             at = base[:, None] + row + offsets
             ok = (at >= begin[:, None]) & (at < end[:, None])
@@ -215,13 +272,16 @@ def _found(patterns: Patterns, texts: pa.Array):
             yield a + doc, item
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, piece: int = 128, block_bytes: int = 16 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, piece: int = 128, block_bytes: int = 16 << 20,
+         quote: int = 50) -> DataFrame:
     """Documents that hold a passage of a benchmark item.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are
     ignored.  A passage is an item, normalised (see ``normalise``), or a stretch of
-    ``piece`` bytes of an item longer than one and a half of them, at most ``rate`` of its
-    length in edits away.  Items shorter than 20 bytes must occur exactly, as whole words;
+    ``piece`` bytes of an item longer than one and a half of them, or any stretch of ``quote``
+    bytes (at most half of ``piece``) of an item at least as long, at most ``rate`` of its
+    length in edits away.  So a quote of ``quote`` bytes or more is found wherever it begins
+    in the item.  Items shorter than 20 bytes must occur exactly, as whole words;
     blank and null items are ignored; an item without id is reported as -1.  Returns
     doc_id, contaminated (true), n_items, item_ids (sorted), one row for each doc_id with a
     passage: rows with equal or null ids are reported together.  Null and blank texts and
@@ -231,7 +291,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, piece: int =
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = None
     for block in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Patterns(block, rate, piece))
+        shared = spark.sparkContext.broadcast(Patterns(block, rate, piece, quote))
 
         def run(batches, shared=shared):
             for batch in batches:
@@ -244,11 +304,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, piece: int =
         .select("doc_id", F.lit(True).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, piece: int = 128, block_bytes: int = 16 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, piece: int = 128, block_bytes: int = 16 << 20,
+          quote: int = 50) -> DataFrame:
     """The rows of ``docs`` (all columns) whose text holds no passage of a benchmark item."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     for block in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Patterns(block, rate, piece))
+        shared = spark.sparkContext.broadcast(Patterns(block, rate, piece, quote))
 
         def run(batches, shared=shared):
             for batch in batches:

@@ -168,3 +168,45 @@ def test_decontaminate(spark, docs, none):
 def test_an_element_is_closed_from_any_depth():
     page = "<body><nav>" + "<div>" * 300 + "menu words " * 20 + "</nav><p>" + "article words " * 20 + "</p></body>"
     assert html_extract.extract(page, {}) == ("article words " * 20).strip()
+
+
+def test_quotes_against_edit_distance(monkeypatch):
+    """Any 50 bytes of an item with at most 2 edits are found, and nothing else besides whole patterns."""
+    rng = random.Random(21)
+    items = [(k, prose(rng, rng.randint(9, 45))) for k in range(8)]
+    whole, patterns = decontaminate.Patterns(items, 0.05, 128), decontaminate.Patterns(items, 0.05, 128, 50)
+    more = 0
+    for k in range(25):
+        t = rng.choice(items)[1]
+        n = min(len(t), rng.choice([44, 48, 50, 50, 54, 70, 95]))
+        at = rng.randint(0, len(t) - n)
+        s = list(t[at:at + n])
+        for _ in range(rng.randint(0, 4)):
+            spot = rng.randrange(len(s))
+            s[spot:spot + rng.choice([0, 1])] = rng.choice(["", "q", "z"])
+        text = " ".join((prose(rng, 4) + " " + "".join(s) + " " + prose(rng, 4)).split())
+        data = np.frombuffer(text.encode(), np.uint8)
+        ends = np.array([len(data)])
+        old = {i for _, i in whole.search(data, ends)}
+        want = old | {i for i, t in items if any(edits(t[a:a + 50], text) <= 2 for a in range(len(t) - 49))}
+        got = {i for _, i in patterns.search(data, ends)}
+        assert got == want, (k, got, want)
+        more += len(want - old)
+    assert more > 5
+    texts = [items[0][1][:60], "x " + items[1][1][-55:] + " y", "zero " * 60]
+    data, ends = decontaminate.normalise(*textops.buffers(pa.array(texts)))
+    found = patterns.search(data, ends)
+    monkeypatch.setattr(decontaminate, "POSTS", 20)
+    monkeypatch.setattr(decontaminate, "VERIFY", 3)
+    assert patterns.search(data, ends) == found and {(0, 0), (1, 1)} <= set(found)
+
+
+def test_partial_passages(spark):
+    rng = random.Random(22)
+    items = [(1, prose(rng, 80)[:190]), (2, prose(rng, 90)[:400]), (3, prose(rng, 90)[:250])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "so " + items[0][1][:95] + " it"), (2, "so " + items[0][1][95:] + " it"), (3, "so " + items[1][1][37:37 + 140] + " it"),
+            (4, "so " + items[2][1][101:155] + " it"), (5, "so " + items[2][1][100:130] + " it"), (6, prose(rng, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["item_ids"] for r in decontaminate.scan(docs, bench).collect()} == {1: [1], 2: [1], 3: [2], 4: [3]}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {5, 6}
