@@ -4,7 +4,8 @@ Method: maximum-scoring subsequence.  A page is a sequence of words and tags.  W
 positive where text like theirs (same block element, linked or not) lies in the article of
 labelled pages, tags score negative; a linear scan finds the contiguous region with the
 largest sum.  Elements that are no article text by their name or class (menus, adverts,
-comments, ...) count against a region and are left out of its text.
+comments, ...) count against a region and are left out of its text.  Forms and marks of a
+class, id or role are evidence only: what they hold decides as well (``_released``).
 
 Labelled pages are those that mark their article (``<article>``, else ``<main>``); Spark
 counts words and tags inside and outside of it over all of them.
@@ -35,67 +36,140 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banne
                   "sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|noscript|template|iframe|textarea|title|svg)\b[^>]*>.*?(?:</\1\s*>|$)"
                     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|$)", re.S | re.I)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"(?<![\w:-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: Words are scored with at most this weight, unknown kinds of words and tags with the defaults.
 MOST, WORD, LINKED, TAG, OTHER = 3.0, 1.0, -1.0, -0.5, -4.0
 
 
-def _marked(attributes: str) -> bool:
-    for groups in _MARK.findall(attributes):
-        for part in _PARTS.findall(next((g for g in groups if g), "")):
-            if part.lower() in MARKS:
-                return True
-    return False
+#: Marks of other people's texts, however long these are.
+REPLIES = frozenset("comment comments disqus replies responses".split())
+#: Elements whose id is made from their own text.
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+CONTROLS = frozenset("button input select textarea".split())
+
+
+def _marked(name: str, attributes: str) -> tuple[str, bool] | None:
+    """What marks an element, and whether as replies: "whole" for a role, or a whole word of a
+    class or id; "class" or "id" for a part of such a word (the class first)."""
+    found, replies = set(), False
+    for what, *groups in _MARK.findall(attributes):
+        what = what.lower()
+        if what == "id" and name in TITLED:
+            continue
+        for word in next((g for g in groups if g), "").split():
+            if word.lower() in MARKS:
+                found.add("whole")
+                replies |= word.lower() in REPLIES
+            elif what != "role" and (parts := MARKS.intersection(part.lower() for part in _PARTS.findall(word))):
+                found.add(what)
+                replies |= bool(parts & REPLIES)
+    return next(((x, replies) for x in ("whole", "class", "id") if x in found), None)
+
+
+class _Soft:
+    """A form or marked element: its mark, the one around it, and what it holds."""
+
+    __slots__ = ("mark", "replies", "around", "inside", "words", "linked", "controls", "dropped")
+
+    def __init__(self, mark, replies, around, inside):
+        self.mark, self.replies, self.around, self.inside = mark, replies, around, inside
+        self.words = self.linked = self.controls = 0
+        self.dropped = False
+
+
+def _released(e: _Soft, total: int, placed: int) -> bool:
+    """Whether a form or marked element is read like any other: if it holds most of the unlinked
+    words of the page or of the article around it (of a page with an article, only inside that);
+    or in an article, if only a part of its id marks it, as in ids made from a heading, and it
+    is text rather than links and controls."""
+    if e.mark == "id" and e.inside and not e.replies and not e.controls and e.words > 2 * e.linked:
+        return True
+    if placed and not e.inside:
+        return False
+    whole = placed if placed else total
+    return 10 * e.words > 9 * whole if e.replies else 2 * e.words > whole
 
 
 def tokens(page: str):
     """(kind, value, in article, dropped) for each piece: kind "tag" with the name, or a text's
     kind (block element, linked) with its decoded text."""
-    stack: list[tuple[str, bool, str]] = []  # element, whether it began a dropped part, block around it
+    stack: list[tuple[str, bool, _Soft | None, str]] = []  # element, whether it began a dropped part, form or mark and block around it
     opened: Counter = Counter()              # elements of the stack by name
-    dropped = article = 0
+    dropped = article = placed = 0           # placed: article or main
+    soft: _Soft | None = None
     block, linked, at = "body", 0, 0
+    out, softs, total, inside_words = [], [], 0, 0
 
     def text(piece):
-        return (block, linked > 0), html.unescape(piece), article > 0, dropped > 0
+        nonlocal total, inside_words
+        value = html.unescape(piece)
+        out.append(((block, linked > 0), value, article > 0, dropped > 0, soft))
+        if not dropped and (n := len(value.split())):
+            if not linked:
+                total += n
+                inside_words += n * (placed > 0)
+            if soft is not None:
+                if linked:
+                    soft.linked += n
+                else:
+                    soft.words += n
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            yield text(page[at:m.start()])
+            text(page[at:m.start()])
         at = m.end()
         name = m.group(3)
         if name is None:
             continue
         name, close = name.lower(), bool(m.group(2))
-        yield "tag", name, article > 0, dropped > 0
+        out.append(("tag", name, article > 0, dropped > 0, soft))
+        if soft is not None and name in CONTROLS:
+            soft.controls += 1
         if close:
             if opened[name]:
                 while stack:
-                    top, began, block = stack.pop()
+                    top, began, soft, block = stack.pop()
                     opened[top] -= 1
                     dropped -= began
                     article -= top == "article"
+                    placed -= top in ("article", "main")
                     linked -= top == "a"
                     if top == name:
                         break
         elif name not in VOID and not m.group(4).rstrip().endswith("/"):
-            if dropped and name in ("article", "main"):      # an unclosed menu or form before it does not reach into it
-                stack = [(x, False, around) for x, _, around in stack]
-                dropped = 0
+            if (dropped or soft is not None) and name in ("article", "main"):      # an unclosed menu or form before it does not reach into it
+                stack = [(x, False, None, around) for x, _, _, around in stack]
+                dropped, soft = 0, None
             elif name in ("p", "li", "td", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
-                _, began, block = stack.pop()        # closed by the next of its kind
+                _, began, soft, block = stack.pop()        # closed by the next of its kind
                 opened[name] -= 1
                 dropped -= began
-            bad = name in DROPPED or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and _marked(m.group(4)))
-            stack.append((name, bad, block))
+            bad = (name in DROPPED and name != "form") or (name == "header" and not article)
+            mark = None
+            if not bad and name not in ("html", "body", "article", "main"):
+                mark = ("whole", False) if name == "form" else _marked(name, m.group(4))
+            stack.append((name, bad, soft, block))
             opened[name] += 1
+            if mark:
+                soft = _Soft(*mark, soft, placed > 0)
+                softs.append(soft)
             dropped += bad
             article += name == "article"
+            placed += name in ("article", "main")
             linked += name == "a"
             if name not in INLINE:
                 block = name
     if at < len(page):
-        yield text(page[at:])
+        text(page[at:])
+    for e in reversed(softs):                # the inner ones come later
+        if e.around is not None:
+            e.around.words += e.words
+            e.around.linked += e.linked
+            e.around.controls += e.controls
+    for e in softs:
+        e.dropped = (e.around is not None and e.around.dropped) or not _released(e, total, inside_words)
+    for kind, value, inside, hard, e in out:
+        yield kind, value, inside, hard or (e is not None and e.dropped)
 
 
 def _kind(kind) -> str:

@@ -210,3 +210,23 @@ def test_partial_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["item_ids"] for r in decontaminate.scan(docs, bench).collect()} == {1: [1], 2: [1], 3: [2], 4: [3]}
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {5, 6}
+
+
+def test_marks_are_evidence():
+    rng = random.Random(23)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    # generated ids inside an article; links, controls and replies under such an id still go
+    page = (f"<article><h2 id='search-algorithms'>Search algorithms</h2><p>{a}</p><h3 id=alert-types>Alert types</h3><p id='social-life'>{b}</p>"
+            f"<section id='related-work'><h2>Related work</h2><p>{c}</p></section><div id='related-posts'><a href=x>{d}</a> read</div>"
+            f"<div id='newsletter-box'>Sign up <input></div><div id='comments-list'><p>{d}</p></div><div class='share-row'>Share this</div></article>")
+    assert html_extract.extract(page, {}) == f"Search algorithms {a} Alert types {b} Related work {c}"
+    # a wrapper or form around a page's text; what is marked inside it still goes
+    for wrapper in ("div class='page no-sidebar'", "div id=has-header", "form action=x"):
+        page = f"<body><nav>{d}</nav><{wrapper}><p>{a}</p><div class='sidebar'>Side words</div><p>{b}</p></{wrapper.split()[0]}><div class=footer>{c}</div></body>"
+        assert html_extract.extract(page, {}) == f"{a} {b}", wrapper
+    # beside an article they stay out, however long
+    page = f"<article><p>{a}</p></article><div class='sidebar'><p>{b} {c} {d}</p></div><form><p>{b} {c} {d}</p></form>"
+    assert html_extract.extract(page, {}) == a
+    assert html_extract.extract(f"<div><p>{a}</p></div><div id=comments><p>{b} {c} {d}</p></div>", {}) == a
+    start = time.time()
+    assert html_extract.extract("<div class=menu>x" * 20_000, {}) != "" and time.time() - start < 20
