@@ -25,8 +25,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Katz backoff bigram scores of all texts, learned from those not held out."""
-    return katz.score(_docs(spark, sf_dir))
+    """Katz backoff trigram scores of all texts, learned from those not held out."""
+    return katz.score(_docs(spark, sf_dir), order=3)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

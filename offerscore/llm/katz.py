@@ -1,15 +1,15 @@
-"""LM scoring with a Katz backoff bigram model.
+"""LM scoring with a Katz backoff n-gram model.
 
 Method: Katz backoff.  Counts up to ``TOP`` are discounted by Good-Turing; the mass they
-free goes to the unseen words of a context in proportion to their unigram probability,
-with a backoff weight that makes every context's distribution sum to one.  Unigrams are
+free goes to the unseen words of a context in proportion to their probability in the next
+shorter context, with a backoff weight that makes every context's distribution sum to one.  Unigrams are
 discounted the same way, in favour of one unknown word.
 
 The corpus is a chunk table of token numbers (see ``exchange``).  Shards hold the unigram
-table, then the bigram table (keyed by context), each counted from all chunks' requests,
-written as partitioned tables of sorted arrays (``models``), and answered to the chunks,
-where each token is evaluated recursively: bigram, else backoff weight times unigram, else
-unknown word.  A context with more than its share of all tokens is split over all shards by
+table, then the table of each higher order (keyed by context), each counted from all chunks'
+requests, written as partitioned tables of sorted arrays (``models``), and answered to the
+chunks, where each token is evaluated recursively: n-gram, else backoff weight times its
+probability in the shorter context, down to the unknown word.  A context with more than its share of all tokens is split over all shards by
 the word that follows; at most ``HOT`` such contexts exist.
 """
 
@@ -104,16 +104,21 @@ class _Chunk:
         self.used = np.repeat(self.train, self.n)
         self.shard = X.shard_of(self.vocabulary, n_shards)
 
-    def pairs(self):
-        """Distinct (previous, word) by vocabulary number, sorted (previous: len(vocabulary) at
-        a text's start), the pair of every token, and each pair's count in training texts."""
+    def grams(self, order: int):
+        """For each order from 2 up to ``order``: the distinct (context, word), sorted, as numbers
+        (contexts: words, then the shorter n-grams of this list; one more for a text's start),
+        each token's n-gram, one token of each, and each one's count in training texts."""
         start = np.cumsum(self.n) - self.n
-        before = np.empty_like(self.local)
-        before[1:] = self.local[:-1]
-        before[start] = len(self.vocabulary)
-        base = len(self.vocabulary) + 1
-        code, pair = np.unique(before * base + self.local, return_inverse=True)
-        return code // base, code % base, pair, np.bincount(pair[self.used], minlength=len(code))
+        gram, size, out = self.local, len(self.vocabulary), []
+        for _ in range(2, order + 1):
+            context = np.empty_like(self.local)
+            context[1:] = gram[:-1]
+            context[start] = size
+            base = len(self.vocabulary) + 1
+            code, token, gram = np.unique(context * base + self.local, return_index=True, return_inverse=True)
+            size = len(code)
+            out.append((code // base, code % base, gram, token, np.bincount(gram[self.used], minlength=size)))
+        return out
 
 
 def _unigram_reply(payloads):
@@ -129,11 +134,19 @@ def _unigram_reply(payloads):
     return [model, totals], [X.pack(rank_d=where[i:j].astype(np.uint32), count=count[where[i:j]].astype(np.uint64)) for i, j in zip(cut, cut[1:])]
 
 
-def _bigram_reply(payloads, unigrams: Unigrams):
-    """Pair counts and context statistics for each chunk's pairs; first the shard's model,
-    totals, and the contexts' statistics for those that are split over shards."""
+def _seen(times: np.ndarray, norm: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Probability of n-grams by their count and their context's denominator."""
+    return d[np.minimum(times, TOP + 1)] * times / np.maximum(norm, 1)
+
+
+def _gram_reply(payloads, unigrams: Unigrams, d: np.ndarray | None):
+    """N-gram counts and context statistics for each chunk's n-grams; first the shard's model,
+    totals, and the contexts' statistics for those that are split over shards.  A request has
+    the last word's count (bigrams), or what its probability in the shorter context comes from:
+    its count there and the denominator (whole numbers pack better), with that order's ``d``."""
     got = [X.unpack(p) for p in payloads]
-    left, right, n, single, hot = (np.concatenate([g[k] for g in got]) for k in ("left_d", "right", "n", "single", "hot"))
+    left, right, n, hot = (np.concatenate([g[k] for g in got]) for k in ("left_d", "right", "n", "hot"))
+    below = np.concatenate([unigrams.p(g["single"].astype(np.int64)) if d is None else _seen(g["times"].astype(np.int64), g["norm"], d) for g in got])
     order = np.lexsort((right, left))
     a, b = left[order], right[order]
     new_a = np.concatenate([[True], a[1:] != a[:-1]])
@@ -141,7 +154,7 @@ def _bigram_reply(payloads, unigrams: Unigrams):
     head = np.flatnonzero(new)
     count = np.add.reduceat(n[order].astype(np.int64), head)
     context = np.cumsum(new_a[head]) - 1
-    p = np.where(count > 0, unigrams.p(single[order][head].astype(np.int64)), 0.0)
+    p = np.where(count > 0, below[order][head], 0.0)
     k = int(context[-1]) + 1
     stats = {"total": np.bincount(context, weights=count, minlength=k).astype(np.int64)}
     for r in range(1, TOP + 1):
@@ -160,7 +173,9 @@ def _bigram_reply(payloads, unigrams: Unigrams):
         mine = number[i:j]
         first = np.concatenate([[True], left[i:j][1:] != left[i:j][:-1]])
         at = context[mine[first]]
-        replies.append(X.pack(count=count[mine].astype(np.uint64), **{s: v[at] for s, v in stats.items()}))
+        # a backoff weight, and so the seen words' mass, is only needed for unseen n-grams
+        unseen = np.logical_or.reduceat(count[mine] == 0, np.flatnonzero(first))
+        replies.append(X.pack(count=count[mine].astype(np.uint64), **{s: np.where(unseen, v[at], 0) if s == "seen" else v[at] for s, v in stats.items()}))
     return [model, totals], replies
 
 
@@ -178,8 +193,8 @@ def _answer(requests: DataFrame, reply) -> DataFrame:
     return requests.groupBy("shard").applyInArrow(run, X.MESSAGE)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Score all texts with a model of those in training (see ``in_training``).
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
+    """Score all texts with a model of ``order`` (2 or more) of those in training (see ``in_training``).
 
     ``docs`` needs doc_id and text; other columns are ignored.  Words are lower-cased (A-Z)
     ``[^\\x20\\x09-\\x0D]+``; each text ends with one end token.  Returns one row per input
@@ -201,6 +216,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield s, X.pack(word_d=c.vocabulary[at], n=n[at].astype(np.uint32))
 
     words = store.write(_answer(X.ask(table, ask_words), _unigram_reply), "unigrams")
+    spark.sparkContext._jvm.System.gc()
     sizes, of = np.zeros(n_shards, dtype=np.int64), np.zeros(TOP + 3, dtype=np.int64)
     total = types = 0
     for r in words.filter(F.col("chunk_id") == TOTALS).toLocalIterator():          # one short row a shard
@@ -220,75 +236,93 @@ def score(docs: DataFrame) -> DataFrame:
             number[at], count[at] = offset[s] + r["rank_d"], r["count"]
         return number, count
 
-    def routed(c, got):
-        """Pairs with their shard: by context, or by both words where the context is hot."""
+    levels: list[tuple] = []                           # of each finished order from 2 up: discounts, hot contexts' broadcast
+
+    def walk(payload, got, n):
+        """The chunk, its words' counts, each finished order's probabilities by n-gram, and, if
+        order ``n`` is not finished, what its requests are made of."""
+        c = _Chunk(payload, n_shards)
         number, count = numbers(c, got)
-        left, right, pair, n = c.pairs()
+        key, often = number, count.copy()
         # the start of a text is as frequent as its end
-        often = count.copy()
         often[-1] = count[np.searchsorted(c.vocabulary, _END)]
-        hot = often[left] > hot_from
-        with np.errstate(over="ignore"):
-            key = T.mix(number[left].astype(np.uint64) + np.where(hot, number[right].astype(np.uint64) << np.uint64(32), np.uint64(0)))
-        return number, count, left, right, pair, n, hot, X.shard_of(key, n_shards)
-
-    def ask_pairs(payload, got, chunk):
-        c = _Chunk(payload, n_shards)
-        number, count, left, right, _, n, hot, shard = routed(c, got)
-        return X.messages([(n_shards + s, chunk, X.pack(left_d=number[left[at]], right=number[right[at]], n=n[at].astype(np.uint32),
-                                                        single=count[right[at]].astype(np.uint32), hot=hot[at].astype(np.uint8)))
-                           for s, at in X.split(shard, n_shards)])
-
-    pairs = store.write(_answer(X.finish(table, replies, ask_pairs, X.MESSAGE), lambda p: _bigram_reply(p, unigrams)), "bigrams")
+        p, shorter, times, scale = unigrams.p(count[:-1]), c.local, count, np.zeros(len(count))
+        for k, (left, right, gram, token, used) in enumerate(c.grams(n), 2):
+            last, hot = shorter[token], often[left] > hot_from
+            below = p[last]
+            with np.errstate(over="ignore"):
+                route = key[left].astype(np.uint64)
+                shard = X.shard_of(T.mix((route if k == 2 else T.mix(route)) + np.where(hot, number[right].astype(np.uint64) << np.uint64(32), np.uint64(0))), n_shards)
+            if k - 2 == len(levels):
+                return c, count, p, shorter, (key[left], number[right], used, times[last], scale[last], hot, shard)
+            d, shared = levels[k - 2]
+            p, times, scale = np.empty(len(left)), np.zeros(len(left), dtype=np.int64), np.empty(len(left))
+            for s, at in X.split(shard, n_shards):
+                r = X.unpack(got[(k - 1) * n_shards + s])
+                mine = left[at]
+                which = np.cumsum(np.concatenate([[True], mine[1:] != mine[:-1]])) - 1
+                norm, weight = context_weights(r, d)
+                norm, weight = norm[which], weight[which]
+                if hot[at].any():
+                    h_left, h_norm, h_weight = shared.value
+                    h = np.flatnonzero(hot[at])
+                    slot = np.searchsorted(h_left, key[mine[h]])
+                    norm[h], weight[h] = h_norm[slot], h_weight[slot]
+                times[at], scale[at] = seen, _ = r["count"].astype(np.int64), norm
+                p[at] = np.where(seen > 0, _seen(seen, norm, d), weight * below[at])
+            # these n-grams are the next order's contexts: two word numbers, or a hash of more
+            with np.errstate(over="ignore"):
+                longer = (key[left] << np.int64(32)) + number[right] if k == 2 else \
+                    T.mix(T.mix(key[left].astype(np.uint64)) + number[right].astype(np.uint64)).astype(np.int64)
+                key = np.append(longer, 0)
+            often, shorter = np.append(times, often[-1]), gram
+        return c, count, p, shorter, None
 
     def totals(batches):
         for batch in batches:
             for payload in batch.column(0).to_pylist():
                 got = X.unpack(payload)
                 k = len(got["left"])
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(got["left"]), pa.array([-1] * (TOP + 1), pa.int64())]),
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(got["left"]), pa.array([0] * (TOP + 1), pa.int64())]),
                                                   pa.array(np.concatenate([np.zeros(k, np.int64), np.arange(1, TOP + 2)])),
                                                   *[pa.array(np.concatenate([got[s].astype(np.float64), got["n"][1:TOP + 2] * (s == "total")])) for s in _STATS]],
                                                  names=["left", "r", *_STATS])
     kinds = "left long, r long, " + ", ".join(f"{s} double" for s in _STATS)
-    sums = pairs.filter(F.col("chunk_id") == TOTALS).select("payload").mapInArrow(totals, kinds) \
-        .groupBy("left", "r").agg(*[F.sum(s).alias(s) for s in _STATS])
-    n2, hot_rows = np.zeros(TOP + 2), []
-    for r in sums.collect():                           # at most HOT contexts
-        if r["left"] == -1:
-            n2[r["r"]] = r["total"]
-        else:
-            hot_rows.append(r)
-    d2 = good_turing(n2)
-    hot_rows.sort(key=lambda r: r["left"])
-    hot_left = np.array([r["left"] for r in hot_rows], dtype=np.int64)
-    hot_norm, hot_weight = context_weights({s: np.array([r[s] for r in hot_rows], dtype=np.float64) for s in _STATS}, d2)
-    shared = spark.sparkContext.broadcast((hot_left, hot_norm, hot_weight))
+
+    for n in range(2, order + 1):
+        def ask_grams(payload, got, chunk, n=n):
+            left, right, used, times, norm, hot, shard = walk(payload, got, n)[-1]
+            lower = {"single": times.astype(np.uint32)} if n == 2 else {"times": times.astype(np.uint32), "norm": norm.astype(np.uint64)}
+            return X.messages([((n - 1) * n_shards + s, chunk, X.pack(left_d=left[at], right=right[at], n=used[at].astype(np.uint32),
+                                                                      hot=hot[at].astype(np.uint8), **{k: v[at] for k, v in lower.items()}))
+                               for s, at in X.split(shard, n_shards)])
+
+        grams = store.write(_answer(X.finish(table, replies, ask_grams, X.MESSAGE), lambda p, d=levels[-1][0] if levels else None: _gram_reply(p, unigrams, d)), f"grams{n}")
+        spark.sparkContext._jvm.System.gc()            # the round's shuffle files go with its plan
+        sums = grams.filter(F.col("chunk_id") == TOTALS).select("payload").mapInArrow(totals, kinds) \
+            .groupBy("left", "r").agg(*[F.sum(s).alias(s) for s in _STATS])
+        of, hot_rows = np.zeros(TOP + 2), []
+        for r in sums.collect():                       # at most HOT contexts
+            if r["r"]:
+                of[r["r"]] = r["total"]
+            else:
+                hot_rows.append(r)
+        d = good_turing(of)
+        hot_rows.sort(key=lambda r: r["left"])
+        hot_norm, hot_weight = context_weights({s: np.array([r[s] for r in hot_rows], dtype=np.float64) for s in _STATS}, d)
+        shared = spark.sparkContext.broadcast((np.array([r["left"] for r in hot_rows], dtype=np.int64), hot_norm, hot_weight))
+        levels.append((d, shared))
+        replies = replies.unionByName(grams.filter("chunk_id >= 0"))
 
     def work(payload, got, chunk):
-        c = _Chunk(payload, n_shards)
-        number, count, left, right, pair, _, hot, shard = routed(c, got)
-        p = np.empty(len(left))
-        for s, at in X.split(shard, n_shards):
-            r = X.unpack(got[n_shards + s])
-            mine = left[at]
-            which = np.cumsum(np.concatenate([[True], mine[1:] != mine[:-1]])) - 1
-            norm, weight = context_weights(r, d2)
-            norm, weight = norm[which], weight[which]
-            if hot[at].any():
-                h_left, h_norm, h_weight = shared.value
-                h = np.flatnonzero(hot[at])
-                slot = np.searchsorted(h_left, number[mine[h]])
-                norm[h], weight[h] = h_norm[slot], h_weight[slot]
-            n = r["count"].astype(np.int64)
-            p[at] = np.where(n > 0, d2[np.minimum(n, TOP + 1)] * n / np.maximum(norm, 1), weight * unigrams.p(count[right[at]]))
+        c, count, p, gram, _ = walk(payload, got, order)
         start = np.cumsum(c.n) - c.n
         single = count[:-1][c.local]
         base = np.log10((count[:-1] + 1) / (total + (types + 1)))[c.local]
         return pa.table({"doc_id": pa.array([None if i == X.NO_ID else i for i in c.ids.tolist()], pa.int64()), "held_out": pa.array(~c.train),
                          "n_tokens": pa.array(c.n), "n_known": pa.array(np.add.reduceat((single > 0).astype(np.int64), start)),
                          "train_tokens": pa.array(np.full(len(c.n), total)),
-                         "base_score": pa.array(np.add.reduceat(base, start)), "score": pa.array(np.add.reduceat(np.log10(p)[pair], start))})
+                         "base_score": pa.array(np.add.reduceat(base, start)), "score": pa.array(np.add.reduceat(np.log10(p)[gram], start))})
 
-    return X.finish(table, replies.unionByName(pairs.filter("chunk_id >= 0")), work,
+    return X.finish(table, replies, work,
                     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

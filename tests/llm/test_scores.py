@@ -19,6 +19,61 @@ def test_katz(docs, rows, none, monkeypatch):
     same(katz.score(docs), brute.katz(rows, katz.good_turing))
 
 
+def katz_by_recursion(rows, order):
+    """score of each (doc_id, text) from a plain recursion over counts of every order."""
+    tokens = [[x.translate(brute.LOWER) for x in brute.WORD.findall(t or "")] + ["\0end"] for _, t in rows]
+    train = [katz.in_training(i) for i, _ in rows]
+    after = [{} for _ in range(order + 1)]
+    for t, use in zip(tokens, train):
+        padded = ["\0start"] * (order - 1) + t
+        for k in range(order - 1, len(padded)):
+            for n in range(1, order + 1):
+                if use:
+                    words = after[n].setdefault(tuple(padded[k - n + 1:k]), {})
+                    words[padded[k]] = words.get(padded[k], 0) + 1
+    found = []
+    for n in range(1, order + 1):
+        values = [c for words in after[n].values() for c in words.values()]
+        found.append(katz.good_turing(np.array([0.0, *(values.count(r) for r in range(1, katz.TOP + 2))])))
+    known = {}
+
+    def p(context, w):
+        if (context, w) not in known:
+            words, d = after[len(context) + 1].get(context, {}), found[len(context)]
+            total = sum(words.values())
+            kept = sum(d[min(c, katz.TOP + 1)] * c for c in words.values())
+            norm = total if kept < total - 1e-9 else total + 1
+            if w in words:
+                known[context, w] = d[min(words[w], katz.TOP + 1)] * words[w] / norm
+            elif not context:
+                known[context, w] = 1 - kept / norm
+            elif not words:
+                known[context, w] = p(context[1:], w)
+            else:
+                if (context, None) not in known:
+                    known[context, None] = (1 - kept / norm) / (1 - sum(p(context[1:], x) for x in words))
+                known[context, w] = known[context, None] * p(context[1:], w)
+        return known[context, w]
+    for context in list(after[order])[:10]:
+        assert abs(sum(p(context, w) for w in [*after[1][()], "\0unknown"]) - 1) < 1e-9
+    out = []
+    for t in tokens:
+        padded = ["\0start"] * (order - 1) + t
+        out.append(sum(np.log10(p(tuple(padded[k - order + 1:k]), padded[k])) for k in range(order - 1, len(padded))))
+    return [(i, float(x)) for (i, _), x in zip(rows, out)]
+
+
+def test_katz_backs_off_through_every_order(docs, rows, none, monkeypatch):
+    for order in (3, 4):
+        same(katz.score(docs, order=order).select("doc_id", "score"), katz_by_recursion(rows, order))
+    assert katz.score(none, order=3).collect() == []
+    monkeypatch.setattr(katz, "HOT", 1)
+    monkeypatch.setattr(katz.X, "SHARD_BYTES", 1000)
+    many = katz.X.shards_for
+    monkeypatch.setattr(katz.X, "shards_for", lambda n: many(n, 20_000))
+    same(katz.score(docs, order=3).select("doc_id", "score"), katz_by_recursion(rows, 3))
+
+
 def test_katz_without_training(spark):
     held = [(i, "a b") for i in range(200) if not katz.in_training(i)]
     for r in katz.score(spark.createDataFrame(held, "doc_id long, text string")).collect():
