@@ -178,3 +178,34 @@ def test_perplexity_bands_reject_junk(spark):
     kept = {r["doc_id"] for r in quality_rules.judge(table).filter("kept").collect()}
     assert kept == {k for k, _, _ in rows} | {2000}
     assert {r["doc_id"] for r in quality_rules.keep(table).collect()} == kept
+
+
+def test_junk_beyond_ascii_is_rejected(spark):
+    """Random letters of a script are told from prose in it."""
+    import random
+    rng = random.Random(31)
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    parts = ["ст", "но", "то", "на", "ен", "ов", "ни", "ра", "во", "ко", "при", "ого"]
+
+    def text(words, piece):
+        return " ".join("".join(piece() for _ in range(rng.randint(1, 3))) for _ in range(words))
+    rows = [(k, text(rng.randint(60, 120), lambda: rng.choice(parts)), "ru") for k in range(200)]
+    junk = [(1000 + k, text(90, lambda: "".join(rng.choice(letters) for _ in rng.choice(parts))), "ru") for k in range(20)]
+    # junk that is no reference document, since a line of it repeats
+    junk = [(i, "\n".join([" ".join(t.split()[:9])] * 2 + [" ".join(t.split()[9:])]), lang) for i, t, lang in junk]
+    table = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality_rules.judge(table).filter("kept").collect()}
+    assert kept == {k for k, _, _ in rows}
+    assert {r["doc_id"] for r in quality_rules.keep(table).collect()} == kept
+
+
+def test_wide_symbols():
+    texts = ["aé", "", "жx€𝄞", "z"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    key, upto = quality_rules.wide_symbols(data, np.cumsum([len(t.encode()) for t in texts]))
+    assert upto.tolist() == [1, 1, 4, 4]
+    mask = (1 << 21) - 1
+    assert [(int(k) >> 42, int(k) >> 21 & mask, int(k) & mask) for k in key] == [(0, 1, ord("é")), (0, 0, ord("ж")), (ord("ж"), 24, ord("€")), (24, ord("€"), ord("𝄞"))]
+    model = quality_rules.build(*np.unique(key, return_counts=True), 3, 21)
+    total = quality_rules.probability(model, (int(key[0]) >> 21 << 21) + np.arange(1 << 21), 3, 21).sum()
+    assert abs(total - 1) < 1e-9
