@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (decontaminate, html_extract, katz, license_scan, mixing, quality_rules, simhash, substring_dedup,
-               suffix_dedup, warc)
+from . import (collocations, decontaminate, html_extract, katz, lexical_search, license_scan, mixing, quality_rules,
+               secret_scan, simhash, substring_dedup, suffix_dedup, warc)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, by a broadcast index of the items."""
+    return lexical_search.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language, by Toivonen mining."""
+    return collocations.collocations(_docs(spark, sf_dir))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a document stands for a repository, its source for the owner."""
+    return secret_scan.scan(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_lm_scoring, op4_simhash, op5_html_extraction,
-                              op6_mixing, op7_warc_derivatives, op8_suffix_dedup, op9_decontamination, op10_quality_rules)
+                              op6_mixing, op7_warc_derivatives, op8_suffix_dedup, op9_decontamination, op10_quality_rules,
+                              op11_lexical_search, op12_collocations, op13_secret_scan)
 }
 
 SQL: dict[str, str] = {}
@@ -140,3 +156,71 @@ kept AS (SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.p) FILTER (WHERE
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op11_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+it AS (SELECT item_id, unnest(w) AS term FROM i),
+size AS (SELECT r, doc_id, len(w) AS n FROM d),
+total AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nt FROM size WHERE n > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+weight AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term, nd),
+scored AS (SELECT item_id, tf.r, sum(weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * size.n * nd) // nt))))::BIGINT AS score
+           FROM it JOIN tf USING (term) JOIN weight USING (term) JOIN size ON size.r = tf.r, total GROUP BY item_id, tf.r),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+           FROM scored JOIN size USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+SQL["op12_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+x AS (SELECT lang, p, unnest(w) AS x, unnest(generate_series(1, len(w))) AS i FROM w),
+e AS (SELECT lang, x, lead(x, 1) OVER o AS x2, lead(x, 2) OVER o AS x3, lead(x, 3) OVER o AS x4, lead(x, 4) OVER o AS x5 FROM x WINDOW o AS (PARTITION BY p ORDER BY i)),
+g AS (SELECT lang, 1 AS k, x AS phrase FROM e UNION ALL SELECT lang, 2, x || ' ' || x2 FROM e WHERE x2 IS NOT NULL
+      UNION ALL SELECT lang, 3, x || ' ' || x2 || ' ' || x3 FROM e WHERE x3 IS NOT NULL
+      UNION ALL SELECT lang, 4, x || ' ' || x2 || ' ' || x3 || ' ' || x4 FROM e WHERE x4 IS NOT NULL
+      UNION ALL SELECT lang, 5, x || ' ' || x2 || ' ' || x3 || ' ' || x4 || ' ' || x5 FROM e WHERE x5 IS NOT NULL),
+f AS (SELECT lang, k AS words, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE words >= 2 AND a >= 100),
+cut AS (SELECT c.*, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lp, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rp
+        FROM c, generate_series(1, 4) AS t(k) WHERE k < words),
+s AS (SELECT cut.lang, cut.phrase, cut.words, cut.a, k, x.a AS l, y.a AS r, n,
+             ((1000::HUGEINT * cut.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lp JOIN f y ON y.lang = cut.lang AND y.phrase = rp JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.words > b.words AND c.a >= b.a
+                                                AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+_ASSIGN = secret_scan.ASSIGN.replace("'", "''")
+_FORMS = secret_scan.FORMS
+
+SQL["op13_secret_scan"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
+m AS (SELECT id, doc_id, source, 0 AS kind, regexp_extract_all(text, '{_ASSIGN}') AS found, string_split_regex(text, '{_ASSIGN}') AS gaps FROM d
+      UNION ALL SELECT id, doc_id, source, 1, regexp_extract_all(text, '{secret_scan.ACCESS}'), string_split_regex(text, '{secret_scan.ACCESS}') FROM d
+      UNION ALL SELECT id, doc_id, source, 2, regexp_extract_all(text, '{secret_scan.HEX}'), string_split_regex(text, '{secret_scan.HEX}') FROM d
+      UNION ALL SELECT id, doc_id, source, 3, regexp_extract_all(text, '{_FORMS}'), string_split_regex(text, '{_FORMS}') FROM d),
+h AS (SELECT id, doc_id, source, kind, unnest(generate_series(1, len(found))) AS i, unnest(found) AS x, unnest(gaps[1:len(found)]) AS gap FROM m WHERE len(found) > 0),
+p AS (SELECT *, sum(length(gap) + length(x)) OVER (PARTITION BY id, kind ORDER BY i) AS e,
+             CASE WHEN kind = 0 THEN regexp_extract(x, '{_ASSIGN}', 2) ELSE x END AS v FROM h),
+looked AS (SELECT *, length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(lower(v), '{secret_scan.PLACEHOLDER}')
+                  AND len(list_distinct(string_split(v, ''))) >= 8 AS looks FROM p WHERE kind > 0 OR length(v) >= 6),
+value AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners, bool_or(looks) AS looks FROM looked WHERE kind < 3 OR looks GROUP BY v),
+judged AS (SELECT v, CASE WHEN owners >= 3 THEN 4 WHEN looks THEN 3 END AS verdict FROM value),
+spans AS (SELECT id, e - length(x) AS s, kind, e FROM looked WHERE kind < 3
+          UNION ALL SELECT DISTINCT id, e - length(looked.v), verdict, e FROM looked JOIN judged USING (v) WHERE verdict IS NOT NULL AND (kind < 3 OR looks)),
+named AS (SELECT *, ['assign', 'access', 'hex', 'live', 'example'][kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS t FROM spans),
+per AS (SELECT id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+               string_agg(t, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind, e) AS spans,
+               count(*) FILTER (WHERE kind = 3) AS n_live, count(*) FILTER (WHERE kind = 4) AS n_example FROM named GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN per USING (id)
+"""
