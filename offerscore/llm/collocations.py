@@ -8,17 +8,25 @@ of the sample: it joins S, and another pass counts the border that it adds, unti
 finds a new one.  A phrase is never more frequent than its parts, so the closed set holds every
 frequent phrase.  The sample is mined by the same expansion, from nothing.
 
+The sample is made of blocks of 64 words, drawn one by one, so that a phrase which one long text
+repeats is drawn like any other; with the default share and threshold a phrase that just reaches
+the least count is missed about once in 200,000 times.
+
 S reaches the tasks as a bitmap of phrase hashes: 32 bits for each phrase, two of them set,
 never more than 2^``max_bits`` bits (64 MB).  A bitmap can only let more phrases be counted, so
-a saturated one costs shuffle, not results.  Tasks count by a 64-bit hash of language and
-words; a last pass writes out the texts of the phrases found frequent, and counts are
-summed again by text, so phrases that share a hash are told apart unless one task holds both.
+a saturated one costs shuffle, not results.  Phrases are counted by a 64-bit hash of language
+and words.  With its count each hash keeps the number of one task that holds the phrase; a last
+pass spells every frequent phrase in that task alone (and in all tasks, should the table be
+dealt differently then).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textops as T
@@ -29,15 +37,17 @@ from .tokens import counted, runs, table
 BREAK = table((0x0A, 0x0D), (0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F))
 WORD = ~(BREAK | table((0x20, 0x20), (0x09, 0x09)))
 #: Distinct phrases that a task holds before it sends their counts.
-HELD = 3 << 19
+HELD = 1 << 20
+#: Words of a block of the sample.
+BLOCK = 64
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 class Members:
     """A bitmap of phrase hashes: no false negatives."""
 
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits = words, bits
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits = words, len(words).bit_length() + 5
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         high, low = keys >> np.uint64(64 - self.bits), keys & np.uint64((1 << self.bits) - 1)
@@ -47,26 +57,19 @@ class Members:
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bitmap(keys: DataFrame, n: int, max_bits: int) -> Members:
-    """The bitmap of a table of ``n`` keys, made by Spark in blocks of 128 KB and collected whole (at most
-    2^``max_bits`` bits)."""
-    bits = int(min(max_bits, max(12, (32 * n).bit_length())))
+def _bits(n: int, max_bits: int) -> int:
+    return int(min(max_bits, max(12, (32 * n).bit_length())))
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """The 64-bit words of a bitmap of ``keys``; Spark sets the bits, at most 2^bits / 64 words come back."""
     places = F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
     words = keys.select(F.explode(places).alias("at")) \
         .groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("value"))
-    size = min(1 << 14, 1 << (bits - 6))
-
-    def pack(group: pa.Table) -> pa.Table:
-        word = group["word"].to_numpy()
-        out = np.zeros(size, dtype=np.int64)
-        out[word % size] = group["value"].to_numpy()
-        return pa.table({"block": pa.array([int(word[0]) // size], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
-
+    got = words.toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    blocks = words.withColumn("block", F.expr(f"word div {size}")).groupBy("block").applyInArrow(pack, "block long, data binary")
-    for row in blocks.toLocalIterator():
-        out[row["block"] * size:(row["block"] + 1) * size] = np.frombuffer(row["data"], dtype=np.uint64)
-    return Members(out, bits)
+    out[got["word"].to_numpy()] = got["value"].to_numpy().view(np.uint64)
+    return out
 
 
 def _words(langs: pa.Array, texts: pa.Array):
@@ -111,26 +114,27 @@ def _levels(hashes: np.ndarray, follows: np.ndarray, members: Members, most: int
 
 
 def border_counts(docs: DataFrame, members, before, most: int) -> DataFrame:
-    """Rows (key, n): how often each phrase of the members and their border occurs, by task.
+    """Rows (key, n, task): how often each phrase of the members and their border occurs in a task.
 
     With ``before`` (the members of an earlier pass) only phrases that it did not count."""
     def run(batches):
         inside, old = members.value, before.value if before is not None else None
-        held, size = [], 0
+        task, held, size = TaskContext.get().partitionId(), [], 0
 
-        def flush():
-            keys = np.concatenate([k for k, _ in held])
+        def merged():
+            keys, n = (np.concatenate(x) for x in zip(*held))
             if not len(keys):
-                return keys, np.zeros(0, dtype=np.int64)
+                return keys, n
             order = np.argsort(keys)
-            keys, n = keys[order], np.concatenate([c for _, c in held])[order]
+            keys, n = keys[order], n[order]
             at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[at], np.add.reduceat(n, at)
+            return keys[at], np.add.reduceat(n, at, dtype=np.int32)
 
         def rows(keys, n):
             for a in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:a + (1 << 16)].view(np.int64)), pa.array(n[a:a + (1 << 16)].astype(np.int32))],
-                                                 names=["key", "n"])
+                part = keys[a:a + (1 << 16)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[a:a + (1 << 16)]), pa.array(np.full(len(part), task, np.int32))],
+                                                 names=["key", "n", "task"])
         for batch in batches:
             for *_, hashes, follows in _words(batch.column(0), batch.column(1)):
                 fresh, was = [], None
@@ -144,102 +148,152 @@ def border_counts(docs: DataFrame, members, before, most: int) -> DataFrame:
                     else:
                         fresh.append(keys)
                 keys, n = counted(np.concatenate(fresh))
-                held.append((keys, n))
+                held.append((keys, n.astype(np.int32)))
                 size += len(keys)
-                if size > 2 * HELD:
-                    held = [flush()]
+                if size > HELD:
+                    held = [merged()]
                     size = len(held[0][0])
-                    if size > HELD:
+                    if size > HELD // 2:
                         yield from rows(*held[0])
                         held, size = [], 0
         if held:
-            yield from rows(*flush())
-    return docs.select("lang", "text").mapInArrow(run, "key long, n int")
+            yield from rows(*merged())
+    return docs.select("lang", "text").mapInArrow(run, "key long, n int, task int")
+
+
+def _outside(keys: DataFrame, members) -> DataFrame:
+    """The keys that are not in the bitmap."""
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~members.value.has(batch.column(0).to_numpy().view(np.uint64))))
+    return keys.select("key").mapInArrow(run, "key long")
 
 
-def frequent(store: Store, docs: DataFrame, start: DataFrame, least: int, most: int, max_bits: int, name: str) -> DataFrame:
-    """A table of keys of all phrases that occur ``least`` times or more, whatever ``start`` holds."""
-    spark, members, n, step, found, before = docs.sparkSession, start, start.count(), 0, None, None
+def frequent(store: Store, docs: DataFrame, start: DataFrame | None, least: int, most: int, max_bits: int, name: str) -> DataFrame:
+    """A table (key, n, task) of all phrases that occur ``least`` times or more, whatever ``start`` proposes."""
+    spark, found, before = docs.sparkSession, [], None
+    n = start.count() if start is not None else 0
+    words = np.zeros(1 << (_bits(n, max_bits) - 6), dtype=np.uint64) if not n else bitmap(start, _bits(n, max_bits))
     while True:
-        shared = spark.sparkContext.broadcast(bitmap(members, n, max_bits))
-        counts = border_counts(docs, shared, before, most).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        part = store.write(counts.select("key"), f"{name}{step}")
-        found = part if found is None else found.unionByName(part)
-        # the failures: frequent, and not proposed
-        new = store.write(part.join(members, "key", "left_anti"), f"{name}{step}_new")
-        more = new.count()
-        if not more:
-            return found
-        members, n, step, before = members.unionByName(new), n + more, step + 1, shared
-
-
-def _texts(docs: DataFrame, members, most: int) -> DataFrame:
-    """Rows (lang, phrase, words, n): the members and what the bitmap lets through, by task;
-    and one with no phrase and no words for the words of a language."""
-    schema = "lang string, phrase string, words int, n long"
+        shared = spark.sparkContext.broadcast(Members(words))
+        counts = border_counts(docs, shared, before, most).groupBy("key").agg(F.sum("n").alias("n"), F.min("task").alias("task"))
+        part = store.write(counts.filter(F.col("n") >= least), f"{name}{len(found)}")
+        found.append(part)
+        every = reduce(DataFrame.unionByName, found)
+        # the failures: frequent, and not in the bitmap, so their extensions are not counted yet
+        new, n = _outside(part, shared), n + part.count()
+        bits = _bits(n, max_bits)
+        more = bitmap(new, bits)
+        if not more.any() or (start is None and len(found) == most):      # from nothing, pass k finds the phrases of k words
+            return every
+        if bits == shared.value.bits:
+            words = words | more
+        else:
+            proposed = every.select("key") if start is None else every.select("key").unionByName(start.select("key"))
+            words = bitmap(proposed, bits)
+        before = shared
+
+
+def _sampled(rows: DataFrame, rate: float) -> DataFrame:
+    """(lang, text): blocks of words, each drawn with probability ``rate``, one to a line."""
+    def run(batches):
+        drawn = np.random.default_rng(TaskContext.get().partitionId())
+        for batch in batches:
+            names, out = batch.column(0), {}
+            for first, data, starts, stops, doc, _, _ in _words(names, batch.column(1)):
+                if not len(doc):
+                    continue
+                head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                number = np.arange(len(doc)) - np.repeat(head, np.diff(np.concatenate([head, [len(doc)]])))
+                begin = np.flatnonzero(number % BLOCK == 0)
+                end = np.concatenate([begin[1:], [len(doc)]]) - 1
+                take = drawn.random(len(begin)) < rate
+                raw = data.tobytes()
+                for b, e, d in zip(starts[begin[take]].tolist(), stops[end[take]].tolist(), doc[begin[take]].tolist()):
+                    out.setdefault(names[first + d].as_py(), []).append(raw[b:e])
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(out), pa.string()),
+                                              "text": pa.array([b"\n".join(x).decode() for x in out.values()], pa.string())})
+    return rows.select("lang", "text").mapInArrow(run, "lang string, text string")
+
+
+def _spelled(docs: DataFrame, members, chosen, most: int) -> DataFrame:
+    """Rows (key, lang, phrase, words, n): each member, in the tasks that ``chosen`` (a bitmap of key
+    and task; None: every task) has it in; and a row of key 0, no phrase and no words for the words of each language."""
+    schema = "key long, lang string, phrase string, words int, n long"
 
     def run(batches):
-        inside = members.value
-        none, nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        known, slot, total, kinds, words = none, nothing, nothing, [], {}     # sorted keys, and their number in total and kinds
+        inside, task, words, known = members.value, TaskContext.get().partitionId(), {}, np.zeros(0, np.uint64)
 
-        def rows(kinds, total):
-            return pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in kinds], pa.string()), "phrase": pa.array([x[1] for x in kinds], pa.string()),
-                                               "words": pa.array([x[2] for x in kinds], pa.int32()), "n": pa.array(total, pa.int64())})
+        def batch_of(rows):
+            return pa.RecordBatch.from_pydict({f: pa.array([r[k] for r in rows], t) for k, (f, t) in enumerate(
+                [("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])})
         for batch in batches:
-            names = batch.column(0).to_pylist()
+            names, out = batch.column(0).to_pylist(), []
             for first, data, starts, stops, doc, hashes, follows in _words(batch.column(0), batch.column(1)):
                 for d, n in zip(*(x.tolist() for x in counted(doc))):
                     words[names[first + d]] = words.get(names[first + d], 0) + n
-                found = []
+                raw = None
                 for k, at, keys in _levels(hashes, follows, inside, most):
                     mine = inside.has(keys)
-                    found.append((keys[mine], at[mine], np.full(int(mine.sum()), k)))
-                keys, at, size = (np.concatenate(x) for x in zip(*found))
-                order = np.argsort(keys)
-                keys, n = counted(keys)
-                pick = order[np.cumsum(n) - n]
-                where = np.searchsorted(known, keys)
-                hit = where < len(known)
-                hit[hit] = known[where[hit]] == keys[hit]
-                total[slot[where[hit]]] += n[hit]
-                new = ~hit
-                if not new.any():
-                    continue
-                raw, a = data.tobytes(), len(kinds)
-                for p, k in zip(at[pick[new]].tolist(), size[pick[new]].tolist()):
-                    kinds.append((names[first + doc[p]], b" ".join([raw[starts[j]:stops[j]] for j in range(p, p + k)]).decode(), k))
-                known, slot = np.insert(known, where[new], keys[new]), np.insert(slot, where[new], np.arange(a, len(kinds)))
-                total = np.concatenate([total, n[new]])
-                if len(known) > 1 << 18:
-                    yield rows(kinds, total)
-                    known, slot, total, kinds = none, nothing, nothing, []
-        yield rows(kinds, total)
-        yield rows([(x, None, 0) for x in words], list(words.values()))
+                    if chosen is not None:
+                        mine[mine] = chosen.value.has(_with_task(keys[mine], task))
+                    keys, pick = np.unique(keys[mine], return_index=True)
+                    if not len(keys):
+                        continue
+                    where = np.searchsorted(known, keys)
+                    new = np.ones(len(keys), dtype=bool)
+                    inner = where < len(known)
+                    new[inner] = known[where[inner]] != keys[inner]
+                    raw = data.tobytes() if raw is None else raw
+                    for key, p in zip(keys[new].view(np.int64).tolist(), at[mine][pick[new]].tolist()):
+                        out.append((key, names[first + doc[p]], b" ".join([raw[starts[j]:stops[j]] for j in range(p, p + k)]).decode(), k, 0))
+                    known = np.insert(known, where[new], keys[new]) if len(known) < HELD else keys
+            if out:
+                yield batch_of(out)
+        yield batch_of([(0, x, None, 0, n) for x, n in words.items()])
     return docs.select("lang", "text").mapInArrow(run, schema)
 
 
-def phrases(docs: DataFrame, least: int = 100, most: int = 5, rate: float = 0.125, slack: float = 0.5,
+def _with_task(keys: np.ndarray, task) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return T.mix(keys + (np.asarray(task).astype(np.uint64) + np.uint64(1)) * _STEP[0])
+
+
+def _chosen(found: DataFrame) -> DataFrame:
+    """The key of each phrase together with its task."""
+    def run(batches):
+        for batch in batches:
+            keys = _with_task(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+    return found.select("key", "task").mapInArrow(run, "key long")
+
+
+def phrases(docs: DataFrame, least: int = 100, most: int = 5, rate: float = 0.25, slack: float = 0.25,
             max_bits: int = 29) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of all phrases of 1 to ``most`` words with ``least`` or more occurrences in a language,
     and (lang, n) with the words of each language; ``docs`` as in ``collocations``.
 
-    A share ``rate`` of the documents is the sample; there a phrase is frequent from
+    A share ``rate`` of the words is the sample; there a phrase is frequent from
     ``least * rate * slack`` occurrences on.  Any sample gives the same result."""
     spark = docs.sparkSession
     store = Store(spark, "collocations")
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    sample = store.write(sample.select("lang", "text"), "sample")
-    none = spark.createDataFrame([], "key long")
-    proposed = frequent(store, sample, none, max(2, round(least * rate * slack)), most, max_bits, "sampled")
-    found = frequent(store, rows, proposed, least, most, max_bits, "found")
-    shared = spark.sparkContext.broadcast(bitmap(found, found.count(), max_bits))
-    exact = _texts(rows, shared, most).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a"))
-    exact = store.write(exact.filter((F.col("a") >= least) | (F.col("words") == 0)), "phrases")
-    totals = store.write(exact.filter("words = 0").select("lang", F.col("a").alias("n")), "totals")
-    return exact.filter("words > 0"), totals
+    sample = store.write(_sampled(rows, rate), "sample")
+    proposed = frequent(store, sample, None, max(2, round(least * rate * slack)), most, max_bits, "sampled")
+    found = frequent(store, rows, proposed.select("key"), least, most, max_bits, "found").groupBy("key").agg(F.max("n").alias("n"), F.min("task").alias("task"))
+    found = store.write(found, "found")
+    bits = _bits(found.count(), max_bits)
+    inside, chosen = (spark.sparkContext.broadcast(Members(bitmap(k, bits))) for k in (found, _chosen(found)))
+    spelled = store.write(_spelled(rows, inside, chosen, most), "spelled")
+    totals = store.write(spelled.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    spelled = spelled.filter("words > 0").select("key", "lang", "phrase", "words")
+    missing = store.write(found.join(spelled, "key", "left_anti"), "missing")      # the rows were dealt differently this time
+    if missing.count():
+        rest = _spelled(rows, inside, None, most).filter("words > 0").select("key", "lang", "phrase", "words")
+        spelled = spelled.unionByName(rest.join(missing.select("key"), "key", "left_semi"))
+    exact = found.join(spelled.dropDuplicates(["key"]), "key").select("lang", "phrase", "words", F.col("n").alias("a"))
+    return store.write(exact, "phrases"), totals
 
 
 def _first(rows: DataFrame, keys: list[str], top: int) -> DataFrame:
@@ -247,11 +301,11 @@ def _first(rows: DataFrame, keys: list[str], top: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2000, rate: float = 0.125, slack: float = 0.5,
+def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2000, rate: float = 0.25, slack: float = 0.25,
                  max_bits: int = 29, salts: int = 64) -> DataFrame:
     """The first ``top`` collocations of each language.
 
-    ``docs`` needs doc_id, text and lang; other columns are ignored.  Texts are lower-cased
+    ``docs`` needs text and lang; other columns are ignored.  Texts are lower-cased
     (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and these into words
     ``[^\\x20\\x09]+``.  Per language (null: ``und``) n counts the words and f the occurrences of
     a phrase within pieces, overlaps included.  Candidates have 2 to ``most`` words and
