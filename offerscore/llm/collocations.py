@@ -4,16 +4,16 @@ Method: Toivonen.  A sample of the documents is mined at a lowered threshold and
 set S of frequent phrases.  One pass over all documents then counts S and its negative border:
 the phrases outside S whose two parts, without the last and without the first word, are
 both in S (for single words: every word).  A border phrase that proves frequent is a failure
-of the sample: it joins S, and another pass counts the border that it adds, until no pass
-finds a new one.  A phrase is never more frequent than its parts, so the closed set holds every
-frequent phrase.  The sample is mined by the same expansion, from nothing.
+of the sample.  A phrase is never more frequent than its parts, so a frequent phrase that was
+not counted contains a failure: if the failures are rare, one expansion pass counts every phrase
+of frequent words around them and closes the set; if not, they join S, and passes count
+the border that they add until no pass finds a new one.  The sample is mined by such passes, from nothing.
 
 The sample is made of blocks of 64 words, drawn one by one, so that a phrase which one long text
-repeats is drawn like any other; with the default share and threshold a phrase that just reaches
-the least count is missed about once in 200,000 times.
+repeats is drawn like any other.
 
 S reaches the tasks as a bitmap of phrase hashes: 32 bits for each phrase, two of them set,
-never more than 2^``max_bits`` bits (64 MB).  A bitmap can only let more phrases be counted, so
+never more than 2^``max_bits`` bits (32 MB).  A bitmap can only let more phrases be counted, so
 a saturated one costs shuffle, not results.  Phrases are counted by a 64-bit hash of language
 and words.  With its count each hash keeps the number of one task that holds the phrase; a last
 pass spells every frequent phrase in that task alone (and in all tasks, should the table be
@@ -37,7 +37,9 @@ from .tokens import counted, runs, table
 BREAK = table((0x0A, 0x0D), (0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F))
 WORD = ~(BREAK | table((0x20, 0x20), (0x09, 0x09)))
 #: Distinct phrases that a task holds before it sends their counts.
-HELD = 1 << 20
+HELD = 3 << 18
+#: Failures are rare if they have this share (one in ...) of all counted places at most.
+RARE = 64
 #: Words of a block of the sample.
 BLOCK = 64
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -113,12 +115,9 @@ def _levels(hashes: np.ndarray, follows: np.ndarray, members: Members, most: int
             keys = T.mix(value[at] * _STEP[0] + hashes[at + k] * _STEP[1] + np.uint64(k))
 
 
-def border_counts(docs: DataFrame, members, before, most: int) -> DataFrame:
-    """Rows (key, n, task): how often each phrase of the members and their border occurs in a task.
-
-    With ``before`` (the members of an earlier pass) only phrases that it did not count."""
+def _counts(docs: DataFrame, phrases) -> DataFrame:
+    """Rows (key, n, task) of the keys that ``phrases(hashes, follows)`` yields for a piece."""
     def run(batches):
-        inside, old = members.value, before.value if before is not None else None
         task, held, size = TaskContext.get().partitionId(), [], 0
 
         def merged():
@@ -137,17 +136,7 @@ def border_counts(docs: DataFrame, members, before, most: int) -> DataFrame:
                                                  names=["key", "n", "task"])
         for batch in batches:
             for *_, hashes, follows in _words(batch.column(0), batch.column(1)):
-                fresh, was = [], None
-                for k, at, keys in _levels(hashes, follows, inside, most):
-                    if old is not None:
-                        # counted before: both parts were members then (single words always were)
-                        seen = np.ones(len(at), dtype=bool) if k == 1 else was[at] & was[at + 1]
-                        fresh.append(keys[~seen])
-                        was = np.zeros(len(hashes) + 1, dtype=bool)
-                        was[at] = seen & old.has(keys)
-                    else:
-                        fresh.append(keys)
-                keys, n = counted(np.concatenate(fresh))
+                keys, n = counted(np.concatenate([np.zeros(0, np.uint64), *phrases(hashes, follows)]))
                 held.append((keys, n.astype(np.int32)))
                 size += len(keys)
                 if size > HELD:
@@ -161,6 +150,53 @@ def border_counts(docs: DataFrame, members, before, most: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "key long, n int, task int")
 
 
+def border_counts(docs: DataFrame, members, before, most: int) -> DataFrame:
+    """Rows (key, n, task): how often each phrase of the members and their border occurs in a task.
+
+    With ``before`` (the members of an earlier pass) only phrases that it did not count."""
+    def fresh(hashes, follows, inside, old):
+        was = None
+        for k, at, keys in _levels(hashes, follows, inside, most):
+            if old is None:
+                yield keys
+                continue
+            # counted before: both parts were members then (single words always were)
+            seen = np.ones(len(at), dtype=bool) if k == 1 else was[at] & was[at + 1]
+            yield keys[~seen]
+            was = np.zeros(len(hashes) + 1, dtype=bool)
+            was[at] = seen & old.has(keys)
+    return _counts(docs, lambda hashes, follows: fresh(hashes, follows, members.value, before.value if before is not None else None))
+
+
+def extension_counts(docs: DataFrame, members, failures, most: int) -> DataFrame:
+    """Rows (key, n, task): the phrases around a failure whose words are all frequent, but for those
+    that the pass over ``members`` and their border counted."""
+    def fresh(hashes, follows, inside, failed):
+        pad = lambda x: np.concatenate([x[1:], [False]])
+        within = lambda b, keys, where: _masked(where, b.has(keys[where]))
+        every = np.ones(len(hashes), dtype=bool)
+        keys, listed, known, around = hashes, every, inside.has(hashes), failed.has(hashes)
+        usable, valid = known | around, every
+        for k in range(2, most + 1):
+            with np.errstate(over="ignore"):
+                last = np.concatenate([hashes[k - 1:], np.zeros(min(k - 1, len(hashes)), np.uint64)])[:len(hashes)]
+                keys = T.mix(keys * _STEP[0] + last * _STEP[1] + np.uint64(k - 1))
+            valid = valid & np.concatenate([follows[k - 2:], np.zeros(min(k - 2, len(hashes)), bool)])[:len(hashes)]
+            listed = valid & known & pad(known)          # what the earlier pass counted
+            usable = valid & usable & pad(usable)
+            around = usable & (around | pad(around))
+            yield keys[around & ~listed]
+            known = within(inside, keys, listed)
+            around = around | within(failed, keys, listed)
+    return _counts(docs, lambda hashes, follows: fresh(hashes, follows, members.value, failures.value))
+
+
+def _masked(where: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(where), dtype=bool)
+    out[where] = values
+    return out
+
+
 def _outside(keys: DataFrame, members) -> DataFrame:
     """The keys that are not in the bitmap."""
     def run(batches):
@@ -186,6 +222,10 @@ def frequent(store: Store, docs: DataFrame, start: DataFrame | None, least: int,
         more = bitmap(new, bits)
         if not more.any() or (start is None and len(found) == most):      # from nothing, pass k finds the phrases of k words
             return every
+        if start is not None and len(found) == 1 and _rare(part, new):
+            failures = spark.sparkContext.broadcast(Members(more))
+            counts = extension_counts(docs, shared, failures, most).groupBy("key").agg(F.sum("n").alias("n"), F.min("task").alias("task"))
+            return every.unionByName(store.write(counts.filter(F.col("n") >= least), f"{name}_around"))
         if bits == shared.value.bits:
             words = words | more
         else:
@@ -194,6 +234,13 @@ def frequent(store: Store, docs: DataFrame, start: DataFrame | None, least: int,
         before = shared
 
 
+def _rare(part: DataFrame, failures: DataFrame) -> bool:
+    """Whether the places of the failures are few beside those of all counted phrases, so that counting
+    what stands around them costs less than passes of one more word each."""
+    n = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return RARE * n(part.join(failures, "key", "left_semi")) <= n(part)
+
+
 def _sampled(rows: DataFrame, rate: float) -> DataFrame:
     """(lang, text): blocks of words, each drawn with probability ``rate``, one to a line."""
     def run(batches):
@@ -268,8 +315,8 @@ def _chosen(found: DataFrame) -> DataFrame:
     return found.select("key", "task").mapInArrow(run, "key long")
 
 
-def phrases(docs: DataFrame, least: int = 100, most: int = 5, rate: float = 0.25, slack: float = 0.25,
-            max_bits: int = 29) -> tuple[DataFrame, DataFrame]:
+def phrases(docs: DataFrame, least: int = 100, most: int = 5, rate: float = 0.125, slack: float = 0.4,
+            max_bits: int = 28) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of all phrases of 1 to ``most`` words with ``least`` or more occurrences in a language,
     and (lang, n) with the words of each language; ``docs`` as in ``collocations``.
 
@@ -301,8 +348,8 @@ def _first(rows: DataFrame, keys: list[str], top: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2000, rate: float = 0.25, slack: float = 0.25,
-                 max_bits: int = 29, salts: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2000, rate: float = 0.125, slack: float = 0.4,
+                 max_bits: int = 28, salts: int = 64) -> DataFrame:
     """The first ``top`` collocations of each language.
 
     ``docs`` needs text and lang; other columns are ignored.  Texts are lower-cased
