@@ -166,3 +166,18 @@ def anomalies(df: DataFrame, variables: Sequence[str], contamination: float = 0.
 def outliers(labelled: DataFrame) -> DataFrame:
     """The offers labelled as outliers, with their variables."""
     return labelled.where(F.col("anomaly") == -1)
+
+
+def outlier_view(labelled: DataFrame, variables: Sequence[str], ids: Sequence[str] = ("offer_id", "supplier")) -> DataFrame:
+    """M1's view: ``ids``, the two variables to plot (as x and y, with their names) and the label.
+
+    Price against quality (else technical), if both are variables; otherwise the first two."""
+    second = next((v for v in ("quality", "technical") if v in variables), None)
+    if "price" in variables and second:
+        pair = ("price", second)
+    elif len(variables) >= 2:
+        pair = tuple(variables[:2])
+    else:
+        raise ValueError("an outlier view needs at least 2 variables")
+    return labelled.select(*dict.fromkeys(ids), F.lit(pair[0]).alias("x_variable"), F.col(f"`{pair[0]}`").alias("x"),
+                           F.lit(pair[1]).alias("y_variable"), F.col(f"`{pair[1]}`").alias("y"), "anomaly_label")

@@ -1,10 +1,9 @@
-"""PCA and random-forest importances on MLlib.
+"""Principal components and variable importances.
 
-The fitted models are tiny (a d x 2 loading matrix, d importances), so they
-come back to the driver; the data itself only flows through MLlib's
-distributed fits and through JVM column expressions for the projection.
-Rows with a missing variable are dropped and counted (quirk Q12).  Per group, the
-components come from the group's moments (one aggregate), so no group's rows are gathered.
+The components of the whole table are MLlib's (a d x 2 loading matrix comes back to the
+driver, the projection is a column expression); per group they come from the group's moments
+(one aggregate), so no group's rows are gathered.  Importances are ``forest.importances``.
+Rows with a missing variable are dropped and counted (quirk Q12).
 """
 
 from __future__ import annotations
@@ -14,18 +13,13 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerscore.operators.forest import importances
 from offerscore.operators.prepare import resolve_columns
 from offerscore.operators.stats import attach, group_stats
 
-RF_TREES = 100      # reference default
-RF_MAX_DEPTH = 10   # the driver holds the model: at most 2**depth leaves a tree (SURVEY H6)
-RF_MAX_BINS = 32    # split points a variable is cut into, less one
-SEED = 42
-
 
 def complete_rows(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with every column present, and a one-row count of the dropped ones."""
@@ -134,41 +128,17 @@ def pca_by(df: DataFrame, variables: Sequence[str], by: Sequence[str],
     return out.select(*dict.fromkeys([*by, *keys]), *comps)
 
 
-def rf_importance(df: DataFrame, target: str, features: Sequence[str], trees: int = RF_TREES,
-                  max_depth: int = RF_MAX_DEPTH, max_bins: int = RF_MAX_BINS, seed: int = SEED) -> DataFrame:
-    """Random-forest importances of ``features`` for ``target``, sorted, ranked 1..d (W6), with
-    the number of rows left out (a missing value) and the depth and bins that limit the trees."""
-    feats = [f for f in dict.fromkeys(features) if f != target]
-    kept, dropped = complete_rows(df, [*feats, target])
-    vec = VectorAssembler(inputCols=feats, outputCol="_features").transform(kept)
-    # node ids cached (and checkpointed every 10 levels to the shared
-    # checkpoint dir) instead of re-deriving each row's node from the root on
-    # every level; node batches keep MLlib's default memory budget (256 MB),
-    # which fits a default-sized heap
-    rf = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees,
-                               featureSubsetStrategy="all", maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                               cacheNodeIds=True)
-    model = rf.fit(vec)
-    imp = model.featureImportances.toArray().tolist()
-    order = sorted(range(len(feats)), key=lambda i: (-imp[i], i))
-    rows = [(feats[i], float(imp[i]), r + 1) for r, i in enumerate(order)]
-    spark = df.sparkSession
-    table = spark.createDataFrame(rows, "variable string, importance double, rank long")
-    return table.crossJoin(dropped).withColumn("max_depth", F.lit(max_depth)).withColumn("max_bins", F.lit(max_bins))
-
-
-def price_importance(df: DataFrame, variables: Sequence[str], **kw) -> DataFrame:
+def price_importance(df: DataFrame, variables: Sequence[str], by: Sequence[str] | None = None, **kw) -> DataFrame:
     """M3: importances of the other variables for price."""
-    return rf_importance(df, "price", [v for v in variables if v != "price"], **kw)
+    return importances(df, "price", [v for v in variables if v != "price"], by=by, **kw)
 
 
-def negotiation_importance(table: DataFrame, **kw) -> DataFrame:
+def negotiation_importance(table: DataFrame, by: Sequence[str] | None = None, **kw) -> DataFrame:
     """M4: importances of price, quality and delivery for the negotiation score."""
     c = resolve_columns(table)
-    return rf_importance(table, "score", [c["price"], c["quality"], c["delivery"]], **kw)
+    return importances(table, "score", [c["price"], c["quality"], c["delivery"]], by=by, **kw)
 
 
-def score_importance(df: DataFrame, features: Sequence[str], top: int = 5, **kw) -> DataFrame:
+def score_importance(df: DataFrame, features: Sequence[str], top: int = 5, by: Sequence[str] | None = None, **kw) -> DataFrame:
     """M5 + K5: importances of the numeric columns for ``score``; the top ``top`` kept."""
-    imp = rf_importance(df, "score", [f for f in features if f != "score"], **kw)
-    return imp.where(F.col("rank") <= top)
+    return importances(df, "score", [f for f in features if f != "score"], by=by, **kw).where(F.col("rank") <= top)

@@ -467,12 +467,20 @@ def tradeoff(spark, sf):
 
 @query("negotiation_importance")
 def negotiation_importance(spark, sf):
-    """MLlib random forest on the whole table (rows-only check)."""
+    """One forest for the whole table (rows-only check)."""
     from offerscore.operators.ml import negotiation_importance as ni
     from offerscore.operators.negotiation import negotiation_score
     return ni(negotiation_score(compliant(spark, sf)))
 
 
+@query("negotiation_importance_by_tender")
+def negotiation_importance_by_tender(spark, sf):
+    """One forest for each tender (rows-only check)."""
+    from offerscore.operators.ml import negotiation_importance as ni
+    from offerscore.operators.negotiation import negotiation_score
+    return ni(negotiation_score(offers(spark, sf)), by=BY)
+
+
 # ---------------------------------------------------------------- what-if
 WHATIF_SUPPLIER = SUBSET[0]
 WHATIF_CHANGES = {"price": 1000.0, "quality": 100.0}
@@ -542,12 +550,20 @@ def _scored_raw(spark, sf):
 
 @query("score_importance")
 def score_importance(spark, sf):
-    """Top-5 variables for the score (MLlib random forest, rows-only check)."""
+    """Top-5 variables for the score, one forest for the whole table (rows-only check)."""
     from offerscore.operators.ml import score_importance as si
     scored, variables = _scored_raw(spark, sf)
     return si(scored, variables)
 
 
+@query("score_importance_by_tender")
+def score_importance_by_tender(spark, sf):
+    """Top-5 variables for the score in each tender (rows-only check)."""
+    from offerscore.operators.ml import score_importance as si
+    scored, variables = _scored_raw(spark, sf)
+    return si(scored, variables, by=BY)
+
+
 # ---------------------------------------------------------------- ML
 @query("pca2_two_vars")
 def pca2_two_vars(spark, sf):
@@ -580,6 +596,35 @@ def price_importance(spark, sf):
     return pi(c, P.variable_list(c))
 
 
+@query("price_importance_by_tender")
+def price_importance_by_tender(spark, sf):
+    """The variables that explain the price in each tender (rows-only check)."""
+    from offerscore.operators.ml import price_importance as pi
+    c = offers(spark, sf)
+    return pi(c, P.variable_list(c), by=BY)
+
+
+def _bulk(spark, sf):
+    """Offers with a target that is a step of the quantity: its importances are known."""
+    return offers(spark, sf).withColumn("bulk", F.when(F.col("quantity") >= 25, 100.0).when(F.col("quantity") < 25, 1.0))
+
+
+@query("step_importance")
+def step_importance(spark, sf):
+    """Importances of a step function: the first split settles it, whatever else varies."""
+    from offerscore.operators.forest import importances
+    out = importances(_bulk(spark, sf), "bulk", ["quantity", "quality", "technical", "delivery_time_days"])
+    return out.select("variable", r6(F.col("importance")).alias("importance"), "rank", "n_rows", "n_dropped")
+
+
+@query("step_importance_by_tender")
+def step_importance_by_tender(spark, sf):
+    """The same in each tender; a tender without the step has importances 0."""
+    from offerscore.operators.forest import importances
+    out = importances(_bulk(spark, sf), "bulk", ["quantity", "quality", "technical", "delivery_time_days"], by=BY)
+    return out.select("tender_id", "variable", r6(F.col("importance")).alias("importance"), "rank", "n_rows", "n_dropped")
+
+
 @query("anomalies")
 def anomalies(spark, sf):
     """Isolation Forest over the whole table (rows-only check)."""

@@ -563,3 +563,13 @@ SQL["offers_csv_roundtrip"] = with_offers(
     f"scored AS (SELECT *, {score_expr(VARIABLES, EQUAL)} AS score FROM normed)")
 
 SQL["risk_table"] = SQL["risk_raw"]
+
+# A step of one variable: the first split of every tree settles it, so its importance is 1 (0 without a step).
+_STEP = """WITH {offers},
+b AS (SELECT tender_id, CASE WHEN quantity >= 25 THEN 100 WHEN quantity < 25 THEN 1 END AS bulk, quality, technical, delivery_time_days FROM compliant),
+g AS (SELECT {by} count(*) FILTER (WHERE ok) AS n_rows, count(*) FILTER (WHERE NOT ok) AS n_dropped, count(DISTINCT bulk) FILTER (WHERE ok) AS steps
+      FROM (SELECT *, bulk IS NOT NULL AND quality IS NOT NULL AND technical IS NOT NULL AND delivery_time_days IS NOT NULL AS ok FROM b) {group})
+SELECT {by} variable, CASE WHEN rank = 1 AND steps > 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS importance, rank::BIGINT AS rank, n_rows, n_dropped
+FROM g, (VALUES ('quantity', 1), ('quality', 2), ('technical', 3), ('delivery_time_days', 4)) AS v(variable, rank) WHERE n_rows > 0"""
+SQL["step_importance"] = _STEP.format(offers=OFFERS_CTE, by="", group="")
+SQL["step_importance_by_tender"] = _STEP.format(offers=OFFERS_CTE, by="tender_id,", group="GROUP BY tender_id")

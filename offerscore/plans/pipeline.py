@@ -53,14 +53,18 @@ def rank_pipeline(spark: SparkSession, source: str | DataFrame, scenario: str =
 
 
 def analytics(ranking: Ranking, by: Sequence[str] | None = None, key: str = "offer_id") -> dict[str, DataFrame]:
-    """Flow 2: the advanced-analytics tables, key-aligned (not by position, quirk Q6)."""
-    from offerscore.operators.iforest import anomalies
-    from offerscore.operators.ml import pca2, price_importance
+    """Flow 2: the advanced-analytics tables, key-aligned (not by position, quirk Q6), for the
+    table or for each group of ``by``; ``outlier_view`` has the two variables to plot."""
+    from offerscore.operators.iforest import anomalies, outlier_view
+    from offerscore.operators.ml import complete_rows, pca2, pca_by, price_importance
     from offerscore.operators.risk import risk_scores, risk_table
-    out = {"anomalies": anomalies(ranking.cleaned, ranking.variables, key=key)}
-    out["pca"], _ = pca2(ranking.cleaned, ranking.variables, keys=(key, "supplier"))
-    if "price" in ranking.variables:
-        out["price_importance"] = price_importance(ranking.cleaned, ranking.variables)
+    by, data, variables = list(by or []), ranking.cleaned, ranking.variables
+    labelled = anomalies(data, variables, key=key, by=by)
+    out = {"anomalies": labelled, "outlier_view": outlier_view(labelled, variables, ids=(*by, key, "supplier"))}
+    out["pca"] = pca_by(data, variables, by, keys=(key, "supplier")) if by else pca2(data, variables, keys=(key, "supplier"))[0]
+    out["pca_dropped"] = complete_rows(data, variables)[1]
+    if "price" in variables:
+        out["price_importance"] = price_importance(data, variables, by=by, key=key)
     out["risk"] = risk_table(risk_scores(ranking.ranked, by=by), keys=(key, "supplier"))
     return out
 
@@ -77,6 +81,7 @@ def whatif_flow(scored: DataFrame, variables: Sequence[str], supplier: str, chan
     from offerscore.operators import whatif as X
     from offerscore.operators.ml import score_importance
     scored = track(scored.persist(StorageLevel.MEMORY_AND_DISK))
+    # one list of variables for all tenders, as the change is the same for all
     importance = track(score_importance(scored, variables, top=top, **forest).persist(StorageLevel.MEMORY_AND_DISK))
     names = [r["variable"] for r in importance.orderBy("rank").collect()]       # at most ``top``
     after = X.whatif(scored, supplier, changes, names, by=by)

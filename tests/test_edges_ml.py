@@ -147,7 +147,7 @@ def test_isolation_forest_flags_planted_outlier(spark):
 
 
 def test_random_forest_planted_driver(spark):
-    from offerscore.operators.ml import rf_importance
+    from offerscore.operators.forest import importances as rf_importance
     rng = np.random.default_rng(5)
     n = 300
     pdf = pd.DataFrame({"offer_id": [str(i) for i in range(n)], "x1": rng.normal(size=n),
