@@ -135,6 +135,14 @@ def supplier_profile(spark, sf):
     return prof.select(*KEYS, "variable", r6(F.col("value")).alias("value"))
 
 
+@query("supplier_profile_ranked")
+def supplier_profile_ranked(spark, sf):
+    """The scoring form: every ranked variable, as the ranking normalises it."""
+    c = compliant(spark, sf)
+    prof = S.supplier_profile(c, {v: v == "price" for v in P.variable_list(c)}, by=BY, ids=KEYS)
+    return prof.select(*KEYS, "variable", r6(F.col("value")).alias("value"))
+
+
 # ---------------------------------------------------------------- preparation
 SUBSET = ["Supplier#000000001", "Supplier#000000002", "Supplier#000000003"]
 RANGE_BOUNDS = {"price": (5000.0, 60000.0), "quality": (60.0, 95.0), "delivery_time_days": (5.0, 40.0)}
@@ -309,6 +317,14 @@ def box_stats(spark, sf):
     return out.select("tender_id", *[r6(F.col(c)).alias(c) for c in cols], "n_outliers")
 
 
+@query("price_density")
+def price_density(spark, sf):
+    """The violin's curve of each tender's prices."""
+    out = _summary().density(compliant(spark, sf), by=BY)
+    return out.select("tender_id", "point", r6(F.col("x")).alias("x"), r6(F.col("height")).alias("height"),
+                      r6(F.col("bandwidth")).alias("bandwidth"), "n")
+
+
 @query("price_histogram")
 def price_histogram(spark, sf):
     out = _summary().histogram(compliant(spark, sf), "price", bins=10, by=BY, decimals=10)
@@ -334,6 +350,14 @@ for _col, _ascending in (("quality", False), ("lead_time_days", True), ("deliver
     _totals_query(_col, _ascending)
 
 
+@query("supplier_totals_risk")
+def supplier_totals_risk(spark, sf):
+    """Sum of the total risk per supplier, smallest first."""
+    _, risk = _risk(spark, sf, "raw")
+    out = _summary().supplier_totals(risk.withColumn("total_risk", r6(F.col("total_risk"))), "total_risk", ascending=True, by=BY)
+    return out.select("tender_id", "supplier", r6(F.col("total_total_risk")).alias("total_risk"))
+
+
 @query("distinct_suppliers")
 def distinct_suppliers(spark, sf):
     return _summary().distinct_suppliers(offers(spark, sf), by=BY)
@@ -635,6 +659,15 @@ def anomalies(spark, sf):
                       "anomaly", "anomaly_label")
 
 
+@query("outlier_view")
+def outlier_view(spark, sf):
+    """The two variables that the outlier view plots, for every offer, with its label (rows-only check)."""
+    from offerscore.operators.iforest import anomalies as an, outlier_view as view
+    c = compliant(spark, sf)
+    variables = P.variable_list(c)
+    return view(an(c, variables), variables)
+
+
 @query("anomalies_by_tender")
 def anomalies_by_tender(spark, sf):
     """One Isolation Forest per tender (rows-only check)."""

@@ -573,3 +573,20 @@ SELECT {by} variable, CASE WHEN rank = 1 AND steps > 1 THEN 1.0 ELSE 0.0 END::DO
 FROM g, (VALUES ('quantity', 1), ('quality', 2), ('technical', 3), ('delivery_time_days', 4)) AS v(variable, rank) WHERE n_rows > 0"""
 SQL["step_importance"] = _STEP.format(offers=OFFERS_CTE, by="", group="")
 SQL["step_importance_by_tender"] = _STEP.format(offers=OFFERS_CTE, by="tender_id,", group="GROUP BY tender_id")
+
+SQL["price_density"] = with_offers(
+    """SELECT tender_id, p + 1 AS point, round(x, 6) AS x, round(k / max(k) OVER (PARTITION BY tender_id), 6) AS height, round(h, 6) AS bandwidth, n
+FROM (SELECT h.tender_id, p, lo - 2 * h + p * (hi - lo + 4 * h) / 49 AS x, h, n,
+             sum(exp(-0.5 * power((lo - 2 * h + p * (hi - lo + 4 * h) / 49 - price) / h, 2))) AS k
+      FROM h JOIN compliant c ON c.tender_id = h.tender_id AND price IS NOT NULL, generate_series(0, 49) AS t(p)
+      GROUP BY h.tender_id, p, lo, hi, h, n)""",
+    """b AS (SELECT tender_id, min(price) AS lo, max(price) AS hi, count(price) AS n, stddev_samp(price) AS s,
+  quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS iqr FROM compliant WHERE price IS NOT NULL GROUP BY tender_id),
+h AS (SELECT *, CASE WHEN hi > lo THEN greatest(1.059 * least(s, iqr / 1.349) * power(n, -0.2), (hi - lo) / 100) ELSE 1.0 END::DOUBLE AS h FROM b)""")
+
+SQL["supplier_profile_ranked"] = with_offers(
+    " UNION ALL ".join(f"SELECT {KEYS}, '{v}' AS variable, round({v}, 6) AS value FROM prof" for v in VARIABLES),
+    norm_ctes("compliant", VARIABLES, name="prof"))
+
+SQL["supplier_totals_risk"] = with_offers(
+    "SELECT tender_id, supplier, round(sum(round(total_risk, 6)), 6) AS total_risk FROM risk GROUP BY tender_id, supplier", *_risk_ctes("raw"))
