@@ -24,13 +24,15 @@ from . import exchange as X, textops as T
 
 ROWS = 2
 _BLOCKS = 64
+#: Text bytes that are hashed together.
+PIECE = 2 << 20
 
 
 def _windows(payload: bytes, size: int):
     """Pieces of a chunk: (document ids, data, word starts, word ends, words before each
     text's end, window starts, window hash, second hash)."""
     ids, texts = X.unpack_texts(payload)
-    for a, b in T.slices(texts, 2 << 20):
+    for a, b in T.slices(texts, PIECE):
         data, ends = T.buffers(texts.slice(a, b - a))
         starts, stops, upto = T.word_spans(data, ends)
         words = T.span_hash(data, starts, stops)
@@ -102,17 +104,22 @@ def _repeated(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     return keep
 
 
-def _keys(pieces: list, bitmap: np.ndarray, bits: int, n_shards: int):
-    """Distinct candidate windows of a chunk: per shard (h1, h2, smallest id), and the
-    number of each window's key (-1: not a candidate), by piece."""
-    h1 = np.concatenate([p[6] for p in pieces])
-    h2 = np.concatenate([p[7] for p in pieces])
-    ids = np.concatenate([p[0][p[8]] for p in pieces])
-    at = np.flatnonzero(_repeated(h1, bitmap, bits))
-    order = at[np.lexsort((ids[at], h2[at], h1[at]))]
+def _candidates(payload: bytes, size: int, bitmap: np.ndarray, bits: int):
+    """Windows of each piece that the sketch estimates repeated: (window starts, hash, second hash,
+    document id).  Only they are held beyond their piece of the chunk."""
+    for ids, *_, at, h1, h2, doc in _windows(payload, size):
+        keep = _repeated(h1, bitmap, bits)
+        yield at[keep].astype(np.int32), h1[keep], (h2[keep] >> np.uint64(32)).astype(np.uint32), ids[doc[keep]]
+
+
+def _keys(pieces: list, n_shards: int):
+    """Distinct candidate windows of a chunk: the number of each window's key, then per key its
+    hash, second hash, smallest id and shard."""
+    h1, h2, ids = (np.concatenate([p[k] for p in pieces]) for k in (1, 2, 3))
+    order = np.lexsort((ids, h2, h1))
     a, b = h1[order], h2[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
-    number = np.full(len(h1), -1, dtype=np.int64)
+    number = np.empty(len(h1), dtype=np.int32)
     number[order] = np.cumsum(new) - 1
     a, b, least = a[new], b[new], ids[order][new]
     return number, a, b, least, X.shard_of(a, n_shards)   # keys are sorted, so shards are too
@@ -137,12 +144,12 @@ def dedup(docs: DataFrame, size: int = 13, max_bits: int = 29, rows: int = ROWS,
     n_shards = X.shards_for(n_bytes)
 
     def request(payload):
-        pieces = list(_windows(payload, size))
+        pieces = list(_candidates(payload, size, spread.value, bits))
         if not pieces:
             return
-        _, a, b, least, shard = _keys(pieces, spread.value, bits, n_shards)
+        _, a, b, least, shard = _keys(pieces, n_shards)
         for s, at in X.split(shard, n_shards):
-            yield s, X.pack(h1_d=a[at], h2=(b[at] >> np.uint64(32)).astype(np.uint32), least_d=least[at])
+            yield s, X.pack(h1_d=a[at], h2=b[at], least_d=least[at])
 
     def reply(payloads, _):
         got = [X.unpack(p) for p in payloads]
@@ -158,15 +165,19 @@ def dedup(docs: DataFrame, size: int = 13, max_bits: int = 29, rows: int = ROWS,
         return [X.pack(lowest_d=lowest[i:j]) for i, j in zip(cut, cut[1:])]
 
     def work(payload, replies, chunk):
-        pieces = list(_windows(payload, size))
-        number, a, _, _, shard = _keys(pieces, spread.value, bits, n_shards)
-        lowest = np.empty(len(a) + 1, dtype=np.int64)
-        lowest[-1] = X.NO_ID
-        for s, at in X.split(shard, n_shards):
-            lowest[at] = X.unpack(replies[s])["lowest_d"]
+        pieces = list(_candidates(payload, size, spread.value, bits))
         out, done = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")}, 0
-        for ids, data, starts, stops, upto, at, h1, _, doc in pieces:
-            repeat = lowest[number[done:done + len(at)]] < ids[doc]
+        if pieces:
+            number, a, _, _, shard = _keys(pieces, n_shards)
+            lowest = np.empty(len(a), dtype=np.int64)
+            for s, at in X.split(shard, n_shards):
+                lowest[at] = X.unpack(replies[s])["lowest_d"]
+        every, texts = X.unpack_texts(payload)
+        for (i, j), (at, _, _, own) in zip(T.slices(texts, PIECE), pieces):
+            ids = every[i:j]
+            data, ends = T.buffers(texts.slice(i, j - i))
+            starts, stops, upto = T.word_spans(data, ends)
+            repeat = lowest[number[done:done + len(at)]] < own
             done += len(at)
             gone = T.covered(at[repeat], size, len(starts))
             raw, first = data.tobytes(), 0
