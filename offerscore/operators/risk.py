@@ -1,7 +1,7 @@
 """Bid-risk indicators.
 
-``risk_scores`` adds the seven indicators and their mean to the input.  All
-scalars come from one aggregate per group; percentiles and percent ranks use
+``risk_scores`` adds the seven indicators and their mean to the input, from windows of
+each group.  Groups too large for one task take their percentiles and percent ranks from
 the skew-safe distinct-value tables of ``stats`` (shared between the price
 percentile and the price rank, and between the score median and score rank).
 """
@@ -11,14 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerscore.functions.exprs import flag
 from offerscore.session import track
 from offerscore.operators.prepare import quality_column, require
-from offerscore.operators.stats import (attach, group_stats, is_duplicated, materialize,
-                                        multi_value_ranks, pct_rank, percentiles)
+from offerscore.operators.stats import (attach, both, group_stats, is_duplicated, materialize,
+                                        multi_value_ranks, pct_rank, pct_rank_column, percentiles)
 
 RISK_COLUMNS = ["lowball_risk", "drip_pricing_risk", "drip_pricing_flag", "signaling_risk",
                 "cover_bid_risk", "decoy_bid_risk", "bid_similarity_risk"]
@@ -38,19 +38,42 @@ RISK_LABELS = dict(zip(RISK_COLUMNS, RISK_EXPLANATIONS))
 
 def risk_scores(df: DataFrame, by: Sequence[str] | None = None, price: str = "price",
                 score: str = "score", lowball_share: float = 0.85) -> DataFrame:
-    """R1-R8 per group.  A NULL comparison counts as 0.0; division by zero is NULL."""
+    """R1-R8 per group.  A NULL comparison counts as 0.0; division by zero is NULL.
+
+    Ordinary groups are one exchange on ``by``: statistics, ranks, percentiles and repeated
+    values are windows of the group.  Groups that are too large for one task (``hot_groups``)
+    get the same columns from joined tables of statistics and value ranks."""
     by = list(by or [])
     require(df, [price, score], "risk_scores")
     q = quality_column(df)
+    measured = both(df, by, lambda rows: _measured_by_windows(rows, by, price, score, q),
+                    lambda rows: _measured_by_joins(rows, by, price, score, q))
+    return _risks(measured, price, score, q, lowball_share)
+
+
+def _statistics(price: str, score: str, q: str | None) -> dict[str, Column]:
+    out = {"_pmean": F.avg(price), "_pmin": F.min(price), "_pmax": F.max(price), "_smean": F.avg(score),
+           "_pstd": F.stddev_pop(price), "_sstd": F.stddev_pop(score)}
+    return out | ({"_qmin": F.min(q), "_qmax": F.max(q)} if q else {})
+
+
+def _duplicate_keys(price: str, score: str) -> dict[str, Column]:
+    return {"_pdup": F.bround(F.col(price), -2), "_sdup": F.bround(F.col(score), 0)}
+
+
+def _measured_by_windows(df: DataFrame, by: list[str], price: str, score: str, q: str | None) -> DataFrame:
+    group = Window.partitionBy(*by)
+    cuts = {"_p75": (price, 0.75), "_smed": (score, 0.5)} | ({"_q25": (q, 0.25)} if q else {})
+    return df.select("*", *[c.over(group).alias(n) for n, c in _statistics(price, score, q).items()],
+                     *[F.percentile(F.col(c), share).over(group).alias(n) for n, (c, share) in cuts.items()],
+                     pct_rank_column(by, F.col(price)).alias("_prank"), pct_rank_column(by, F.col(score)).alias("_srank"),
+                     *[(F.count(F.lit(1)).over(Window.partitionBy(*by, c)) > 1).alias(n) for n, c in _duplicate_keys(price, score).items()])
+
+
+def _measured_by_joins(df: DataFrame, by: list[str], price: str, score: str, q: str | None) -> DataFrame:
     # read by a dozen branches (stats, three value-rank tables, duplicates)
     df = track(df.persist(StorageLevel.MEMORY_AND_DISK))
-    p, s = F.col(price), F.col(score)
-    aggs = [F.avg(price).alias("_pmean"), F.min(price).alias("_pmin"), F.max(price).alias("_pmax"),
-            F.avg(score).alias("_smean"), F.stddev_pop(price).alias("_pstd"),
-            F.stddev_pop(score).alias("_sstd")]
-    if q:
-        aggs += [F.min(q).alias("_qmin"), F.max(q).alias("_qmax")]
-    stats = group_stats(df, by, *aggs)
+    stats = group_stats(df, by, *[c.alias(n) for n, c in _statistics(price, score, q).items()])
 
     # value-rank tables of price, score (and quality) from one ordering job
     ranks = multi_value_ranks(df, by, [price, score, *([q] if q else [])])
@@ -63,9 +86,13 @@ def risk_scores(df: DataFrame, by: Sequence[str] | None = None, price: str = "pr
     out = attach(df, materialize(stats), by)
     out = pct_rank(out, by, price, "_prank", ranks=price_ranks)
     out = pct_rank(out, by, score, "_srank", ranks=score_ranks)
-    out = is_duplicated(out, by, F.bround(p, -2), "_pdup", source=df)
-    out = is_duplicated(out, by, F.bround(s, 0), "_sdup", source=df)
+    for name, key in _duplicate_keys(price, score).items():
+        out = is_duplicated(out, by, key, name, source=df)
+    return out
+
 
+def _risks(out: DataFrame, price: str, score: str, q: str | None, lowball_share: float) -> DataFrame:
+    p, s = F.col(price), F.col(score)
     mean = F.col("_pmean")
     out = out.withColumn("lowball_risk", F.when(p < F.lit(lowball_share) * mean,
                                                  F.try_divide(mean - p, mean)).otherwise(F.lit(0.0)))
@@ -113,9 +140,11 @@ def red_flags(df: DataFrame, by: Sequence[str] | None = None, score: str = "scor
     """``[BEST]`` on the group's one highest score (ties: smallest
     ``tiebreak``), else ``[RISK]`` above the limit."""
     by = list(by or [])
-    top = group_stats(df.where(F.col(score).isNotNull()), by,
-                      F.min_by(tiebreak, F.struct(-F.col(score), F.col(tiebreak))).alias("_best"), F.max(score).alias("_smax"))
-    out = attach(df, top, by)
+    scored = F.when(F.col(score).isNotNull(), F.struct(-F.col(score), F.col(tiebreak)))
+    best = {"_best": F.min_by(F.col(tiebreak), scored), "_smax": F.max(score)}
+    group = Window.partitionBy(*by)
+    out = both(df, by, lambda rows: rows.select("*", *[c.over(group).alias(n) for n, c in best.items()]),
+               lambda rows: attach(rows, group_stats(rows, by, *[c.alias(n) for n, c in best.items()]), by))
     status = (F.when((F.col(score) == F.col("_smax")) & (F.col(tiebreak) == F.col("_best")), F.lit("[BEST]"))
                .when(F.col(risk_col) > F.lit(risk_limit), F.lit("[RISK]"))
                .otherwise(F.lit("")))

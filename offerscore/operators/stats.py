@@ -11,17 +11,20 @@ Design rules (apply to every operator in the package):
   only when the materialised size is under
   ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else it keeps a
   sort-merge join whose skewed partitions it splits.
-* Ordered quantities (row numbers, running sums, ranks, exact percentiles)
-  never use a window partitioned by the tender alone, since one tender may
-  hold a third of all rows.  ``running`` range-partitions on
+* Ordered quantities (row numbers, running sums, ranks, exact percentiles) of
+  a group of up to ``HOT_ROWS`` rows are windows or sorted arrays of the group:
+  one exchange on the group's keys, nothing written or persisted.
+* One tender may hold a third of all rows, so larger groups (``hot_groups``,
+  one count before; at most ``HOT_GROUPS`` of them, so their list is small)
+  never meet in one task.  There ``running`` range-partitions on
   ``(by, order)`` - the sampled bounds split a hot tender over many tasks -
   numbers rows inside each (range partition, tender) slice, and adds the
   counts/sums of the earlier slices of the same tender, taken from a table
-  with at most ``#tenders + #partitions`` rows.
+  with at most ``#tenders + #partitions`` rows.  Both ways give the same rows.
 * Frames persisted here are registered with ``session.track`` so a caller
   can release them (``session.release``) once results are consumed;
   correctness never depends on a cache being present.
-* Ranks and percentiles work on the distinct values per tender (an
+* Ranks and percentiles of hot groups work on the distinct values per tender (an
   aggregate), so ties collapse before anything is ordered.
 """
 
@@ -71,14 +74,72 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] | None, how: str
     return df.join(right, cond, how).drop(*ren.values())
 
 
+#: Rows of a group that one task may order; a larger one is cut into slices ...
+HOT_ROWS = 1 << 17
+#: ... as is one that holds more than two tasks' even shares of the table, from this many rows on.
+FAIR_ROWS = 512
+#: Largest number of groups that are cut for their size (in a very large table the limit on rows is higher).
+HOT_GROUPS = 10_000
+
+
+def hot_groups(df: DataFrame, by: Sequence[str] | None) -> DataFrame | None:
+    """The keys of groups too large for one task (see ``HOT_ROWS``, ``FAIR_ROWS``); None if there are
+    none.  At most ``HOT_GROUPS`` and half the shuffle partitions, so their list is small.  ``by=[]``: a row
+    without columns stands for the table.  One narrow counting job."""
+    by, n = _cols(by), F.col("_n")
+    sizes = group_stats(df, by, F.count(F.lit(1)).alias("_n"))
+    total = F.broadcast(sizes.agg(F.sum("_n").alias("_total")))
+    large = (n > HOT_ROWS) & (n * HOT_GROUPS > F.col("_total"))
+    unfair = (n > FAIR_ROWS) & (n * num_partitions(df) > 2 * F.col("_total"))
+    rows = sizes.crossJoin(total).where(large | unfair).select(*by).collect()
+    if not rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.select(*by).schema) if by else df.sparkSession.range(1).select()
+
+
+def split_hot(df: DataFrame, by: Sequence[str] | None, hot: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of the other groups, rows of the hot groups); None for no rows."""
+    by = _cols(by)
+    if hot is None:
+        return df, None
+    if not by:
+        return None, df
+    keys = F.broadcast(hot.select(*[F.col(f"`{c}`").alias(f"__h_{c}") for c in by]))
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"__h_{c}")) for c in by]
+    return df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
+
+
+def both(df: DataFrame, by: Sequence[str] | None, small, large, hot=()) -> DataFrame:
+    """``small`` on the rows of ordinary groups and ``large`` on those of hot ones, together.
+    ``hot`` may pass the keys found before."""
+    if hot == ():
+        hot = hot_groups(df, by)
+    parts = [f(rows) for f, rows in zip((small, large), split_hot(df, by, hot)) if rows is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def running(df: DataFrame, by: Sequence[str] | None, order: Sequence[Column],
-            sums: Mapping[str, Column] | None = None, rn: str | None = "_rn") -> DataFrame:
+            sums: Mapping[str, Column] | None = None, rn: str | None = "_rn", hot=()) -> DataFrame:
     """Row number (1-based) and running sums within each ``by`` group in ``order``.
 
     ``order`` must be a total order inside a group (add a unique tie-break).
-    Skew-safe: no task ever holds more than one range partition of rows.  A
-    missing value adds 0 to a running sum, whatever the partitions.
+    Skew-safe: no task ever holds more than ``HOT_ROWS`` rows of a group or one range
+    partition.  A missing value adds 0 to a running sum, whatever the partitions.
     """
+    sums = dict(sums or {})
+
+    def small(rows: DataFrame) -> DataFrame:
+        along = Window.partitionBy(*_cols(by)).orderBy(*order)
+        frame = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        numbers = [F.row_number().over(along).cast("long").alias(rn)] if rn else []
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], *numbers,
+                           *[F.sum(F.coalesce(c, F.lit(0))).over(frame).alias(n) for n, c in sums.items()])
+    return both(df, by, small, lambda rows: running_in_slices(rows, by, order, sums, rn), hot)
+
+
+def running_in_slices(df: DataFrame, by: Sequence[str] | None, order: Sequence[Column],
+                      sums: Mapping[str, Column] | None = None, rn: str | None = "_rn") -> DataFrame:
+    """``running`` for groups of any size: no task holds more than one range partition of rows."""
     by = _cols(by)
     sums = dict(sums or {})
     p = num_partitions(df)
@@ -135,7 +196,7 @@ def distinct_value_ranks(df: DataFrame, by: Sequence[str] | None, col: str,
     by = _cols(by)
     c = F.col(f"`{col}`")
     v = df.where(c.isNotNull()).groupBy(*by, c.alias(col)).agg(F.count(F.lit(1)).alias("_cnt"))
-    v = running(v, by, [c.asc() if ascending else c.desc()], sums={"_cum": F.col("_cnt")}, rn=None)
+    v = running_in_slices(v, by, [c.asc() if ascending else c.desc()], sums={"_cum": F.col("_cnt")}, rn=None)
     # group sizes from the source rows (a partial aggregate), so the ordered
     # frame above is evaluated once
     n = group_stats(df, by, F.count(c).alias("_n"))
@@ -154,7 +215,7 @@ def multi_value_ranks(df: DataFrame, by: Sequence[str] | None, cols: Sequence[st
     v = stacked.where(F.col("_val").isNotNull()).groupBy(*by, "_col", "_val") \
         .agg(F.count(F.lit(1)).alias("_cnt"))
     keys = [*by, "_col"]
-    v = running(v, keys, [F.col("_val").asc()], sums={"_cum": F.col("_cnt")}, rn=None)
+    v = running_in_slices(v, keys, [F.col("_val").asc()], sums={"_cum": F.col("_cnt")}, rn=None)
     # group sizes from one partial aggregate of the source rows, so the
     # ordered frame above is evaluated once
     counts = group_stats(df, by, *[F.count(F.col(f"`{c}`")).alias(c) for c in cols])
@@ -165,37 +226,69 @@ def multi_value_ranks(df: DataFrame, by: Sequence[str] | None, cols: Sequence[st
             for c in cols}
 
 
+def place(by: Sequence[str] | None, c: Column, ascending: bool = True) -> tuple[Column, Column]:
+    """(lowest rank, rows with the same value) of a non-missing value among its group's, as windows
+    over one sort."""
+    order = c.asc_nulls_last() if ascending else c.desc_nulls_last()
+    along = Window.partitionBy(*_cols(by)).orderBy(order)
+    return F.rank().over(along).cast("long"), F.count(F.lit(1)).over(along.rangeBetween(Window.currentRow, Window.currentRow))
+
+
+def pct_rank_column(by: Sequence[str] | None, c: Column) -> Column:
+    """Average-tie rank / number of non-missing values, as windows of the group."""
+    low, ties = place(by, c)
+    return F.when(c.isNotNull(), (2 * low + ties - 1) / F.lit(2.0) / F.count(c).over(Window.partitionBy(*_cols(by))))
+
+
 def pct_rank(df: DataFrame, by: Sequence[str] | None, col: str, name: str,
              ranks: DataFrame | None = None) -> DataFrame:
     """Average-tie rank / number of non-missing values; missing stays missing.
 
     ``ranks`` may pass an ascending ``distinct_value_ranks`` table to share it."""
-    by = _cols(by)
-    v = ranks if ranks is not None else distinct_value_ranks(df, by, col, ascending=True)
-    v = v.select(*by, col, (((F.col("_cum") - F.col("_cnt") + 1 + F.col("_cum")) / 2.0)
-                            / F.col("_n")).alias(name))
-    return attach(df, v, [*by, col])
+    def large(rows: DataFrame) -> DataFrame:
+        v = ranks if ranks is not None else distinct_value_ranks(rows, by, col, ascending=True)
+        v = v.select(*_cols(by), col, (((F.col("_cum") - F.col("_cnt") + 1 + F.col("_cum")) / 2.0)
+                                       / F.col("_n")).alias(name))
+        return attach(rows, v, [*_cols(by), col])
+    if ranks is not None:
+        return large(df)
+    return both(df, by, lambda rows: rows.withColumn(name, pct_rank_column(by, F.col(f"`{col}`"))), large)
 
 
 def min_rank(df: DataFrame, by: Sequence[str] | None, col: str, name: str,
              ascending: bool = False) -> DataFrame:
     """Rank with ties sharing the lowest rank (descending: 1 = highest value)."""
-    by = _cols(by)
-    v = distinct_value_ranks(df, by, col, ascending=ascending)
-    v = v.select(*by, col, (F.col("_cum") - F.col("_cnt") + 1).alias(name))
-    return attach(df, v, [*by, col])
+    c = F.col(f"`{col}`")
+
+    def large(rows: DataFrame) -> DataFrame:
+        v = distinct_value_ranks(rows, by, col, ascending=ascending)
+        return attach(rows, v.select(*_cols(by), col, (F.col("_cum") - F.col("_cnt") + 1).alias(name)), [*_cols(by), col])
+    return both(df, by, lambda rows: rows.withColumn(name, F.when(c.isNotNull(), place(by, c, ascending)[0])), large)
 
 
 def percentiles(df: DataFrame, by: Sequence[str] | None, col: str,
                 qs: Mapping[str, float], ranks: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolated percentiles per group, as a stats table.
 
-    Equivalent to ``percentile(col, q)`` but the values of a hot group are
-    never gathered into one aggregation buffer: only the (at most two) values
+    Equivalent to ``percentile(col, q)``.  A group of up to ``HOT_ROWS`` rows is one sorted array; the
+    values of a hot group are never gathered: only the (at most two) distinct values
     that bracket each position survive the filter before the final aggregate.
     """
-    by = _cols(by)
-    v = ranks if ranks is not None else distinct_value_ranks(df, by, col, ascending=True)
+    by, c = _cols(by), F.col(f"`{col}`")
+
+    def small(rows: DataFrame) -> DataFrame:
+        # like the other way, a group without values has no row (the whole table has one of nulls)
+        values = group_stats(rows.where(c.isNotNull()), by, F.sort_array(F.collect_list(c)).alias("_v"))
+        at = {n: (F.size("_v") - 1) * F.lit(float(q)) for n, q in qs.items()}
+        get = lambda i: F.get(F.col("_v"), i.cast("int"))
+        return values.select(*by, *[(get(F.floor(h)) + (h - F.floor(h)) * (get(F.ceil(h)) - get(F.floor(h)))).alias(n) for n, h in at.items()])
+
+    def large(rows: DataFrame) -> DataFrame:
+        return _bracketed(by, col, qs, ranks if ranks is not None else distinct_value_ranks(rows, by, col, ascending=True))
+    return large(df) if ranks is not None else both(df, by, small, large)
+
+
+def _bracketed(by: list[str], col: str, qs: Mapping[str, float], v: DataFrame) -> DataFrame:
     c = F.col(f"`{col}`")
     lo_start = F.col("_cum") - F.col("_cnt")
 

@@ -80,16 +80,22 @@ def test_top_k_salted(skewed):
 
 
 def test_no_window_on_tender_alone(skewed):
-    """The ordered primitive never puts a whole tender in one window partition."""
+    """The ordered primitive never puts a hot tender in one window partition: those are cut into
+    slices, and the windows of the others read what is left without them."""
     df, _ = skewed
-    plan = ST.running(df, ["tender_id"], [F.col("price").desc(), F.col("offer_id")])._jdf \
-        .queryExecution().executedPlan().toString()
+    order = [F.col("price").desc(), F.col("offer_id")]
+
+    def plan_of(out):
+        return out._jdf.queryExecution().executedPlan().toString()
+    sliced = plan_of(ST.running_in_slices(df, ["tender_id"], order))
     # the range exchange ran in the eager checkpoint; the plan reads its files
-    assert "Scan ExistingRDD" in plan
-    # the row-level numbering is partitioned by (range slice, tender); only the
-    # per-slice totals table (at most #tenders + #partitions rows) is windowed by tender
-    assert "row_number() windowspecdefinition(_pid" in plan
-    assert "row_number() windowspecdefinition(tender_id" not in plan
+    assert "Scan ExistingRDD" in sliced
+    assert "row_number() windowspecdefinition(_pid" in sliced
+    assert "row_number() windowspecdefinition(tender_id" not in sliced
+    plan = plan_of(ST.running(df, ["tender_id"], order))
+    assert "Scan ExistingRDD" in plan and "LeftAnti" in plan
+    cold, hot = ST.split_hot(df, ["tender_id"], ST.hot_groups(df, ["tender_id"]))
+    assert cold.where("tender_id = 0").count() == 0 and hot.where("tender_id <> 0").count() == 0
 
 
 def test_multi_value_ranks_equal_single(spark, skewed):
@@ -101,3 +107,52 @@ def test_multi_value_ranks_equal_single(spark, skewed):
         a = sorted(tuple(r) for r in multi[c].select("tender_id", c, "_cnt", "_cum", "_n").collect())
         b = sorted(tuple(r) for r in single.select("tender_id", c, "_cnt", "_cum", "_n").collect())
         assert a == b
+
+
+def both_ways(monkeypatch, run):
+    """The rows of ``run()`` by windows alone, and with all large groups cut."""
+    monkeypatch.setattr(ST, "hot_groups", lambda df, by: None)
+    small = sorted(map(str, run().collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(ST, "FAIR_ROWS", 5)
+    monkeypatch.setattr(ST, "HOT_ROWS", 30)
+    return small, sorted(map(str, run().collect()))
+
+
+def test_hot_groups_are_found(skewed, spark, monkeypatch):
+    df, pdf = skewed
+    sizes = pdf.groupby("tender_id").size()
+    unfair = set(sizes[(sizes > ST.FAIR_ROWS) & (sizes * 8 > 2 * len(pdf))].index)
+    assert {r[0] for r in ST.hot_groups(df, ["tender_id"]).collect()} == unfair != set()
+    assert ST.hot_groups(df, []).count() == 1 and ST.hot_groups(df.limit(10), []) is None
+    assert ST.hot_groups(df.where("tender_id > 5"), ["tender_id"]) is None
+    monkeypatch.setattr(ST, "HOT_ROWS", 10)
+    assert {r[0] for r in ST.hot_groups(df, ["tender_id"]).collect()} == set(sizes[sizes > 10].index) | unfair
+    cold, hot = ST.split_hot(df, ["tender_id"], ST.hot_groups(df, ["tender_id"]))
+    assert cold.count() + hot.count() == len(pdf)
+
+
+@pytest.mark.parametrize("by", [["tender_id"], []])
+def test_both_ways_give_the_same_rows(skewed, spark, by, monkeypatch):
+    df = skewed[0].unionByName(spark.createDataFrame([("n1", None, 5.0), ("n2", None, None), ("n3", None, 5.0), ("n4", 777, None)],
+                                                     "offer_id string, tender_id long, price double"))
+    order = [F.col("price").desc_nulls_last(), F.col("offer_id").asc()]
+    for run in (lambda: ST.running(df, by, order, sums={"cum": F.col("price")}), lambda: ST.pct_rank(df, by, "price", "p"),
+                lambda: ST.min_rank(df, by, "price", "p"), lambda: ST.min_rank(df, by, "price", "p", ascending=True),
+                lambda: ST.percentiles(df, by, "price", {"a": 0.0, "b": 0.33, "c": 1.0})):
+        small, large = both_ways(monkeypatch, run)
+        assert small == large and small
+
+
+def test_risks_both_ways(spark, monkeypatch):
+    from offerscore.operators.risk import comparison_summary, risk_scores
+    rows = [(f"o{i}", t, f"s{i % 7}", float(100 + (i * 37) % 50), float((i * 11) % 9) if i % 13 else None, float((i * 5) % 30), 3.0)
+            for t, n in (("a", 40), ("b", 9), ("c", 1), (None, 60)) for i in range(n)]
+    df = spark.createDataFrame(rows, "offer_id string, tender_id string, supplier string, price double, score double, quality double, delivery_time_days double")
+    for by in (["tender_id"], []):
+        small, large = both_ways(monkeypatch, lambda: risk_scores(df, by=by))
+        assert small == large and len(small) == len(rows)
+        monkeypatch.undo()
+        small, large = both_ways(monkeypatch, lambda: comparison_summary(risk_scores(df, by=by), by=by))
+        assert small == large and len(small) == len(rows)
+        monkeypatch.undo()
