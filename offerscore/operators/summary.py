@@ -107,42 +107,40 @@ def compliance_by_supplier(df: DataFrame, by: Sequence[str] | None = None) -> Da
               .groupBy(*_by(by), "supplier", "compliance").agg(F.count(F.lit(1)).alias("count")))
 
 
-def correlation(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None = None,
-                pairs_per_pass: int = 8) -> DataFrame:
-    """Pairwise-complete Pearson correlation of every pair, long format.
-
-    ``cov_pop / (std_pop(x | y present) * std_pop(y | x present))``; a
-    constant column gives NULL instead of a divide-by-zero.  The d(d+1)/2
-    pair formulas are split into aggregates of at most ``pairs_per_pass``
-    pairs: one huge aggregate (hundreds of buffer fields) falls out of
-    whole-stage codegen and runs several times slower than a few compiled ones.
+def correlation(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
+    """Pairwise-complete Pearson correlation of every pair of columns, long format (``by``, var_a, var_b, corr),
+    for the table or each group.
+
+    Two scans: the smallest value of each column, and one aggregate of the sums and products of what
+    the columns exceed it by, by (group, which columns are missing): rows with the same columns present
+    share the sums of all their pairs.  The sums are plain, so they are merged on every map task
+    first; a pair then adds up those of the patterns that have both columns.  A pair without two rows, or
+    with a column that is constant where both are present, gives NULL.
     """
-    by = list(by or [])
-    cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    chunks = [pairs[k:k + pairs_per_pass] for k in range(0, len(pairs), pairs_per_pass)]
-    parts = []
-    for chunk in chunks:
-        aggs = []
-        for i, j in chunk:
-            x, y = F.col(cols[i]), F.col(cols[j])
-            both = x.isNotNull() & y.isNotNull()
-            sx = F.stddev_pop(F.when(both, x))
-            sy = F.stddev_pop(F.when(both, y))
-            aggs.append(F.try_divide(F.covar_pop(x, y), sx * sy).alias(f"_c_{i}_{j}"))
-        s = group_stats(df, by, *aggs)
-        rows = []
-        for i, j in chunk:
-            rows.append(F.struct(F.lit(cols[i]).alias("var_a"), F.lit(cols[j]).alias("var_b"),
-                                 F.col(f"_c_{i}_{j}").alias("corr")))
-            if i != j:
-                rows.append(F.struct(F.lit(cols[j]).alias("var_a"), F.lit(cols[i]).alias("var_b"),
-                                     F.col(f"_c_{i}_{j}").alias("corr")))
-        parts.append(s.select(*by, F.explode(F.array(*rows)).alias("_p")).select(*by, "_p.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    by, cols = _by(by), list(cols)
+    d = len(cols)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    least = group_stats(df, by, *[F.min(F.col(f"`{c}`").cast("double")).alias(f"_m{i}") for i, c in enumerate(cols)])
+    above = attach(df.select(*[F.col(f"`{c}`") for c in by], *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]), least, by) \
+        .select(*by, *[(F.col(f"_x{i}") - F.col(f"_m{i}")).alias(f"_x{i}") for i in range(d)])
+    x = [F.col(f"_x{i}") for i in range(d)]
+    patterns = above.withColumn("_p", F.array(*[c.isNotNull() for c in x])).groupBy(*by, "_p").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs],
+        *[f(c).alias(f"{name}{i}") for i, c in enumerate(x) for name, f in (("lo", F.min), ("hi", F.max))])
+    listed = F.array(*[F.when(F.col("_p")[i] & F.col("_p")[j], F.struct(
+        F.lit(k).alias("k"), F.col("n"), *[F.col(f"{c}{i}").alias(f"{c}x") for c in ("s", "lo", "hi")], *[F.col(f"{c}{j}").alias(f"{c}y") for c in ("s", "lo", "hi")],
+        F.col(f"s{i}_{i}").alias("sxx"), F.col(f"s{j}_{j}").alias("syy"), F.col(f"s{i}_{j}").alias("sxy"))) for k, (i, j) in enumerate(pairs)])
+    sums = patterns.select(*by, F.inline(F.filter(listed, lambda p: p.isNotNull()))).groupBy(*by, "k").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
+        ((F.min("lox") < F.max("hix")) & (F.min("loy") < F.max("hiy"))).alias("varies"))
+    part = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
+    ratio = F.try_divide(part("sx", "sy", "sxy"), F.sqrt(part("sx", "sx", "sxx") * part("sy", "sy", "syy")))
+    corr = F.when(F.col("varies") & ratio.isNotNull(), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)))      # both skip nulls
+    every = (least.select(*by) if by else df.sparkSession.range(1).select()).select(*by, F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("k"))
+    out = attach(every, sums.select(*by, "k", corr.alias("corr")), [*by, "k"])
+    names = lambda side: F.element_at(F.array(*[F.lit(cols[p[side]]) for p in pairs]), F.col("k") + 1)
+    both_sides = F.array(F.struct(names(0).alias("var_a"), names(1).alias("var_b")), F.struct(names(1).alias("var_a"), names(0).alias("var_b")))
+    return out.select(*by, F.explode(F.array_distinct(both_sides)).alias("_p"), "corr").select(*by, "_p.*", "corr")
 
 
 def pareto(df: DataFrame, by: Sequence[str] | None = None, col: str = "price") -> DataFrame:

@@ -80,7 +80,7 @@ def sensitivity(df: DataFrame, supplier: str, top_vars: Sequence[str], points: i
     The grid is ``points`` evenly spaced values between each variable's global
     min and max (``len(top_vars) * points`` scenarios, fixed by the caller).
     Each scenario is a grouping key next to ``by``, so one job re-scores all of
-    them.  The supplier's rank is ``1 + rows with a higher score`` in its group,
+    them, in the groups that the supplier is in.  The supplier's rank is ``1 + rows with a higher score`` in its group,
     a filter-and-count, not a sort.
     """
     by = list(by or [])
@@ -97,9 +97,14 @@ def sensitivity(df: DataFrame, supplier: str, top_vars: Sequence[str], points: i
         grid += [(v, x) for x in dict.fromkeys(float(lo + (hi - lo) * j / (points - 1)) for j in range(points))]
     if not grid:
         raise ValueError("every top variable is missing")
+    hit = F.col("supplier") == F.lit(supplier)
+    if by:
+        # only groups that the supplier is in can change
+        names = {c: f"_in_{c}" for c in by}
+        within = df.where(hit).select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).distinct()
+        df = df.join(within, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in names.items()], "left_semi")
     scen = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(x).alias("value")) for v, x in grid])
     exploded = df.withColumn("_s", F.explode(scen)).select("*", "_s.variable", "_s.value").drop("_s")
-    hit = F.col("supplier") == F.lit(supplier)
     for v in top_vars:
         exploded = exploded.withColumn(
             v, F.when(hit & (F.col("variable") == F.lit(v)), F.col("value")).otherwise(F.col(v)))

@@ -303,6 +303,16 @@ def correlation(spark, sf):
     return out.select("var_a", "var_b", r6(F.col("corr")).alias("corr"))
 
 
+@query("correlation_by_tender")
+def correlation_by_tender(spark, sf):
+    """Correlations of four variables in each tender."""
+    out = _summary().correlation(compliant(spark, sf), CORRELATED, by=BY)
+    return out.select("tender_id", "var_a", "var_b", r6(F.col("corr")).alias("corr"))
+
+
+CORRELATED = ["price", "quality", "delivery_time_days", "warranty_months"]
+
+
 @query("pareto")
 def pareto(spark, sf):
     out = _summary().pareto(offers(spark, sf).select(*KEYS, "price"), by=BY)

@@ -590,3 +590,10 @@ SQL["supplier_profile_ranked"] = with_offers(
 
 SQL["supplier_totals_risk"] = with_offers(
     "SELECT tender_id, supplier, round(sum(round(total_risk, 6)), 6) AS total_risk FROM risk GROUP BY tender_id, supplier", *_risk_ctes("raw"))
+
+CORRELATED = ["price", "quality", "delivery_time_days", "warranty_months"]
+SQL["correlation_by_tender"] = with_offers(" UNION ALL ".join(
+    f"""SELECT tender_id, '{a}' AS var_a, '{b}' AS var_b,
+  round(CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN greatest(least(corr(x, y), 1.0), -1.0) END, 6) + 0.0 AS corr
+FROM (SELECT tender_id, CASE WHEN {b} IS NOT NULL THEN {a} END AS x, CASE WHEN {a} IS NOT NULL THEN {b} END AS y FROM compliant)
+GROUP BY tender_id""" for a in CORRELATED for b in CORRELATED))

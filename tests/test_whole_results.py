@@ -93,3 +93,38 @@ def test_checkpoint_dir_must_be_shared_on_a_cluster():
         sparkContext, conf = Context(), Conf()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_correlation_by_group_matches_numpy(spark):
+    import numpy as np
+
+    from offerscore.operators import summary as A
+    rng = np.random.default_rng(3)
+    groups = {"a": 30, None: 12, "two": 2, "one": 1}
+    rows = [(g, float(1e6 + v), None if k % 5 == 4 else float(v * 2 + w), 7.5, float(w) if k % 3 else None)
+            for g, n in groups.items() for k, (v, w) in enumerate(rng.normal(size=(n, 2)))]
+    df = spark.createDataFrame(rows, "tender string, a double, b double, c double, d double").repartition(4)
+    for by in (["tender"], []):
+        got = {(r["tender"] if by else 0, r["var_a"], r["var_b"]): r["corr"] for r in A.correlation(df, ["a", "b", "c", "d"], by=by).collect()}
+        assert len(got) == 16 * (len(groups) if by else 1)
+        for g in groups if by else [0]:
+            mine = [r for r in rows if not by or r[0] == g]
+            for i, x in enumerate("abcd"):
+                for j, y in enumerate("abcd"):
+                    p = np.array([(r[1 + i], r[1 + j]) for r in mine if r[1 + i] is not None and r[1 + j] is not None], dtype=float)
+                    if len(p) < 2 or (p.min(axis=0) == p.max(axis=0)).any():
+                        assert got[g, x, y] is None
+                    else:
+                        assert got[g, x, y] == pytest.approx(np.corrcoef(p.T)[0, 1], abs=1e-9)
+    assert A.correlation(df.where("a < 0"), ["a", "b"], by=["tender"]).collect() == []
+
+
+def test_sensitivity_reads_only_the_suppliers_groups(spark):
+    from offerscore.operators.whatif import sensitivity
+    rows = [(f"o{t}{i}", t, f"s{i}", float(10 * i + len(t or "")), float(i % 4), 1.0) for t in ("a", "bb", None) for i in range(6)]
+    rows += [("x", "other", "s9", 1000.0, -50.0, 1.0)]
+    df = spark.createDataFrame(rows, "offer_id string, tender string, supplier string, price double, quality double, experience double")
+    out = sensitivity(df, "s2", ["price", "experience"], points=3, by=["tender"]).collect()
+    assert {r["tender"] for r in out} == {"a", "bb", None}
+    assert {r["value"] for r in out if r["variable"] == "price"} == {0.0, 500.0, 1000.0}     # the range of the whole table
+    assert all(r["supplier_rank"] == 1 for r in out if r["value"] == 1000.0)
