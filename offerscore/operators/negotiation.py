@@ -65,6 +65,7 @@ def negotiation_advice(table: DataFrame, by: Sequence[str] | None = None) -> Dat
     out = out.withColumn("price_gap", F.coalesce(pg, F.lit(0.0))) \
              .withColumn("quality_gap", F.coalesce(qg, F.lit(0.0))) \
              .withColumn("delivery_gap", F.coalesce(dg, F.lit(0.0)))
+    # The sentences and their parts.
     tips = F.concat_ws(
         ", and ",
         F.when(pg.isNotNull(), F.concat(F.lit("reduce price by €"), _fmt(pg),

@@ -143,6 +143,7 @@ def score_composition(scored: DataFrame, variables: Sequence[str], weights: Mapp
         .withColumn("contribution", F.col("normalized") * F.col("weight"))
 
 
+# The variables of the dashboard's radar, and whether a small value is good.
 DASHBOARD_PROFILE = {"price": True, "delivery_time_days": True, "warranty_months": False, "quality": False}
 
 

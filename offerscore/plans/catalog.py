@@ -229,10 +229,8 @@ for _view in ("price_quality", "price_quality_delivery", "price_delivery", "expe
 
 @query("view_experience_score")
 def view_experience_score(spark, sf):
-    scored, _, _ = _scored(spark, sf, "equal")
-    raw = offers(spark, sf).select("offer_id", "supplier", "experience_years")
-    return P.view_columns(raw.join(scored.select("offer_id", "score"), "offer_id").withColumn("score", r6(F.col("score"))),
-                          "experience_score")
+    scored, _ = _scored_raw(spark, sf)                  # the raw columns beside the score: no join by id
+    return P.view_columns(scored.withColumn("score", r6(F.col("score"))), "experience_score")
 
 
 @query("view_price_technical")
@@ -291,6 +289,14 @@ def distinct_supplier_types(spark, sf):
     return _summary().distinct_supplier_types(offers(spark, sf), by=BY)
 
 
+@query("supplier_sketch")
+def supplier_sketch(spark, sf):
+    """Estimated suppliers of each country and type, from sketches of the tenders merged by union."""
+    A = _summary()
+    by_tender = A.distinct_sketch(offers(spark, sf), "supplier", by=["tender_id", "country", "supplier_type"])
+    return A.merge_sketches(by_tender, by=["country", "supplier_type"]).select("country", "supplier_type", "n_distinct")
+
+
 @query("compliance_by_supplier")
 def compliance_by_supplier(spark, sf):
     return _summary().compliance_by_supplier(offers_view(spark, sf))

@@ -597,3 +597,7 @@ SQL["correlation_by_tender"] = with_offers(" UNION ALL ".join(
   round(CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN greatest(least(corr(x, y), 1.0), -1.0) END, 6) + 0.0 AS corr
 FROM (SELECT tender_id, CASE WHEN {b} IS NOT NULL THEN {a} END AS x, CASE WHEN {a} IS NOT NULL THEN {b} END AS y FROM compliant)
 GROUP BY tender_id""" for a in CORRELATED for b in CORRELATED))
+
+# Sketches of up to some hundreds of values are exact.
+SQL["supplier_sketch"] = with_offers(
+    "SELECT country, supplier_type, count(DISTINCT supplier) AS n_distinct FROM compliant GROUP BY country, supplier_type")

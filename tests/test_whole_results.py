@@ -1,6 +1,7 @@
 """Inputs that the shared tables lack: missing keys, zero totals, ties, repeated ids, quoted text."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from offerscore.operators import risk as R
 from offerscore.operators import summary as A
@@ -128,3 +129,32 @@ def test_sensitivity_reads_only_the_suppliers_groups(spark):
     assert {r["tender"] for r in out} == {"a", "bb", None}
     assert {r["value"] for r in out if r["variable"] == "price"} == {0.0, 500.0, 1000.0}     # the range of the whole table
     assert all(r["supplier_rank"] == 1 for r in out if r["value"] == 1000.0)
+
+
+def test_column_helpers(spark):
+    from offerscore.operators import prepare as P
+    df = spark.createDataFrame([("s", "a", 1.0, 2)], "supplier string, country string, price double, quantity int")
+    assert P.categorical_columns(df) == ["country"] and P.categorical_columns(df, exclude=["country"]) == []
+    assert P.unique_columns(["b", "a", "b", "a", "c"]) == ["b", "a", "c"] and P.unique_columns([]) == []
+    raw = df.withColumn("extra", F.lit(1))
+    assert P.scope(df, raw) is df and P.scope(df, raw, use_filtered=False) is raw
+    P.require(df, ["price"])
+    with pytest.raises(ValueError, match="x view needs column.s. quality, score; the table has supplier, country, price, quantity"):
+        P.require(df, ["price", "quality", "score"], "x view")
+    with pytest.raises(ValueError, match="view 'warranty' needs"):
+        P.view_columns(df.withColumn("offer_id", F.lit("o")), "warranty")
+
+
+def test_sketches_merge(spark):
+    rows = [(f"t{i % 40}", f"d{i % 3}", None if i % 11 == 0 else f"s{(i * 7919) % 9000}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "tender string, day string, supplier string").repartition(6)
+    by_tender = A.distinct_sketch(df, "supplier", by=["tender", "day"])
+    exact = {r["day"]: r["n"] for r in df.groupBy("day").agg(F.count_distinct("supplier").alias("n")).collect()}
+    for r in A.merge_sketches(by_tender, by=["day"]).collect():
+        assert r["n_distinct"] == pytest.approx(exact[r["day"]], rel=0.03)
+    total = len({r[2] for r in rows if r[2]})
+    assert A.merge_sketches(by_tender).first()["n_distinct"] == pytest.approx(total, rel=0.03)
+    types = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", None), ("b", None)], "tender string, supplier_type string")
+    for approx in (False, True):
+        got = {r["tender"]: r["n_supplier_types"] for r in A.distinct_supplier_types(types, by=["tender"], approx=approx).collect()}
+        assert got == {"a": 2, "b": 0}
