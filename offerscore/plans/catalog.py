@@ -715,3 +715,15 @@ def offers_csv_roundtrip(spark, sf):
     back = P.coerce_numeric(read_offers(spark, path), keep=("offer_id", "tender_id"))
     return back.select("offer_id", F.col("tender_id").cast("long").alias("tender_id"), "supplier",
                        r6(F.col("score")).alias("score"))
+
+
+@query("offers_csv_split")
+def offers_csv_split(spark, sf):
+    """Offers with line breaks in quoted remarks, written as CSV and read back by many tasks."""
+    from offerscore.session import scratch_dir
+    from offerscore.sources.offers import read_offers
+    path = scratch_dir(spark, "quoted")
+    noted = offers(spark, sf).select("offer_id", "supplier", F.format_string('%s\n"%s", %s', "compliance_notes", "country", "delivery_terms").alias("remarks"),
+                                     "payment_terms")
+    noted.write.option("header", True).option("escape", '"').csv(path)
+    return read_offers(spark, path, split=True)

@@ -601,3 +601,6 @@ GROUP BY tender_id""" for a in CORRELATED for b in CORRELATED))
 # Sketches of up to some hundreds of values are exact.
 SQL["supplier_sketch"] = with_offers(
     "SELECT country, supplier_type, count(DISTINCT supplier) AS n_distinct FROM compliant GROUP BY country, supplier_type")
+
+SQL["offers_csv_split"] = with_offers(
+    """SELECT offer_id, supplier, compliance_notes || chr(10) || '"' || country || '", ' || delivery_terms AS remarks, payment_terms FROM compliant""")

@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from offerscore.functions.exprs import NULL_TOKENS
 from offerscore.operators.prepare import unique_columns
+from offerscore.sources.records import read_records
 
 
-def read_offers(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+def read_offers(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True, split: bool = False) -> DataFrame:
     """Read an offer table.
 
     CSV is read with a header and every column as text (no inference pass over
     the data); the reader's missing-value tokens become NULL.  Numbers are made
     later by ``coerce_numeric`` so that one path serves every source.
     Parquet/ORC/JSON keep their own types.  A quote inside a quoted field is
-    doubled; ``multi_line`` allows line breaks inside quotes (a file is then one
-    task: turn it off for large files without them).
+    doubled; ``multi_line`` allows line breaks inside quotes.  A file is then one task, unless
+    ``split`` has it cut at its true record ends by many (``sources.records``; quotes as in RFC 4180).
     """
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
     raw = (spark.read.option("header", True).option("inferSchema", False)
            .option("nullValue", None).option("emptyValue", "")
            .option("escape", '"').option("multiLine", multi_line).csv(path))
+    if split and multi_line and raw.columns:
+        raw = read_records(spark, path, raw.columns)
     return raw.select(*[
         F.when(F.col(f"`{c}`").isin(*NULL_TOKENS), F.lit(None).cast("string"))
          .otherwise(F.col(f"`{c}`")).alias(c)
