@@ -58,4 +58,4 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, docs):
 
 
 def test_queries_are_registered():
-    assert [re.match(r"op(\d+)_", q)[1] for q in catalog.QUERIES] == [str(n) for n in range(1, 11)]
+    assert [re.match(r"op(\d+)_", q)[1] for q in catalog.QUERIES] == [str(n) for n in range(1, 14)]
