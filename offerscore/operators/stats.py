@@ -324,15 +324,21 @@ def is_duplicated(df: DataFrame, by: Sequence[str] | None, col: Column | str, na
                   source: DataFrame | None = None) -> DataFrame:
     """True if another row of the group has the same value (missing equals missing).
 
-    Counts per (group, value) are an aggregate (pre-aggregated per map task),
-    taken from ``source`` when given (the rows before other columns were joined on).
+    A window of ordinary groups.  In hot ones counts per (group, value) are an aggregate
+    (pre-aggregated per map task), taken from ``source`` when given (the rows before other
+    columns were joined on; all groups go this way then).
     """
     by = _cols(by)
     c = F.col(col) if isinstance(col, str) else col
-    src = (source if source is not None else df).withColumn("_dupkey", c)
-    cnt = materialize(src.groupBy(*by, "_dupkey").agg(F.count(F.lit(1)).alias("_dupn")))
-    out = attach(df.withColumn("_dupkey", c), cnt, [*by, "_dupkey"])
-    return out.withColumn(name, F.col("_dupn") > 1).drop("_dupkey", "_dupn")
+
+    def large(rows: DataFrame) -> DataFrame:
+        src = (source if source is not None else rows).withColumn("_dupkey", c)
+        cnt = materialize(src.groupBy(*by, "_dupkey").agg(F.count(F.lit(1)).alias("_dupn")))
+        out = attach(rows.withColumn("_dupkey", c), cnt, [*by, "_dupkey"])
+        return out.withColumn(name, F.col("_dupn") > 1).drop("_dupkey", "_dupn")
+    if source is not None:
+        return large(df)
+    return both(df, by, lambda rows: rows.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*by, c)) > 1), large)
 
 
 def top_k(df: DataFrame, by: Sequence[str] | None, order: Sequence[Column], k: int,

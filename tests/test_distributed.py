@@ -139,7 +139,8 @@ def test_both_ways_give_the_same_rows(skewed, spark, by, monkeypatch):
     order = [F.col("price").desc_nulls_last(), F.col("offer_id").asc()]
     for run in (lambda: ST.running(df, by, order, sums={"cum": F.col("price")}), lambda: ST.pct_rank(df, by, "price", "p"),
                 lambda: ST.min_rank(df, by, "price", "p"), lambda: ST.min_rank(df, by, "price", "p", ascending=True),
-                lambda: ST.percentiles(df, by, "price", {"a": 0.0, "b": 0.33, "c": 1.0})):
+                lambda: ST.percentiles(df, by, "price", {"a": 0.0, "b": 0.33, "c": 1.0}),
+                lambda: ST.is_duplicated(df, by, F.bround("price", -1), "d")):
         small, large = both_ways(monkeypatch, run)
         assert small == large and small
 
