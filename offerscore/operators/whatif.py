@@ -73,6 +73,21 @@ def whatif_impact(before: DataFrame, after: DataFrame, key: str = "offer_id",
               .withColumn("rank_change", F.col("rank_before") - F.col("rank_after"))
 
 
+def impact(df: DataFrame, supplier: str, changes: Mapping[str, float], top_vars: Sequence[str],
+           by: Sequence[str] | None = None, key: str = "offer_id") -> DataFrame:
+    """X1 to X4 in one frame: the rows with their score and rank before and after the change.
+
+    The same columns as ``whatif_impact`` of two ``whatif`` results, without a join by key, so
+    rows may share a key."""
+    by = list(by or [])
+    both = rescore(simulate(rescore(df, top_vars, by=by, name="score_before"), supplier, changes), top_vars, by=by, name="score_after")
+    both = both.select(*by, key, "supplier", "score_before", "score_after")
+    for when in ("before", "after"):
+        both = min_rank(both, by, f"score_{when}", f"rank_{when}", ascending=False)
+    return both.withColumn("score_change", F.col("score_after") - F.col("score_before")) \
+               .withColumn("rank_change", F.col("rank_before") - F.col("rank_after"))
+
+
 def sensitivity(df: DataFrame, supplier: str, top_vars: Sequence[str], points: int = 5,
                 by: Sequence[str] | None = None) -> DataFrame:
     """The supplier's score and rank as each top variable moves over its range.

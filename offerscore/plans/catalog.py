@@ -555,9 +555,8 @@ def supplier_result(spark, sf):
 
 @query("whatif_impact")
 def whatif_impact(spark, sf):
-    X, after = _whatif(spark, sf)
-    before = X.whatif(compliant(spark, sf), WHATIF_SUPPLIER, {}, TOP_VARS, by=BY)
-    out = X.whatif_impact(before, after, by=BY)
+    from offerscore.operators import whatif as X
+    out = X.impact(compliant(spark, sf), WHATIF_SUPPLIER, WHATIF_CHANGES, TOP_VARS, by=BY)
     return out.select("offer_id", "supplier", r6(F.col("score_before")).alias("score_before"),
                       r6(F.col("score_after")).alias("score_after"), "rank_before", "rank_after",
                       r6(F.col("score_change")).alias("score_change"), "rank_change")

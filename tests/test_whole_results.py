@@ -158,3 +158,19 @@ def test_sketches_merge(spark):
     for approx in (False, True):
         got = {r["tender"]: r["n_supplier_types"] for r in A.distinct_supplier_types(types, by=["tender"], approx=approx).collect()}
         assert got == {"a": 2, "b": 0}
+
+
+@pytest.mark.parametrize("top", [["price", "quality"], ["price", "experience", "warranty"]])
+def test_impact_in_one_frame_matches_two_results(spark, top):
+    rows = [(f"o{t}{i}", t, f"s{i % 4}", float(100 + 7 * i % 31), float(i % 5 * 20) if i % 6 else None, float(1 + i % 9), float(i % 3), float(i))
+            for t in ("a", "b", None) for i in range(12)]
+    df = spark.createDataFrame(rows, "offer_id string, tender string, supplier string, price double, quality double, "
+                                     "delivery_time_days double, experience double, warranty double").repartition(3)
+    for by in (["tender"], []):
+        before, after = (X.whatif(df, "s2", c, top, by=by) for c in ({}, {"price": 10.0, "experience": 50.0}))
+        want = X.whatif_impact(before, after, by=by)
+        got = X.impact(df, "s2", {"price": 10.0, "experience": 50.0}, top, by=by)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        assert got.count() == len(rows) and got.where("rank_change <> 0").count() > 0
+    twice = df.unionByName(df.where("offer_id = 'oa1'"))
+    assert X.impact(twice, "s2", {"price": 90.0}, top, by=["tender"]).count() == len(rows) + 1
