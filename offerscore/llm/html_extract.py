@@ -4,11 +4,15 @@ Method: maximum-scoring subsequence.  A page is a sequence of words and tags.  W
 positive where text like theirs (same block element, linked or not) lies in the article of
 labelled pages, tags score negative; a linear scan finds the contiguous region with the
 largest sum.  Elements that are no article text by their name or class (menus, adverts,
-comments, ...) count against a region and are left out of its text.  Forms and marks of a
+comments, ...) count against a region and are left out of its text; one that stands inside
+the region costs as much as a tag or two, whatever it holds.  Forms and marks of a
 class, id or role are evidence only: what they hold decides as well (``_released``).
 
 Labelled pages are those that mark their article (``<article>``, else ``<main>``); Spark
-counts words and tags inside and outside of it over all of them.
+counts words and tags inside and outside of it over all of them.  On a page that marks its
+article, whether a word or tag lies in it is part of its kind; on other pages the kinds
+have the weights of all places together.  Tags of dropped elements teach nothing, and a
+rare kind's weight is drawn to its default.
 """
 
 from __future__ import annotations
@@ -39,7 +43,13 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|
 _MARK = re.compile(r"(?<![\w:-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: Words are scored with at most this weight, unknown kinds of words and tags with the defaults.
-MOST, WORD, LINKED, TAG, OTHER = 3.0, 1.0, -1.0, -0.5, -4.0
+MOST, WORD, LINKED, TAG = 3.0, 1.0, -1.0, -0.5
+#: A dropped element, whatever it holds: inside a marked article, and elsewhere.
+DROP, OTHER = -0.5, -4.0
+#: Counts of a kind at which its learned weight and its default count the same.
+PRIOR = 20
+#: Places on a page that marks its article, and on one that does not.
+INSIDE, OUTSIDE, ANYWHERE = "@in", "@out", ""
 
 
 #: Marks of other people's texts, however long these are.
@@ -122,6 +132,7 @@ def tokens(page: str):
         if name is None:
             continue
         name, close = name.lower(), bool(m.group(2))
+        at_tag = len(out)
         out.append(("tag", name, article > 0, dropped > 0, soft))
         if soft is not None and name in CONTROLS:
             soft.controls += 1
@@ -153,6 +164,7 @@ def tokens(page: str):
             if mark:
                 soft = _Soft(*mark, soft, placed > 0)
                 softs.append(soft)
+                out[at_tag] = out[at_tag][:4] + (soft,)      # its own tag goes with it
             dropped += bad
             article += name == "article"
             placed += name in ("article", "main")
@@ -178,22 +190,38 @@ def _kind(kind) -> str:
     return f"{block if block in BLOCKS else 'other'}{'+a' if linked else ''}"
 
 
+def _read(page: str) -> tuple[list[tuple], bool]:
+    """``tokens`` of a page, and whether it marks an article (else a main) that holds words."""
+    page = page if re.search(r"<article\b", page, re.I) else re.sub(r"(?i)<(/?)main\b", r"<\1article", page)
+    pieces = list(tokens(page))
+    return pieces, any(inside and not dropped and kind != "tag" and not value.isspace() for kind, value, inside, dropped in pieces)
+
+
 def count_page(page: str) -> Counter:
     """Tags inside (True) and outside of a labelled page's article, and words of text that no
     name or class has settled."""
-    page = page if re.search(r"<article\b", page, re.I) else re.sub(r"(?i)<(/?)main\b", r"<\1article", page)
     out: Counter = Counter()
-    for kind, value, article, dropped in tokens(page):
+    for kind, value, article, dropped in _read(page)[0]:
+        if dropped:
+            continue
         if kind == "tag":
             out["tag", value if value in BLOCKS or value in INLINE or value in DROPPED else "other", article] += 1
-        elif not dropped:
+        else:
             out["word", _kind(kind), article] += len(value.split())
     return out
 
 
+def _default(what: str, kind: str, place: str) -> float:
+    if what == "tag":
+        return TAG
+    if place == OUTSIDE:
+        return LINKED
+    return LINKED if kind.endswith("+a") and place == ANYWHERE else WORD
+
+
 def weights(pages: DataFrame) -> dict[tuple[str, str], float]:
     """Weight of each kind of word and tag, from all labelled pages: the logarithm of its odds to
-    lie in an article.  The table has a row for each kind, and kinds are a fixed list."""
+    lie in an article, drawn to the default where there are few.  The table has a row for each kind, and kinds are a fixed list."""
     def run(batches):
         total: Counter = Counter()
         for batch in batches:
@@ -207,30 +235,56 @@ def weights(pages: DataFrame) -> dict[tuple[str, str], float]:
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("b"))
     out = {}
     for r in counted.collect():
-        w = max(-MOST, min(MOST, math.log((r["a"] + 1) / (r["b"] + 1))))
-        # tags count against a region: little if they are an article's own
-        out[r["what"], r["kind"]] = w if r["what"] == "word" else min(-0.1, w)
+        for place, a, b in ((ANYWHERE, r["a"], r["b"]), (INSIDE, r["a"], 0), (OUTSIDE, 0, r["b"])):
+            learned = max(-MOST, min(MOST, math.log((a + 1) / (b + 1))))
+            w = ((a + b) * learned + PRIOR * _default(r["what"], r["kind"], place)) / (a + b + PRIOR)
+            # tags count against a region: little if they are an article's own
+            out[r["what"], r["kind"] + place] = w if r["what"] == "word" else min(-0.1, w)
     return out
 
 
-def extract(page: str | None, weight: dict[tuple[str, str], float]) -> str:
-    """Text of the best region: decoded, white space as one space, blocks joined by one."""
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous region with the largest positive sum, in one scan: (start, end), the end
+    exclusive; of equal sums the one that ends first, then the shortest; (0, 0) if no sum is positive."""
     best = total = 0.0
-    start, region, pieces = 0, (0, 0), []
-    for kind, value, _, dropped in tokens(page or ""):
-        if kind == "tag":
-            score = OTHER if dropped else weight.get(("tag", value), TAG)
-            pieces.append("" if value in INLINE else " ")
-        else:
-            n = len(value.split())
-            score = n * (OTHER if dropped else weight.get(("word", _kind(kind)), LINKED if kind[1] else WORD))
-            pieces.append("" if dropped else value)
+    start, region = 0, (0, 0)
+    for k, score in enumerate(scores):
         if total <= 0:
-            total, start = 0.0, len(pieces) - 1
+            total, start = 0.0, k
         total += score
         if total > best:
-            best, region = total, (start, len(pieces))
-    return " ".join("".join(pieces[region[0]:region[1]]).split())
+            best, region = total, (start, k + 1)
+    return region
+
+
+def scored(page: str, weight: dict[tuple[str, str], float]) -> tuple[list[float], list[str]]:
+    """Score and text of each piece of a page.  Only the first piece of a run of dropped ones costs."""
+    scores, texts, running = [], [], False
+    pieces, marked = _read(page)
+    for kind, value, inside, dropped in pieces:
+        place = ANYWHERE if not marked else INSIDE if inside else OUTSIDE
+        n = 0 if kind == "tag" else len(value.split())
+        if dropped:
+            scores.append(0.0 if running else DROP if place == INSIDE else OTHER)
+            running = True
+        elif kind == "tag":
+            scores.append(weight.get(("tag", value + place), TAG))
+            running = False
+        else:
+            scores.append(n * weight.get(("word", _kind(kind) + place), _default("word", _kind(kind), place)))
+            running = running and not n
+        texts.append(("" if value in INLINE else " ") if kind == "tag" else "" if dropped else value)
+    return scores, texts
+
+
+def extract(page: str | None, weight: dict[tuple[str, str], float]) -> str:
+    """Text of the best region: decoded, white space as one space, blocks joined by one.  A page
+    on which the learned weights leave nothing is read with the default ones."""
+    scores, texts = scored(page or "", weight)
+    start, end = best_region(scores)
+    if not end and weight:
+        return extract(page, {})
+    return " ".join("".join(texts[start:end]).split())
 
 
 def main_text(pages: DataFrame) -> DataFrame:

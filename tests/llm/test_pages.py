@@ -1,5 +1,6 @@
 import gzip
 import random
+import re
 import time
 
 import numpy as np
@@ -230,3 +231,49 @@ def test_marks_are_evidence():
     assert html_extract.extract(f"<div><p>{a}</p></div><div id=comments><p>{b} {c} {d}</p></div>", {}) == a
     start = time.time()
     assert html_extract.extract("<div class=menu>x" * 20_000, {}) != "" and time.time() - start < 20
+
+
+def test_the_region_against_all_regions():
+    """The scan's region has the largest sum of all; of equal sums it ends first, and is the shortest of those."""
+    rng = random.Random(24)
+    for _ in range(400):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 14))]
+        regions = [(sum(scores[i:j]), -j, i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        total, end, start = max(regions, default=(0.0, 0, 0))
+        assert html_extract.best_region(scores) == ((start, -end) if total > 0 else (0, 0)), scores
+    # the same over the pieces of pages
+    for _ in range(10):
+        for weight in ({}, {("word", "p@in"): 3.0, ("tag", "p@in"): -0.1, ("tag", "nav@out"): -3.0}):
+            scores, _ = html_extract.scored(page(rng, rng.choice(["article", "main", "div"])), weight)
+            start, end = html_extract.best_region(scores)
+            best = max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))
+            assert abs(sum(scores[start:end]) - best) < 1e-9
+
+
+def test_whole_articles_around_dropped_elements(spark):
+    """Nothing inside an article is lost to a long dropped element, short blocks, lists or links."""
+    rng = random.Random(25)
+    a, b = prose(rng, 40), prose(rng, 40)
+    links = "<ul>" + "".join(f"<li><a href=x>link{k}</a></li>" for k in range(20)) + "</ul>"
+    items = "<ul>" + "".join(f"<li>{prose(rng, 5)}</li>" for _ in range(20)) + "</ul>"
+    bodies = [f"<p>{a}</p><aside>{prose(rng, 60)}</aside><p>{b}</p>", f"<p>{a}</p><nav>{links}</nav><p>{b}</p>",
+              "".join(f"<div>{prose(rng, 6)}</div>" for _ in range(10)), f"<p>{a}</p>{items}", f"<p>{a}</p>{links}<p>{b}</p>",
+              "".join(f"<p>{prose(rng, 5)} <a href=x>more</a></p>" for _ in range(10)), f"<p>{a}</p><div class=ad>{prose(rng, 90)}</div>{items}"]
+    html = [f"<html><body><nav>{links}</nav><div class=ad>{a}</div><{mark}><h1>Some heading words</h1>{x}</{mark}><footer>{a}</footer></body></html>"
+            for x in bodies for mark in ("article", "main")]
+    learned = html_extract.weights(spark.createDataFrame([(page(rng),) for _ in range(250)], "html string"))
+    for x in html:
+        want = re.sub(r"(?s)<(aside|nav|footer)>.*?</\1>|<div class=ad>.*?</div>|<[^>]*>", " ", x).split()
+        for weight in (learned, {}):
+            assert html_extract.extract(x, weight).split() == want, x
+    # text outside of a marked article stays out, also where no name or class marks it
+    assert html_extract.extract(f"<div><p>{b}</p></div><article><p>{a}</p></article><div><p>{b}</p></div>", learned) == a
+    # a mark that holds nothing does not count
+    assert html_extract.extract(f"<article></article><div><p>{a}</p></div>", learned) == a
+
+
+def test_warc_repeated_rows(spark):
+    rows = [(1, "http://a/", "<p>one"), (1, "http://a/", "<p>one"), (1, "http://b/", "<p>one")]
+    out = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id").collect()
+    assert len(out) == 6 and sorted(r["warc_type"] for r in out) == ["conversion"] * 3 + ["metadata"] * 3
+    assert {warc.parse(bytes(r["record"]))[1].decode() for r in out if r["warc_type"] == "conversion"} == {"one"}
