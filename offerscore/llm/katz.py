@@ -5,17 +5,22 @@ free goes to the unseen words of a context in proportion to their probability in
 shorter context, with a backoff weight that makes every context's distribution sum to one.  Unigrams are
 discounted the same way, in favour of one unknown word.
 
-The corpus is a chunk table of token numbers (see ``exchange``).  Shards hold the unigram
-table, then the table of each higher order (keyed by context), each counted from all chunks'
-requests, written as partitioned tables of sorted arrays (``models``), and answered to the
-chunks, where each token is evaluated recursively: n-gram, else backoff weight times its
+The corpus is a chunk table of token numbers (see ``exchange``).  Shards count the words,
+then the n-grams of each higher order (keyed by context), from all chunks' requests, and write
+a partitioned table of sorted arrays: counts and context statistics for every chunk that asked.
+From these tables each token is evaluated recursively: n-gram, else backoff weight times its
 probability in the shorter context, down to the unknown word.  A context with more than its share of all tokens is split over all shards by
 the word that follows; at most ``HOT`` such contexts exist.
+
+A shard also says which n-grams only one chunk has.  Everything that begins with one of them
+is counted in that chunk and not sent again; what only ends with one is sent without its last
+word, for its context's statistics.  Both are exact at every size.
 """
 
 from __future__ import annotations
 
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from . import exchange as X, textops as T
 TOP = 5
 HOT = 20_000
 _END = np.uint64(0x5BD1E9955BD1E995)
-_STATS = ("total", *(f"m{r}" for r in range(1, TOP + 1)), "rest", "seen")
+_STATS = ("total", *(f"m{r}" for r in range(1, TOP + 1)), "seen")
 
 
 def in_training(doc_id: int | None) -> bool:
@@ -70,13 +75,38 @@ class Unigrams:
 def context_weights(stats: dict[str, np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Denominator and exactly normalising backoff weight of each context."""
     total = stats["total"].astype(np.float64)
-    kept = stats["rest"] + sum(stats[f"m{r}"] * r * d[r] for r in range(1, TOP + 1))
-    norm = np.where(kept < total, total, total + 1)      # nothing discounted: one count for the unseen
+    freed = sum(stats[f"m{r}"] * (r * (1 - d[r])) for r in range(1, TOP + 1))
+    norm = np.where(freed > 0, total, total + 1)         # nothing discounted: one count for the unseen
     with np.errstate(divide="ignore", invalid="ignore"):
-        weight = (1 - kept / norm) / (1 - stats["seen"])
+        weight = (np.where(freed > 0, freed, 1.0) / norm) / (1 - stats["seen"])
     return norm, np.where(total > 0, weight, 1.0)
 
 
+def context_stats(context: np.ndarray, count: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
+    """What ``context_weights`` needs of contexts 0, 1, ..., from each n-gram's context, count
+    and probability in the shorter context: all counts, the n-grams of each discounted count,
+    and the probability of those seen."""
+    k = int(context[-1]) + 1
+    stats = {"total": np.bincount(context, weights=count, minlength=k).astype(np.int64)}
+    for r in range(1, TOP + 1):
+        stats[f"m{r}"] = np.bincount(context[count == r], minlength=k)
+    return stats | {"seen": np.bincount(context, weights=np.where(count > 0, p, 0.0), minlength=k)}
+
+
+def _counts_of(count: np.ndarray) -> np.ndarray:
+    """Number of types by count; the last entry is all larger ones."""
+    return np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)
+
+
+def _new(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.concatenate([[True], values[1:] != values[:-1]])[:len(values)]
+
+
+def _flags(bits: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(bits, count=n).astype(bool) if n else np.zeros(0, dtype=bool)
+
+
 # -- chunks ---------------------------------------------------------------------------------
 
 def _tokens(batch: pa.RecordBatch) -> bytes:
@@ -121,17 +151,17 @@ class _Chunk:
         return out
 
 
-def _unigram_reply(payloads):
-    """Counts and ranks for each chunk's words; first the shard's model and totals."""
+def _unigram_reply(payloads, _):
+    """The shard's totals; counts and ranks for each chunk's words, and which only that chunk has."""
     got = [X.unpack(p) for p in payloads]
     word, n = np.concatenate([g["word_d"] for g in got]), np.concatenate([g["n"] for g in got]).astype(np.int64)
     known, where = np.unique(word, return_inverse=True)
     count = np.bincount(where, weights=n, minlength=len(known)).astype(np.int64)
-    of = np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)
-    model = X.pack(word_d=known, count=count.astype(np.uint64))
-    totals = X.pack(size=np.array([len(known), count.sum(), (count > 0).sum()]), n=of)
+    own = np.bincount(where, minlength=len(known)) == 1
+    totals = X.pack(size=np.array([len(known), count.sum(), (count > 0).sum()]), n=_counts_of(count))
     cut = np.cumsum([0] + [len(g["n"]) for g in got])
-    return [model, totals], [X.pack(rank_d=where[i:j].astype(np.uint32), count=count[where[i:j]].astype(np.uint64)) for i, j in zip(cut, cut[1:])]
+    return totals, [X.pack(rank_d=where[i:j].astype(np.uint32), count=count[where[i:j]].astype(np.uint64), own=np.packbits(own[where[i:j]]))
+                    for i, j in zip(cut, cut[1:])]
 
 
 def _seen(times: np.ndarray, norm: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -139,57 +169,72 @@ def _seen(times: np.ndarray, norm: np.ndarray, d: np.ndarray) -> np.ndarray:
     return d[np.minimum(times, TOP + 1)] * times / np.maximum(norm, 1)
 
 
-def _gram_reply(payloads, unigrams: Unigrams, d: np.ndarray | None):
-    """N-gram counts and context statistics for each chunk's n-grams; first the shard's model,
-    totals, and the contexts' statistics for those that are split over shards.  A request has
-    the last word's count (bigrams), or what its probability in the shorter context comes from:
-    its count there and the denominator (whole numbers pack better), with that order's ``d``."""
+def _gram_reply(payloads, counted, unigrams: Unigrams, d: np.ndarray | None, last: bool):
+    """The shard's totals (with those that chunks have ``counted`` themselves) and the statistics
+    of contexts that are split over shards; n-gram counts, context statistics and, below the
+    ``last`` order, which n-grams only that chunk has, for each chunk's n-grams.  A request has the
+    last word's count (bigrams), or what its probability in the shorter context comes from: its
+    count there and each context's denominator (whole numbers pack better), with that order's
+    ``d``.  N-grams that only the asking chunk has come without their last word."""
+    of = np.zeros(TOP + 3, dtype=np.int64) + sum(X.unpack(p)["n"] for p in counted)
+    if not payloads:
+        return X.pack(n=of, left=np.zeros(0, dtype=np.int64), **{s: np.zeros(0) for s in _STATS}), []
     got = [X.unpack(p) for p in payloads]
-    left, right, n, hot = (np.concatenate([g[k] for g in got]) for k in ("left_d", "right", "n", "hot"))
-    below = np.concatenate([unigrams.p(g["single"].astype(np.int64)) if d is None else _seen(g["times"].astype(np.int64), g["norm"], d) for g in got])
+    cut = np.cumsum([0] + [len(g["n"]) for g in got])
+    left, n = np.concatenate([g["left_d"] for g in got]), np.concatenate([g["n"] for g in got])
+    alone, hot = (np.concatenate([_flags(g[k], len(g["n"])) for g in got]) for k in ("alone", "hot"))
+    right = np.empty(len(left), dtype=np.int64)
+    right[~alone] = np.concatenate([g["right"] for g in got])
+    right[alone] = -1 - np.arange(np.count_nonzero(alone))           # like no other
+    below = np.concatenate([unigrams.p(g["single"].astype(np.int64)) if d is None else
+                            _seen(g["times"].astype(np.int64), g["norm"][np.cumsum(_new(g["left_d"])) - 1], d) for g in got])
     order = np.lexsort((right, left))
-    a, b = left[order], right[order]
-    new_a = np.concatenate([[True], a[1:] != a[:-1]])
-    new = new_a | np.concatenate([[True], b[1:] != b[:-1]])
+    new_a = _new(left[order])
+    new = new_a | _new(right[order])
     head = np.flatnonzero(new)
     count = np.add.reduceat(n[order].astype(np.int64), head)
+    own = np.diff(np.append(head, len(order))) == 1
     context = np.cumsum(new_a[head]) - 1
-    p = np.where(count > 0, below[order][head], 0.0)
-    k = int(context[-1]) + 1
-    stats = {"total": np.bincount(context, weights=count, minlength=k).astype(np.int64)}
-    for r in range(1, TOP + 1):
-        stats[f"m{r}"] = np.bincount(context[count == r], minlength=k)
-    stats["rest"] = np.bincount(context, weights=np.where(count > TOP, count, 0), minlength=k).astype(np.int64)
-    stats["seen"] = np.bincount(context, weights=p, minlength=k)
-    of = np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)
-    there = count > 0
-    model = X.pack(left_d=a[head][there], right=b[head][there], count=count[there].astype(np.uint64))
+    stats = context_stats(context, count, below[order][head])
+    of += _counts_of(count)
     split = np.flatnonzero(hot[order][new_a])
-    totals = X.pack(n=of, left=a[new_a][split], **{s: v[split] for s, v in stats.items()})
+    totals = X.pack(n=of, left=left[order][new_a][split], **{s: v[split] for s, v in stats.items()})
     number = np.empty(len(order), dtype=np.int64)
     number[order] = np.cumsum(new) - 1
-    replies, cut = [], np.cumsum([0] + [len(g["n"]) for g in got])
+    replies = []
     for i, j in zip(cut, cut[1:]):
-        mine = number[i:j]
-        first = np.concatenate([[True], left[i:j][1:] != left[i:j][:-1]])
+        mine, first, told = number[i:j], _new(left[i:j]), ~alone[i:j]
         at = context[mine[first]]
         # a backoff weight, and so the seen words' mass, is only needed for unseen n-grams
         unseen = np.logical_or.reduceat(count[mine] == 0, np.flatnonzero(first))
-        replies.append(X.pack(count=count[mine].astype(np.uint64), **{s: np.where(unseen, v[at], 0) if s == "seen" else v[at] for s, v in stats.items()}))
-    return [model, totals], replies
+        flags = {} if last else {"own": np.packbits(own[mine][told])}
+        replies.append(X.pack(count=count[mine][told].astype(np.uint64), **flags, **{s: np.where(unseen, v[at], 0) if s == "seen" else v[at] for s, v in stats.items()}))
+    return totals, replies
+
+
+#: Rows that are no replies: a shard's totals in an answer; in a request, counts a chunk has taken itself.
+TOTALS = -1
 
 
-#: Rows of an answer that are no replies: the shard's part of the model, and its totals.
-MODEL, TOTALS = -2, -1
+@contextmanager
+def _shuffles_dropped(spark):
+    """Queries that end in here leave no shuffle files behind."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _answer(requests: DataFrame, reply) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         ids, payloads, shard = group["chunk_id"].to_pylist(), group["payload"].to_pylist(), group["shard"][0].as_py()
         order = np.argsort(ids, kind="stable")
-        own, out = reply([payloads[i] for i in order])
-        return X.messages([(shard, kind, data) for kind, data in zip((MODEL, TOTALS), own)]
-                          + [(shard, ids[i], data) for i, data in zip(order, out)])
+        asked = [i for i in order if ids[i] >= 0]
+        totals, out = reply([payloads[i] for i in asked], [payloads[i] for i in order if ids[i] < 0])
+        return X.messages([(shard, TOTALS, totals)] + [(shard, ids[i], data) for i, data in zip(asked, out)])
     return requests.groupBy("shard").applyInArrow(run, X.MESSAGE)
 
 
@@ -215,8 +260,8 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         for s, at in X.split(c.shard, n_shards):
             yield s, X.pack(word_d=c.vocabulary[at], n=n[at].astype(np.uint32))
 
-    words = store.write(_answer(X.ask(table, ask_words), _unigram_reply), "unigrams")
-    spark.sparkContext._jvm.System.gc()
+    with _shuffles_dropped(spark):
+        words = store.write(_answer(X.ask(table, ask_words), _unigram_reply), "unigrams")
     sizes, of = np.zeros(n_shards, dtype=np.int64), np.zeros(TOP + 3, dtype=np.int64)
     total = types = 0
     for r in words.filter(F.col("chunk_id") == TOTALS).toLocalIterator():          # one short row a shard
@@ -224,17 +269,18 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         sizes[r["shard"]] = got["size"][0]
         total, types, of = total + int(got["size"][1]), types + int(got["size"][2]), of + got["n"]
     unigrams = Unigrams(total, types, of[:TOP + 2])
-    offset = np.cumsum(sizes) - sizes + 1              # word numbers follow the hash order; 0 is a text's start
+    offset, n_words = np.cumsum(sizes) - sizes + 1, int(sizes.sum()) + 1     # word numbers follow the hash order; 0 is a text's start
     hot_from = max(1, total // min(4 * n_shards, HOT))
     replies = words.filter("chunk_id >= 0")
 
     def numbers(c: _Chunk, got: dict):
         number = np.zeros(len(c.vocabulary) + 1, dtype=np.int64)
         count = np.zeros(len(c.vocabulary) + 1, dtype=np.int64)
+        own = np.zeros(len(c.vocabulary), dtype=bool)
         for s, at in X.split(c.shard, n_shards):
             r = X.unpack(got[s])
-            number[at], count[at] = offset[s] + r["rank_d"], r["count"]
-        return number, count
+            number[at], count[at], own[at] = offset[s] + r["rank_d"], r["count"], _flags(r["own"], len(at))
+        return number, count, own
 
     levels: list[tuple] = []                           # of each finished order from 2 up: discounts, hot contexts' broadcast
 
@@ -242,7 +288,7 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         """The chunk, its words' counts, each finished order's probabilities by n-gram, and, if
         order ``n`` is not finished, what its requests are made of."""
         c = _Chunk(payload, n_shards)
-        number, count = numbers(c, got)
+        number, count, own = numbers(c, got)
         key, often = number, count.copy()
         # the start of a text is as frequent as its end
         often[-1] = count[np.searchsorted(c.vocabulary, _END)]
@@ -250,17 +296,28 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         for k, (left, right, gram, token, used) in enumerate(c.grams(n), 2):
             last, hot = shorter[token], often[left] > hot_from
             below = p[last]
+            inside = np.append(own, False)[left]       # only this chunk has the context
+            alone = own[last] & ~inside                # or the rest of the n-gram
+            sent = np.flatnonzero(~inside)
             with np.errstate(over="ignore"):
                 route = key[left].astype(np.uint64)
                 shard = X.shard_of(T.mix((route if k == 2 else T.mix(route)) + np.where(hot, number[right].astype(np.uint64) << np.uint64(32), np.uint64(0))), n_shards)
             if k - 2 == len(levels):
-                return c, count, p, shorter, (key[left], number[right], used, times[last], scale[last], hot, shard)
+                return c, count, p, shorter, (key[left], number[right], used, times[last], scale[last], hot, alone, sent, shard[sent])
             d, shared = levels[k - 2]
             p, times, scale = np.empty(len(left)), np.zeros(len(left), dtype=np.int64), np.empty(len(left))
-            for s, at in X.split(shard, n_shards):
+            own = inside | alone
+            h = np.flatnonzero(inside)
+            if len(h):
+                which = np.cumsum(_new(left[h])) - 1
+                norm, weight = context_weights(context_stats(which, used[h], below[h]), d)
+                times[h], scale[h] = used[h], norm[which]
+                p[h] = np.where(used[h] > 0, _seen(used[h], norm[which], d), weight[which] * below[h])
+            for s, at in X.split(shard[sent], n_shards):
                 r = X.unpack(got[(k - 1) * n_shards + s])
-                mine = left[at]
-                which = np.cumsum(np.concatenate([[True], mine[1:] != mine[:-1]])) - 1
+                at = sent[at]
+                mine, told = left[at], at[~alone[at]]
+                which = np.cumsum(_new(mine)) - 1
                 norm, weight = context_weights(r, d)
                 norm, weight = norm[which], weight[which]
                 if hot[at].any():
@@ -268,11 +325,13 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
                     h = np.flatnonzero(hot[at])
                     slot = np.searchsorted(h_left, key[mine[h]])
                     norm[h], weight[h] = h_norm[slot], h_weight[slot]
-                times[at], scale[at] = seen, _ = r["count"].astype(np.int64), norm
-                p[at] = np.where(seen > 0, _seen(seen, norm, d), weight * below[at])
+                times[at], times[told], scale[at] = used[at], r["count"], norm
+                if "own" in r:
+                    own[told] = _flags(r["own"], len(told))
+                p[at] = np.where(times[at] > 0, _seen(times[at], norm, d), weight * below[at])
             # these n-grams are the next order's contexts: two word numbers, or a hash of more
             with np.errstate(over="ignore"):
-                longer = (key[left] << np.int64(32)) + number[right] if k == 2 else \
+                longer = (key[left] << np.int64(32)) + number[right] if k == 2 and n_words < 1 << 31 else \
                     T.mix(T.mix(key[left].astype(np.uint64)) + number[right].astype(np.uint64)).astype(np.int64)
                 key = np.append(longer, 0)
             often, shorter = np.append(times, often[-1]), gram
@@ -291,14 +350,23 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
 
     for n in range(2, order + 1):
         def ask_grams(payload, got, chunk, n=n):
-            left, right, used, times, norm, hot, shard = walk(payload, got, n)[-1]
-            lower = {"single": times.astype(np.uint32)} if n == 2 else {"times": times.astype(np.uint32), "norm": norm.astype(np.uint64)}
-            return X.messages([((n - 1) * n_shards + s, chunk, X.pack(left_d=left[at], right=right[at], n=used[at].astype(np.uint32),
-                                                                      hot=hot[at].astype(np.uint8), **{k: v[at] for k, v in lower.items()}))
-                               for s, at in X.split(shard, n_shards)])
-
-        grams = store.write(_answer(X.finish(table, replies, ask_grams, X.MESSAGE), lambda p, d=levels[-1][0] if levels else None: _gram_reply(p, unigrams, d)), f"grams{n}")
-        spark.sparkContext._jvm.System.gc()            # the round's shuffle files go with its plan
+            left, right, used, times, norm, hot, alone, sent, shard = walk(payload, got, n)[-1]
+
+            def request(at):
+                lower = {"single": times[at].astype(np.uint32)} if n == 2 else \
+                    {"times": times[at].astype(np.uint32), "norm": norm[at][_new(left[at])].astype(np.uint64)}
+                return X.pack(left_d=left[at], right=right[at][~alone[at]], n=used[at].astype(np.uint32),
+                              alone=np.packbits(alone[at]), hot=np.packbits(hot[at]), **lower)
+            mine = np.ones(len(left), dtype=bool)
+            mine[sent] = False
+            return X.messages([((n - 1) * n_shards + s, chunk, request(sent[at])) for s, at in X.split(shard, n_shards)]
+                              + [((n - 1) * n_shards + chunk % n_shards, TOTALS, X.pack(n=_counts_of(used[mine])))])
+
+        def reply(payloads, counted, d=levels[-1][0] if levels else None, last=n == order):
+            return _gram_reply(payloads, counted, unigrams, d, last)
+
+        with _shuffles_dropped(spark):
+            grams = store.write(_answer(X.finish(table, replies, ask_grams, X.MESSAGE), reply), f"grams{n}")
         sums = grams.filter(F.col("chunk_id") == TOTALS).select("payload").mapInArrow(totals, kinds) \
             .groupBy("left", "r").agg(*[F.sum(s).alias(s) for s in _STATS])
         of, hot_rows = np.zeros(TOP + 2), []
