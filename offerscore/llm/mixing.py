@@ -6,7 +6,8 @@ tokens divided by the source's target weight.  The queue of all sources (each pa
 documents up to ``cap`` times) is range-sorted by finish time and cut at the total budget.
 
 No source and no time range is held by one task: cumulative sums are taken in fixed
-ranges of the order, with the ranges' totals added from a table of one row per range.
+ranges of the order, with the ranges' totals added from a table of one row per range.  The
+part of the queue in which the budget ends is range-sorted again until one task can add it up.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .exchange import Store
 
-#: Ranges in a source's order, and in the finish times at each of the two levels of the cut.
+#: Ranges in a source's order.
 RANGES = 4096
-LEVEL = 2048
+#: Passes of the queue that one task adds up one by one.
+LAST = 1 << 20
 
 
 def count_words(text):
@@ -65,12 +67,27 @@ def source_table(store: Store, sized: DataFrame, weights, ratio: float, cap: int
     return table.withColumn("target", most if level is None else F.least(most, F.lit(level) * F.col("weight"))), level, budget
 
 
-def _cut(passes: DataFrame, name: str, before: int, budget: int):
-    """First range at which the running total passes the budget, and the total before it."""
-    sums = passes.groupBy(name).agg(F.sum("size").alias("n"))
-    upto = F.lit(before) + F.sum("n").over(Window.orderBy(name))
-    row = sums.withColumn("upto", upto).filter(F.col("upto") > budget).orderBy(name).first()
-    return (None, before) if row is None else (row[name], row["upto"] - row["n"])
+def _cut(store: Store, passes: DataFrame, budget: int):
+    """The first pass (time, number) of the queue at which its running total is above the
+    budget; None if it never is."""
+    before, level, size = 0, 0, None
+    part = F.expr("shiftright(at, 33)")
+    while True:
+        # written, so that totals and rows come from the same ranges
+        queue = store.write(passes.repartitionByRange("time", "number").sortWithinPartitions("time", "number")
+                            .withColumn("at", F.monotonically_increasing_id()), f"queue{level}")
+        totals = queue.groupBy(part.alias("part")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("passes"))      # a row per partition
+        upto = F.lit(before) + F.sum("n").over(Window.orderBy("part"))
+        row = totals.withColumn("upto", upto).filter(F.col("upto") > budget).orderBy("part").first()
+        if row is None:
+            return None
+        before = row["upto"] - row["n"]
+        passes = queue.filter(part == row["part"])
+        if row["passes"] <= LAST or row["passes"] == size:         # the second: equal times of one source
+            break
+        level, size, passes = level + 1, row["passes"], passes.drop("at")
+    upto = F.lit(before) + F.sum("size").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return passes.withColumn("upto", upto).filter(F.col("upto") > budget).orderBy("at").first()
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), ratio: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
@@ -100,22 +117,10 @@ def mix(docs: DataFrame, weights=(3, 1, 2), ratio: float = 1.5, cap: int = 2, se
     if level is None:                # the budget reaches every copy, or there is nothing to take
         taken = F.lit(cap)
     else:
-        # ranges of finish time: even up to twice the water level, then by its logarithm
-        x = F.col("time") / F.lit(level)
-        coarse = F.when(x <= 2, F.floor(x * LEVEL)).otherwise(2 * LEVEL + 1 + F.floor(F.log2(x / 2) * 256))
-        fine = F.when(x <= 2, F.floor((x * LEVEL - F.floor(x * LEVEL)) * LEVEL)) \
-            .otherwise(F.floor((F.log2(x / 2) * 256 - F.floor(F.log2(x / 2) * 256)) * LEVEL))
-        passes = queued.filter("size > 0").select("number", "size", F.explode("finish").alias("time")) \
-            .withColumns({"coarse": coarse.cast("long"), "fine": fine.cast("long")})
-        one, before = _cut(passes, "coarse", 0, budget)
-        if one is None:
+        stop = _cut(store, queued.filter("size > 0").select("number", "size", F.explode("finish").alias("time")), budget)
+        if stop is None:
             taken = F.lit(cap)
         else:
-            two, before = _cut(passes.filter(F.col("coarse") == one), "fine", before, budget)
-            # one range of the second level: a few millionths of the queue
-            last = passes.filter((F.col("coarse") == one) & (F.col("fine") == two))
-            upto = F.lit(before) + F.sum("size").over(Window.orderBy("time", "number").rowsBetween(Window.unboundedPreceding, 0))
-            stop = last.withColumn("upto", upto).filter(F.col("upto") > budget).orderBy("time", "number").first()
             ahead = lambda t: (t < stop["time"]) | ((t == stop["time"]) & (F.col("number") < stop["number"]))
             taken = F.size(F.filter("finish", ahead))
     return queued.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0)) \

@@ -136,6 +136,33 @@ def test_mixing(docs, rows, none):
     assert all(r["taken"] == 0 for r in mixing.mix(docs.filter("text is null")).collect())
 
 
+def test_mixing_of_many_equal_sources(spark, monkeypatch):
+    """Sources of one document each tie in finish time; the cut is that of the sorted queue, also in many rounds."""
+    rows = [(k, "word " * 4, f"s{k:04d}") for k in range(600)] + [(1000 + k, "more words here", f"t{k % 3}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs, weights=(1,), ratio=0.8).collect()
+    # the queue by plain sorting: finish time, then source; documents of a source in their shuffled order
+    order = {r["doc_id"]: r["order_key"] for r in docs.select("doc_id", mixing.order_key(17).alias("order_key")).collect()}
+    names = sorted({r["source"] for r in got})
+    queue = []
+    for s in names:
+        mine = sorted((r for r in got if r["source"] == s), key=lambda r: order[r["doc_id"]])
+        for copy in range(2):
+            upto = copy * mine[0]["source_size"]
+            for r in mine:
+                upto += r["size"]
+                queue.append((upto / 1.0, names.index(s), r["doc_id"], r["size"]))
+    budget, total, taken = int(0.8 * sum(r["size"] for r in got)), 0, {}
+    for _, _, doc, size in sorted(queue):
+        total += size
+        if total > budget:
+            break
+        taken[doc] = taken.get(doc, 0) + size
+    assert {r["doc_id"]: r["taken"] for r in got if r["taken"]} == taken
+    monkeypatch.setattr(mixing, "LAST", 5)
+    same(mixing.mix(docs, weights=(1,), ratio=0.8), got)
+
+
 def test_mixing_takes_all_where_the_budget_allows(docs):
     assert all(r["taken"] == 2 * r["size"] for r in mixing.mix(docs, ratio=2.0).collect())
 
