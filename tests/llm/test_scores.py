@@ -236,3 +236,89 @@ def test_wide_symbols():
     model = quality_rules.build(*np.unique(key, return_counts=True), 3, 21)
     total = quality_rules.probability(model, (int(key[0]) >> 21 << 21) + np.arange(1 << 21), 3, 21).sum()
     assert abs(total - 1) < 1e-9
+
+
+def kneser_ney(texts, order, size, read):
+    """Probability function p(context, symbol) of a modified Kneser-Ney model over ``read(text)``'s n-grams, by plain counting."""
+    levels = {order: {}}
+    for t in texts:
+        for gram in read(t):
+            levels[order][gram] = levels[order].get(gram, 0) + 1
+    for n in range(order - 1, 0, -1):
+        levels[n] = {}
+        for gram in levels[n + 1]:
+            levels[n][gram[1:]] = levels[n].get(gram[1:], 0) + 1
+    cut = {n: quality_rules._discounts(np.array(list(levels[n].values()) or [0])) for n in levels}
+    after = {}
+    for n in levels:
+        for gram, c in levels[n].items():
+            after.setdefault(gram[:-1], []).append(c)
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / size
+        there = after.get(gram[:-1])
+        if not there:
+            return p(gram[1:])
+        spare = sum(cut[n][min(c, 3) - 1] for c in there) / sum(there)
+        c = levels[n].get(gram, 0)
+        return max(c - (cut[n][min(c, 3) - 1] if c else 0), 0) / sum(there) + spare * p(gram[1:])
+    return p
+
+
+def test_scores_against_plain_kneser_ney(spark, monkeypatch):
+    """Scores are those of interpolated models by plain recursion, also of rare languages and in several passes."""
+    import random
+    rng = random.Random(41)
+    accents = str.maketrans({"e": "é", "o": "ö"})
+    rows = [(k, prose(rng, rng.randint(50, 70)), "en") for k in range(30)] + [(100 + k, prose(rng, 60).translate(accents), "xx") for k in range(7)]
+    rows += [(200, prose(rng, 60), None), (201, "Short é text 12!", "en"), (202, prose(rng, 30), "zz"), (203, "жя", "xx"), (204, prose(rng, 55), "one")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = quality_rules.judge(table).collect()
+    classes = lambda ch: 31 if ord(ch) >= 128 else int(quality_rules._CLASS[ord(ch)])                 # noqa: E731
+    points = lambda ch: ord(ch) if ord(ch) >= 128 else classes(ch)                                    # noqa: E731
+
+    def plain(t):
+        x = [0, 0, 0] + [classes(ch) for ch in t]
+        return [tuple(x[i:i + 4]) for i in range(len(t))]
+
+    def wide(t):
+        x = [0, 0] + [points(ch) for ch in t]
+        return [tuple(x[i:i + 3]) for i, ch in enumerate(t) if ord(ch) >= 128]
+    data = lambda t: (np.frombuffer(t.encode(), np.uint8), np.array([len(t.encode())]))               # noqa: E731
+    good = [(t, lang) for _, t, lang in rows if quality_rules.reference(quality_rules.counts(*data(t)), *data(t))[0]]
+    assert len(good) > 30
+    models = {lang: [kneser_ney([t for t, x in good if lang in (x, "")], 4, 32, plain), kneser_ney([t for t, x in good if lang in (x, "")], 3, 1 << 21, wide)]
+              for lang in ("", "en", "xx", "one")}
+    docs = {lang: sum(x == lang for _, x in good) for lang in models}
+    for r in got:
+        _, t, lang = next(x for x in rows if x[0] == r["doc_id"])
+        own = docs.get(lang, 0) / (docs.get(lang, 0) + quality_rules.PRIOR)
+        total = 0.0
+        for k, read in enumerate((plain, wide)):
+            for gram in read(t):
+                p = models[""][k](gram)
+                total += np.log10(own * models[lang][k](gram) + (1 - own) * p if own else p)
+        assert abs(r["score"] - total / len(t)) < 1e-5, (r, total / len(t))
+    monkeypatch.setattr(quality_rules, "PASS_BYTES", 1)          # a pass for each language
+    same(quality_rules.judge(table), got)
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert {r["doc_id"] for r in quality_rules.keep(table).collect()} == kept
+    monkeypatch.setattr(quality_rules, "PASS_BYTES", 64 << 20)
+    monkeypatch.setattr(quality_rules, "DENSE", 1)               # others are searched n-gram by n-gram
+    same(quality_rules.judge(table), got)
+
+
+def test_no_number_of_documents_switches_the_model(spark):
+    """A language's scores move little from one reference document to the next."""
+    import random
+    rng = random.Random(42)
+    rows = [(k, prose(rng, 60), "en") for k in range(250)] + [(1000 + k, prose(rng, 60)[::-1], "xx") for k in range(101)]
+    at = {}
+    for n in (99, 100, 101):
+        table = spark.createDataFrame([r for r in rows if r[0] < 1000 + n], "doc_id long, text string, lang string")
+        at[n] = {r["doc_id"]: (r["score"], r["kept"]) for r in quality_rules.judge(table).collect()}
+    for n in (100, 101):
+        for doc, (score, kept) in at[99].items():
+            assert abs(score - at[n][doc][0]) < 0.01 and kept == at[n][doc][1], (n, doc)
