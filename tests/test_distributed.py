@@ -157,3 +157,34 @@ def test_risks_both_ways(spark, monkeypatch):
         small, large = both_ways(monkeypatch, lambda: comparison_summary(risk_scores(df, by=by), by=by))
         assert small == large and len(small) == len(rows)
         monkeypatch.undo()
+
+
+def test_a_larger_table_goes_to_more_tasks(spark, monkeypatch):
+    """Ordinary groups are dealt to as many tasks as the rows need, hot ones or not, with the same rows."""
+    from offerscore.operators import risk, scoring, stats
+    rows = spark.range(4000).selectExpr("cast(id as string) offer_id", "nullif(id % 100, 7) tender_id", "concat('s', id % 9) supplier",
+                                        "cast(id * 37 % 1009 as double) price", "cast(id * 11 % 53 as double) quality")
+
+    def flags():
+        scored = scoring.score_offers(rows, ["price", "quality"], {"price": 0.5, "quality": 0.5}, by=["tender_id"], suffix="_n")
+        return risk.red_flags(risk.risk_scores(scored, by=["tender_id"]), by=["tender_id"])
+    want = flags()
+    assert stats.hot_groups_and_rows(rows, ["tender_id"]) == (None, 4000) and stats.hot_groups_and_rows(rows.limit(0), []) == (None, 0)
+    monkeypatch.setattr(stats, "TASK_ROWS", 100)
+    got = flags()
+    assert got.rdd.getNumPartitions() == 40
+    # one exchange by tender serves the scores, the risks and the flags
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("REPARTITION_BY_NUM") == 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("by", [["tender"], ["tender", "kind"]])
+def test_ranges_both_ways(spark, by, monkeypatch):
+    from offerscore.operators import scoring, stats
+    rows = spark.range(600).selectExpr("id offer_id", "if(id % 3 = 0, 'hot', nullif(concat('t', id % 40), 't5')) tender", "nullif(id % 2, 1) kind",
+                                       "nullif(cast(id * 7 % 101 as double), 14) price", "cast(null as double) none")
+    want = scoring.minmax(rows, ["price", "none"], by=by)
+    monkeypatch.setattr(stats, "FAIR_ROWS", 20)
+    monkeypatch.setattr(stats, "HOT_ROWS", 20)
+    got = scoring.minmax(rows, ["price", "none"], by=by)
+    assert want.count() == 600 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
