@@ -56,3 +56,10 @@ def test_binned_density_is_close(prices, groups):
     for r in A.density(prices, by=["tender"], points=15, bins=400).collect():
         want = exact[r["tender"], r["point"]]
         assert r["height"] == pytest.approx(want["height"], abs=0.02) and r["n"] == want["n"]
+
+
+def test_density_copies_no_row(prices, groups):
+    """A sum for each point: neither values nor points are exploded before they are summed."""
+    plan = A.density(prices, by=["tender"], points=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan and "explode(_sums" in plan
+    assert A.density(prices, by=["tender"], points=7).count() == 7 * len(groups)
