@@ -36,10 +36,12 @@ def read_offers(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bo
 
 def write_results(ranked: DataFrame, variables: list[str], path: str,
                   keys: tuple[str, ...] = ("supplier", "score"), mode: str = "overwrite",
-                  partition_by: list[str] | None = None) -> str:
-    """Write ``supplier, score, variables`` as CSV with a header (duplicates dropped)."""
+                  partition_by: list[str] | None = None, **options: str) -> str:
+    """Write ``supplier, score, variables`` as CSV with a header (duplicates dropped).
+
+    ``options`` go to the CSV writer (``compression``, for instance; ``read_offers`` knows it by the file names)."""
     cols = unique_columns(list(keys) + list(variables))
-    w = ranked.select(*cols).write.mode(mode).option("header", True).option("escape", '"')
+    w = ranked.select(*cols).write.mode(mode).option("header", True).option("escape", '"').options(**options)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
