@@ -5,8 +5,8 @@ free goes to the unseen words of a context in proportion to their probability in
 shorter context, with a backoff weight that makes every context's distribution sum to one.  Unigrams are
 discounted the same way, in favour of one unknown word.
 
-The corpus is a chunk table of token numbers (see ``exchange``).  Shards count the words,
-then the n-grams of each higher order (keyed by context), from all chunks' requests, and write
+The corpus is a chunk table of token numbers (see ``exchange``).  Shards count the words, by
+which the table is written again with word numbers, then the n-grams of each higher order (keyed by context), from all chunks' requests, and write
 a partitioned table of sorted arrays: counts and context statistics for every chunk that asked.
 From these tables each token is evaluated recursively: n-gram, else backoff weight times its
 probability in the shorter context, down to the unknown word.  A context with more than its share of all tokens is split over all shards by
@@ -15,6 +15,11 @@ the word that follows; at most ``HOT`` such contexts exist.
 A shard also says which n-grams only one chunk has.  Everything that begins with one of them
 is counted in that chunk and not sent again; what only ends with one is sent without its last
 word, for its context's statistics.  Both are exact at every size.
+
+What the other side can tell is not sent.  Words are numbered by falling count, so a number tells
+its word's count and common words have small numbers (``Numbering``); a context's n-grams count
+as much as the context itself; and an n-gram goes to the shard of the context's first word, so that
+sorted contexts differ little.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from . import exchange as X, textops as T
 #: Largest count that is discounted.
 TOP = 5
 HOT = 20_000
+#: Words that are common enough for at most this many to exist are numbered without gaps.
+COMMON = 100_000
 _END = np.uint64(0x5BD1E9955BD1E995)
 _STATS = ("total", *(f"m{r}" for r in range(1, TOP + 1)), "seen")
 
@@ -72,6 +79,30 @@ class Unigrams:
         return np.where(counts > 0, self.d[np.minimum(counts, TOP + 1)] * counts / max(self.norm, 1), self.unknown)
 
 
+class Numbering:
+    """Word numbers from 1 up by falling count in training, from which the count follows.
+
+    ``rows`` has (count, shard, words): for counts above ``top`` the words of each shard, for
+    the others (shard -1) the most that any of the ``n_shards`` has.  There shards take turns."""
+
+    def __init__(self, rows: list[tuple[int, int, int]], n_shards: int, top: int):
+        self.count, shard, most = np.array(sorted(rows, key=lambda r: (-r[0], r[1])), dtype=np.int64).reshape(-1, 3).T
+        self.n_shards, self.top = n_shards, top
+        room = np.where(shard < 0, most * n_shards, most)
+        self.first = 1 + np.cumsum(room) - room
+        self.end = 1 + int(room.sum())
+        self.key = shard + 1 - self.count * (n_shards + 1)
+
+    def number(self, count: np.ndarray, place: np.ndarray, shard: int) -> np.ndarray:
+        """Numbers of words by their counts and places among the ``shard``'s words of that count."""
+        common = count > self.top
+        at = np.searchsorted(self.key, np.where(common, shard + 1, 0) - count * (self.n_shards + 1))
+        return self.first[at] + np.where(common, place, place * self.n_shards + shard)
+
+    def count_of(self, number: np.ndarray) -> np.ndarray:
+        return self.count[np.searchsorted(self.first, number, side="right") - 1]
+
+
 def context_weights(stats: dict[str, np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Denominator and exactly normalising backoff weight of each context."""
     total = stats["total"].astype(np.float64)
@@ -110,7 +141,8 @@ def _flags(bits: np.ndarray, n: int) -> np.ndarray:
 # -- chunks ---------------------------------------------------------------------------------
 
 def _tokens(batch: pa.RecordBatch) -> bytes:
-    """A chunk's documents as numbers into its own sorted vocabulary; the end of a text is a token."""
+    """A chunk's documents as numbers into its own vocabulary (by falling count there, then sorted);
+    the end of a text is a token."""
     ids, texts = batch.column(0), batch.column(1)
     hashes, lengths = [], []
     for a, b in T.slices(texts, 1 << 20):
@@ -119,32 +151,62 @@ def _tokens(batch: pa.RecordBatch) -> bytes:
         starts, stops, upto = T.word_spans(data, ends)
         hashes.append(np.insert(T.span_hash(data, starts, stops), upto, _END))
         lengths.append(np.diff(np.concatenate([[0], upto])) + 1)
-    vocabulary, local = np.unique(np.concatenate(hashes), return_inverse=True)
+    vocabulary, local, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
     doc = ids.to_pylist()
-    return X.pack(vocabulary_d=vocabulary, local=local.astype(np.uint32), n=np.concatenate(lengths).astype(np.int64),
+    return X.pack(vocabulary_d=vocabulary[order], local=np.argsort(order)[local].astype(np.uint32), n=np.concatenate(lengths).astype(np.int64),
                   id=np.array([X.NO_ID if i is None else i for i in doc], dtype=np.int64),
                   train=np.array([in_training(i) for i in doc], dtype=np.uint8))
 
 
-class _Chunk:
+class _Words:
+    """A chunk's sorted vocabulary, and its tokens as numbers into it."""
+
     def __init__(self, payload: bytes, n_shards: int):
+        self.got = X.unpack(payload)
+        order = np.argsort(self.got["vocabulary_d"])
+        self.vocabulary, self.local = self.got["vocabulary_d"][order], np.argsort(order)[self.got["local"]]
+        self.shard = X.shard_of(self.vocabulary, n_shards)
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.local[np.repeat(self.got["train"].astype(bool), self.got["n"])], minlength=len(self.vocabulary))
+
+    def numbered(self, got: dict, n_shards: int, numbering: Numbering) -> bytes:
+        """The payload of ``_Chunk``: word numbers in place of the vocabulary, from the shards' replies."""
+        size = len(self.vocabulary)
+        number, count, own = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool)
+        for s, at in X.split(self.shard, n_shards):
+            r = X.unpack(got[s])
+            count[at], own[at] = r["count"], _flags(r["own"], len(at))
+            place = np.empty(len(at), dtype=np.int64)
+            place[np.argsort(count[at], kind="stable")] = r["place_d"]
+            number[at] = numbering.number(count[at], place, s)
+        order = np.argsort(number)
+        return X.pack(number_d=number[order], own=np.packbits(own[order]), local=np.argsort(order)[self.local].astype(np.uint32),
+                      texts=count[np.searchsorted(self.vocabulary, [_END])], **{k: self.got[k] for k in ("n", "id", "train")})
+
+
+class _Chunk:
+    """A chunk's word numbers in order, their counts and whether only this chunk has them; tokens."""
+
+    def __init__(self, payload: bytes, numbering: Numbering):
         got = X.unpack(payload)
         self.ids, self.n, self.train = got["id"], got["n"], got["train"].astype(bool)
-        self.vocabulary, self.local = got["vocabulary_d"], got["local"].astype(np.int64)
+        self.number, self.local, self.texts = got["number_d"], got["local"].astype(np.int64), got["texts"][0]
+        self.own, self.count = _flags(got["own"], len(self.number)), numbering.count_of(self.number)
         self.used = np.repeat(self.train, self.n)
-        self.shard = X.shard_of(self.vocabulary, n_shards)
 
     def grams(self, order: int):
         """For each order from 2 up to ``order``: the distinct (context, word), sorted, as numbers
         (contexts: words, then the shorter n-grams of this list; one more for a text's start),
         each token's n-gram, one token of each, and each one's count in training texts."""
         start = np.cumsum(self.n) - self.n
-        gram, size, out = self.local, len(self.vocabulary), []
+        gram, size, out = self.local, len(self.number), []
         for _ in range(2, order + 1):
             context = np.empty_like(self.local)
             context[1:] = gram[:-1]
             context[start] = size
-            base = len(self.vocabulary) + 1
+            base = len(self.number) + 1
             code, token, gram = np.unique(context * base + self.local, return_index=True, return_inverse=True)
             size = len(code)
             out.append((code // base, code % base, gram, token, np.bincount(gram[self.used], minlength=size)))
@@ -152,16 +214,23 @@ class _Chunk:
 
 
 def _unigram_reply(payloads, _):
-    """The shard's totals; counts and ranks for each chunk's words, and which only that chunk has."""
+    """The shard's words of each count; counts and places among the words of a count for each
+    chunk's words (places by count, then in the request's order), and which only that chunk has."""
     got = [X.unpack(p) for p in payloads]
     word, n = np.concatenate([g["word_d"] for g in got]), np.concatenate([g["n"] for g in got]).astype(np.int64)
     known, where = np.unique(word, return_inverse=True)
     count = np.bincount(where, weights=n, minlength=len(known)).astype(np.int64)
     own = np.bincount(where, minlength=len(known)) == 1
-    totals = X.pack(size=np.array([len(known), count.sum(), (count > 0).sum()]), n=_counts_of(count))
+    kinds, kind, words = np.unique(count, return_inverse=True, return_counts=True)
+    order = np.argsort(kind, kind="stable")
+    place = np.empty(len(known), dtype=np.uint32)
+    place[order] = np.arange(len(known)) - (np.cumsum(words) - words)[kind[order]]
     cut = np.cumsum([0] + [len(g["n"]) for g in got])
-    return totals, [X.pack(rank_d=where[i:j].astype(np.uint32), count=count[where[i:j]].astype(np.uint64), own=np.packbits(own[where[i:j]]))
-                    for i, j in zip(cut, cut[1:])]
+    replies = []
+    for i, j in zip(cut, cut[1:]):
+        mine = where[i:j]
+        replies.append(X.pack(count=count[mine].astype(np.uint64), place_d=place[mine][np.argsort(count[mine], kind="stable")], own=np.packbits(own[mine])))
+    return X.pack(count=kinds, words=words), replies
 
 
 def _seen(times: np.ndarray, norm: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -169,13 +238,31 @@ def _seen(times: np.ndarray, norm: np.ndarray, d: np.ndarray) -> np.ndarray:
     return d[np.minimum(times, TOP + 1)] * times / np.maximum(norm, 1)
 
 
-def _gram_reply(payloads, counted, unigrams: Unigrams, d: np.ndarray | None, last: bool):
+def _second(left: np.ndarray, numbering: Numbering, start: int) -> np.ndarray:
+    """Training count of the second word of contexts of two (of a text's start: the texts)."""
+    return np.where(left == 0, start, numbering.count_of(left & np.int64((1 << 32) - 1)))
+
+
+def _below(g: dict, right: np.ndarray, alone: np.ndarray, unigrams: Unigrams, numbering: Numbering, d: np.ndarray | None) -> np.ndarray:
+    """Probability of each n-gram of a request in the shorter context."""
+    if d is None:
+        count = np.empty(len(right), dtype=np.int64)
+        count[alone], count[~alone] = g["single"], numbering.count_of(right[~alone])
+        return unigrams.p(count)
+    new = _new(g["left_d"])
+    norm = g["norm"] if "norm" in g else _second(g["left_d"][new], numbering, g["start"][0]) + _flags(g["bare"], np.count_nonzero(new))
+    return _seen(g["times"].astype(np.int64), norm[np.cumsum(new) - 1], d)
+
+
+def _gram_reply(payloads, counted, unigrams: Unigrams, numbering: Numbering, d: np.ndarray | None, last: bool):
     """The shard's totals (with those that chunks have ``counted`` themselves) and the statistics
     of contexts that are split over shards; n-gram counts, context statistics and, below the
-    ``last`` order, which n-grams only that chunk has, for each chunk's n-grams.  A request has the
-    last word's count (bigrams), or what its probability in the shorter context comes from: its
-    count there and each context's denominator (whole numbers pack better), with that order's
-    ``d``.  N-grams that only the asking chunk has come without their last word."""
+    ``last`` order, which n-grams only that chunk has, for each chunk's n-grams.  A last word's
+    probability in the shorter context comes from its count there, in the request, and the
+    context's denominator, with that order's ``d``.  Bigrams need the word's count only.  The
+    denominator is the count of the shorter context, or one more: of two words, the request says
+    which; of more it has the denominator.  N-grams that only the asking chunk has come without
+    their last word."""
     of = np.zeros(TOP + 3, dtype=np.int64) + sum(X.unpack(p)["n"] for p in counted)
     if not payloads:
         return X.pack(n=of, left=np.zeros(0, dtype=np.int64), **{s: np.zeros(0) for s in _STATS}), []
@@ -186,8 +273,7 @@ def _gram_reply(payloads, counted, unigrams: Unigrams, d: np.ndarray | None, las
     right = np.empty(len(left), dtype=np.int64)
     right[~alone] = np.concatenate([g["right"] for g in got])
     right[alone] = -1 - np.arange(np.count_nonzero(alone))           # like no other
-    below = np.concatenate([unigrams.p(g["single"].astype(np.int64)) if d is None else
-                            _seen(g["times"].astype(np.int64), g["norm"][np.cumsum(_new(g["left_d"])) - 1], d) for g in got])
+    below = np.concatenate([_below(g, right[i:j], alone[i:j], unigrams, numbering, d) for g, i, j in zip(got, cut, cut[1:])])
     order = np.lexsort((right, left))
     new_a = _new(left[order])
     new = new_a | _new(right[order])
@@ -208,7 +294,7 @@ def _gram_reply(payloads, counted, unigrams: Unigrams, d: np.ndarray | None, las
         # a backoff weight, and so the seen words' mass, is only needed for unseen n-grams
         unseen = np.logical_or.reduceat(count[mine] == 0, np.flatnonzero(first))
         flags = {} if last else {"own": np.packbits(own[mine][told])}
-        replies.append(X.pack(count=count[mine][told].astype(np.uint64), **flags, **{s: np.where(unseen, v[at], 0) if s == "seen" else v[at] for s, v in stats.items()}))
+        replies.append(X.pack(count=count[mine][told].astype(np.uint64), **flags, **{s: np.where(unseen, v[at], 0) if s == "seen" else v[at] for s, v in stats.items() if s != "total"}))
     return totals, replies
 
 
@@ -255,43 +341,55 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     n_shards = X.shards_for(n_bytes)
 
     def ask_words(payload):
-        c = _Chunk(payload, n_shards)
-        n = np.bincount(c.local[c.used], minlength=len(c.vocabulary))
+        c = _Words(payload, n_shards)
+        n = c.counts()
         for s, at in X.split(c.shard, n_shards):
             yield s, X.pack(word_d=c.vocabulary[at], n=n[at].astype(np.uint32))
 
     with _shuffles_dropped(spark):
         words = store.write(_answer(X.ask(table, ask_words), _unigram_reply), "unigrams")
-    sizes, of = np.zeros(n_shards, dtype=np.int64), np.zeros(TOP + 3, dtype=np.int64)
-    total = types = 0
-    for r in words.filter(F.col("chunk_id") == TOTALS).toLocalIterator():          # one short row a shard
-        got = X.unpack(r["payload"])
-        sizes[r["shard"]] = got["size"][0]
-        total, types, of = total + int(got["size"][1]), types + int(got["size"][2]), of + got["n"]
+
+    def kinds_of(batches):
+        for batch in batches:
+            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = X.unpack(payload)
+                yield pa.RecordBatch.from_pydict({"count": pa.array(got["count"]), "shard": pa.array([shard] * len(got["count"]), pa.int32()), "n": pa.array(got["words"])})
+    kinds = words.filter(F.col("chunk_id") == TOTALS).select("shard", "payload").mapInArrow(kinds_of, "count long, shard int, n long")
+    total = kinds.agg(F.coalesce(F.sum(F.col("count") * F.col("n")), F.lit(0))).first()[0]
+    top = total // COMMON
+    # at most COMMON words are above the top, and only the square root of 2 * total counts can differ
+    rows = kinds.groupBy("count", F.when(F.col("count") > top, F.col("shard")).otherwise(-1).alias("shard")) \
+        .agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()
+    of = np.zeros(TOP + 3, dtype=np.int64)
+    for r in rows:
+        of[min(r["count"], TOP + 2)] += r["n"]
+    types = int(of[1:].sum())
     unigrams = Unigrams(total, types, of[:TOP + 2])
-    offset, n_words = np.cumsum(sizes) - sizes + 1, int(sizes.sum()) + 1     # word numbers follow the hash order; 0 is a text's start
+    numbered = spark.sparkContext.broadcast(Numbering([(r["count"], r["shard"], r["most"]) for r in rows], n_shards, top))
+    paired = numbered.value.end < 1 << 31              # two word numbers fit one key
     hot_from = max(1, total // min(4 * n_shards, HOT))
-    replies = words.filter("chunk_id >= 0")
 
-    def numbers(c: _Chunk, got: dict):
-        number = np.zeros(len(c.vocabulary) + 1, dtype=np.int64)
-        count = np.zeros(len(c.vocabulary) + 1, dtype=np.int64)
-        own = np.zeros(len(c.vocabulary), dtype=bool)
-        for s, at in X.split(c.shard, n_shards):
-            r = X.unpack(got[s])
-            number[at], count[at], own[at] = offset[s] + r["rank_d"], r["count"], _flags(r["own"], len(at))
-        return number, count, own
+    def number_words(payload, got, chunk):
+        return pa.table({"chunk_id": pa.array([chunk], pa.int64()),
+                         "payload": pa.array([_Words(payload, n_shards).numbered(got, n_shards, numbered.value)], pa.binary())})
+
+    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with _shuffles_dropped(spark):
+        table = store.write(X.finish(table, words.filter("chunk_id >= 0"), number_words, "chunk_id long, payload binary"), "numbered", n_parts, "chunk_id")
+    store.drop("chunks")
+    store.drop("unigrams")
 
+    replies = None
     levels: list[tuple] = []                           # of each finished order from 2 up: discounts, hot contexts' broadcast
 
     def walk(payload, got, n):
         """The chunk, its words' counts, each finished order's probabilities by n-gram, and, if
         order ``n`` is not finished, what its requests are made of."""
-        c = _Chunk(payload, n_shards)
-        number, count, own = numbers(c, got)
-        key, often = number, count.copy()
+        c = _Chunk(payload, numbered.value)
+        number, count, own = np.append(c.number, 0), np.append(c.count, 0), c.own
         # the start of a text is as frequent as its end
-        often[-1] = count[np.searchsorted(c.vocabulary, _END)]
+        key, often = number, np.append(c.count, c.texts)
+        home = T.mix(number.astype(np.uint64))
         p, shorter, times, scale = unigrams.p(count[:-1]), c.local, count, np.zeros(len(count))
         for k, (left, right, gram, token, used) in enumerate(c.grams(n), 2):
             last, hot = shorter[token], often[left] > hot_from
@@ -300,10 +398,10 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
             alone = own[last] & ~inside                # or the rest of the n-gram
             sent = np.flatnonzero(~inside)
             with np.errstate(over="ignore"):
-                route = key[left].astype(np.uint64)
-                shard = X.shard_of(T.mix((route if k == 2 else T.mix(route)) + np.where(hot, number[right].astype(np.uint64) << np.uint64(32), np.uint64(0))), n_shards)
+                home = np.append(np.where(hot, T.mix(home[left] + number[right].astype(np.uint64)), home[left]), home[-1])
+                shard = X.shard_of(home[:-1], n_shards)
             if k - 2 == len(levels):
-                return c, count, p, shorter, (key[left], number[right], used, times[last], scale[last], hot, alone, sent, shard[sent])
+                return c, count, p, shorter, (key[left], number[right], used, times[last], scale[last], hot, alone, sent, shard[sent], c.texts)
             d, shared = levels[k - 2]
             p, times, scale = np.empty(len(left)), np.zeros(len(left), dtype=np.int64), np.empty(len(left))
             own = inside | alone
@@ -318,7 +416,8 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
                 at = sent[at]
                 mine, told = left[at], at[~alone[at]]
                 which = np.cumsum(_new(mine)) - 1
-                norm, weight = context_weights(r, d)
+                # a context's n-grams count as much as the context
+                norm, weight = context_weights(r | {"total": often[mine[_new(mine)]]}, d)
                 norm, weight = norm[which], weight[which]
                 if hot[at].any():
                     h_left, h_norm, h_weight = shared.value
@@ -331,7 +430,7 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
                 p[at] = np.where(times[at] > 0, _seen(times[at], norm, d), weight * below[at])
             # these n-grams are the next order's contexts: two word numbers, or a hash of more
             with np.errstate(over="ignore"):
-                longer = (key[left] << np.int64(32)) + number[right] if k == 2 and n_words < 1 << 31 else \
+                longer = (key[left] << np.int64(32)) + number[right] if k == 2 and paired else \
                     T.mix(T.mix(key[left].astype(np.uint64)) + number[right].astype(np.uint64)).astype(np.int64)
                 key = np.append(longer, 0)
             often, shorter = np.append(times, often[-1]), gram
@@ -350,11 +449,16 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
 
     for n in range(2, order + 1):
         def ask_grams(payload, got, chunk, n=n):
-            left, right, used, times, norm, hot, alone, sent, shard = walk(payload, got, n)[-1]
+            left, right, used, times, norm, hot, alone, sent, shard, texts = walk(payload, got, n)[-1]
 
             def request(at):
-                lower = {"single": times[at].astype(np.uint32)} if n == 2 else \
-                    {"times": times[at].astype(np.uint32), "norm": norm[at][_new(left[at])].astype(np.uint64)}
+                if n == 2:
+                    lower = {"single": times[at][alone[at]].astype(np.uint32)}
+                else:
+                    first = at[_new(left[at])]
+                    lower = {"times": times[at].astype(np.uint32)}
+                    lower |= {"start": np.array([texts]), "bare": np.packbits(norm[first] > _second(left[first], numbered.value, texts))} \
+                        if n == 3 and paired else {"norm": norm[first].astype(np.uint64)}
                 return X.pack(left_d=left[at], right=right[at][~alone[at]], n=used[at].astype(np.uint32),
                               alone=np.packbits(alone[at]), hot=np.packbits(hot[at]), **lower)
             mine = np.ones(len(left), dtype=bool)
@@ -363,10 +467,16 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
                               + [((n - 1) * n_shards + chunk % n_shards, TOTALS, X.pack(n=_counts_of(used[mine])))])
 
         def reply(payloads, counted, d=levels[-1][0] if levels else None, last=n == order):
-            return _gram_reply(payloads, counted, unigrams, d, last)
+            return _gram_reply(payloads, counted, unigrams, numbered.value, d, last)
+
+        def ask_first(group: pa.Table) -> pa.Table:
+            return pa.concat_tables([ask_grams(p, {}, chunk) for chunk, p in zip(group["chunk_id"].to_pylist(), group["payload"].to_pylist())])
 
         with _shuffles_dropped(spark):
-            grams = store.write(_answer(X.finish(table, replies, ask_grams, X.MESSAGE), reply), f"grams{n}")
+            asked = X.finish(table, replies, ask_grams, X.MESSAGE) if replies is not None else table.groupBy("chunk_id").applyInArrow(ask_first, X.MESSAGE)
+            grams = _answer(asked, reply)
+            # replies that are read more than once lie with their chunks
+            grams = store.write(grams, f"grams{n}") if n == order else store.write(grams.repartition(n_parts, "chunk_id"), f"grams{n}", n_parts, "chunk_id")
         sums = grams.filter(F.col("chunk_id") == TOTALS).select("payload").mapInArrow(totals, kinds) \
             .groupBy("left", "r").agg(*[F.sum(s).alias(s) for s in _STATS])
         of, hot_rows = np.zeros(TOP + 2), []
@@ -380,7 +490,8 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         hot_norm, hot_weight = context_weights({s: np.array([r[s] for r in hot_rows], dtype=np.float64) for s in _STATS}, d)
         shared = spark.sparkContext.broadcast((np.array([r["left"] for r in hot_rows], dtype=np.int64), hot_norm, hot_weight))
         levels.append((d, shared))
-        replies = replies.unionByName(grams.filter("chunk_id >= 0"))
+        got = grams.filter("chunk_id >= 0")
+        replies = got if replies is None else replies.unionByName(got.repartition(n_parts, "chunk_id") if n == order else got)
 
     def work(payload, got, chunk):
         c, count, p, gram, _ = walk(payload, got, order)

@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -74,6 +75,38 @@ def test_katz_backs_off_through_every_order(docs, rows, none, monkeypatch):
     same(katz.score(docs, order=3).select("doc_id", "score"), katz_by_recursion(rows, 3))
 
 
+def test_katz_word_numbers_tell_counts():
+    rng = np.random.default_rng(4)
+    n_shards = 5
+    shards = [np.floor(rng.pareto(0.8, 300)).astype(np.int64) for _ in range(n_shards)]     # counts, with 0
+    for top in (0, 3, 40, 10 ** 9):
+        held = [(int(c), s, int(n)) for s, counts in enumerate(shards) for c, n in zip(*np.unique(counts, return_counts=True))]
+        rows = [r for r in held if r[0] > top]
+        rows += [(c, -1, max(n for k, _, n in held if k == c)) for c in {r[0] for r in held if r[0] <= top}]
+        numbering = katz.Numbering(rows, n_shards, top)
+        number, count = [], []
+        for s, counts in enumerate(shards):
+            place = np.array([np.count_nonzero(counts[:k] == c) for k, c in enumerate(counts)])
+            number.append(numbering.number(counts, place, s))
+            count.append(counts)
+        number, count = np.concatenate(number), np.concatenate(count)
+        assert len(np.unique(number)) == len(number) and 1 <= number.min() and number.max() < numbering.end
+        assert (numbering.count_of(number) == count).all()
+        assert (np.diff(count[np.argsort(number)]) <= 0).all()     # common words have small numbers
+
+
+def test_katz_keeps_and_sends_little(docs, monkeypatch):
+    """Word hashes and counts are neither kept nor sent once words are numbered."""
+    stores = []
+    made = katz.X.Store.__init__
+    monkeypatch.setattr(katz.X.Store, "__init__", lambda self, *a: (made(self, *a), stores.append(self))[0])
+    assert katz.score(docs, order=3).count() == docs.count()
+    kept = {p.name for p in Path(stores[0].dir.removeprefix("file:")).iterdir()}
+    assert kept == {"numbered", "grams2", "grams3"}
+    payloads = [r["payload"] for r in stores[0].spark.table(stores[0].tables["numbered"]).collect()]
+    assert payloads and all("vocabulary_d" not in katz.X.unpack(p) for p in payloads)
+
+
 def test_katz_without_training(spark):
     held = [(i, "a b") for i in range(200) if not katz.in_training(i)]
     for r in katz.score(spark.createDataFrame(held, "doc_id long, text string")).collect():
