@@ -95,6 +95,20 @@ def test_katz_word_numbers_tell_counts():
         assert (np.diff(count[np.argsort(number)]) <= 0).all()     # common words have small numbers
 
 
+def test_katz_replies_are_short():
+    rest = np.concatenate([[0.0, 1.0, 1e-300], np.random.default_rng(2).random(1000) ** 9])
+    assert (katz._short(rest) < 1 << 48).all() and (abs(katz._long(katz._short(rest)) - rest) <= 1e-11 * rest).all()
+    numbering = katz.Numbering([(30, -1, 1), (20, -1, 1), (2, -1, 1), (0, -1, 1)], 1, 100)
+    unigrams = katz.Unigrams(52, 3, np.array([1, 0, 1, 0, 0, 0, 0]))
+    # context 1 saw all its words, context 2 not
+    request = katz.X.pack(left_d=np.array([1, 1, 2, 2, 2]), right=np.array([1, 2, 1, 3, 4]), n=np.array([9, 2, 3, 2, 0], dtype=np.uint32),
+                          alone=np.packbits(np.zeros(5, bool)), hot=np.packbits(np.zeros(5, bool)), single=np.zeros(0, np.uint32))
+    got = katz.X.unpack(katz._gram_reply([request], [], unigrams, numbering, None, True)[1][0])
+    assert got["count"].tolist() == [9, 2, 3, 2, 0] and "total" not in got and "seen" not in got
+    assert [got[f"m{r}"].tolist() for r in range(1, 6)] == [[1, 0], [0, 1], [0, 1], [0, 0], [0, 0]]
+    assert got["unseen"][0] == 0 and abs(katz._long(got["unseen"])[1] - 1 + unigrams.p(np.array([30, 2])).sum()) < 1e-10
+
+
 def test_katz_keeps_and_sends_little(docs, monkeypatch):
     """Word hashes and counts are neither kept nor sent once words are numbered."""
     stores = []
