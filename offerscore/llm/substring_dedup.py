@@ -24,8 +24,8 @@ from . import exchange as X, textops as T
 
 ROWS = 2
 _BLOCKS = 64
-#: Text bytes that are hashed together.
-PIECE = 2 << 20
+#: Text bytes that are hashed together (their hashes take some thirty times as much while they are made).
+PIECE = 256 << 10
 
 
 def _windows(payload: bytes, size: int):
@@ -59,8 +59,7 @@ def _capped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(values):
         return values, np.zeros(0, bool)
     new = np.concatenate([[True], values[1:] != values[:-1]])
-    at = np.flatnonzero(new)
-    return values[at], np.diff(np.concatenate([at, [len(values)]])) > 1
+    return values[new], ~np.append(new[1:], True)[new]
 
 
 def sketch(table: DataFrame, size: int, bits: int, rows: int = ROWS) -> np.ndarray:
@@ -105,23 +104,40 @@ def _repeated(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _candidates(payload: bytes, size: int, bitmap: np.ndarray, bits: int):
-    """Windows of each piece that the sketch estimates repeated: (window starts, hash, second hash,
-    document id).  Only they are held beyond their piece of the chunk."""
+    """Windows that the sketch estimates repeated, as lists with an entry for each piece: window starts,
+    hash, second hash, document id.  Only they are held beyond their piece of the chunk."""
+    out = [], [], [], []
     for ids, *_, at, h1, h2, doc in _windows(payload, size):
         keep = _repeated(h1, bitmap, bits)
-        yield at[keep].astype(np.int32), h1[keep], (h2[keep] >> np.uint64(32)).astype(np.uint32), ids[doc[keep]]
+        for column, values in zip(out, (at[keep].astype(np.int32), h1[keep], (h2[keep] >> np.uint64(32)).astype(np.uint32), ids[doc[keep]])):
+            column.append(values)
+    return out
 
 
-def _keys(pieces: list, n_shards: int):
-    """Distinct candidate windows of a chunk: the number of each window's key, then per key its
-    hash, second hash, smallest id and shard."""
-    h1, h2, ids = (np.concatenate([p[k] for p in pieces]) for k in (1, 2, 3))
+def _joined(parts: list) -> np.ndarray:
+    """The parts as one array; the list is emptied, so that they are not held twice."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
+def _sorted_keys(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray):
+    """Order by key and id, the keys in that order, and whether each is the first of its key."""
     order = np.lexsort((ids, h2, h1))
-    a, b = h1[order], h2[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
-    number = np.empty(len(h1), dtype=np.int32)
-    number[order] = np.cumsum(new) - 1
-    a, b, least = a[new], b[new], ids[order][new]
+    h1, h2 = h1[order], h2[order]
+    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(order) else np.zeros(0, bool)
+    return order, h1, h2, new
+
+
+def _keys(h1: list, h2: list, ids: list, n_shards: int):
+    """Distinct candidate windows of a chunk: the number of each window's key, then per key its
+    hash, second hash, smallest id and shard.  Empties the lists of hashes."""
+    ids = np.concatenate(ids)
+    order, a, b, new = _sorted_keys(_joined(h1), _joined(h2), ids)
+    number = np.empty(len(order), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    least = ids[order[new]]
+    a, b = a[new], b[new]
     return number, a, b, least, X.shard_of(a, n_shards)   # keys are sorted, so shards are too
 
 
@@ -144,36 +160,32 @@ def dedup(docs: DataFrame, size: int = 13, max_bits: int = 29, rows: int = ROWS,
     n_shards = X.shards_for(n_bytes)
 
     def request(payload):
-        pieces = list(_candidates(payload, size, spread.value, bits))
-        if not pieces:
+        _, h1, h2, ids = _candidates(payload, size, spread.value, bits)
+        if not ids:
             return
-        _, a, b, least, shard = _keys(pieces, n_shards)
+        _, a, b, least, shard = _keys(h1, h2, ids, n_shards)
         for s, at in X.split(shard, n_shards):
             yield s, X.pack(h1_d=a[at], h2=b[at], least_d=least[at])
 
     def reply(payloads, _):
         got = [X.unpack(p) for p in payloads]
-        h1 = np.concatenate([g["h1_d"] for g in got])
-        h2 = np.concatenate([g["h2"] for g in got])
-        least = np.concatenate([g["least_d"] for g in got])
-        order = np.lexsort((least, h2, h1))
-        a, b = h1[order], h2[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        lowest = np.empty(len(order), dtype=np.int64)
-        lowest[order] = least[order][new][np.cumsum(new) - 1]
         cut = np.cumsum([0] + [len(g["h1_d"]) for g in got])
+        h1, h2, least = (_joined([g.pop(c) for g in got]) for c in ("h1_d", "h2", "least_d"))
+        order, _, _, new = _sorted_keys(h1, h2, least)
+        lowest = np.empty(len(order), dtype=np.int64)
+        lowest[order] = least[order[new]][np.cumsum(new, dtype=np.int32) - 1]
         return [X.pack(lowest_d=lowest[i:j]) for i, j in zip(cut, cut[1:])]
 
     def work(payload, replies, chunk):
-        pieces = list(_candidates(payload, size, spread.value, bits))
+        windows, h1, h2, owners = _candidates(payload, size, spread.value, bits)
         out, done = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")}, 0
-        if pieces:
-            number, a, _, _, shard = _keys(pieces, n_shards)
+        if windows:
+            number, a, _, _, shard = _keys(h1, h2, owners, n_shards)
             lowest = np.empty(len(a), dtype=np.int64)
             for s, at in X.split(shard, n_shards):
                 lowest[at] = X.unpack(replies[s])["lowest_d"]
         every, texts = X.unpack_texts(payload)
-        for (i, j), (at, _, _, own) in zip(T.slices(texts, PIECE), pieces):
+        for (i, j), at, own in zip(T.slices(texts, PIECE), windows, owners):
             ids = every[i:j]
             data, ends = T.buffers(texts.slice(i, j - i))
             starts, stops, upto = T.word_spans(data, ends)
@@ -195,6 +207,6 @@ def dedup(docs: DataFrame, size: int = 13, max_bits: int = 29, rows: int = ROWS,
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.binary(), "kept_sha256": pa.string()}
         return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
-    replies = store.write(X.answer(X.ask(table, request), reply), "replies")
+    replies = X.answer(X.ask(table, request), reply)     # shuffled to the chunks, not stored: nothing else reads them
     out = X.finish(table, replies, work, "doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string")
     return out.withColumn("kept_text", F.decode("kept_text", "UTF-8"))

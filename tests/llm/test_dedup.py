@@ -1,13 +1,16 @@
+import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from offerscore.llm import graph, simhash, substring_dedup, suffix_dedup, textops
-from offerscore.llm.exchange import Store, pack, unpack
+from offerscore.llm.exchange import Store, pack, pack_texts, unpack
 
 from . import brute
-from .conftest import same
+from .conftest import prose, same
 
 
 def test_pack_round_trip():
@@ -58,6 +61,30 @@ def test_substring_dedup(docs, rows, none, sketch_bits):
         assert substring_dedup.dedup(none).collect() == []
 
 
+def test_substring_windows_take_little_memory():
+    rng = random.Random(6)
+    words = [prose(rng, 1) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(3000)]
+    payload = pack_texts(pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)}))
+    size = sum(map(len, texts))
+    assert size > 4 << 20
+    tracemalloc.start()
+    try:
+        n = sum(len(piece[5]) for piece in substring_dedup._windows(payload, 13))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 3000 * 488
+    assert peak < size + (20 << 20)         # the unpacked texts, and one piece's hashes
+
+
+def test_substring_dedup_stores_chunks_only(spark, docs, monkeypatch):
+    stores = []
+    monkeypatch.setattr(substring_dedup.X, "Store", lambda *a: stores.append(Store(*a)) or stores[-1])
+    assert substring_dedup.dedup(docs, 13).filter("n_removed > 0").count() > 20
+    assert os.listdir(stores[0].dir.removeprefix("file:")) == ["chunks"]     # replies go to the chunks by the shuffle alone
+
+
 def test_suffix_dedup(docs, rows, none):
     out = suffix_dedup.dedup(docs, 100, carry=("source", "fp")).collect()
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
