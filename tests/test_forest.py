@@ -130,3 +130,38 @@ def test_analytics_by_tender(offers):
     assert (priced["x_variable"], priced["y_variable"]) == ("price", "technical")
     with pytest.raises(ValueError):
         outlier_view(out["anomalies"], ["price"])
+
+
+def test_equal_falls_go_to_the_first_threshold_whatever_trees_are_around():
+    """Few distinct targets, so that many thresholds of a node have equal falls."""
+    rng = np.random.default_rng(6)
+    n, trees = 7, 400
+    x = np.column_stack([rng.integers(0, 4, n * trees), rng.integers(0, 3, n * trees), rng.permutation(n * trees)]).astype(float)
+    y = rng.integers(0, 4, n * trees) / 3 + 0.1
+    row, times = np.arange(n * trees), rng.integers(1, 3, n * trees)
+    tree = row // n
+    got = forest.falls(x, y, row, tree, times, trees)
+    for t in range(trees):
+        own = tree == t
+        assert got[t] == pytest.approx(plain_tree(x, y, row[own], times[own]), abs=1e-7), t
+        alone = forest.falls(x[own], y[own], np.arange(n), np.zeros(n, dtype=int), times[own], 1)
+        assert (alone[0] == got[t]).all()
+
+
+def test_many_steps_and_large_numbers_grow_the_same_trees(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes, seeds, trees = np.array([40, 1, 17, 2]), np.array([3, 4, 5, 6], dtype=np.uint64), [np.arange(7), np.arange(7), np.arange(2, 5), np.arange(1)]
+    x = np.column_stack([rng.integers(0, 5, 60), rng.normal(size=60), np.ones(60)]).astype(float)
+    y = x[:, 0] + rng.normal(size=60)
+    want, head = forest._shares(x, y, sizes, seeds, trees, None), np.cumsum(sizes) - sizes
+    monkeypatch.setattr(forest, "STEP", 16)
+    monkeypatch.setattr(forest, "GROW", 100)
+    got = forest._shares(x, y, sizes, seeds, trees, None)
+    assert got == pytest.approx(want, abs=1e-12)
+    for u, (a, n) in enumerate(zip(head, sizes)):
+        alone = forest._shares(x[a:a + n], y[a:a + n], sizes[u:u + 1], seeds[u:u + 1], trees[u:u + 1], None)
+        assert got[u] == pytest.approx(alone[0], abs=1e-12)
+    tree, rank = rng.integers(0, 3, 50), rng.integers(0, 9, 50)
+    places = forest._ordered(tree, rank) & (1 << 32) - 1
+    assert (places == np.lexsort((rank, tree))).all()
+    assert (forest._ordered(tree << 56, rank) & (1 << 32) - 1 == places).all()
