@@ -323,3 +323,28 @@ def test_whatif_flow_rescores_by_the_variables_that_matter(spark):
     moved = {r["offer_id"]: r["rank_change"] for r in out["impact"].collect()}
     assert len(moved) == 200 and all(moved[f"o{i}"] >= 0 for i in range(3, 200, 20))
     assert sorted({r["variable"] for r in out["sensitivity"].collect()}) == ["a"]
+
+
+def test_anomalies_of_ordinary_groups_are_shuffled_once_and_not_kept(spark, monkeypatch):
+    """The same rows as by pool, parts and a percentile of stored scores, which hot groups go through."""
+    import random
+    from offerscore import session
+    from offerscore.operators import stats
+    from offerscore.operators.iforest import anomalies
+    rng = random.Random(12)
+    rows = [(g, f"{g}-{i}", "s", rng.random(), float(rng.randint(0, 5)), None if rng.random() < 0.1 else rng.random())
+            for g, n in [("a", 1), ("b", 2), ("c", 31), (None, 12), ("e", 70), ("f", 45)] for i in range(n)] + [("b", "b-0", "s", 1.0, 2.0, 3.0)] * 2
+    df = spark.createDataFrame(rows, "tender string, offer_id string, supplier string, x double, y double, z double").repartition(4)
+    kw = dict(variables=["x", "y", "z"], by=["tender"], trees=20, max_samples=40)
+    monkeypatch.setattr(stats, "FAIR_ROWS", 10_000)
+    tracked = len(session._TRACKED)
+    together = anomalies(df, **kw)
+    assert len(session._TRACKED) == tracked
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") <= 1 and "Join" not in plan
+    monkeypatch.setattr(stats, "HOT_ROWS", 0)            # every group is hot
+    apart = anomalies(df, **kw)
+    key = lambda r: tuple(str(v) for v in r)
+    assert together.columns == apart.columns
+    assert sorted(map(key, together.collect())) == sorted(map(key, apart.collect()))
+    assert together.where("anomaly = -1").count() > 10
