@@ -165,3 +165,22 @@ def test_many_steps_and_large_numbers_grow_the_same_trees(monkeypatch):
     places = forest._ordered(tree, rank) & (1 << 32) - 1
     assert (places == np.lexsort((rank, tree))).all()
     assert (forest._ordered(tree << 56, rank) & (1 << 32) - 1 == places).all()
+
+
+def test_score_importance_stores_and_shuffles_no_texts(spark, tmp_path):
+    """The offers behind the score's forests are keys and numbers, and no copy of them is stored."""
+    from offerscore import session
+    from offerscore.plans import catalog
+    lines = [(o, 1 + o % 3, 1 + o % 2, k, float(5 + o % 7), 100.0 + o * k, 0.01 * (o % 9), 0.02 * k, "AN"[o % 2], "O", f"2024-01-{1 + o % 28:02d}")
+             for o in range(1, 31) for k in (1, 2)]
+    tables = {"lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                  "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"),
+              "orders": ([(o, "2023-12-20", "2-HIGH") for o in range(1, 31)], "o_orderkey long, o_orderdate string, o_orderpriority string"),
+              "supplier": ([(1, "one", 0), (2, "two", 0)], "s_suppkey long, s_name string, s_nationkey long"), "nation": ([(0, "X")], "n_nationkey long, n_name string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    tracked = len(session._TRACKED)
+    scored, variables = catalog._scored_raw(spark, str(tmp_path))
+    assert len(session._TRACKED) == tracked
+    assert scored.columns == [*catalog.KEYS, *variables, "score"] and len(variables) == 10
+    assert scored.count() == len(lines) and scored.where("score is null").count() == 0
